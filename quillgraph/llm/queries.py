@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
+from quillgraph.llm.language import fit_language_model, identify_language
+from quillgraph.llm.tokens import token_counts
 from quillgraph.session import table
 
+try:
+    import public_tokenizers
+except ImportError:  # the vocabulary's path is a parameter of the operator; only the query has a default
+    public_tokenizers = None
+
 
 def contamination_digest(found: DataFrame) -> DataFrame:
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).cast("long")
@@ -28,7 +35,23 @@ def op10_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-_ALL = [op10_benchmark_winnowing]
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op7_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs, ~held_out(F.col("doc_id")))
+    judged = identify_language(docs, model)
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+_ALL = [op3_token_counts, op7_language_centroids, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,8 +66,9 @@ class Chunk:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Whole texts, in order, about `limit` bytes at a time (one text that is longer comes alone). Null is empty."""
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, most_rows: int = 1 << 16) -> Iterator[Chunk]:
+    """Whole texts, in order, about `limit` bytes and `most_rows` rows at a time (one text that is longer comes alone).
+    Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -79,6 +80,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = min(to, at + most_rows)
         yield Chunk(at, to - at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
