@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.language import fit_language_model, identify_language
+from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.tokens import token_counts
 from quillgraph.session import table
 
@@ -51,7 +52,20 @@ def op7_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-_ALL = [op3_token_counts, op7_language_centroids, op10_benchmark_winnowing]
+def spans_text(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))), ",")
+
+
+def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("parts", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("parts", lambda p: p["strong"])
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("parts")).alias("spans"))
+
+
+_ALL = [op1_secret_linking, op3_token_counts, op7_language_centroids, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

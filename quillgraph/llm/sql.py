@@ -26,3 +26,41 @@ from d left join covered c using (rid) left join items using (rid)"""
 
 
 ORACLES["op10_benchmark_winnowing"] = contamination()
+
+
+def secrets(docs: str = "documents", reach: int = 200) -> str:
+    kinds = [
+        (0, "assign", "secret", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        (1, "access", "identifier", r"AKIA[A-Z0-9]+", 20),
+        (2, "hex", "secret", r"[0-9a-f]+", 24),
+        (3, "account", "identifier", r"""(client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+""", 0),
+        (4, "blob", "secret", r"[A-Za-z0-9+/]{32,}", 0),
+        (5, "endpoint", "endpoint", r"""(https?|ftp|jdbc:[a-z]+|postgres|mysql|amqp)://[A-Za-z0-9._~:@%-]+""", 0),
+    ]
+    found = []
+    for n, kind, role, pattern, least in kinds:
+        for prefix in (r"(password", r"(client", r"(https"):
+            if pattern.startswith(prefix):
+                pattern = f"((?i:{pattern[1:].replace(')', '))', 1)}"
+        pattern = pattern.replace("'", "''")
+        group = 2 if kind == "assign" else 0
+        found.append(f"""select rid, {n} as o, '{kind}' as kind, '{role}' as role, {least} as least,
+          unnest(list_zip(regexp_extract_all(t, '{pattern}'), regexp_extract_all(t, '{pattern}', {group}), string_split_regex(t, '{pattern}'))) as z, generate_subscripts(string_split_regex(t, '{pattern}'), 1) as i from d""")
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t, row_number() over () as rid from {docs}),
+raw as ({' union all '.join(found)}),
+placed as (select rid, o, kind, role, least, z[1] as m, z[2] as g, sum(length(z[3]) + coalesce(length(z[1]), 0)) over (partition by rid, o order by i) as e from raw),
+part as (select rid, o, kind, role, (e - length(m))::bigint as s, e::bigint as e from placed where m is not null and m <> '' and length(g) >= least),
+ok as (select p.* from part p where o < 3
+    or role = 'identifier' and exists (select 1 from part q where q.rid = p.rid and q.role = 'secret' and abs(q.s - p.s) <= {reach} and (q.s >= p.e or p.s >= q.e))
+    or role = 'secret' and exists (select 1 from part q where q.rid = p.rid and q.role = 'identifier' and abs(q.s - p.s) <= {reach} and (q.s >= p.e or p.s >= q.e))
+    or role = 'endpoint' and exists (select 1 from part q where q.rid = p.rid and q.role = 'secret' and abs(q.s - p.s) <= {reach} and (q.s >= p.e or p.s >= q.e))
+      and exists (select 1 from part q where q.rid = p.rid and q.role = 'identifier' and abs(q.s - p.s) <= {reach} and (q.s >= p.e or p.s >= q.e))),
+per as (select rid, count(*) filter (o = 0) as a, count(*) filter (o = 1) as k, count(*) filter (o = 2) as h,
+  string_agg(kind || ':' || s || ':' || e, ',' order by s, o) filter (o < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, o) as spans from ok group by rid)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(k, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join per using (rid)"""
+
+
+ORACLES["op1_secret_linking"] = secrets()
