@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.language import fit_language_model, identify_language
+from quillgraph.llm.quality import judge_quality, language_references
 from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.tokens import token_counts
 from quillgraph.session import table
@@ -36,6 +37,11 @@ def op10_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_quality(docs, language_references(docs)).withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
@@ -65,7 +71,7 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("parts")).alias("spans"))
 
 
-_ALL = [op1_secret_linking, op3_token_counts, op7_language_centroids, op10_benchmark_winnowing]
+_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op7_language_centroids, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

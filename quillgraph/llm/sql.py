@@ -64,3 +64,38 @@ from d left join per using (rid)"""
 
 
 ORACLES["op1_secret_linking"] = secrets()
+
+
+def quality(docs: str = "documents") -> str:
+    from quillgraph.llm.quality import COMMON_WORDS
+
+    common = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON_WORDS)) + "]"
+    classes = ["[^aeiou]", "[^b-df-hj-np-tv-z]", "[^A-Z]", "[^0-9]", r"[^\x09-\x0D\x20]", r"[^\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x{80}-\x{23F}]", r"[^\x{240}-\x{10FFFF}]"]
+    counted = ", ".join(f"length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+    jsd = """sqrt(greatest(0, least(1, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)))"""
+    return rf"""
+with d as (select doc_id, lang, coalesce(text, '') as t, row_number() over () as rid from {docs}),
+w as (select rid, doc_id, lang, t, regexp_extract_all(t, '{SPACED}') as w, regexp_extract_all({LOWER.format('t')}, '{SPACED}') as lw from d),
+lines as (select rid, unnest(string_split(t, chr(10))) as line from d),
+dup as (select rid, (count(*) - count(distinct line)) as n from lines where regexp_matches(line, '{SPACED}') group by rid),
+win as (select rid, p, array_to_string(w[p : p + 4], ' ') as g from (select rid, w, unnest(range(1, len(w) - 3)) as p from w where len(w) >= 5)),
+twice as (select rid, p from (select rid, p, count(*) over (partition by rid, g) as n from win) where n > 1),
+rep as (select rid, count(distinct q) as n from (select rid, unnest(range(p, p + 5)) as q from twice) group by rid),
+bins as (select rid, lang, len(w) as n_words, unnest(range(0, 8)) as b, unnest([{counted}]) as n, 0 as part from w
+  union all select rid, lang, n_words, b, n, 1 from (select rid, lang, len(w) as n_words, unnest(range(0, len({common}))) as b,
+    unnest(list_transform({common}, lambda x: len(list_filter(lw, lambda y: y = x)))) as n from w)
+  union all select rid, lang, len(w), 1000, len(list_filter(lw, lambda y: not list_contains({common}, y))), 1 from w),
+ref as (select lang, part, b, n / sum(n) over (partition by lang, part) as q from (select lang, part, b, sum(n) as n from bins where n_words >= 50 and lang is not null group by all)),
+own as (select rid, n_words, part, b, n / nullif(sum(n) over (partition by rid, part), 0) as p from bins where n_words >= 80),
+far as (select rid, r.lang, o.part, {jsd} as far from own o join ref r on o.part = r.part and o.b = r.b group by all),
+pair as (select rid, lang, max(far) filter (part = 0) as c, max(far) filter (part = 1) as v from far group by all),
+best as (select rid, c, v, greatest(c / 0.27, v / 0.335) as worst from pair qualify row_number() over (partition by rid order by greatest(c / 0.27, v / 0.335), lang) = 1),
+base as (select rid, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+  from w left join dup using (rid) left join rep using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and coalesce(worst <= 1, true) as kept, round(c, 6) as class_distance, round(v, 6) as word_distance
+from base left join best using (rid)"""
+
+
+ORACLES["op2_distribution_divergence"] = quality()
