@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.language import fit_language_model, identify_language
+from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.quality import judge_quality, language_references
 from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.tokens import token_counts
+from quillgraph.llm.urls import judge_urls
 from quillgraph.session import table
 
 try:
@@ -47,6 +49,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+#: The rules of the contract.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op5_link_graph_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -71,7 +82,17 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("parts")).alias("spans"))
 
 
-_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op7_language_centroids, op10_benchmark_winnowing]
+def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_segments"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.round(F.array_max(F.transform("matches", lambda m: m["dice"])), 6).alias("best_dice"),
+    )
+
+
+_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op5_link_graph_propagation, op7_language_centroids, op9_license_bigrams, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,3 +99,52 @@ from base left join best using (rid)"""
 
 
 ORACLES["op2_distribution_divergence"] = quality()
+
+
+def licenses(docs: str = "documents", least: float = 0.8) -> str:
+    from quillgraph.llm.licenses import TEMPLATES
+
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    norm = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))".format(LOWER)
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+with t as (select name, {grams} as g from (select name, string_split({norm.format('body')}, ' ') as w from (values {rows}) v(name, body))),
+d as (select doc_id, coalesce(text, '') as text, row_number() over () as rid from {docs}),
+cut as (select distinct rid, {norm.format('seg')} as seg from (select rid, unnest(list_concat(string_split_regex(text, '[.!?][ \t\r]+|\n+'), string_split_regex(text, '\n[ \t\r]*\n'), [text])) as seg from d)),
+s as (select rid, seg, {grams} as g from (select rid, seg, string_split(seg, ' ') as w from cut)),
+m as (select rid, seg, name, 2.0::double * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) as dice from s join t on len(s.g) between len(t.g) * {least / (2 - least)} - 0.01 and len(t.g) / {least / (2 - least)} + 0.01 where len(s.g) > 0),
+best as (select * from m where dice >= {least} - 1e-9 qualify row_number() over (partition by rid, seg order by dice desc, name) = 1),
+per as (select rid, count(*) as n, string_agg(distinct name, ',' order by name) as names, max(dice) as top from best group by rid)
+select doc_id, coalesce(n, 0)::bigint as n_segments, coalesce(names, '') as licenses, round(top, 6) as best_dice from d left join per using (rid)"""
+
+
+def urls(rules: list[tuple[str, str]], pages: str = "pages", rounds: int = 10, damping: float = 0.85, ratio: float = 2.0) -> str:
+    values = ", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in rules)
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = ""
+    for i in range(rounds):
+        steps += f""",
+m{i} as (select e.kind, e.dst as host, sum(share * rank) as moved from edges e join r{i} r on r.kind = e.kind and r.host = e.src group by all),
+r{i + 1} as (select n.kind, n.host, {damping} * coalesce(moved, 0) + seed * (1 - {damping} * coalesce((select sum(moved) from m{i} x where x.kind = n.kind), 0)) as rank
+  from nodes n left join m{i} m on m.kind = n.kind and m.host = n.host)"""
+    return rf"""
+with rules as (select * from (values {values}) v(action, rule, rhost, rpath)),
+p0 as (select page_id, html, row_number() over () as rid, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from {pages}),
+p as (select page_id, html, rid, {low.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p0),
+ruled as (select p.*, rule, action from p left join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  qualify row_number() over (partition by rid order by length(rule) desc, rule, action) = 1),
+links as (select src, dst, count(*) as n from (select host as src, {low.format("unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"''>\\s]+)', 1))")} as dst from p where host <> '') where src <> dst group by all),
+both_ways as (select 'trust' as kind, src, dst, n from links union all select 'distrust', dst, src, n from links),
+edges as (select kind, src, dst, n / sum(n) over (partition by kind, src) as share from both_ways),
+hosts as (select host, sum(t) as t, sum(b) as b from (select host, (action = 'allow')::int as t, (action = 'block')::int as b from ruled where host <> '' union all select dst, 0, 0 from links) group by host),
+nodes as (select 'trust' as kind, host, coalesce(t, 0) / greatest((select coalesce(sum(t), 0) from hosts), 1) as seed from hosts
+  union all select 'distrust', host, coalesce(b, 0) / greatest((select coalesce(sum(b), 0) from hosts), 1) from hosts),
+r0 as (select kind, host, seed as rank from nodes){steps},
+per as (select host, sum(rank) filter (kind = 'trust') as trust, sum(rank) filter (kind = 'distrust') as distrust from r{rounds} group by host)
+select page_id, host, path, rule, coalesce(action, case when distrust * (select count(*) from hosts) > 1 and distrust > {ratio} * trust then 'block' else 'allow' end) as verdict,
+  round(coalesce(trust, 0), 9) as trust, round(coalesce(distrust, 0), 9) as distrust
+from ruled left join per using (host)"""
+
+
+ORACLES["op9_license_bigrams"] = licenses()
+ORACLES["op5_link_graph_propagation"] = urls([("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")])
