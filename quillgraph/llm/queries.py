@@ -11,6 +11,7 @@ from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.language import fit_language_model, identify_language
 from quillgraph.llm.licenses import scan_licenses
+from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import judge_quality, language_references
 from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.tokens import token_counts
@@ -49,6 +50,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the contract.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 
@@ -92,7 +97,7 @@ def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op5_link_graph_propagation, op7_language_centroids, op9_license_bigrams, op10_benchmark_winnowing]
+_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op7_language_centroids, op9_license_bigrams, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
