@@ -11,6 +11,7 @@ from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.language import fit_language_model, identify_language
 from quillgraph.llm.licenses import scan_licenses
+from quillgraph.llm.likelihood import build_vocabulary, score_pseudo_likelihood, train
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import judge_quality, language_references
 from quillgraph.llm.secrets import scan_secrets
@@ -63,6 +64,13 @@ def op5_link_graph_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
+def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = build_vocabulary(docs)
+    scored = score_pseudo_likelihood(docs, vocabulary, train(docs, vocabulary))
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_likelihood", "per_word")})
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -97,7 +105,7 @@ def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op7_language_centroids, op9_license_bigrams, op10_benchmark_winnowing]
+_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op6_masked_pseudo_likelihood, op7_language_centroids, op9_license_bigrams, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
