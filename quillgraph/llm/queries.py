@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import sql
 from quillgraph.llm.decontaminate import decontaminate
+from quillgraph.llm.jaccard import near_duplicates
 from quillgraph.llm.language import fit_language_model, identify_language
 from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.likelihood import build_vocabulary, score_pseudo_likelihood, train
@@ -95,6 +96,10 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("parts")).alias("spans"))
 
 
+def op8_jaccard_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(
@@ -105,7 +110,7 @@ def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op6_masked_pseudo_likelihood, op7_language_centroids, op9_license_bigrams, op10_benchmark_winnowing]
+_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op6_masked_pseudo_likelihood, op7_language_centroids, op8_jaccard_signature_trees, op9_license_bigrams, op10_benchmark_winnowing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

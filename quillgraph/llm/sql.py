@@ -148,3 +148,23 @@ from ruled left join per using (host)"""
 
 ORACLES["op9_license_bigrams"] = licenses()
 ORACLES["op5_link_graph_propagation"] = urls([("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")])
+
+
+def components(docs: str = "documents", shingle: int = 5, percent: int = 75) -> str:
+    """Shared shingles of all pairs that have one, then reachability: for small tables. Equal sets are one node."""
+    return rf"""
+with recursive d as (select doc_id, row_number() over () as rid, regexp_extract_all({LOWER.format('text')}, '{SPACED}') as w from {docs}),
+s as (select distinct rid, array_to_string(w[p : p + {shingle - 1}], ' ') as g from (select rid, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) as p from d where len(w) > 0)),
+n as (select rid, count(*) as n, md5(string_agg(g, '|' order by g)) as sig from s group by rid),
+rep as (select sig, min(rid) as r, any_value(n) as n from n group by sig),
+rs as (select s.rid, s.g from s join rep on s.rid = rep.r),
+pair as (select a.rid as x, b.rid as y, count(*) as o from rs a join rs b on a.g = b.g and a.rid <> b.rid group by all),
+link as (select x, y from pair join rep p on p.r = x join rep q on q.r = y where 100 * o >= {percent} * (p.n + q.n - o)),
+reach(x, y) as (select r, r from rep union select reach.x, link.y from reach join link on reach.y = link.x),
+low as (select n.sig, min(doc_id) as m from n join d using (rid) group by n.sig),
+comp as (select x, min(low.m) as c from reach join rep on rep.r = y join low using (sig) group by x)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, case when n.n is null then doc_id else comp.c end as component_id
+from d left join n using (rid) left join rep using (sig) left join comp on comp.x = rep.r"""
+
+
+ORACLES["op8_jaccard_signature_trees"] = components()
