@@ -135,13 +135,13 @@ class Index:
 _FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _scan(index: Index, id_field: pa.Field, keyed: bool):
-    """The pass over documents: ids, then word count, hit spans (in words) and items; keyed: only rows with hits."""
+def _scan(index: Index, carried: list[str], only_hits: bool):
+    """The pass over documents (text first): carried columns, word count, hit spans (in words) and items."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def scan(batches):
         for batch in batches:
-            for c in T.chunks(batch.column(1)):
+            for c in T.chunks(batch.column(0)):
                 w = T.words(c, T.ALNUM_WORDS, T.ASCII_LOWER)
                 cover = np.zeros(len(w.hash) + 1, np.int64)
                 pairs = [np.zeros((0, 2), np.int64)]
@@ -161,7 +161,7 @@ def _scan(index: Index, id_field: pa.Field, keyed: bool):
                 pairs = np.unique(np.concatenate(pairs), axis=0)
                 pairs = pairs[pairs[:, 1] >= 0]
                 rows = np.arange(c.rows)
-                if keyed:
+                if only_hits:
                     rows = np.unique(of)
                 spans_at = np.append(np.searchsorted(of, rows), len(of)).astype(np.int32)
                 items_at = np.append(np.searchsorted(pairs[:, 0], rows), len(pairs)).astype(np.int32)
@@ -171,8 +171,8 @@ def _scan(index: Index, id_field: pa.Field, keyed: bool):
                     "spans": pa.ListArray.from_arrays(spans_at, pa.StructArray.from_arrays([pa.array(lo - base, pa.int32()), pa.array(hi - base, pa.int32())], fields=list(span))),
                     "items": pa.ListArray.from_arrays(items_at, pa.array([index.names[i] for i in pairs[:, 1]], pa.string())),
                 }
-                ids = [batch.column(i).slice(c.first, c.rows).take(pa.array(rows)) for i in ((0, 2) if keyed else (0,))]
-                yield pa.RecordBatch.from_arrays([*ids, *cols.values()], names=[id_field.name, *(["_key"] if keyed else []), *cols])
+                same = [batch.column(i + 1).slice(c.first, c.rows).take(pa.array(rows)) for i in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([*same, *cols.values()], names=[*carried, *cols])
 
     return scan
 
@@ -205,15 +205,19 @@ def decontaminate(
     window: int = 10,
     gram: int = 5,
     block_words: int = 2_000_000,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per row of docs: id, n_words, spans (of words that lie in an occurrence of a window; ends exclusive,
-    sorted, disjoint) and items (ids as strings, distinct, sorted) whose windows occur.
+    """One row per row of docs: id, the columns in `keep`, n_words, spans (of words that lie in an occurrence of a
+    window; ends exclusive, sorted, disjoint) and items (ids as strings, distinct, sorted) whose windows occur.
 
     Null or empty texts have no words and no hits; items without words are ignored. Items whose id is null take part
     in spans but are not listed. Repeated rows, ids and items each count as they stand. Other columns are ignored, and
     may have any names. With an empty benchmark every document is clean.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    names = [id_col, *(keep or [])]
+    carried = [f"_k{i}" for i in range(len(names))]
+    source = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(k) for c, k in zip(names, carried, strict=True)])
+    types = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in carried)
     pieces = cut(
         benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
         .mapInArrow(_pieces(window, 1 << 15), "item string, hashes binary, short boolean")
@@ -222,29 +226,30 @@ def decontaminate(
     total = pieces.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
     blocks = max(1, int(-(-total // block_words)))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item", "hashes"), F.lit(blocks)))
-    kind = source.schema["_id"].dataType.simpleString()
 
     def block_index(i: int) -> Index:
         rows = pieces.filter(F.col("block") == i).select("item", "hashes", "short").collect()  # bounded by block_words
         return Index([(r.item, np.frombuffer(bytes(r.hashes), np.uint64), r.short) for r in rows], window, gram)
 
+    back = [F.col(k).alias(c) for c, k in zip(names, carried, strict=True)]
     if blocks == 1:
-        return source.mapInArrow(_scan(block_index(0), pa.field("_id", pa.null()), False), f"_id {kind}, {_FOUND}").withColumnRenamed("_id", id_col)
-    keyed = source.withColumn("_key", F.xxhash64("_text"))
+        return source.mapInArrow(_scan(block_index(0), carried, False), f"{types}, {_FOUND}").select(*back, "n_words", "spans", "items")
+    id_type = source.schema["_k0"].dataType.simpleString()
+    keyed = source.select("_text", "_k0", F.xxhash64("_text").alias("_key"))
     parts = None
     for i in range(blocks):
-        part = keyed.mapInArrow(_scan(block_index(i), pa.field("_id", pa.null()), True), f"_id {kind}, _key long, {_FOUND}")
+        part = keyed.mapInArrow(_scan(block_index(i), ["_k0", "_key"], True), f"_k0 {id_type}, _key long, {_FOUND}")
         parts = part if parts is None else parts.unionByName(part)
     union = F.pandas_udf(_merge_spans, "array<struct<start:int,end:int>>")
-    merged = parts.groupBy("_id", "_key").agg(
+    merged = parts.groupBy("_k0", "_key").agg(
         union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    counts = keyed.mapInArrow(_counted, f"_id {kind}, _key long, n_words long")
+    counts = source.withColumn("_key", F.xxhash64("_text")).mapInArrow(_counted(len(carried) + 1), f"{types}, _key long, n_words long")
     return (
         counts.alias("a")
-        .join(merged.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._key") == F.col("b._key")), "left")
+        .join(merged.alias("b"), F.col("a._k0").eqNullSafe(F.col("b._k0")) & (F.col("a._key") == F.col("b._key")), "left")
         .select(
-            F.col("a._id").alias(id_col),
+            *[F.col(f"a.{k}").alias(c) for c, k in zip(names, carried, strict=True)],
             "a.n_words",
             F.coalesce("b.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
             F.coalesce("b.items", F.array().cast("array<string>")).alias("items"),
@@ -252,12 +257,15 @@ def decontaminate(
     )
 
 
-def _counted(batches):
-    for batch in batches:
-        for c in T.chunks(batch.column(1)):
-            n = np.diff(T.words(c, T.ALNUM_WORDS, T.ASCII_LOWER).bounds)
-            ids = [batch.column(i).slice(c.first, c.rows) for i in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64())], names=["_id", "_key", "n_words"])
+def _counted(carried: int):
+    def count(batches):
+        for batch in batches:
+            for c in T.chunks(batch.column(0)):
+                n = np.diff(T.words(c, T.ALNUM_WORDS, T.ASCII_LOWER).bounds)
+                same = [batch.column(i + 1).slice(c.first, c.rows) for i in range(carried)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(n, pa.int64())], names=[*batch.schema.names[1:], "n_words"])
+
+    return count
 
 
 def _merge_spans(column: pd.Series) -> pd.Series:

@@ -78,9 +78,10 @@ def _documents(docs: DataFrame, k: int) -> DataFrame:
             for c in T.chunks(batch.column(1)):
                 s = Shingles(c, k)
                 hi, key = s.digests()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(s.n, pa.int64()), pa.array(hi), pa.array(key)], names=["id", "n", "hi", "key"])
+                same = [batch.column(i).slice(c.first, c.rows) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(s.n, pa.int64()), pa.array(hi), pa.array(key)], names=["id", "text_hash", "n", "hi", "key"])
 
-    return docs.select("id", "text").mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, n long, hi long, key long")
+    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long")
 
 
 def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 2_000_000) -> DataFrame:
@@ -225,17 +226,18 @@ def _search(rows: DataFrame, by: list[str], percent: int, queries: bool) -> Data
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_tokens: int = 2_000_000, block_sets: int = 4096
 ) -> DataFrame:
-    """One row per row of docs: id, n_shingles and component_id, the smallest id that it reaches over links (pairs of
-    texts with 100 * shared >= percent * all shingles), its own included.
+    """One row per row of docs: id, n_shingles, component_id (the smallest id that it reaches over links, its own
+    included; links are pairs of texts with 100 * shared >= percent * all shingles), text_hash (xxhash64 of the text), and
+    first: whether it has the smallest id, then text_hash, of its component.
 
-    Null, empty and blank texts have no shingles and link with nothing: their component is their own id. Repeated rows
-    and ids each keep a row. Rows without an id take part; their component is the smallest id reached, or null. Other
+    Null, empty and blank texts have no shingles and link with nothing: their component is their own id, and they
+    are first. Repeated rows and ids each keep a row; rows with the same id and text are first together. Rows without an id take part; their component is the smallest id reached, or null. Other
     columns are ignored and may have any names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(_documents(docs, shingle))
-    classes = cut(rows.filter("n > 0").groupBy("hi", "key").agg(F.min("n").alias("n"), F.min("id").alias("first")))
+    rows = cut(_documents(docs, shingle)).withColumn("me", F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+    classes = cut(rows.filter("n > 0").groupBy("hi", "key").agg(F.min("n").alias("n"), F.min("me").alias("first")))
 
     # Candidates: what a class shares with others, its weakest hubs left out.
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -251,7 +253,7 @@ def near_duplicates(
     sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
     sizes = sizes.select("group", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("sets") / block_sets)).cast("int").alias("blocks"))
     members = cut(members.join(sizes, "group").select("group", "blocks", "hi", "key", "n", "first"))
-    sets = cut(_sets(docs, shingle, members.select(F.col("first").alias("id"))).join(members.drop("first"), ["hi", "key"]).dropDuplicates(["hi", "key"]))
+    sets = cut(_sets(docs, shingle, members.select("first.id")).join(members.drop("first"), ["hi", "key"]).dropDuplicates(["hi", "key"]))
 
     # Trees over groups; those of several blocks have some sets in all of them.
     home = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
@@ -269,9 +271,11 @@ def near_duplicates(
     of_root = best.groupBy("root").agg(F.min("first").alias("component"))
     labelled = best.select("hi", "key", "root").join(of_root, "root").select("hi", "key", "component")
     by_class = classes.join(labelled, ["hi", "key"], "left").select("hi", "key", F.coalesce("component", "first").alias("component"))
-    found = rows.filter("n > 0").join(by_class, ["hi", "key"], "left").select("id", "n", "component")
-    found = found.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    found = rows.filter("n > 0").join(by_class, ["hi", "key"], "left").select("me", "n", "component")
+    found = found.unionByName(rows.filter("n = 0").select("me", "n", F.col("me").alias("component")))
+    return found.select(
+        F.col("me.id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"), "me.text_hash", F.col("me").eqNullSafe(F.col("component")).alias("first")
+    )
 
 
 def _across_blocks(sets: DataFrame, edges: DataFrame, large: DataFrame, sizes: DataFrame, percent: int, block_tokens: int, block_sets: int, home: Column) -> DataFrame:

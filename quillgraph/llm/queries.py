@@ -97,7 +97,7 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
