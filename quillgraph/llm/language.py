@@ -1,13 +1,12 @@
 """Language identification: nearest of several centroids per language, by cosine of TF-IDF vectors of byte n-grams.
 
-The classifier is fitted on a bounded sample of labelled rows (`per_language` texts of each of at most `max_languages`
-labels, chosen by a hash): their n-gram counts are weighted by inverse document frequency and normalised, and each
+The classifier is fitted on a bounded sample of labelled rows (about `per_language` texts of each of at most
+`max_languages` labels, chosen by a hash): their n-gram counts are weighted by inverse document frequency and normalised, and each
 language's vectors are clustered by spherical k-means. A text gets the language of the centroid with the highest
 cosine. It is rejected if its distance (1 - cosine) exceeds what texts of about its length had in the sample, with a
 margin.
 
-Cost: two passes to choose the sample (each task sends `per_language` hashes of a label at most, then only texts of the
-sample are moved), one pass to predict, no other shuffle. The model's size is fixed by its parameters.
+Cost: one pass to count labels, one to choose the sample (only its texts are moved), one to predict; no other shuffle. The model's size is fixed by its parameters.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as T
@@ -123,19 +122,17 @@ def fit_language_model(
 ) -> Model:
     """A model of the rows where `learn` holds and label and text are not null, and the text has a letter.
 
-    The sample is `per_language` rows of each label at most, lowest hash of id and text first (rows that are
-    alike count once), from the `max_languages` labels with the most rows. No rows: a model that rejects everything.
+    The sample is the rows of lowest hash of id and text, about `per_language` of each label (all, if there are fewer;
+    rows that are alike count once), from the `max_languages` labels with the most rows. No rows: a model that rejects everything.
     """
     rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    labels = [r[0] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()]
-    rows = rows.filter(F.col("_lang").isin(labels)).withColumn("_order", F.xxhash64("_id", "_text"))
-    # First only hashes: each task sends the lowest ones of a label; then the texts up to the last hash that counts.
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_order"))
-    last = rows.select("_lang", "_order").withColumn("_rank", rank).filter(F.col("_rank") <= per_language).groupBy("_lang").agg(F.max("_order").alias("m")).collect()
-    chosen = F.lit(False)
-    for r in last:
-        chosen = chosen | ((F.col("_lang") == r._lang) & (F.col("_order") <= r.m))
+    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
+    rows = rows.withColumn("_order", F.xxhash64("_id", "_text"))
+    chosen = F.lit(False)  # the hash is uniform: below this part of its range lie about per_language rows
+    for r in sizes:
+        below = int(min(1.0, per_language / r["count"]) * 2**64) - 2**63 - 1
+        chosen = chosen | ((F.col("_lang") == r._lang) & (F.col("_order") <= below))
     picked = rows.filter(chosen).dropDuplicates(["_lang", "_order"])
 
     def vectorise(batches):
