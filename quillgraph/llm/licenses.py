@@ -1,15 +1,16 @@
 """License scans: normalised segments of a text compared to license templates by Dice coefficient of word bigrams.
 
 Segments are sentences, paragraphs and the whole text. Size bounds prune first: a Dice coefficient of t or more needs
-bigram counts within t / (2 - t) of each other, whichever is larger. Before texts are cut up at all, a screen looks for
-those bigrams of which every match must hold one: a match shares at least t / (2 - t) of a template's bigrams, so that
-it can't lack all of any larger rest.
+bigram counts within t / (2 - t) of each other, whichever is larger. Before texts are cut up at all, screens look for
+words, then bigrams, of which every match must hold one: a match shares at least t / (2 - t) of a template's bigrams,
+so that it can't lack all of any larger rest.
 
 Native expressions within each row: one pass with no shuffle and no join.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -42,13 +43,37 @@ def _bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-def _screen(templates: dict[str, list[str]], least: float) -> str:
-    """Any match of a template holds one of these bigrams (words apart by anything but letters and digits)."""
-    some: set[str] = set()
-    for grams in templates.values():
-        shared = math.ceil(least / (2 - least) * len(grams) - 1e-9)
-        some.update(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - shared + 1])
-    return r"(?i)\b(?:" + "|".join(g.replace(" ", "[^a-zA-Z0-9]+") for g in sorted(some)) + r")(?![a-zA-Z0-9])"
+def _any_of(words: set[str]) -> str:
+    """A pattern for any of the words that looks at each character once."""
+    heads: dict[str, set[str]] = {}
+    for w in words - {""}:
+        heads.setdefault(w[0], set()).add(w[1:])
+    parts = [re.escape(c) + (_any_of(rest) if rest != {""} else "") for c, rest in sorted(heads.items())]
+    return ("(?:" + "|".join(parts) + ")" if len(parts) > 1 else "".join(parts)) if "" not in words else "(?:" + "|".join([*parts, ""]) + ")"
+
+
+def _screening(templates: dict[str, list[str]], least: float) -> set[str]:
+    """Any match of a template holds one of these bigrams: of each template the longest, one more than it can lack."""
+    return {g for grams in templates.values() for g in sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - math.ceil(least / (2 - least) * len(grams) - 1e-9) + 1]}
+
+
+def _screen_words(bigrams: set[str]) -> list[str]:
+    """Strings of which every text with one of the bigrams has one: their longer words, less those that hold another."""
+    longer = {max(g.split(" "), key=len) for g in bigrams}
+    return sorted(w for w in longer if not any(o != w and o in w for o in longer))
+
+
+def _screen(bigrams: set[str]) -> str:
+    """A pattern for the bigrams (in lower case, words apart by anything but letters and digits)."""
+    some: dict[str, set[str]] = {}
+    for g in sorted(bigrams):
+        first, second = g.split(" ")
+        some.setdefault(first, set()).add(second)
+    # First words by their letter, so that most positions fail at once.
+    by_letter: dict[str, list[str]] = {}
+    for first, seconds in sorted(some.items()):
+        by_letter.setdefault(first[0], []).append(first[1:] + "[^a-z0-9]+" + _any_of(seconds))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + ")(?![a-z0-9])"
 
 
 def normalised(text: Column) -> Column:
@@ -72,14 +97,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col("_text")
     segments = F.array_distinct(F.transform(F.concat(F.split(text, SENTENCE_END, -1), F.split(text, PARAGRAPH_END, -1), F.array(text)), normalised))
 
-    def of(segment: Column) -> Column:
-        w = F.split(segment, " ")
-        pairs = F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, i: F.concat_ws(" ", F.get(w, i), b)))
-        return F.struct(segment.alias("segment"), pairs.alias("grams"))
-
-    # Repeats can only make the set of bigrams smaller than the words, so long segments are left to the exact bound.
-    cut = F.filter(F.transform(segments, of), lambda s: (F.size(s["grams"]) >= low - 1e-9) & (F.size(s["grams"]) <= high + 1e-9))
-    rows = rows.select("_id", F.when(text.rlike(_screen(grams, least)), cut).alias("_cut"))
+    def of(w: Column) -> Column:
+        pairs = F.transform(F.slice(w, 2, F.size(w) - 1), lambda b, i: F.concat_ws(" ", F.get(w, i), b))
+        return F.struct(F.array_join(w, " ").alias("segment"), F.array_distinct(pairs).alias("grams"))
+
+    # Words are split once, as the variable of a lambda is evaluated once. Repeats only make sets smaller, so that few
+    # words are a bound; many words are none.
+    split = F.filter(F.transform(segments, lambda s: F.split(s, " ")), lambda w: F.size(w) - 1 >= low - 1e-9)
+    cut = F.filter(F.transform(split, of), lambda s: (F.size(s["grams"]) >= low - 1e-9) & (F.size(s["grams"]) <= high + 1e-9))
+    rows = rows.select("*", F.lower(text).alias("_low"))
+    screening = _screening(grams, least)
+    has_word = functools.reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(w)) for w in _screen_words(screening)])
+    rows = rows.select("_id", F.when(has_word & F.col("_low").rlike(_screen(screening)), cut).alias("_cut"))
 
     def best(s: Column) -> Column:
         n = F.size(s["grams"])
