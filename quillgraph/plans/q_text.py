@@ -1 +1,135 @@
-"""stub"""
+"""Text and scalar queries: normal forms, markers, chunks, pages, hashes, JSON, times."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillgraph.functions import strings as S
+from quillgraph.operators import chunking as C
+from quillgraph.plans.canonical import query
+
+MARKED = "concat('see [', cast(p_size as varchar), ', ', cast(p_partkey % 9 as varchar), '] and [', cast(p_partkey % 5 as varchar), '].')"
+
+
+def _marked():
+    return F.concat(F.lit("see ["), F.col("p_size").cast("string"), F.lit(", "), (F.col("p_partkey") % 9).cast("string"), F.lit("] and ["), (F.col("p_partkey") % 5).cast("string"), F.lit("]."))
+
+
+@query("txt_fact_key", "select doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) as key from documents")
+def _(t):
+    return t.documents.select("doc_id", F.md5(S.fact_text_key(F.col("text"))).alias("key"))
+
+
+@query("txt_name_key", "select p_partkey, lower(trim(regexp_replace('  ' || p_name || '  ', '\\s+', ' ', 'g'))) as key from part")
+def _(t):
+    return t.part.select("p_partkey", S.name_key(F.concat(F.lit("  "), "p_name", F.lit("  "))).alias("key"))
+
+
+@query("txt_token_counts", "select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as n_distinct from documents")
+def _(t):
+    w = S.tokens(F.col("text"))
+    return t.documents.select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+
+
+_SUFFIXES = ("s", "es", "ed", "ing", "ation", "ations")
+
+
+@query("txt_stems", "with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents) select w, case " + " ".join(
+    f"when w like '%{s}' and length(w) - {len(s)} >= 4 then left(w, length(w) - {len(s)})" for s in reversed(_SUFFIXES)) + " else w end as stem from w")
+def _(t):
+    words = t.documents.select(F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w")).distinct()
+    return words.select("w", S.stem(F.col("w")).alias("stem"))
+
+
+@query("txt_approx_tokens", "select source, cast(sum(floor(length(text) / 4)) as bigint) as tokens from documents group by source")
+def _(t):
+    return t.documents.groupBy("source").agg(F.sum(S.approx_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("txt_markers", f"select p_partkey, array_to_string(regexp_extract_all({MARKED}, '[0-9]+'), ',') as markers from part")
+def _(t):
+    numbers = F.transform(S.markers(S.expand_marker_lists(_marked())), lambda x: x.cast("string"))
+    return t.part.select("p_partkey", F.array_join(numbers, ",").alias("markers"))
+
+
+@query("txt_unknown_markers", f"with m as (select p_partkey, unnest(regexp_extract_all({MARKED}, '[0-9]+'))::int as n from part) select n as marker, count(*) as uses from m where n > 20 group by n")
+def _(t):
+    m = t.part.select(F.explode(S.markers(S.expand_marker_lists(_marked()))).alias("marker"))
+    return m.filter("marker > 20").groupBy("marker").agg(F.count("*").alias("uses"))
+
+
+@query("win_17_markers_per_sentence", """with s as (select conv_id, turn, unnest(string_split_regex(text, '[.!?]\\s+')) as s from conversations) select conv_id, turn, count(*) as sentences, count(*) filter (regexp_matches(s, '[0-9]')) as marked from s group by all""")
+def _(t):
+    s = t.conversations.select("conv_id", "turn", F.explode(F.split("text", r"[.!?]\s+", -1)).alias("s"))
+    return s.groupBy("conv_id", "turn").agg(F.count("*").alias("sentences"), F.count_if(F.col("s").rlike("[0-9]")).alias("marked"))
+
+
+@query("agg_34_bag_share", """with s as (select doc_id, unnest(string_split_regex(text, '[.!?]\\s+')) as s from documents), c as (select doc_id, length(s) - length(replace(s, ',', '')) as n from s)
+    select doc_id, round(sum(n) filter (n >= 3) / nullif(sum(n), 0), 6) as share from c group by doc_id""")
+def _(t):
+    s = t.documents.select("doc_id", F.explode(F.split("text", r"[.!?]\s+", -1)).alias("s"))
+    c = s.select("doc_id", (F.length("s") - F.length(F.replace("s", F.lit(","), F.lit("")))).alias("n"))
+    return c.groupBy("doc_id").agg(F.round(F.try_divide(F.sum(F.when(F.col("n") >= 3, F.col("n"))).cast("double"), F.sum("n")), 6).alias("share"))
+
+
+@query("txt_page_title", "select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title from pages")
+def _(t):
+    return t.pages.select("page_id", S.page_title(F.col("html")).alias("title"))
+
+
+@query("txt_page_text", r"""select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_hash from pages""")
+def _(t):
+    return t.pages.select("page_id", F.md5(S.strip_tags(F.col("html"))).alias("text_hash"))
+
+
+@query("txt_content_hash", "select doc_id, sha256(text) as hash from documents")
+def _(t):
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("txt_cursor", """select event_id, event_id as seq from events""")
+def _(t):
+    cursor = F.base64(F.to_json(F.struct(F.col("event_id").alias("seq"), F.lit(1).alias("v"))).cast("binary"))
+    return t.events.select("event_id", S.cursor_seq(cursor).alias("seq"))
+
+
+@query("txt_json_fields", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def _(t):
+    return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("txt_backoff", "select event_id, least(30.0::double * pow(2.0, event_id % 9), 3600.0) as wait from events")
+def _(t):
+    return t.events.select("event_id", S.backoff(F.col("event_id") % 9 + 1).alias("wait"))
+
+
+@query("txt_reference_time", """select fact_id, coalesce(case when relation = 'A' then invalid_at end, case when relation = 'N' then valid_at end, timestamp '1998-06-01') as at,
+    case when relation = 'A' and invalid_at is not null then 'content' when relation = 'N' then 'updated' else 'now' end as basis from fact""")
+def _(t):
+    a, b = F.when(F.col("relation") == "A", F.col("invalid_at")), F.when(F.col("relation") == "N", F.col("valid_at"))
+    now = F.expr("timestamp_ntz'1998-06-01 00:00:00'")
+    return t.fact.select("fact_id", F.coalesce(a, b, now).alias("at"), F.when(a.isNotNull(), "content").when(b.isNotNull(), "updated").otherwise("now").alias("basis"))
+
+
+@query("chunk_markdown_sections")
+def _(t):
+    return C.markdown_sections(t.documents, "doc_id", "text")
+
+
+@query("chunk_pack_paragraphs")
+def _(t):
+    return C.pack_blocks(t.documents, "doc_id", "text", 1200)
+
+
+@query("src_5_toc_flatten")
+def _(t):
+    """A table of contents of three levels made from the catalog, flattened again."""
+    leaf = t.product.groupBy("vendor_id").agg(F.collect_list(F.struct(F.concat(F.lit("p"), "product_id").alias("id"), F.col("product").alias("title"))).alias("children"))
+    toc = leaf.join(t.vendor, "vendor_id").select(F.to_json(F.struct(F.concat(F.lit("v"), "vendor_id").alias("id"), F.col("vendor").alias("title"), "children")).alias("toc"))
+    return C.flatten_toc(toc, "toc")
+
+
+@query("flt_13_grounding")
+def _(t):
+    d = t.documents.filter("doc_id < 200").select("doc_id", "text", F.get(S.tokens(F.col("text")), F.lit(3)).alias("name"))
+    return C.grounded(d, "doc_id", "name", "text")
