@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm import text as T
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.signature_tree import SignatureTree
-from quillgraph.session import cut
+from quillgraph.session import arrow_rows, cut
 
 _BITMAP_BITS = 24
 _TOKEN_BITS = 48
+_SET_ROWS = 256  # sets that a task sends to Python at once: some kilobytes each
 
 
 class Shingles:
@@ -84,7 +85,7 @@ def _documents(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text")).mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long")
 
 
-def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 2_000_000) -> DataFrame:
+def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 500_000) -> DataFrame:
     """bucket, tokens (32 bits beyond those of the bucket) and keys, as bytes."""
     shift = np.uint64(64 - _TOKEN_BITS)
 
@@ -224,7 +225,7 @@ def _search(rows: DataFrame, by: list[str], percent: int, queries: bool) -> Data
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_tokens: int = 2_000_000, block_sets: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_tokens: int = 1_500_000, block_sets: int = 16384
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id that it reaches over links, its own
     included; links are pairs of texts with 100 * shared >= percent * all shingles), text_hash (xxhash64 of the text), and
@@ -250,22 +251,27 @@ def near_duplicates(
     grouped = connected_components(kept.select(F.col("key").alias("u"), F.col("hub").bitwiseOR(F.lit(1)).alias("v")))
     grouped = grouped.filter(F.col("node") % 2 == 0).select(F.col("node").alias("key"), F.col("label").alias("group"))
     members = classes.join(grouped, "key")
-    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-    sizes = sizes.select("group", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("sets") / block_sets)).cast("int").alias("blocks"))
-    members = cut(members.join(sizes, "group").select("group", "blocks", "hi", "key", "n", "first"))
-    sets = cut(_sets(docs, shingle, members.select("first.id")).join(members.drop("first"), ["hi", "key"]).dropDuplicates(["hi", "key"]))
+    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), *[F.min(F.when(_part("key") == i, F.xxhash64("key", F.lit(3)))).alias(f"p{i}") for i in range(4)])
+    blocks = F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("sets") / block_sets)).cast("int")
+    sizes = sizes.filter("sets > 1").select("group", blocks.alias("blocks"), *[f"p{i}" for i in range(4)])
+    pivot = F.xxhash64("key", F.lit(3)).isin(*[F.col(f"p{i}") for i in range(4)])
+    members = cut(members.join(sizes, "group").select("group", "blocks", "hi", "key", "n", "first", pivot.alias("pivot")))
 
-    # Trees over groups; those of several blocks have some sets in all of them.
+    # Trees over groups; those of several blocks have some sets (pivots) in all of them.
     home = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
-    large = sets.filter("blocks > 1")
-    chosen = members.filter("blocks > 1").groupBy("group", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(4)).alias("part")).agg(F.min(F.struct(F.xxhash64("key", F.lit(3)), "hi", "key")).alias("s"))
-    chosen = chosen.select("s.hi", "s.key")
-    everywhere = large.join(chosen, ["hi", "key"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = sets.withColumn("block", home).unionByName(everywhere)
-    edges = cut(_search(dealt.select("group", "block", "hi", "key", "tokens"), ["group", "block"], percent, False))
-    whole = edges.join(sizes.filter("blocks > 1"), "group", "left_anti").select("hi", "key", "root")
-    if not members.filter("blocks > 1").isEmpty():
-        whole = whole.unionByName(_across_blocks(sets, edges, large, sizes, percent, block_tokens, block_sets, home))
+    places = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
+    sets = _sets(docs, shingle, members.select("first.id")).join(members.select("group", "hi", "key", places.alias("places")), ["hi", "key"])
+    with arrow_rows(spark, _SET_ROWS):
+        edges = cut(_search(sets.select("group", F.explode("places").alias("block"), "hi", "key", "tokens"), ["group", "block"], percent, False))
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        whole = edges.select("hi", "key", "root")
+    else:
+        inside = edges.join(large.select("group").distinct(), "group", "left_semi").select(F.col("key").alias("u"), F.col("root").alias("v"))
+        labels = cut(connected_components(inside).withColumnRenamed("node", "key"))
+        final = _across_blocks(docs, shingle, large, labels, percent, block_tokens, block_sets, home)
+        whole = edges.join(large.select("group").distinct(), "group", "left_anti").select("hi", "key", "root")
+        whole = whole.unionByName(large.select("hi", "key").join(final.select("key", F.col("label").alias("root")), "key").select("hi", "key", "root"))
 
     best = whole.join(classes, ["hi", "key"])
     of_root = best.groupBy("root").agg(F.min("first").alias("component"))
@@ -278,22 +284,29 @@ def near_duplicates(
     )
 
 
-def _across_blocks(sets: DataFrame, edges: DataFrame, large: DataFrame, sizes: DataFrame, percent: int, block_tokens: int, block_sets: int, home: Column) -> DataFrame:
-    """Components of the groups of several blocks: what their blocks linked, then the sets outside of a group's largest
-    component against all others of the group."""
-    inside = edges.join(sizes.filter("blocks > 1"), "group").select(F.col("key").alias("u"), F.col("root").alias("v"))
-    labels = cut(connected_components(inside).withColumnRenamed("node", "key"))
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(4))
+
+
+def _across_blocks(docs: DataFrame, k: int, large: DataFrame, labels: DataFrame, percent: int, block_tokens: int, block_sets: int, home: Column) -> DataFrame:
+    """key, label of the members of groups of several blocks. labels: what their blocks linked. The sets outside of a
+    group's largest component so far are compared with all others of the group; mostly there are none."""
     tagged = large.join(labels, "key")
     main = tagged.groupBy("group", "label").agg(F.count("*").alias("many")).groupBy("group").agg(F.max_by("label", F.struct("many", "label")).alias("main"))
-    tagged = cut(tagged.join(main, "group").select("group", "blocks", "hi", "key", "n", "tokens", "label", (F.col("label") != F.col("main")).alias("asking")))
-    asking = tagged.filter("asking")
-    turns = asking.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / block_tokens), F.ceil(F.count("*") / block_sets)).cast("int").alias("turns"))
+    tagged = cut(tagged.join(main, "group").select("group", "blocks", "hi", "key", "n", "first", "label", (F.col("label") != F.col("main")).alias("asking")))
+    if tagged.filter("asking").isEmpty():
+        return labels
+    turns = tagged.filter("asking").groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / block_tokens), F.ceil(F.count("*") / block_sets)).cast("int").alias("turns"))
     tagged = tagged.join(turns, "group")
     turn = F.pmod(F.xxhash64("key", F.lit(4)), F.col("turns")).cast("int")
-    members = tagged.withColumn("block", home).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("asking", F.lit(False))
-    queries = tagged.filter("asking").withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # A query that is also a member of the block comes twice; asking counts.
-    both = members.unionByName(queries).groupBy("group", "block", "turn", "hi", "key").agg(F.max("asking").alias("asking"), F.first("label").alias("label"), F.first("tokens").alias("tokens"))
-    more = _search(both, ["group", "block", "turn"], percent, True).select(F.col("key").alias("u"), F.col("root").alias("v"))
-    final = connected_components(labels.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(more))
-    return large.select("hi", "key").distinct().join(final.select(F.col("node").alias("key"), F.col("label").alias("root")), "key").select("hi", "key", "root")
+    # Members in their block at every turn; those that ask in every block, at their turn (and not as members there).
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    asks = F.when(F.col("asking"), every("blocks", lambda b: F.struct(b.alias("block"), turn.alias("turn"), F.lit(True).alias("asking"))))
+    is_at = every("turns", lambda t: F.struct(home.alias("block"), t.alias("turn"), F.lit(False).alias("asking")))
+    others = F.filter(is_at, lambda p: ~F.col("asking") | (p["turn"] != turn))
+    places = tagged.select("group", "hi", "key", "label", F.concat(F.coalesce(asks, F.array().cast("array<struct<block:int,turn:int,asking:boolean>>")), others).alias("places"))
+    sets = _sets(docs, k, tagged.select("first.id")).join(places, ["hi", "key"])
+    rows = sets.select("group", "hi", "key", "label", "tokens", F.explode("places").alias("p")).select("group", "hi", "key", "label", "tokens", "p.*")
+    with arrow_rows(docs.sparkSession, _SET_ROWS):
+        more = cut(_search(rows, ["group", "block", "turn"], percent, True)).select(F.col("key").alias("u"), F.col("root").alias("v"))
+    return connected_components(labels.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(more)).withColumnRenamed("node", "key")

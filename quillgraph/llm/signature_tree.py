@@ -49,19 +49,25 @@ class SignatureTree:
     # Exact comparison of one set with others.
     def linked(self, i: int, others: np.ndarray) -> np.ndarray:
         if self.ids is None:  # numbers of the tokens, for lookups in a table
-            values, self.ids = np.unique(self.tokens, return_inverse=True)
-            self.mark = np.zeros(len(values), bool)
+            values, ids = np.unique(self.tokens, return_inverse=True)
+            self.ids, self.mark = ids.astype(np.int32), np.zeros(len(values), bool)
         mine = self.ids[self.starts[i] : self.starts[i + 1]]
         self.mark[mine] = True
+        shared = np.zeros(len(others), np.int64)
         lengths = self.n[others]
-        first = np.cumsum(lengths) - lengths
-        at = np.arange(lengths.sum()) + np.repeat(self.starts[others] - first, lengths)
-        shared = np.add.reduceat(self.mark[self.ids[at]].astype(np.int64), first)
+        upto = np.append(0, np.cumsum(lengths))
+        at = 0
+        while at < len(others):  # some hundred thousand tokens at a time
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + 300_000, side="right")) - 1)
+            first = upto[at:to] - upto[at]
+            where = np.arange(upto[to] - upto[at]) + np.repeat(self.starts[others[at:to]] - first, lengths[at:to])
+            shared[at:to] = np.add.reduceat(self.mark[self.ids[where]], first, dtype=np.int64)
+            at = to
         self.mark[mine] = False
         return 100 * shared >= self.percent * (self.n[i] + lengths - shared)
 
     def _build(self) -> None:
-        bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(int(self.n.max()), 1))), 8, 16))
+        bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(float(np.median(self.n)), 1))), 8, 14))
         rank = np.empty(len(self.n), np.int64)
         rank[self.order] = np.arange(len(self.n))
         row = np.repeat(rank, self.n)
@@ -85,7 +91,9 @@ class SignatureTree:
         uniform = self.uniform[level]
         ok &= (uniform[a] < 0) | (uniform[a] != uniform[b])
         a, b = a[ok], b[ok]
-        common = np.bitwise_count(bm[a] & bm[b]).sum(axis=1).astype(np.int64)
+        common, step = np.zeros(len(a), np.int64), max(1, (4 << 20) // (8 * bm.shape[1]))  # some megabytes at a time
+        for at in range(0, len(a), step):
+            common[at : at + step] = np.bitwise_count(bm[a[at : at + step]] & bm[b[at : at + step]]).sum(axis=1)
         most = np.minimum(common + np.minimum(excess[a], excess[b]), np.minimum(hi[a], hi[b]))
         ok[ok] = (100 + self.percent) * most >= self.percent * (lo[a] + lo[b])
         return ok
@@ -135,8 +143,8 @@ class SignatureTree:
             x, y = self._children(level, a, b)
             ok = self._possible(level - 1, x, y)
             x, y = x[ok], y[ok]
-            for at in range(0, len(x), 4096):
-                stack.append((level - 1, x[at : at + 4096], y[at : at + 4096]))
+            for at in range(0, len(x), 2048):
+                stack.append((level - 1, x[at : at + 2048], y[at : at + 2048]))
         return self.roots()
 
     def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
