@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,13 +30,20 @@ def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": F.try_divide(2 * p * r, p + r)}
 
 
-def majority(votes: Column) -> Column:
-    """Of an array of booleans: strict majority of two or more votes, else null."""
-    yes = F.size(F.filter(votes, lambda v: v))
-    n = F.size(F.filter(votes, lambda v: v.isNotNull()))
+def majority(yes: Column, n: Column) -> Column:
+    """Strict majority of two or more votes, else null."""
     return F.when((n >= 2) & (2 * yes != n), 2 * yes > n)
 
 
+def at_rank(rows: DataFrame, group: str, value: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """group, value at a rank (from 1, of the number of values) in ascending order. A window sorts and spills; no group is
+    held as a list."""
+    w = Window.partitionBy(group).orderBy(value)
+    n = rows.groupBy(group).agg(F.count(value).alias("_n"))
+    placed = rows.filter(F.col(value).isNotNull()).select(group, value, F.row_number().over(w).alias("_rn"))
+    return placed.join(n, group).filter(F.col("_rn") == rank(F.col("_n"))).select(group, value)
+
+
 def bootstrap_mean(values: DataFrame, value_col: str, id_col: str, reps: int = 200, seed: int = 0) -> DataFrame:
     """Mean and 2.5 / 97.5 percentiles of the mean over Poisson resamples (weights by a hash of id and repetition): each
     row is weighted where it lies, and only sums per repetition are shuffled."""

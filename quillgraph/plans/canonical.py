@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.plans import registry
 from quillgraph.session import table
@@ -36,6 +37,10 @@ CANONICAL: dict[str, str] = {
 AS_OF = "1998-06-01"
 
 
+def now(at: str = AS_OF) -> Column:
+    return F.expr(f"timestamp_ntz'{at} 00:00:00'")
+
+
 class Tables:
     """Base and canonical tables as attributes."""
 

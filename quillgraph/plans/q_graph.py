@@ -9,25 +9,24 @@ from quillgraph.functions import strings as S
 from quillgraph.operators import dedup as D
 from quillgraph.operators import graphs as G
 from quillgraph.operators import provenance as P
-from quillgraph.plans.canonical import AS_OF, query
+from quillgraph.plans.canonical import AS_OF, now, query
 
-NOW = F.expr(f"timestamp_ntz'{AS_OF} 00:00:00'")
 #: Two layers of communities: entities by label, and as they would be after a change.
-FRESH = "select 0 as level, p_brand as community, p_partkey as node from part where p_partkey % 10 <> 0"
-KEPT = "select 0 as level, case when p_size > 45 then 'moved' else p_brand end as community, p_partkey as node from part where p_partkey % 7 <> 0"
+FRESH = "select 0 as level, p_brand as community, p_partkey as node from part where p_size <> 7"
+KEPT = "select 0 as level, case when p_size > 45 then 'moved' else p_brand end as community, p_partkey as node from part where p_size <> 9"
 
 
-def _layer(t, name: str, size_rule: bool, modulo: int):
+def _layer(t, size_rule: bool, without: int):
     label = F.when(F.col("p_size") > 45, "moved").otherwise(F.col("p_brand")) if size_rule else F.col("p_brand")
-    return t.part.filter(F.col("p_partkey") % modulo != 0).select(F.lit(0).alias("level"), label.alias("community"), F.col("p_partkey").alias("node"))
+    return t.part.filter(F.col("p_size") != without).select(F.lit(0).alias("level"), label.alias("community"), F.col("p_partkey").alias("node"))
 
 
 def _fresh(t):
-    return _layer(t, "fresh", False, 10)
+    return _layer(t, False, 7)
 
 
 def _kept(t):
-    return _layer(t, "kept", True, 7)
+    return _layer(t, True, 9)
 
 
 @query("gr_1_projection", "select least(src, dst) as a, greatest(src, dst) as b, count(*) as weight from fact where src <> dst group by 1, 2")
@@ -43,7 +42,7 @@ def _(t):
 
 @query("gr_2_communities")
 def _(t):
-    return G.communities(t.fact.filter("src % 5 = 0"), levels=2)
+    return G.communities(t.fact, levels=2)
 
 
 @query("gr_3_hierarchy", """with l as (select 0 as level, p_brand as community, p_partkey as node from part union all select 1, substr(p_brand, 1, 7), p_partkey from part)
@@ -57,10 +56,11 @@ def _(t):
 
 @query("gr_4_dirty_communities", f"""with f as ({FRESH}), k as ({KEPT}), b as (select f.community as c, k.community as d, count(*) as n from f join k using (node) group by all),
     m as (select c, max(n * 1.0 / ((select count(*) from f where community = c) + (select count(*) from k where community = d) - n)) as j from b group by c)
-    select f.community, case when coalesce(max(j), 0) < 0.5 then 'dirty' when bool_or(node % 997 = 3) then 'dirty' else 'clean' end as state from f left join m on m.c = f.community group by f.community""")
+    select f.community, case when coalesce(max(j), 0) < 0.5 then 'dirty' when bool_or(node in (select src from fact where valid_at > timestamp '2001-07-30')) then 'dirty' else 'clean' end as state from f left join m on m.c = f.community group by f.community""")
 def _(t):
     best = G.jaccard_pairs(_fresh(t), _kept(t), 0.5).groupBy(F.col("fresh").alias("community")).agg(F.max("jaccard").alias("j"))
-    touched = _fresh(t).groupBy("community").agg(F.bool_or(F.col("node") % 997 == 3).alias("touched"))
+    new = t.fact.filter(F.col("valid_at") > now("2001-07-30")).select(F.col("src").alias("node"), F.lit(True).alias("new")).distinct()
+    touched = _fresh(t).join(new, "node", "left").groupBy("community").agg(F.coalesce(F.bool_or("new"), F.lit(False)).alias("touched"))
     return touched.join(best, "community", "left").select("community", F.when(F.col("j").isNull() | F.col("touched"), "dirty").otherwise("clean").alias("state"))
 
 
@@ -76,10 +76,10 @@ def _(t):
     return G.match_communities(_fresh(t), _kept(t), 0.3)
 
 
-@query("gr_5_node_distance", """with recursive e as (select src as u, dst as v from fact where fact_id % 40 = 0 union select dst, src from fact where fact_id % 40 = 0), w(node, d) as (select (select min(u) from e), 0 union select v, d + 1 from w join e on u = node where d < 3)
+@query("gr_5_node_distance", """with recursive e as (select src as u, dst as v from fact union select dst, src from fact), w(node, d) as (select (select min(u) from e), 0 union select v, d + 1 from w join e on u = node where d < 3)
     select node, min(d) as distance from w group by node""")
 def _(t):
-    edges = t.fact.filter("fact_id % 40 = 0").select("src", "dst")
+    edges = t.fact.select("src", "dst")
     centre = edges.agg(F.least(F.min("src"), F.min("dst"))).first()[0]
     return G.distances(edges, centre)
 
@@ -110,11 +110,11 @@ def _(t):
     return D.near_names(names)
 
 
-@query("gr_8_label_promotion", """with g as (select size, count(distinct label) filter (entity_id % 3 <> 0) as n, min(label) filter (entity_id % 3 <> 0) as l, min(entity_id) as survivor, bool_or(entity_id % 3 = 0) as bare from entity group by size)
+@query("gr_8_label_promotion", """with g as (select size, count(distinct label) filter (price > 1400) as n, min(label) filter (price > 1400) as l, min(entity_id) as survivor, bool_or(price <= 1400) as bare from entity group by size)
     select size, survivor, case when bare and n = 1 then l end as promoted from g""")
 def _(t):
-    typed = F.when(F.col("entity_id") % 3 != 0, F.col("label"))
-    g = t.entity.groupBy("size").agg(F.count_distinct(typed).alias("n"), F.min(typed).alias("l"), F.min("entity_id").alias("survivor"), F.bool_or(F.col("entity_id") % 3 == 0).alias("bare"))
+    typed = F.when(F.col("price") > 1400, F.col("label"))
+    g = t.entity.groupBy("size").agg(F.count_distinct(typed).alias("n"), F.min(typed).alias("l"), F.min("entity_id").alias("survivor"), F.bool_or(F.col("price") <= 1400).alias("bare"))
     return g.select("size", "survivor", F.when(F.col("bare") & (F.col("n") == 1), F.col("l")).alias("promoted"))
 
 
@@ -143,7 +143,7 @@ def _(t):
     x as (select fact_id, count(*) as episodes, count(*) filter (alive) as alive, max(died_at) as died from fact join fact_episode using (fact_id) left join s using (episode_id) where invalid_at is null group by fact_id)
     select fact_id, episodes, coalesce(died, timestamp '{AS_OF}') as invalid_at from x where alive = 0""")
 def _(t):
-    return P.staleness_sweep(t.fact, t.fact_episode, t.episode, t.article, NOW)
+    return P.staleness_sweep(t.fact, t.fact_episode, t.episode, t.article, now())
 
 
 @query("gr_13_supersede", """select episode_id, row_number() over (partition by article_id, chunk_index % 3 order by tokens desc, episode_id) > 1 or chunk_index >= 6 as superseded from episode""")
@@ -174,17 +174,17 @@ def _(t):
     return _fresh(t).select("community").distinct().join(k, "community", "left").select("community", F.coalesce("top", F.lit(0)).alias("report"), state.alias("state"))
 
 
-@query("set_2_ordered_union", "select id, min(pos) as pos from (select p_partkey as id, p_size as pos from part where p_size < 10 union all select p_partkey, 100 + p_size from part where p_partkey % 3 = 0) group by id")
+@query("set_2_ordered_union", "select id, min(pos) as pos from (select p_partkey as id, p_size as pos from part where p_size < 10 union all select p_partkey, 100 + p_size from part where p_retailprice > 1500) group by id")
 def _(t):
     a = t.part.filter("p_size < 10").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("pos"))
-    b = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 100).alias("pos"))
+    b = t.part.filter("p_retailprice > 1500").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 100).alias("pos"))
     return a.unionByName(b).groupBy("id").agg(F.min("pos").alias("pos"))
 
 
 @query("set_3_touched_entities", f"""select entity_id from entity where price > 1800 union select src from fact where valid_at > timestamp '2000-01-01' union select dst from fact where invalid_at > timestamp '{AS_OF}'""")
 def _(t):
     new = t.fact.filter(F.col("valid_at") > F.expr("timestamp_ntz'2000-01-01 00:00:00'")).select(F.col("src").alias("entity_id"))
-    swept = t.fact.filter(F.col("invalid_at") > NOW).select(F.col("dst").alias("entity_id"))
+    swept = t.fact.filter(F.col("invalid_at") > now()).select(F.col("dst").alias("entity_id"))
     return t.entity.filter("price > 1800").select("entity_id").unionByName(new).unionByName(swept).distinct()
 
 

@@ -25,12 +25,12 @@ def _events(t):
     return feeds.read_table(t.spark, f"{t.sf_dir}/events.parquet", t.events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("str_3_hash_gate", """with o as (select doc_id, md5(text) as h from documents where doc_id % 3 <> 0), n as (select doc_id, md5(case when doc_id % 5 = 0 then text || 'x' else text end) as h from documents)
-    select n.doc_id, case when o.h = n.h and n.doc_id % 7 <> 0 then 'skip' when o.h = n.h then 'requeue' else 'enqueue' end as action from n left join o using (doc_id)""")
+@query("str_3_hash_gate", """with o as (select doc_id, md5(text) as h from documents where lang <> 'fr'), n as (select doc_id, source, md5(case when source = 'src5' then text || 'x' else text end) as h from documents)
+    select n.doc_id, case when o.h = n.h and source <> 'src7' then 'skip' when o.h = n.h then 'requeue' else 'enqueue' end as action from n left join o using (doc_id)""")
 def _(t):
-    o = t.documents.filter("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("old"))
-    n = t.documents.select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("new"))
-    known = F.col("doc_id") % 7 != 0
+    o = t.documents.filter("lang <> 'fr'").select("doc_id", F.md5("text").alias("old"))
+    n = t.documents.select("doc_id", "source", F.md5(F.when(F.col("source") == "src5", F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("new"))
+    known = F.col("source") != "src7"
     return n.join(o, "doc_id", "left").select("doc_id", feed.action(F.col("old"), F.col("new"), known, F.lit(False)).alias("action"))
 
 

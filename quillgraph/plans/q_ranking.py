@@ -57,18 +57,18 @@ def _(t):
     return d.groupBy("label").agg(F.min_by(F.struct("entity_id", "n"), F.struct(-F.col("n"), F.col("entity_id"))).alias("m")).select("label", "m.entity_id", "m.n")
 
 
-@query("win_10_recency", "select fact_id, row_number() over (partition by src order by invalid_at is not null, valid_at desc nulls last, fact_id) as place from fact where src <= 300")
+@query("win_10_recency", "select fact_id, row_number() over (partition by src order by invalid_at is not null, valid_at desc nulls last, fact_id) as place from fact")
 def _(t):
     w = Window.partitionBy("src").orderBy(F.col("invalid_at").isNotNull(), F.desc_nulls_last("valid_at"), "fact_id")
-    return t.fact.filter("src <= 300").select("fact_id", F.row_number().over(w).cast("long").alias("place"))
+    return t.fact.select("fact_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("win_11_round_robin", """with r as (select fact_id, src, row_number() over (partition by src order by valid_at desc, fact_id) as depth from fact where src <= 50)
-    select fact_id, row_number() over (order by depth, src) as place from r where depth <= 10""")
+@query("win_11_round_robin", """with r as (select fact_id, src, dst, row_number() over (partition by dst, src order by valid_at desc, fact_id) as depth from fact)
+    select fact_id, row_number() over (partition by dst order by depth, src) as place from r""")
 def _(t):
-    w = Window.partitionBy("src").orderBy(F.desc("valid_at"), "fact_id")
-    r = t.fact.filter("src <= 50").select("fact_id", "src", F.row_number().over(w).alias("depth")).filter("depth <= 10")
-    return r.select("fact_id", F.row_number().over(Window.orderBy("depth", "src")).cast("long").alias("place"))  # a report's facts: 500 at most
+    w = Window.partitionBy("dst", "src").orderBy(F.desc("valid_at"), "fact_id")
+    r = t.fact.select("fact_id", "src", "dst", F.row_number().over(w).alias("depth"))
+    return r.select("fact_id", F.row_number().over(Window.partitionBy("dst").orderBy("depth", "src")).cast("long").alias("place"))
 
 
 @query("win_12_budget_cut", """with r as (select source, doc_id, sum(n_chars + 1) over (partition by source order by doc_id) as used, row_number() over (partition by source order by doc_id) as rn from documents)
@@ -124,8 +124,9 @@ def _(t):
 
 @query("top_11_bounded_samples", "select source, array_to_string(list_sort(list(doc_id))[1:20], ',') as sample from documents group by source")
 def _(t):
-    ids = F.slice(F.sort_array(F.collect_list("doc_id")), 1, 20)
-    return t.documents.groupBy("source").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("sample"))
+    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))  # cut to 20 before the shuffle
+    first = t.documents.select("source", "doc_id", rn.alias("rn")).filter("rn <= 20")
+    return first.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sample"))
 
 
 @query("top_12_apportion", """with g as (select source, count(*) as n from documents group by source), q as (select source, n * 137.0 / (select sum(n) from g) as share from g),
@@ -172,11 +173,11 @@ def _(t):
     return DS.weighted_sample(t.documents, "doc_id", F.col("n_chars"), 100).select("doc_id")
 
 
-@query("ds_9_lexical_overlap", """with q as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark), d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents where doc_id < 50)
-    select item_id, doc_id, round(len(list_intersect(q.w, d.w)) * 1.0 / len(q.w), 6) as overlap from q, d where item_id < 10 and len(list_intersect(q.w, d.w)) * 1.0 / len(q.w) >= 0.3""")
+@query("ds_9_lexical_overlap", """with q as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark), d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents)
+    select item_id, doc_id, round(len(list_intersect(q.w, d.w)) * 1.0 / len(q.w), 6) as overlap from q, d where len(list_intersect(q.w, d.w)) * 1.0 / len(q.w) >= 0.3""")
 def _(t):
-    q = t.benchmark.filter("item_id < 10").select("item_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
-    d = t.documents.filter("doc_id < 50").select("doc_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
+    q = t.benchmark.select("item_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
+    d = t.documents.select("doc_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
     both = q.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("both")).join(q.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
     return both.select("item_id", "doc_id", F.round(F.col("both") / F.col("n"), 6).alias("overlap")).filter("both / n >= 0.3")
 
@@ -186,11 +187,11 @@ def _(t):
     return DS.upsample(t.documents.select("doc_id", "lang", "n_chars"), "lang", 4).filter("repeat_index = 0").select("doc_id", "n_chars")
 
 
-@query("ds_11_triple_scores", """with p as (select list_sort(list_distinct(list(src || '|' || relation || '|' || dst))) as s, created % 100 as g from fact where src < 500 group by 2), k as (select list_sort(list_distinct(list(src || '|' || relation || '|' || dst))) as s, created % 100 as g from fact where src < 700 and dst % 2 = 0 group by 2)
+@query("ds_11_triple_scores", """with p as (select list_sort(list_distinct(list(src || '|' || relation || '|' || dst))) as s, created % 100 as g from fact where relation <> 'R' group by 2), k as (select list_sort(list_distinct(list(src || '|' || relation || '|' || dst))) as s, created % 100 as g from fact where score > 30000 group by 2)
     select p.g, len(list_intersect(p.s, k.s)) as both, len(p.s) - len(list_intersect(p.s, k.s)) as spurious from p join k using (g)""")
 def _(t):
     key = F.concat_ws("|", "src", "relation", "dst")
-    p = t.fact.filter("src < 500").groupBy((F.col("created") % 100).alias("g")).agg(F.collect_set(key).alias("s"))
-    k = t.fact.filter("src < 700 and dst % 2 = 0").groupBy((F.col("created") % 100).alias("g")).agg(F.collect_set(key).alias("o"))
+    p = t.fact.filter("relation <> 'R'").groupBy((F.col("created") % 100).alias("g")).agg(F.collect_set(key).alias("s"))
+    k = t.fact.filter("score > 30000").groupBy((F.col("created") % 100).alias("g")).agg(F.collect_set(key).alias("o"))
     both = F.size(F.array_intersect("s", "o"))
     return p.join(k, "g").select("g", both.cast("long").alias("both"), (F.size("s") - both).cast("long").alias("spurious"))

@@ -9,10 +9,9 @@ from quillgraph.functions import strings as S
 from quillgraph.operators import evals as E
 from quillgraph.operators import provenance as P
 from quillgraph.operators.retrieval import is_current, neighbours, temporal_status
-from quillgraph.plans.canonical import AS_OF, query
+from quillgraph.plans.canonical import AS_OF, now, query
 from quillgraph.sources import feed
 
-NOW = F.expr(f"timestamp_ntz'{AS_OF} 00:00:00'")
 CHAIN = "article join source using (source_id) join product using (product_id) join vendor using (vendor_id)"
 
 
@@ -47,22 +46,23 @@ def _(t):
     return joined.select("source_id", "source", "product", F.coalesce("vendor", F.lit("")).alias("vendor"))
 
 
-@query("src_7_structural_upsert", """with new as (select source_id, upper(source) as source, product_id from source where source_id % 10 = 0 union all select source_id + 1000000, source, product_id from source where source_id % 50 = 0)
+@query("src_7_structural_upsert", """with new as (select source_id, upper(source) as source, product_id from source where balance < 0 union all select source_id + 1000000000, source, product_id from source where kind = 'BUILDING')
     select coalesce(n.source_id, o.source_id) as source_id, coalesce(n.source, o.source) as source, coalesce(n.product_id, o.product_id) as product_id
     from source o full outer join new n on n.source_id = o.source_id""")
 def _(t):
-    old = t.source.select("source_id", "source", "product_id")
-    new = old.filter("source_id % 10 = 0").withColumn("source", F.upper("source"))
-    new = new.unionByName(old.filter("source_id % 50 = 0").withColumn("source_id", F.col("source_id") + 1000000))
+    old, given = t.source.select("source_id", "source", "product_id"), t.source.select("source_id", "source", "product_id", "balance", "kind")
+    new = given.filter("balance < 0").withColumn("source", F.upper("source"))
+    new = new.unionByName(given.filter("kind = 'BUILDING'").withColumn("source_id", F.col("source_id") + 1000000000)).drop("balance", "kind")
     return feed.upsert(old, new, ["source_id"])
 
 
-@query("src_8_prune_and_rewire", """select episode_id, article_id, chunk_index from episode where article_id % 5 <> 0
-    union all select episode_id, article_id, chunk_index + 100 from episode where article_id % 5 = 0 and chunk_index <= 3""")
+@query("src_8_prune_and_rewire", """with p as (select article_id from article where title = '1-URGENT') select episode_id, article_id, chunk_index from episode where article_id not in (select article_id from p)
+    union all select episode_id, article_id, chunk_index + 100 from episode where article_id in (select article_id from p) and chunk_index <= 3""")
 def _(t):
     old = t.episode.select("episode_id", "article_id", "chunk_index")
-    new = old.filter("article_id % 5 = 0 and chunk_index <= 3").withColumn("chunk_index", F.col("chunk_index") + 100)
-    return feed.replace_partition(old, new, old.filter("article_id % 5 = 0").select("article_id").distinct())
+    part = t.article.filter("title = '1-URGENT'").select("article_id")
+    new = old.filter("chunk_index <= 3").join(part, "article_id", "left_semi").withColumn("chunk_index", F.col("chunk_index") + 100)
+    return feed.replace_partition(old, new.select(*old.columns), part)
 
 
 @query("src_9_tombstones", """select a.article_id, removed or d.article_id is not null as removed, d.at as removed_at from article a
@@ -73,11 +73,11 @@ def _(t):
     return t.article.select("article_id", "removed").join(dead, "article_id", "left").select("article_id", (F.col("removed") | F.col("removed_at").isNotNull()).alias("removed"), "removed_at")
 
 
-@query("src_10_document_replace", """select doc_id, sha256(text) as hash, 'kept' as state from documents where doc_id % 4 <> 0
-    union all select doc_id, sha256(text || '!'), 'replaced' from documents where doc_id % 4 = 0""")
+@query("src_10_document_replace", """select doc_id, sha256(text) as hash, 'kept' as state from documents where lang <> 'de'
+    union all select doc_id, sha256(text || '!'), 'replaced' from documents where lang = 'de'""")
 def _(t):
     old = t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
-    new = t.documents.select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
+    new = t.documents.select("doc_id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
     return feed.hash_gate(old, new, "doc_id", "hash").select("doc_id", "hash", F.when(F.col("changed"), "replaced").otherwise("kept").alias("state"))
 
 
@@ -127,13 +127,13 @@ def _(t):
 
 @query("flt_1_current_facts", f"select fact_id, src, dst from fact where invalid_at is null or invalid_at > timestamp '{AS_OF}'")
 def _(t):
-    return t.fact.filter(is_current(F.col("invalid_at"), NOW)).select("fact_id", "src", "dst")
+    return t.fact.filter(is_current(F.col("invalid_at"), now())).select("fact_id", "src", "dst")
 
 
 @query("flt_2_status", f"""select case when invalid_at is null or invalid_at > timestamp '{AS_OF}' then 'current' when relation = 'R' then 'expired' else 'superseded' end as status, count(*) as n
     from fact group by all""")
 def _(t):
-    return t.fact.groupBy(temporal_status(F.col("invalid_at"), NOW, F.col("relation") == "R").alias("status")).agg(F.count("*").alias("n"))
+    return t.fact.groupBy(temporal_status(F.col("invalid_at"), now(), F.col("relation") == "R").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("flt_3_scope", f"select article_id from {CHAIN} where lower(vendor) in ('asia', 'europe') or lower(product) = 'nation_3' or lower(source) = 'customer#000000007'")
@@ -217,10 +217,10 @@ def _(t):
     return e.select("fact_id", verdict.alias("verdict"))
 
 
-@query("flt_29_already_ingested", """select n.episode_id from episode n where n.article_id % 3 = 0 and exists (select 1 from episode o where o.article_id = n.article_id and o.chunk_index = n.chunk_index and not o.superseded and o.tokens = n.tokens)""")
+@query("flt_29_already_ingested", """select n.episode_id from episode n where exists (select 1 from episode o where o.article_id = n.article_id and o.chunk_index = n.chunk_index and not o.superseded and o.tokens = n.tokens)""")
 def _(t):
     old = t.episode.filter(~F.col("superseded")).select("article_id", "chunk_index", "tokens")
-    return t.episode.filter("article_id % 3 = 0").join(old, ["article_id", "chunk_index", "tokens"], "left_semi").select("episode_id")
+    return t.episode.join(old, ["article_id", "chunk_index", "tokens"], "left_semi").select("episode_id")
 
 
 @query("prj_1_structural_rows", "select article_id as id, concat('article/', cast(article_id as varchar)) as key, source_id as parent, upper(title) as label from article")
@@ -250,10 +250,10 @@ def _(t):
     return top.groupBy("relation").agg(F.concat(F.lit("## "), "relation", F.lit("\n"), F.array_join(lines, "\n")).alias("block"))
 
 
-@query("prj_6_timeline", """select src, string_agg(coalesce(strftime(valid_at, '%Y-%m-%d'), 'no recorded start') || ' ' || relation, ' > ' order by valid_at, fact_id) as line from fact where src <= 100 group by src""")
+@query("prj_6_timeline", """select src, string_agg(coalesce(strftime(valid_at, '%Y-%m-%d'), 'no recorded start') || ' ' || relation, ' > ' order by valid_at, fact_id) as line from fact group by src""")
 def _(t):
     entry = F.struct("valid_at", "fact_id", F.concat(F.coalesce(F.date_format("valid_at", "yyyy-MM-dd"), F.lit("no recorded start")), F.lit(" "), "relation").alias("l"))
-    return t.fact.filter("src <= 100").groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["l"]), " > ").alias("line"))
+    return t.fact.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["l"]), " > ").alias("line"))
 
 
 # Joins -------------------------------------------------------------------------------------------------------------
@@ -278,9 +278,9 @@ def _(t):
     return t.episode.join(scope, "article_id", "left_semi").select("episode_id").distinct()
 
 
-@query("join_4_bounded_scope", f"""select episode_id from episode where episode_id % 11 = 0 and article_id in (select article_id from {CHAIN} where vendor_id = 2)""")
+@query("join_4_bounded_scope", f"""select episode_id from episode where tokens > 40 and article_id in (select article_id from {CHAIN} where vendor_id = 2)""")
 def _(t):
-    return t.episode.filter("episode_id % 11 = 0").join(_chain(t).filter("vendor_id = 2").select("article_id"), "article_id", "left_semi").select("episode_id")
+    return t.episode.filter("tokens > 40").join(_chain(t).filter("vendor_id = 2").select("article_id"), "article_id", "left_semi").select("episode_id")
 
 
 @query("join_5_sources_with_content", "select source_id, source from source where exists (select 1 from article join episode using (article_id) where article.source_id = source.source_id)")
@@ -350,26 +350,25 @@ def _(t):
     return P.support(t.fact, t.fact_episode, t.episode, t.article)
 
 
-@query("join_20_full_outer_replies", """with p as (select doc_id, quality from labels where doc_id % 2 = 0), g as (select doc_id, toxic from labels where doc_id % 3 = 0)
+@query("join_20_full_outer_replies", """with p as (select doc_id from labels where quality = 1), g as (select doc_id from labels where toxic = 0)
     select count(*) filter (p.doc_id is null) as stray, count(*) filter (g.doc_id is null) as missing, count(*) filter (p.doc_id = g.doc_id) as both from p full outer join g on p.doc_id = g.doc_id""")
 def _(t):
-    p = t.labels.filter("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("p"))
-    g = t.labels.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("g"))
+    p = t.labels.filter("quality = 1").select("doc_id", F.lit(1).alias("p"))
+    g = t.labels.filter("toxic = 0").select("doc_id", F.lit(1).alias("g"))
     return p.join(g, "doc_id", "full_outer").agg(F.count_if(F.col("p").isNull()).alias("stray"), F.count_if(F.col("g").isNull()).alias("missing"), F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("both"))
 
 
-@query("join_21_one_or_two_hops", """select src, count(distinct dst) as reached from (select src, dst from fact union select a.src, b.dst from fact a join fact b on a.dst = b.src where a.src <= 200) where src <= 200 group by src""")
+@query("join_21_one_or_two_hops", """select src, count(distinct dst) as reached from (select src, dst from fact union select a.src, b.dst from fact a join fact b on a.dst = b.src) group by src""")
 def _(t):
     f = t.fact.select("src", "dst").distinct()
-    near = f.filter("src <= 200")
-    two = near.select("src", F.col("dst").alias("mid")).join(f.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-    return near.unionByName(two).distinct().groupBy("src").agg(F.count("*").alias("reached"))
+    two = f.select("src", F.col("dst").alias("mid")).join(f.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    return f.unionByName(two).distinct().groupBy("src").agg(F.count("*").alias("reached"))
 
 
-@query("join_22_facet_assignment", f"""select article_id, case when vendor_id = 1 then 'v1' when product_id % 2 = 0 then 'even' when source_id < 500 then 'early' end as facet from {CHAIN} where vendor_id = 1 or product_id % 2 = 0 or source_id < 500""")
+@query("join_22_facet_assignment", f"""select article_id, case when vendor_id = 1 then 'v1' when product_id in (2, 8, 14) then 'listed' when kind = 'BUILDING' then 'building' end as facet from {CHAIN} where vendor_id = 1 or product_id in (2, 8, 14) or kind = 'BUILDING'""")
 def _(t):
-    facet = F.when(F.col("vendor_id") == 1, "v1").when(F.col("product_id") % 2 == 0, "even").when(F.col("source_id") < 500, "early")
-    return _chain(t).select("article_id", facet.alias("facet")).filter("facet is not null")
+    facet = F.when(F.col("vendor_id") == 1, "v1").when(F.col("product_id").isin(2, 8, 14), "listed").when(F.col("kind") == "BUILDING", "building")
+    return _chain(t).join(t.source.select("source_id", "kind"), "source_id").select("article_id", facet.alias("facet")).filter("facet is not null")
 
 
 @query("join_24_backfill", """select job_id, coalesce(case when j.source_id > 5 then j.source_id end, a.source_id) as source_id, a.article_id is null as missing from job j left join article a on a.article_id = j.article_id""")
@@ -394,9 +393,9 @@ def _(t):
     return h.join(c, "h").select("doc_id", F.when(F.col("n") == 1, F.col("s")).alias("attributed"), F.when(F.col("n") > 1, "ambiguous").otherwise("ok").alias("reason"))
 
 
-@query("join_29_facet_subsumption", f"""with f as (select distinct vendor, case when product_id % 3 = 0 then product end as product from {CHAIN}) select vendor, product from f where product is not null or not exists (select 1 from f g where g.vendor = f.vendor and g.product is not null)""")
+@query("join_29_facet_subsumption", f"""with f as (select distinct vendor, case when product like '%3' then product end as product from {CHAIN}) select vendor, product from f where product is not null or not exists (select 1 from f g where g.vendor = f.vendor and g.product is not null)""")
 def _(t):
-    f = _chain(t).select("vendor", F.when(F.col("product_id") % 3 == 0, F.col("product")).alias("product")).distinct()
+    f = _chain(t).select("vendor", F.when(F.col("product").like("%3"), F.col("product")).alias("product")).distinct()
     narrow = f.filter("product is not null")
     return narrow.unionByName(f.filter("product is null").join(narrow.select("vendor"), "vendor", "left_anti").select("vendor", "product"))
 
@@ -435,7 +434,7 @@ def _(t):
 
 @query("agg_6_nearest_rank", """select label, list_sort(list(price))[cast(round_even(0.9 * (count(*) - 1), 0) as bigint) + 1] as p90 from entity group by label""")
 def _(t):
-    return t.entity.groupBy("label").agg(F.element_at(F.sort_array(F.collect_list("price")), (F.bround(F.lit(0.9) * (F.count("*") - 1)) + 1).cast("int")).alias("p90"))
+    return E.at_rank(t.entity, "label", "price", lambda n: F.bround(0.9 * (n - 1)) + 1).select("label", F.col("price").alias("p90"))
 
 
 @query("agg_7_latency_buckets", """select case when attempts <= 0 then '1' when attempts <= 2 then '2-4' else '5+' end as bucket, count(*) as n, round(median(tokens), 6) as med, round(count(*) * 1.0 / sum(count(*)) over (), 6) as share from job group by 1""")
@@ -471,11 +470,11 @@ def _(t):
     )
 
 
-@query("agg_12_majority_vote", """with v as (select user_id, list(value > 250) as votes from events group by user_id having count(*) < 60)
-    select user_id, case when len(votes) >= 2 and 2 * len(list_filter(votes, lambda x: x)) <> len(votes) then 2 * len(list_filter(votes, lambda x: x)) > len(votes) end as verdict from v""")
+@query("agg_12_majority_vote", """with v as (select user_id, count(*) filter (value > 250) as yes, count(*) as n from events group by user_id)
+    select user_id, case when n >= 2 and 2 * yes <> n then 2 * yes > n end as verdict from v""")
 def _(t):
-    v = t.events.groupBy("user_id").agg(F.collect_list(F.col("value") > 250).alias("votes"), F.count("*").alias("n")).filter("n < 60")
-    return v.select("user_id", E.majority(F.col("votes")).alias("verdict"))
+    v = t.events.groupBy("user_id").agg(F.count_if(F.col("value") > 250).alias("yes"), F.count("*").alias("n"))
+    return v.select("user_id", E.majority(F.col("yes"), F.col("n")).alias("verdict"))
 
 
 @query("agg_13_cross_vendor_names", f"select title, count(distinct vendor) as vendors from {CHAIN} group by title having count(distinct vendor) > 1")
@@ -494,10 +493,10 @@ def _(t):
     return _chain(t).join(t.episode.select("article_id"), "article_id", "left_semi").groupBy("vendor", "product").agg(F.count_distinct("article_id").alias("articles"))
 
 
-@query("agg_16_applies_to", f"""with p as (select distinct fact_id, vendor, product from fact_episode join episode using (episode_id) join {CHAIN} using (article_id) where fact_id % 7 = 0)
+@query("agg_16_applies_to", f"""with p as (select distinct fact_id, vendor, product from fact_episode join episode using (episode_id) join {CHAIN} using (article_id))
     select vendor, count(distinct fact_id) as facts, string_agg(distinct product, ',' order by product) as products from p group by vendor""")
 def _(t):
-    p = P.fact_sources(t.fact_episode.filter("fact_id % 7 = 0"), t.episode, _chain(t))
+    p = P.fact_sources(t.fact_episode, t.episode, _chain(t))
     return p.groupBy("vendor").agg(F.count_distinct("fact_id").alias("facts"), F.array_join(F.array_sort(F.collect_set("product")), ",").alias("products"))
 
 
@@ -583,7 +582,8 @@ def _(t):
 
 @query("agg_46_load_test", """select op, count(*) as n, list_sort(list(tokens))[cast(floor(0.95 * count(*)) as bigint) + 1] as p95, count(*) filter (status = 'dead') as failed from job group by op""")
 def _(t):
-    return t.job.groupBy("op").agg(F.count("*").alias("n"), F.element_at(F.sort_array(F.collect_list("tokens")), (F.floor(0.95 * F.count("*")) + 1).cast("int")).alias("p95"), F.count_if(F.col("status") == "dead").alias("failed"))
+    p95 = E.at_rank(t.job, "op", "tokens", lambda n: F.floor(0.95 * n) + 1).select("op", F.col("tokens").alias("p95"))
+    return t.job.groupBy("op").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "dead").alias("failed")).join(p95, "op").select("op", "n", "p95", "failed")
 
 
 @query("agg_48_first_seen_mode", """select lang, source as mode from (select lang, source, count(*) as n, min(doc_id) as first from documents group by all) qualify row_number() over (partition by lang order by n desc, first) = 1""")

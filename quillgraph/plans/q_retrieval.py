@@ -87,11 +87,12 @@ def _(t):
     return R.vector_search(t.embeddings.filter("vec_id <> 0"), _query_vector(t), 1 << 30, above=0.0).select("vec_id", F.round(V.unit_score(F.col("score")), 6).alias("score"))
 
 
-@query("agg_19_worst_cosine", f"""select a.label, round(min({COS.format(a='a.embedding', b='b.embedding')}), 6) as worst from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 5 = 0 and b.vec_id % 5 = 0 group by a.label""")
+@query("agg_19_worst_cosine", f"""with e as (select vec_id, embedding, md5(text) as h from embeddings join documents on doc_id = vec_id) select a.h, round(min({COS.format(a='a.embedding', b='b.embedding')}), 6) as worst from e a join e b on a.h = b.h and a.vec_id < b.vec_id group by a.h""")
 def _(t):
-    e = t.embeddings.filter("vec_id % 5 = 0")
-    b = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("w"))
-    return e.join(b, "label").filter("vec_id < other").groupBy("label").agg(F.round(F.min(V.cosine(F.col("embedding"), F.col("w"))), 6).alias("worst"))
+    """Within groups of copies, as a merge plan has them."""
+    e = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("h")), "vec_id").select("vec_id", "embedding", "h")
+    b = e.select("h", F.col("vec_id").alias("other"), F.col("embedding").alias("w"))
+    return e.join(b, "h").filter("vec_id < other").groupBy("h").agg(F.round(F.min(V.cosine(F.col("embedding"), F.col("w"))), 6).alias("worst"))
 
 
 @query("agg_49_nearest_neighbours", f"""with s as (select a.vec_id, max({COS.format(a='a.embedding', b='b.embedding')}) as near from embeddings a, embeddings b where a.vec_id <> b.vec_id and a.vec_id % 20 = 0 group by a.vec_id)
@@ -141,7 +142,7 @@ def _(t):
 
 @query("top_6_diverse_selection")
 def _(t):
-    near = R.vector_join(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, 40)
+    near = R.vector_join(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 40)
     hits = near.join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")
     return R.diverse(hits.select("query_id", "id", "score", "v"), 10)
 
@@ -152,11 +153,12 @@ def _(t):
     return D.collapse_near_duplicates(items, "label", 0.9)
 
 
-@query("ret_3_community_shortlist", f"""with {_VEC}, c as (select label, max(score) as best, count(*) as n, avg((vec_id % 4 = 0)::int) as share from vs join embeddings using (vec_id) group by label)
+@query("ret_3_community_shortlist", f"""with {_VEC}, c as (select label, max(score) as best, count(*) as n, avg((score > 0)::int) as share from vs join embeddings using (vec_id) group by label)
     select label, round(best, 6) as best, round(share, 6) as share from c where share >= 0.2 order by best desc, label limit 5""")
 def _(t):
     q = F.array(*map(F.lit, _query_vector(t)))
-    c = t.embeddings.filter("vec_id <> 0").groupBy("label").agg(F.max(V.cosine_or_zero(F.col("embedding"), q)).alias("best"), F.avg((F.col("vec_id") % 4 == 0).cast("int")).alias("share"))
+    scored = t.embeddings.filter("vec_id <> 0").select("label", V.cosine_or_zero(F.col("embedding"), q).alias("score"))
+    c = scored.groupBy("label").agg(F.max("score").alias("best"), F.avg((F.col("score") > 0).cast("int")).alias("share"))
     return c.filter("share >= 0.2").orderBy(F.desc("best"), "label").limit(5).select("label", F.round("best", 6).alias("best"), F.round("share", 6).alias("share"))
 
 
