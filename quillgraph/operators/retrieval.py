@@ -45,17 +45,21 @@ def vector_search(table: DataFrame, query: list[float], k: int, id_col: str = "v
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def vector_join(queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """query_id, id, score, rank: the k nearest of each query. Queries are a stated set of at most `most_queries`, sent to
-    every task in whole; more are refused, to be asked in blocks."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in blocks")
+def vector_join(queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 5_000) -> DataFrame:
+    """query_id, id, score, rank: the k nearest of each of a stated set of queries, exact. Queries are sent to every task
+    in blocks of about `block`, so that what is broadcast doesn't grow with them; each task keeps k rows of a query before
+    anything is shuffled."""
+    blocks = max(1, -(-queries.count() // block))
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    pairs = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", V.cosine_or_zero(F.col("v"), F.col("q")).alias("score"))
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = rows.join(F.broadcast(part), F.col("id") != F.col("query_id")).select("query_id", "id", V.cosine_or_zero(F.col("v"), F.col("q")).alias("score"))
+        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def ranked(hits: DataFrame, id_col: str, list_no: int, k: int) -> DataFrame:

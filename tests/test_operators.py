@@ -150,3 +150,13 @@ def test_sections_and_blocks():
     assert C.sections_of(text) == [([], "intro"), (["A"], "one"), (["A", "B"], "```\n# not\n```\ntwo"), (["Title"], "three")]
     assert C.packed_blocks("aa\n\nbb\n\n" + "c" * 20 + "\n\n\nd", 8) == ["aa\n\nbb", "c" * 20, "d"]
     assert C.is_grounded("Data Lake", "a data lake.") and not C.is_grounded("Lake", "rivers") and C.is_grounded("stream joins", "joined streams and joins")
+
+
+def test_vector_join_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((40, 5))
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, int(j)) for i in range(0, 40, 4) for j in [j for j in np.argsort(-(unit @ unit[i])) if j != i][:3]}
+    for block in (100, 3):
+        assert {(r.query_id, r.id) for r in R.vector_join(t.filter("vec_id % 4 = 0"), t, 3, block=block).collect()} == want
