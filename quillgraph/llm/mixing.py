@@ -8,7 +8,8 @@ Documents of a source lie in blocks by a hash. Each epoch of a source has a perm
 every document once, and the last one is cut in the block where the budget ends, after the permuted documents that fit.
 
 Cost: text is read once and only (id, source, tokens) goes on. Sums are partial before they are shuffled; the bisection
-tries 31 exponents in one small job over the table of sources, which stays distributed. A source of any size is spread
+tries 31 exponents in one small job over the table of sources, which stays distributed (a table of `most_broadcast`
+sources or fewer is sent to all tasks, so that rows of a large source need not meet to learn its number of blocks). A source of any size is spread
 over its blocks, of which there are `most_blocks` at most: what is ordered in one task are a source's blocks, or the
 documents of one of them.
 """
@@ -84,6 +85,7 @@ def mix_sources(
     block_tokens: int = 1 << 16,
     most_blocks: int = 1 << 16,
     seed: int = 0,
+    most_broadcast: int = 20_000,
 ) -> DataFrame:
     """One row per use of a row of docs: id, source, n_tokens, epoch (from 0), block, and slot: where its block begins
     in the source's part of the mixture (0 to 1), so that all sources ordered by slot keep their weights throughout.
@@ -113,7 +115,9 @@ def mix_sources(
     plan = plan.select("*", F.when(F.col("total") > 0, F.floor(F.col("quota") / F.col("total"))).otherwise(1).cast("int").alias("whole"), F.expr("if(total > 0, quota % total, 0)").alias("rest"))
 
     order = F.xxhash64(F.lit(seed), "id", "n")
-    rows = rows.join(plan.select("key", "blocks"), "key").withColumn("block", F.pmod(order, F.col("blocks"))).drop("blocks")
+    few = sources.limit(most_broadcast + 1).count() <= most_broadcast  # else the join is by shuffle, and may be split
+    counts = plan.select("key", "blocks")
+    rows = rows.join(F.broadcast(counts) if few else counts, "key").withColumn("block", F.pmod(order, F.col("blocks"))).drop("blocks")
     sizes = rows.groupBy("key", "block").agg(F.sum("n").alias("size"))
     steps = sizes.join(plan, "key").select("key", "block", "size", "total", "quota", "whole", "rest", F.explode(F.sequence(F.lit(0), "whole")).alias("epoch"))
     turn = Window.partitionBy("key", "epoch").orderBy(F.xxhash64(F.lit(seed), "key", "epoch", "block"), "block")

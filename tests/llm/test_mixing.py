@@ -53,7 +53,7 @@ def test_weights_and_uses(documents, corpus, entropy_share, max_repeats, budget)
     tokens = whole * budget if budget else max(totals[s] / want[s] for s in totals)
     uses: dict = {}
     got: dict = {s: 0 for s in totals}
-    for r in mix_sources(documents(corpus), entropy_share=entropy_share, max_repeats=max_repeats, budget_share=budget, block_tokens=200).collect():
+    for r in mix_sources(documents(corpus), entropy_share=entropy_share, max_repeats=max_repeats, budget_share=budget, block_tokens=200, most_broadcast=2 if budget else 1000).collect():
         uses.setdefault(r.doc_id, []).append(r.epoch)
         got[r.source] += r.n_tokens
         assert r.n_tokens == size[r.doc_id] and 0 <= r.slot <= 1
