@@ -57,7 +57,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = 10, damping: float = 0.85, ratio: float = 2.0
+    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = 10, damping: float = 0.85, ratio: float = 2.0, most_broadcast: int = 20_000
 ) -> DataFrame:
     """One row per row of pages: id, host, path, rule (null if none fits), verdict (allow or block), trust and distrust
     of the host.
@@ -86,6 +86,8 @@ def judge_urls(
     per = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank"))).alias(k) for k in ("trust", "distrust")])
     blocked = (F.col("distrust") * total.hosts > 1) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.coalesce(action, F.when(blocked, "block").otherwise("allow"))
+    if total.hosts <= most_broadcast:  # else by shuffle; adaptive execution may split a host with very many pages
+        per = F.broadcast(per)
     return rows.drop("_html").join(per, "host", "left").select(
         F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )

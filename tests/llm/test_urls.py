@@ -70,10 +70,11 @@ ROWS = [
 ]
 
 
+@pytest.mark.parametrize("most", [20_000, 0])
 @pytest.mark.parametrize("rows", [ROWS, [(1, "http://a.com/en/", None), (2, "http://a.com/x", None)], []])
-def test_verdicts_are_those_of_power_iteration(spark, rows):
+def test_verdicts_are_those_of_power_iteration(spark, rows, most):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
-    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in judge_urls(pages, URL_RULES).collect()]
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in judge_urls(pages, URL_RULES, most_broadcast=most).collect()]
     assert sorted(got, key=str) == brute(rows)
 
 
