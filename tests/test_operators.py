@@ -160,3 +160,36 @@ def test_vector_join_in_blocks(spark):
     want = {(i, int(j)) for i in range(0, 40, 4) for j in [j for j in np.argsort(-(unit @ unit[i])) if j != i][:3]}
     for block in (100, 3):
         assert {(r.query_id, r.id) for r in R.vector_join(t.filter("vec_id % 4 = 0"), t, 3, block=block).collect()} == want
+
+
+def test_cell_search_recall(spark, sf):
+    from quillgraph.operators import ann
+    from quillgraph.session import table
+
+    e = table(spark, "/root/testdata/sf0.01", "embeddings")
+    q = e.filter("vec_id % 20 = 0")
+    exact = {(r.query_id, r.id) for r in R.vector_join(q, e, 10).collect()}
+    found = {(r.query_id, r.id) for r in ann.search(q, e, ann.fit_cells(e), 10).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    assert ann.search(q.limit(0), e, ann.fit_cells(e), 10).count() == 0
+
+
+def test_ndjson_stream_gate(spark, tmp_path):
+    """A feed as a stream: each batch against the state so far, malformed lines aside."""
+    from quillgraph.streaming import feeds
+
+    (tmp_path / "in").mkdir()
+    state: dict[str, str] = {}
+    acted: list[tuple[str, str]] = []
+
+    def each(batch, _):
+        records = feed.parse_records(batch.withColumnRenamed("value", "line")).filter("kind = 'content'")
+        old = spark.createDataFrame(list(state.items()) or [("", "")], "id string, old string")
+        for r in records.join(old, "id", "left").select("id", "content_hash", feed.action(F.col("old"), F.col("content_hash"), F.lit(True), F.lit(True)).alias("a")).collect():
+            acted.append((r.id, r.a))
+            state[r.id] = r.content_hash
+
+    for n, lines in enumerate((['{"change_type":"added","id":"a","content_hash":"1"}', "{bad"], ['{"change_type":"updated","id":"a","content_hash":"1"}', '{"change_type":"added","id":"b","content_hash":"2"}'])):
+        (tmp_path / "in" / f"{n}.ndjson").write_text("\n".join(lines))
+        feeds.run_once(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "checkpoint"), each)
+    assert sorted(acted) == [("a", "enqueue"), ("a", "skip"), ("b", "enqueue")]
