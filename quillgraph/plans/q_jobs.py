@@ -13,14 +13,14 @@ from quillgraph.sources import feed
 from quillgraph.streaming import feeds
 
 
-def _drain(t, stream, mode: str = "append"):
+def drain(t, stream, mode: str = "append"):
     """Run a stream over all of its input into an in-memory table of small results, and give that table."""
     name = "s" + uuid.uuid4().hex
     feeds.run_once(stream, f"{checkpoint_dir(t.spark)}/streams/{name}", name=name, mode=mode)
     return t.spark.table(name)
 
 
-def _events(t):
+def events_stream(t):
     """The events as a stream."""
     return feeds.read_table(t.spark, f"{t.sf_dir}/events.parquet", t.events).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -95,14 +95,14 @@ def _(t):
 
 @query("str_streamed_counts", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
 def _(t):
-    return _drain(t, _events(t).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "complete")
+    return drain(t, events_stream(t).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "complete")
 
 
 @query("str_streamed_dedup", "select user_id, event_type from events group by all")
 def _(t):
-    return _drain(t, feeds.deduplicated(_events(t), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
+    return drain(t, feeds.deduplicated(events_stream(t), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
 
 
 @query("str_streamed_debounce")
 def _(t):
-    return _drain(t, feeds.debounced(_events(t), "user_id", "ts", 86400))
+    return drain(t, feeds.debounced(events_stream(t), "user_id", "ts", 86400))

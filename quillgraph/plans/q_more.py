@@ -6,11 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import strings as S
+from quillgraph.functions import vectors as V
 from quillgraph.operators import ann
 from quillgraph.operators import datasets as DS
+from quillgraph.operators import dedup as D
 from quillgraph.operators import provenance as P
 from quillgraph.operators import retrieval as R
 from quillgraph.plans.canonical import AS_OF, now, query
+from quillgraph.plans.q_jobs import drain, events_stream
+from quillgraph.plans.q_retrieval import TERMS, query_vector, vectors
 from quillgraph.sources import feed
 
 CHAIN = "article join source using (source_id) join product using (product_id) join vendor using (vendor_id)"
@@ -180,11 +184,11 @@ def _(t):
     return names.join(F.broadcast(asked), "alias").groupBy("alias").agg(F.min("n").alias("n")).select("alias", "n.kind", "n.id")  # a fixed list
 
 
-@query("agg_24_dedup_acceptance", """with g as (select label, list_sort(list_distinct(list(kind))) as k, count(*) as n from entity group by label) select a.label as a, b.label as b, len(list_intersect(a.k, b.k)) > 0 as overlap from g a join g b on a.label < b.label""")
+@query("agg_24_dedup_acceptance", """with g as (select label, list_sort(list_distinct(list(kind))) as k, count(*) as n from entity group by label) select a.label as a, b.label as b, len(list_intersect(a.k, b.k)) as shared from g a join g b on a.label < b.label where len(list_intersect(a.k, b.k)) > 0""")
 def _(t):
-    g = t.entity.groupBy("label").agg(F.collect_set("kind").alias("k"))
-    b = g.select(F.col("label").alias("b"), F.col("k").alias("o"))
-    return g.select(F.col("label").alias("a"), "k").join(b, F.col("a") < F.col("b")).select("a", "b", F.arrays_overlap("k", "o").alias("overlap"))
+    g = t.entity.select("label", "kind").distinct()
+    both = g.select(F.col("label").alias("a"), "kind").join(g.select(F.col("label").alias("b"), "kind"), "kind").filter("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 @query("agg_25_provenance_rate", f"""with s as (select distinct fact_id from fact_episode join episode using (episode_id) join {CHAIN} using (article_id)) select relation, round(avg((s.fact_id is not null)::int), 6) as rate, count(*) as n from fact f left join s on s.fact_id = f.fact_id group by relation""")
@@ -349,3 +353,86 @@ def _(t):
     o = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").alias("o"))
     w = Window.partitionBy("k").orderBy("at", "side", "o").rowsBetween(Window.unboundedPreceding, 0)
     return e.unionByName(o).withColumn("o_orderkey", F.last("o", ignorenulls=True).over(w)).filter("side = 1 and o_orderkey is not null").select("event_id", "o_orderkey")
+
+
+@query("join_30_evidence_cap")
+def _(t):
+    """Of equal texts of a conversation the first is shown, later ones are pointers of ten characters; then fair parts."""
+    w = Window.partitionBy("conv_id", F.md5("text")).orderBy("turn")
+    shown = t.conversations.select("conv_id", F.col("turn").alias("id"), F.when(F.row_number().over(w) == 1, F.length("text")).otherwise(10).alias("size"))
+    return DS.fair_share(shown, "conv_id", 600)
+
+
+@query("gr_15_duplicate_simulation", """with m as (select l_partkey as entity_id, l_shipdate as start from lineitem), f as (select entity_id, min(start) + interval 60 days as committed from m group by entity_id)
+    select m.entity_id, count(*) - 1 as excess from m join f using (entity_id) where start < committed group by m.entity_id""")
+def _(t):
+    """Extractions that start before the first one of their entity is committed make copies of it."""
+    m = t.lineitem.select(F.col("l_partkey").alias("entity_id"), F.col("l_shipdate").alias("start"))
+    first = m.groupBy("entity_id").agg((F.min("start") + F.expr("interval 60 days")).alias("committed"))
+    return m.join(first, "entity_id").filter("start < committed").groupBy("entity_id").agg((F.count("*") - 1).alias("excess"))
+
+
+@query("str_1_feed_gate", """with o as (select user_id, max(value) as seen from events where event_type = 'purchase' group by user_id) select case when seen is null or value > seen then 'enqueue' else 'skip' end as action, count(*) as n from events left join o using (user_id) group by 1""")
+def _(t):
+    """The feed as a stream against the state as a table, each file once."""
+    state = t.events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("value").alias("seen"))
+    act = F.when(F.col("seen").isNull() | (F.col("value") > F.col("seen")), "enqueue").otherwise("skip")
+    return drain(t, events_stream(t).join(state, "user_id", "left").groupBy(act.alias("action")).agg(F.count("*").alias("n")), "complete")
+
+
+@query("str_2_resumed_bootstrap", "select user_id, min(event_id) as first, count(*) as n from events where event_id > 2500 group by user_id")
+def _(t):
+    return feed.scan(t.events, {}, after=("event_id", 2500)).groupBy("user_id").agg(F.min("event_id").alias("first"), F.count("*").alias("n"))
+
+
+def _shortlist(t, n: int):
+    scored = t.embeddings.filter("vec_id <> 0").select("vec_id", "label", V.cosine_or_zero(F.col("embedding"), F.array(*map(F.lit, query_vector(t)))).alias("score"))
+    best = scored.groupBy("label").agg(F.max("score").alias("best")).orderBy(F.desc("best"), "label").limit(n)
+    return scored, best
+
+
+_SHORT = """q as (select embedding as q from embeddings where vec_id = 0), s as (select vec_id, label, list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::double * z[2]::double))
+    / sqrt(list_sum(list_transform(embedding, lambda z: z::double * z::double)) * list_sum(list_transform(q, lambda z: z::double * z::double))) as score from embeddings, q where vec_id <> 0),
+    best as (select label, max(score) as best from s group by label order by best desc, label limit {n})"""
+
+
+@query("ret_4_global_search", f"""with {_SHORT.format(n=5)}, m as (select * from s join best using (label) qualify row_number() over (partition by label order by score desc, vec_id) <= 6) select label, vec_id, row_number() over (order by best desc, label, score desc, vec_id) as number from m""")
+def _(t):
+    """Communities on a shortlist, the best members of each, numbered through in the order of the shortlist."""
+    scored, best = _shortlist(t, 5)
+    w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
+    top = scored.join(best, "label").withColumn("rn", F.row_number().over(w)).filter("rn <= 6")
+    number = F.row_number().over(Window.orderBy(F.desc("best"), "label", F.desc("score"), "vec_id"))  # of 30 rows
+    return top.select("label", "vec_id", number.cast("long").alias("number"))
+
+
+@query("ret_5_drift_search", f"""with {_SHORT.format(n=4)}, p as (select arg_max(vec_id, (score, -vec_id)) as primer, label from s join best using (label) group by label)
+    select d.doc_id, min(p.label) as label from p join documents a on a.doc_id = p.primer join documents d on d.source = a.source and d.lang = a.lang group by d.doc_id""")
+def _(t):
+    """The best member of each community on the shortlist leads to the documents of its source and language, each once."""
+    scored, best = _shortlist(t, 4)
+    primer = scored.join(best, "label").groupBy("label").agg(F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("doc_id"))
+    lead = primer.join(t.documents.select("doc_id", "source", "lang"), "doc_id").select("label", "source", "lang")
+    return t.documents.select("doc_id", "source", "lang").join(F.broadcast(lead), ["source", "lang"]).groupBy("doc_id").agg(F.min("label").alias("label"))  # four rows
+
+
+@query("ret_7_list_search")
+def _(t):
+    """Fused lists, near duplicates collapsed, then a diverse choice."""
+    lists = R.ranked(R.bm25(t.documents, TERMS), "doc_id", 1, 60).unionByName(R.ranked(vectors(t, 60), "vec_id", 2, 60))
+    hits = R.rrf(lists).select("id", "score").join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").withColumn("query_id", F.lit(0))
+    kept = D.collapse_near_duplicates(hits.select("query_id", "id", "v"), "query_id", 0.96).select(F.col("kept").alias("id")).distinct()
+    return R.diverse(hits.join(kept, "id", "left_semi").select("query_id", "id", "score", "v"), 10)
+
+
+@query("ret_13_scope_resolution", """with a as (select lower(vendor) as name, 'vendor' as kind from vendor union all select lower(product), 'product' from product), d as (select article_id, lower(concat(product, ' of ', vendor)) as q from """ + CHAIN + """)
+    select q, max(name) filter (kind = 'vendor') as vendor, max_by(name, length(name)) filter (kind = 'product') as product from (select distinct q from d) x join a on contains(q, name) group by q""")
+def _(t):
+    """Names mentioned in a question: longest product, vendor."""
+    names = t.vendor.select(F.lower("vendor").alias("name"), F.lit("vendor").alias("kind")).unionByName(t.product.select(F.lower("product").alias("name"), F.lit("product").alias("kind")))
+    asked = _chain(t).select(F.lower(F.concat("product", F.lit(" of "), "vendor")).alias("q")).distinct()
+    w = F.regexp_extract_all("q", F.lit("[a-z0-9_]+"), F.lit(0))
+    grams = F.flatten(F.transform(w, lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(w, i + 1, n), " "))))
+    hit = asked.select("q", F.explode(F.array_distinct(grams)).alias("name")).join(names, "name")  # names of up to three words
+    product, vendor = F.when(F.col("kind") == "product", F.col("name")), F.when(F.col("kind") == "vendor", F.col("name"))
+    return hit.groupBy("q").agg(F.max(vendor).alias("vendor"), F.max_by(product, F.when(F.col("kind") == "product", F.length("name"))).alias("product"))

@@ -28,13 +28,13 @@ _BM25 = (
 _VEC = f"q as (select embedding as q from embeddings where vec_id = 0), vs as (select vec_id, {COS.format(a='embedding', b='q')} as score from embeddings, q where vec_id <> 0)"
 
 
-def _query_vector(t) -> list[float]:
+def query_vector(t) -> list[float]:
     """The stored vector that stands for an embedded question."""
     return [float(x) for x in t.embeddings.filter("vec_id = 0").select("embedding").first()[0]]
 
 
-def _vectors(t, k: int):
-    return R.vector_search(t.embeddings.filter("vec_id <> 0"), _query_vector(t), k)
+def vectors(t, k: int):
+    return R.vector_search(t.embeddings.filter("vec_id <> 0"), query_vector(t), k)
 
 
 @query("fts_bm25_top", f"with {_BM25} select doc_id, round(score, 6) as score from bm order by score desc, doc_id limit 50")
@@ -44,7 +44,7 @@ def _(t):
 
 @query("top_1_cosine", f"with {_VEC} select vec_id, round(score, 6) as score from vs order by score desc, vec_id limit 20")
 def _(t):
-    return _vectors(t, 20).select("vec_id", F.round("score", 6).alias("score"))
+    return vectors(t, 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("ret_1_hybrid_search", f"""with {_BM25}, {_VEC}, l as (select doc_id as id, 1 as list, row_number() over (order by score desc, doc_id) as rank from (select * from bm order by score desc, doc_id limit 50)
@@ -53,7 +53,7 @@ def _(t):
     select id as doc_id, round(score, 9) as score, row_number() over (order by round(score, 12) desc, first) as rank, source from f join documents on doc_id = id qualify rank <= 10""")
 def hybrid_search(t):
     """BM25 and vector lists of 50, fused by reciprocal ranks; the ten best with their source."""
-    lists = R.ranked(R.bm25(t.documents, TERMS), "doc_id", 1, 50).unionByName(R.ranked(_vectors(t, 50), "vec_id", 2, 50))
+    lists = R.ranked(R.bm25(t.documents, TERMS), "doc_id", 1, 50).unionByName(R.ranked(vectors(t, 50), "vec_id", 2, 50))
     fused = R.rrf(lists).withColumnRenamed("id", "doc_id")
     place = F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "first")).cast("long")  # of 100 rows at most
     best = fused.join(t.documents.select("doc_id", "source"), "doc_id").withColumn("rank", place)
@@ -84,7 +84,7 @@ def _(t):
 
 @query("vec_unit_score", f"with {_VEC} select vec_id, round((1 + score) / 2, 6) as score from vs where score > 0")
 def _(t):
-    return R.vector_search(t.embeddings.filter("vec_id <> 0"), _query_vector(t), 1 << 30, above=0.0).select("vec_id", F.round(V.unit_score(F.col("score")), 6).alias("score"))
+    return R.vector_search(t.embeddings.filter("vec_id <> 0"), query_vector(t), 1 << 30, above=0.0).select("vec_id", F.round(V.unit_score(F.col("score")), 6).alias("score"))
 
 
 @query("agg_19_worst_cosine", f"""with e as (select vec_id, embedding, md5(text) as h from embeddings join documents on doc_id = vec_id) select a.h, round(min({COS.format(a='a.embedding', b='b.embedding')}), 6) as worst from e a join e b on a.h = b.h and a.vec_id < b.vec_id group by a.h""")
@@ -120,14 +120,14 @@ def _(t):
 
 @query("top_2_boosted_rank", f"with {_VEC} select vec_id, round(score + 0.1 * (label % 10) / 10, 6) as boosted from vs join embeddings using (vec_id) where label <> 0 order by score + 0.1 * (label % 10) / 10 desc, vec_id limit 25")
 def _(t):
-    scored = t.embeddings.filter("vec_id <> 0 and label <> 0").select("vec_id", (V.cosine_or_zero(F.col("embedding"), F.array(*map(F.lit, _query_vector(t)))) + 0.1 * (F.col("label") % 10) / 10).alias("b"))
+    scored = t.embeddings.filter("vec_id <> 0 and label <> 0").select("vec_id", (V.cosine_or_zero(F.col("embedding"), F.array(*map(F.lit, query_vector(t)))) + 0.1 * (F.col("label") % 10) / 10).alias("b"))
     return scored.orderBy(F.desc("b"), "vec_id").limit(25).select("vec_id", F.round("b", 6).alias("boosted"))
 
 
 @query("top_3_rerank_floor", f"""with {_VEC}, c as (select vec_id, score, case when vec_id % 3 = 0 then score / 2 + 0.3 when vec_id % 3 = 1 then score end as r from vs order by score desc, vec_id limit 50)
     select vec_id, round(r, 6) as rerank from c where r >= 0.2 order by r desc, vec_id limit 10""")
 def _(t):
-    c = _vectors(t, 50).withColumn("r", F.when(F.col("vec_id") % 3 == 0, F.col("score") / 2 + 0.3).when(F.col("vec_id") % 3 == 1, F.col("score")))
+    c = vectors(t, 50).withColumn("r", F.when(F.col("vec_id") % 3 == 0, F.col("score") / 2 + 0.3).when(F.col("vec_id") % 3 == 1, F.col("score")))
     return c.filter("r >= 0.2").orderBy(F.desc("r"), "vec_id").limit(10).select("vec_id", F.round("r", 6).alias("rerank"))
 
 
@@ -135,7 +135,7 @@ def _(t):
     select vec_id, pos, row_number() over (order by r is null, r desc, pos) as place from c qualify place <= 20""")
 def _(t):
     pos = F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long")  # of 30 rows
-    c = _vectors(t, 30).withColumn("pos", pos).withColumn("r", F.when(F.col("vec_id") % 2 == 0, F.col("score") * F.col("score")))
+    c = vectors(t, 30).withColumn("pos", pos).withColumn("r", F.when(F.col("vec_id") % 2 == 0, F.col("score") * F.col("score")))
     place = F.row_number().over(Window.orderBy(F.col("r").isNull(), F.desc("r"), "pos")).cast("long")
     return c.withColumn("place", place).filter("place <= 20").select("vec_id", "pos", "place")
 
@@ -156,7 +156,7 @@ def _(t):
 @query("ret_3_community_shortlist", f"""with {_VEC}, c as (select label, max(score) as best, count(*) as n, avg((score > 0)::int) as share from vs join embeddings using (vec_id) group by label)
     select label, round(best, 6) as best, round(share, 6) as share from c where share >= 0.2 order by best desc, label limit 5""")
 def _(t):
-    q = F.array(*map(F.lit, _query_vector(t)))
+    q = F.array(*map(F.lit, query_vector(t)))
     scored = t.embeddings.filter("vec_id <> 0").select("label", V.cosine_or_zero(F.col("embedding"), q).alias("score"))
     c = scored.groupBy("label").agg(F.max("score").alias("best"), F.avg((F.col("score") > 0).cast("int")).alias("share"))
     return c.filter("share >= 0.2").orderBy(F.desc("best"), "label").limit(5).select("label", F.round("best", 6).alias("best"), F.round("share", 6).alias("share"))
