@@ -118,7 +118,7 @@ def fit(labels: list[str], counts: np.ndarray, clusters: int = 3, rounds: int =
 
 
 def fit_language_model(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, max_languages: int = 64, clusters: int = 3
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_languages: int = 64, clusters: int = 3
 ) -> Model:
     """A model of the rows where `learn` holds and label and text are not null, and the text has a letter.
 
@@ -142,8 +142,10 @@ def fit_language_model(
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array([r.tobytes() for r in x], pa.binary())], names=["_lang", "x"])
 
     got = picked.select("_lang", F.lower("_text").alias("_text")).mapInArrow(vectorise, "_lang string, x binary").orderBy("_lang", "x").collect()
-    counts = np.array([np.frombuffer(bytes(r.x), np.uint16) for r in got], np.float32).reshape(len(got), DIMS)
-    return fit([r._lang for r in got], counts, clusters)
+    names = [r._lang for r in got]
+    counts = np.frombuffer(b"".join(r.x for r in got), np.uint16).astype(np.float32).reshape(len(got), DIMS)
+    del got
+    return fit(names, counts, clusters)
 
 
 def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse modulo 2**64
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -83,6 +83,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, most_ro
         to = min(to, at + most_rows)
         yield Chunk(at, to - at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 @dataclass
