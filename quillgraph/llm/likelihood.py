@@ -1,20 +1,24 @@
 """Scores by masked pseudo-likelihood of a bidirectional window network, trained in numpy.
 
-Each word of a text is predicted from `side` words on both sides (embeddings of them, one hidden layer, softmax over the
-vocabulary); a text's score is the sum of the logarithms of these conditional probabilities. The vocabulary is the most
-frequent words of all documents, the rest in buckets by hash of their last bytes.
-
-Training: documents fall into `rounds` parts by a hash. In a round every task trains a copy of the current network on
-the masked words (a fixed share of positions, by a hash) of its documents of that part, and the copies are averaged by
-the number of masked words. So every document takes part, whatever the size of the input. Copies are cut into pieces
-and averaged in two levels of tasks that read them as a stream; the driver gets one network per round.
-
-Cost: `rounds` + 2 passes over the documents. Shuffled: word counts, and one network (0.2 MB) per task and round.
+Each word of a text is predicted from `side` words on both sides (embeddings of them, one hidden layer, a softmax of two
+levels); a text's score is the sum of the logarithms of these conditional probabilities. The network's tokens are the
+most frequent words of all documents, and buckets of the other words by hash of their last bytes. Below a bucket each
+word has a leaf with its share of the bucket's words in the corpus, so that the vocabulary grows with the distinct words.
+Leaves are the words found `least` times or more (the count rises where they would be more than `most_leaves`); the
+words below that share the rest of their bucket evenly, a word that was never seen counting as one more of them.
+
+Training: positions fall into `rounds` parts by a hash. In a round every task trains a copy of the current network on
+the masked words of its documents, those of that part, and the copies are averaged by the number of masked words. So
+every word of every document is a target once. Copies are cut into pieces and averaged in two levels of tasks that read
+them as a stream; the driver gets one network per round.
+
+Cost: `rounds` + 2 passes over the documents. Shuffled: word counts, and one network (0.2 MB) per task and round. Sent
+to the driver and each task that scores: 12 bytes a leaf.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as T
+from quillgraph.session import cut
 
 BATCH = 2048
 _PIECES = 16
@@ -29,19 +34,21 @@ _PIECES = 16
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Token numbers: 0 outside of the text, then frequent words, then buckets."""
+    """Token numbers: 0 outside of the text, then frequent words, then buckets; leaves of the buckets, if any."""
 
     hashes: np.ndarray  # sorted
     numbers: np.ndarray
     buckets: int
+    leaves: np.ndarray | None = None  # hashes, sorted
+    shares: np.ndarray | None = None  # of each leaf: the logarithm of its probability within its bucket
+    others: np.ndarray | None = None  # of each bucket: that of each word without a leaf
 
     @property
     def size(self) -> int:
         return 1 + len(self.hashes) + self.buckets
 
     def tokens(self, c: T.Chunk, w: T.Words) -> np.ndarray:
-        last = c.data[np.maximum(w.end - 1, w.start)].astype(np.uint64) * np.uint64(131) + c.data[np.maximum(w.end - 2, w.start)].astype(np.uint64)
-        out = 1 + len(self.hashes) + (T.mix(last) % np.uint64(self.buckets)).astype(np.int64)
+        out = 1 + len(self.hashes) + bucket_of(c, w, self.buckets)
         if len(self.hashes):
             at = np.searchsorted(self.hashes, w.hash)
             at[at == len(self.hashes)] = 0
@@ -49,6 +56,26 @@ class Vocabulary:
             out[known] = self.numbers[at[known]]
         return out
 
+    def within_buckets(self, w: T.Words, tokens: np.ndarray) -> np.ndarray:
+        """Of each word: the logarithm of its probability within its token (0 for frequent words)."""
+        out = np.zeros(len(tokens))
+        if self.leaves is not None:
+            rare = np.flatnonzero(tokens > len(self.hashes))
+            out[rare] = self.others[tokens[rare] - 1 - len(self.hashes)]
+            if len(self.leaves):
+                at = np.searchsorted(self.leaves, w.hash[rare])
+                at[at == len(self.leaves)] = 0
+                known = self.leaves[at] == w.hash[rare]
+                out[rare[known]] = self.shares[at[known]]
+        return out
+
+
+def bucket_of(c: T.Chunk, w: T.Words, buckets: int) -> np.ndarray:
+    """By the last two bytes of the word (ASCII letters in lower case)."""
+    one, two = (T.ASCII_LOWER[c.data[np.maximum(w.end - k, w.start)]].astype(np.uint64) for k in (1, 2))
+    last = one * np.uint64(131) + two
+    return (T.mix(last) % np.uint64(buckets)).astype(np.int64)
+
 
 @dataclass
 class Network:
@@ -84,27 +111,30 @@ class Network:
         return Network(*parts)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, hidden values and logarithms of the probabilities of all tokens."""
+        """Inputs, hidden values and scores of all tokens, the largest of which is 0: logarithms of probabilities but
+        for a constant of the row."""
         x = self.embed[context].reshape(len(context), -1)
         h = np.tanh(x @ self.hidden + self.hidden_bias)
         z = h @ self.output
         z += self.output_bias
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return x, h, z
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.zeros(len(target), np.float64)
         for at in range(0, len(target), BATCH):
             t = target[at : at + BATCH]
-            out[at : at + BATCH] = self.forward(context[at : at + BATCH])[2][np.arange(len(t)), t]
+            z = self.forward(context[at : at + BATCH])[2]
+            own = z[np.arange(len(t)), t]
+            out[at : at + BATCH] = own - np.log(np.exp(z, out=z).sum(axis=1))
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean of -log p (gradients of embeddings are summed per token)."""
         n = len(target)
         x, h, z = self.forward(context)
-        g = np.exp(z)
+        g = np.exp(z, out=z)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(n), target] -= 1
         g *= np.float32(rate / n)
         back = (g @ self.output.T) * (1 - h * h)
@@ -133,29 +163,64 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).filter(F.length("text") > 0)
 
 
-def build_vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = 191, buckets: int = 64) -> Vocabulary:
-    """The most frequent words (ASCII letters in lower case) of all documents; ties by hash."""
+def build_vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = 191, buckets: int = 64, least: int = 2, most_leaves: int = 1 << 21) -> Vocabulary:
+    """The most frequent words (ASCII letters in lower case) of all documents, ties by hash, and leaves for the rest."""
 
     def counts(batches):
         def rows(total):
-            yield pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1], pa.int32()), pa.array(total[2], pa.int64())], names=["word", "bucket", "n"])
 
-        words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        words, bucket, n = empty
         for batch in batches:
             for c in T.chunks(batch.column(0)):
-                one, times = np.unique(T.words(c, T.SPACED_WORDS, T.ASCII_LOWER).hash, return_counts=True)
-                both = np.concatenate([words, one])
-                words, back = np.unique(both, return_inverse=True)
+                w = T.words(c, T.SPACED_WORDS, T.ASCII_LOWER)
+                one, at, times = np.unique(w.hash, return_index=True, return_counts=True)
+                both, places = np.concatenate([words, one]), np.concatenate([bucket, bucket_of(c, w, buckets)[at]])
+                words, first, back = np.unique(both, return_index=True, return_inverse=True)
                 n = np.bincount(back, np.concatenate([n, times]), minlength=len(words)).astype(np.int64)
+                bucket = places[first]
                 if len(words) > 500_000:  # partial sums are enough
-                    yield from rows((words, n))
-                    words, n = words[:0], n[:0]
-        yield from rows((words, n))
+                    yield from rows((words, bucket, n))
+                    words, bucket, n = empty
+        yield from rows((words, bucket, n))
 
-    top = _texts(docs, text_col).mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    summed = cut(_texts(docs, text_col).mapInArrow(counts, "word long, bucket int, n long").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")))
+    top = summed.orderBy(F.desc("n"), "word").limit(frequent).collect()
     hashes = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], 1 + order.astype(np.int64), buckets)
+    found = Vocabulary(hashes[order], 1 + order.astype(np.int64), buckets)
+    if not top:
+        return found
+    last = F.struct((-F.col("n")).alias("n"), "word") > F.struct(F.lit(-top[-1].n).cast("long").alias("n"), F.lit(top[-1].word).cast("long").alias("word"))
+    rest = summed.filter(last)
+    left = 0
+    for r in sorted(rest.filter(F.col("n") >= least).groupBy("n").count().collect(), key=lambda r: -r.n):
+        left += r["count"]
+        if left > most_leaves:
+            least = r.n + 1
+            break
+    total, low, kinds = np.ones(buckets), np.ones(buckets), np.ones(buckets)
+    rare = F.col("n") < least
+    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("low"), F.count_if(rare).alias("kinds")).collect():
+        total[r.bucket] += r.n
+        low[r.bucket] += r.low
+        kinds[r.bucket] += r.kinds
+    kept = rest.filter(~rare).toArrow()
+    words = kept["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    shares = np.log(kept["n"].to_numpy() / total[kept["bucket"].to_numpy()]).astype(np.float32)
+    return replace(found, leaves=words[order], shares=shares[order], others=np.log(low / total / kinds))
+
+
+def targets(w: T.Words, turn: int, rounds: int, masked: float | None = None) -> np.ndarray:
+    """The words that are masked in a round: a share `masked` of all, by default the part of that round, so that each
+    word is masked in one round. The shares of later rounds begin where the one before ended."""
+    width = -(-(1 << 64) // rounds) if masked is None else int(masked * 2**64)
+    if not width:
+        return np.zeros(0, np.int64)
+    place = (np.arange(len(w.hash)) - w.bounds[w.row]).astype(np.uint64)
+    return np.flatnonzero(T.mix(place ^ w.hash) - np.uint64(turn * width % (1 << 64)) <= np.uint64(min(width, 1 << 64) - 1))
 
 
 def _average(parts: DataFrame) -> DataFrame:
@@ -175,25 +240,27 @@ def _average(parts: DataFrame) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 3, masked: float = 0.15, side: int = 2, width: int = 16, units: int = 32, rate: float = 0.5, slots: int = 16
+    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 3, masked: float | None = None, side: int = 2, width: int = 16, units: int = 32, rate: float = 0.5, slots: int = 16
 ) -> Network:
     """No documents with words: the network as it starts."""
     network = Network.start(vocabulary.size, side, width, units)
     source = _texts(docs, text_col)
+    vocabulary = replace(vocabulary, leaves=None, shares=None, others=None)  # not trained: shares of counts
     for turn in range(rounds):
 
-        def copies(batches, now=network):
+        def copies(batches, now=network, turn=turn):
             own, seen = now.like(now.flat()), 0
             for batch in batches:
                 for c in T.chunks(batch.column(0)):
                     w = T.words(c, T.SPACED_WORDS, T.ASCII_LOWER)
                     tokens = vocabulary.tokens(c, w)
-                    at = np.arange(len(tokens), dtype=np.uint64)
-                    at = np.flatnonzero(T.mix(at ^ w.hash) < np.uint64(masked * 2**64))
-                    near = contexts(tokens, w, at, side)
-                    for i in range(0, len(at), BATCH // 8):
-                        some = slice(i, i + BATCH // 8)
-                        own.step(near[some], tokens[at[some]], rate * min(1.0, len(at[some]) / 64))
+                    at = targets(w, turn, rounds, masked)
+                    for first in range(0, len(at), 1 << 16):
+                        part = at[first : first + (1 << 16)]
+                        near, goal = contexts(tokens, w, part, side), tokens[part]
+                        for i in range(0, len(part), BATCH // 8):
+                            some = slice(i, i + BATCH // 8)
+                            own.step(near[some], goal[some], rate * min(1.0, len(goal[some]) / 64))
                     seen += len(at)
             if seen:
                 pieces = np.array_split(own.flat().astype(np.float64) * seen, _PIECES)
@@ -201,8 +268,7 @@ def train(
                 cols = [pa.array(range(_PIECES), pa.int32()), pa.array([slot] * _PIECES, pa.int32()), pa.array([seen] * _PIECES, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["piece", "slot", "n", "values"])
 
-        part = source.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
-        first = _average(part.mapInArrow(copies, "piece int, slot int, n long, values binary").repartition("piece", "slot"))
+        first = _average(source.mapInArrow(copies, "piece int, slot int, n long, values binary").repartition("piece", "slot"))
         last = _average(first.withColumn("slot", F.lit(0)).repartition("piece")).collect()  # _PIECES rows
         if last:
             rows = sorted(last, key=lambda r: r.piece)
@@ -224,7 +290,7 @@ def score_pseudo_likelihood(docs: DataFrame, vocabulary: Vocabulary, network: Ne
             for c in T.chunks(batch.column(1)):
                 w = T.words(c, T.SPACED_WORDS, T.ASCII_LOWER)
                 tokens = vocabulary.tokens(c, w)
-                total = np.zeros(c.rows)
+                total = np.bincount(w.row, vocabulary.within_buckets(w, tokens), minlength=c.rows).astype(np.float64)
                 for at in range(0, len(tokens), 1 << 16):
                     some = np.arange(at, min(at + (1 << 16), len(tokens)))
                     total += np.bincount(w.row[some], network.log_probabilities(contexts(tokens, w, some, side), tokens[some]), minlength=c.rows)

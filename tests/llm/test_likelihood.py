@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as T
-from quillgraph.llm.likelihood import Network, Vocabulary, build_vocabulary, contexts, score_pseudo_likelihood, train
+from quillgraph.llm.likelihood import Network, Vocabulary, build_vocabulary, contexts, score_pseudo_likelihood, targets, train
 
 
 def test_gradients_match_differences():
@@ -90,3 +90,28 @@ def test_contexts_stop_at_the_ends(side):
     w = T.words(c, T.SPACED_WORDS)
     got = contexts(np.array([5, 6, 7]), w, np.arange(3), side)
     assert got[:, side - 1].tolist() == [0, 5, 0] and got[:, side].tolist() == [6, 0, 0]
+
+
+def test_rare_words_have_leaves_and_each_bucket_sums_to_one(documents):
+    rows = [(i, f"the the the bation {'lotion' if i % 2 else 'the'} unique{i}ion") for i in range(12)]
+    v = build_vocabulary(documents(rows), frequent=1, buckets=4)
+    assert len(v.leaves) == 2  # bation, lotion; the others are found once
+    (c,) = T.chunks(pa.array(["the bation lotion unique3ion neverseenion"]))
+    w = T.words(c, T.SPACED_WORDS, T.ASCII_LOWER)
+    tokens = v.tokens(c, w)
+    assert len(set(tokens[1:].tolist())) == 1 and tokens[0] == 1
+    p = np.exp(v.within_buckets(w, tokens))
+    assert p[0] == 1 and p[1:].tolist() == pytest.approx([12 / 31, 6 / 31, 1 / 31, 1 / 31])
+    assert p[1] + p[2] + 13 * p[3] == pytest.approx(1)
+    scored = score_pseudo_likelihood(documents([(1, "the bation the"), (2, "the lotion the"), (3, "the garbledion the")]), v, Network.start(v.size, 2, 4, 5))
+    assert len({round(r.log_likelihood, 4) for r in scored.collect()}) == 3
+    assert len(build_vocabulary(documents(rows), frequent=1, buckets=4, most_leaves=1).leaves) == 1
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 7])
+def test_each_word_is_a_target_once(rounds):
+    (c,) = T.chunks(pa.array(["one two three four five six seven eight nine ten " * 40, "one two"]))
+    w = T.words(c, T.SPACED_WORDS)
+    got = [targets(w, turn, rounds) for turn in range(rounds)]
+    assert sorted(np.concatenate(got).tolist()) == list(range(402))
+    assert [len(targets(w, t, 2, 0.5)) for t in (0, 1, 2)] == [len(targets(w, 0, 2)), len(targets(w, 1, 2)), len(targets(w, 0, 2))]
