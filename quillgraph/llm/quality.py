@@ -5,7 +5,7 @@ label that are long enough. A document is kept if, for some reference, the Jense
 both histograms are small. Short documents have too few counts to judge and pass; base rules hold for all.
 
 Cost: one pass that sums histograms (each task sends one row for each label and bin), one pass that judges; no other
-shuffle. The references sent to executors are bounded by `max_languages`.
+shuffle. The references sent to executors have about a hundred counts for each label.
 """
 
 from __future__ import annotations
@@ -122,9 +122,9 @@ def base_counts(c: T.Chunk) -> dict[str, np.ndarray]:
     return out
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_languages: int = 64) -> dict[str, np.ndarray]:
-    """Summed histograms of all documents with a label and at least `min_words` words, for the `max_languages` labels
-    with the most words. The driver gets these sums only."""
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 50) -> dict[str, np.ndarray]:
+    """Summed histograms of all documents with a label and at least `min_words` words, for each label. The driver
+    gets these sums only."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -141,9 +141,9 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
 
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     summed = rows.mapInArrow(sums, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    per = summed.groupBy("lang").agg(F.sum(F.when(F.col("bin") >= CLASSES, F.col("n"))).alias("words"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    per = summed.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
     out = {}
-    for r in per.orderBy(F.desc("words"), "lang").limit(max_languages).collect():
+    for r in per.collect():
         out[r.lang] = np.zeros(BINS, np.int64)
         for b, n in r.bins.items():
             out[r.lang][b] = n

@@ -59,3 +59,12 @@ def test_js_distance_is_the_formula():
 def test_empty(documents):
     docs = documents([])
     assert language_references(docs) == {} and judge_quality(docs, {}).count() == 0
+
+
+def test_every_label_has_a_reference(documents):
+    docs = documents([(i, prose(60 + i, i), f"l{i:03}") for i in range(70)])
+    refs = language_references(docs)
+    assert sorted(refs) == [f"l{i:03}" for i in range(70)]
+    own = documents([(1, " ".join(f"zz{i}$%" for i in range(100)), "rare"), *[(10 + i, prose(200, i), f"l{i:03}") for i in range(70)]])
+    (judged,) = judge_quality(own.filter("doc_id = 1"), language_references(own)).collect()
+    assert judged.kept and judged.class_distance == 0  # the label with the fewest words has its own reference
