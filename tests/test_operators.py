@@ -69,6 +69,17 @@ def test_near_duplicate_collapse(spark):
             assert got[i] == (i if first is None else first)
 
 
+def test_near_duplicate_collapse_of_large_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 3)) if i % 3 else 0, i, rng.standard_normal(3).tolist()) for i in range(300)]
+    rows += [(7, 1000 + i, [1.0, 0.5, 0.0]) for i in range(5)]
+    rows += [(10 + i % 9, 2000 + i, rng.standard_normal(3).tolist()) for i in range(9 * 45)]
+    items = spark.createDataFrame(rows, "b int, id long, v array<double>")
+    whole = sorted(map(tuple, D.collapse_near_duplicates(items, "b", 0.9).collect()))
+    assert len({k for _, _, k in whole}) > 60
+    assert sorted(map(tuple, D.collapse_near_duplicates(items, "b", 0.9, most=40).collect())) == whole
+
+
 def test_diverse_selection(spark):
     rng = np.random.default_rng(1)
     v, score = rng.standard_normal((12, 4)), rng.random(12)
