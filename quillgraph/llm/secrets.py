@@ -117,4 +117,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = F.transform(
         reported, lambda p: F.struct(F.element_at(kinds, p["order"] + 1).alias("kind"), p["start"].alias("start"), p["end"].alias("end"), (p["order"] < len(STRONG)).alias("strong"))
     )
-    return found.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)], parts.alias("parts"))
+    # As the rows of a generator, parts are a column that a filter on them doesn't replace by all that leads to them.
+    return found.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)], F.explode(F.array(parts)).alias("parts"))

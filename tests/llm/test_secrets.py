@@ -74,3 +74,12 @@ def brute_sorted(text):
         if k.name in ("assign", "account"):
             out += [(m.start(), order, m.end(), k.name) for m in re.finditer(k.pattern, text)]
     return sorted(out)
+
+
+def test_a_filter_on_parts_does_not_repeat_the_scan(documents):
+    """The optimiser must not put what leads to the parts into the filter once for each use."""
+    docs = documents([(1, "token=abcdefgh"), (2, "none")])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    found = scan_secrets(docs)
+    assert plan(found.filter(F.size("parts") == 0)) == plan(found) < 30
+    assert [r.doc_id for r in found.filter(F.size("parts") == 0).collect()] == [2]
