@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import cut
@@ -31,7 +31,8 @@ def _sections(shares: DataFrame, holds, rounds: int = 4) -> float:
     low, high = 0.0, 1.0
     for _ in range(rounds):
         grid = [low + (high - low) * i / 32 for i in range(33)]
-        true = [holds(a, s) for a, s in zip(grid, _sums(shares, grid), strict=True)]
+        sums = _sums(shares, grid)
+        true = [holds(a, sums[a]) for a in grid]
         if not true[0]:
             return low
         if all(true):
@@ -41,12 +42,13 @@ def _sections(shares: DataFrame, holds, rounds: int = 4) -> float:
     return low
 
 
-def _sums(shares: DataFrame, grid: list[float]) -> list[tuple[float, float, float, float]]:
-    """At each exponent: sum of p ** a, sum of p ** a * ln p; then the least and largest share."""
-    p = F.col("share")
-    aggs = [x for i, a in enumerate(grid) for x in (F.sum(F.pow(p, F.lit(a))).alias(f"s{i}"), F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias(f"t{i}"))]
-    r = shares.agg(*aggs, F.min(p).alias("least"), F.max(p).alias("most")).first()
-    return [(r[f"s{i}"], r[f"t{i}"], r.least, r.most) for i in range(len(grid))]
+def _sums(shares: DataFrame, grid: list[float]) -> dict[float, Row]:
+    """At each exponent a: sum of p ** a (s), sum of p ** a * ln p (t), and the least and largest share. Exponents are
+    rows, so that every round runs the same code."""
+    p, power = F.col("share"), F.pow("share", "a")
+    rows = shares.select("share", F.explode(F.array(*map(F.lit, grid))).alias("a"))
+    sums = rows.groupBy("a").agg(F.sum(power).alias("s"), F.sum(power * F.log(p)).alias("t"), F.min(p).alias("least"), F.max(p).alias("most"))
+    return {r.a: r for r in sums.collect()}
 
 
 def mixing_exponent(shares: DataFrame, entropy_share: float, max_repeats: float, budget_share: float | None) -> float:
@@ -57,19 +59,18 @@ def mixing_exponent(shares: DataFrame, entropy_share: float, max_repeats: float,
     if n < 2:
         return 1.0
 
-    def entropy(a, s):
-        return math.log(s[0]) - a * s[1] / s[0]
+    def entropy(a, r):
+        return math.log(r.s) - a * r.t / r.s
 
-    def repeats(a, s):
-        least, most = s[2] ** (a - 1) / s[0], s[3] ** (a - 1) / s[0]  # weight over share, at the smallest and largest source
+    def repeats(a, r):
+        least, most = r.least ** (a - 1) / r.s, r.most ** (a - 1) / r.s  # weight over share, at the smallest and largest source
         return least / most if budget_share is None else least * budget_share
 
-    level = _sections(shares, lambda a, s: entropy(a, s) >= entropy_share * math.log(n) - 1e-12)
+    level = _sections(shares, lambda a, r: entropy(a, r) >= entropy_share * math.log(n) - 1e-12)
     # Too many repeats at 0 but not at 1: the exponent where that ends, from above.
-    grid = _sums(shares, [0.0])[0]
-    if repeats(0.0, grid) <= max_repeats:
+    if repeats(0.0, _sums(shares, [0.0])[0.0]) <= max_repeats:
         return level
-    low = _sections(shares, lambda a, s: repeats(a, s) > max_repeats)
+    low = _sections(shares, lambda a, r: repeats(a, r) > max_repeats)
     return max(level, min(1.0, low + 2.0**-20))
 
 
@@ -100,12 +101,14 @@ def mix_sources(
     rows = rows.withColumn("key", named)
     sources = cut(rows.groupBy("key").agg(F.sum("n").alias("total")))
     whole = sources.agg(F.sum("total")).first()[0] or 0
-    shares = sources.filter("total > 0").select("key", "total", (F.col("total") / F.lit(max(whole, 1))).alias("share"))
+    shares = cut(sources.filter("total > 0").select("key", "total", (F.col("total") / F.lit(max(whole, 1))).alias("share")))
     a = mixing_exponent(shares, entropy_share, max_repeats, budget_share)
     norm = shares.agg(F.sum(F.pow("share", F.lit(a))).alias("s"), F.max(F.pow("share", F.lit(1 - a))).alias("m")).first()
     # With no budget given, the source with the largest share over weight (s * p ** (1 - a)) is used exactly once.
     budget = whole * (budget_share if budget_share is not None else (norm.s or 0) * (norm.m or 0))
     quota = F.floor(F.pow(F.col("total") / F.lit(max(whole, 1)), F.lit(a)) / F.lit(norm.s or 1.0) * budget + 1e-6)
+    if budget_share is None:  # each document at least once, whatever the rounding of large products
+        quota = F.greatest(quota, F.col("total"))
     plan = sources.select(
         "key",
         "total",
