@@ -1,12 +1,14 @@
 """Language identification: nearest of several centroids per language, by cosine of TF-IDF vectors of byte n-grams.
 
-The classifier is fitted on a bounded sample of labelled rows (about `per_language` texts of each of at most
-`max_languages` labels, chosen by a hash): their n-gram counts are weighted by inverse document frequency and normalised, and each
-language's vectors are clustered by spherical k-means. A text gets the language of the centroid with the highest
-cosine. It is rejected if its distance (1 - cosine) exceeds what texts of about its length had in the sample, with a
-margin.
-
-Cost: one pass to count labels, one to choose the sample (only its texts are moved), one to predict; no other shuffle. The model's size is fixed by its parameters.
+The classifier is fitted on a bounded sample of labelled rows (about `per_language` texts of each label, chosen by a
+hash; with many labels fewer of each, so that there are about `most_rows` in all, but `least_rows` of each at least):
+their n-gram counts are weighted by inverse document frequency and normalised, and each language's vectors are clustered
+by spherical k-means. A text gets the language of the centroid with the highest cosine. It is rejected if its distance
+(1 - cosine) exceeds what texts of about its length had in the sample, with a margin.
+
+Cost: one pass to count labels, one to choose the sample (only its texts are moved), one to predict; no other shuffle.
+The driver gets the counts of the sample that are not 0, and holds one label's vectors at a time. The model has
+`clusters` centroids of 16 KB for each label.
 """
 
 from __future__ import annotations
@@ -100,52 +102,74 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def fit(labels: list[str], counts: np.ndarray, clusters: int = 3, rounds: int = 8, margin: float = 0.6) -> Model:
-    names = sorted(set(labels))
-    idf = np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    model = Model(names, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(20))
-    v, y = model.vectors(counts), np.array(labels)
-    parts = [_cluster(v[y == name], clusters, rounds) for name in names]
-    if parts:
-        model.centroids = np.concatenate(parts).astype(np.float32)
-        model.owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-        top, length = (v @ model.centroids.T).max(axis=1), length_class(counts)
-        for size in range(20):  # a low quantile of lengths up to a factor of two away, times the margin
-            near = top[np.abs(length - size) <= 1]
-            if len(near) >= 20:
-                model.least[size] = margin * float(np.quantile(near, 0.02))
+def fit(samples: dict[str, list[tuple[np.ndarray, np.ndarray]]], clusters: int = 3, rounds: int = 8, margin: float = 0.6) -> Model:
+    """samples: for each label its texts, as the slots and values of their counts that are not 0. Texts are put in order
+    of these, so that the model doesn't depend on the order in which they come."""
+    names = sorted(samples)
+
+    def matrix(name: str) -> np.ndarray:
+        out = np.zeros((len(samples[name]), DIMS), np.float32)
+        for row, (slots, values) in zip(out, sorted(samples[name], key=lambda t: (t[0].tobytes(), t[1].tobytes())), strict=True):
+            row[slots] = values
+        return out
+
+    df = np.zeros(DIMS)
+    for slots, _ in (t for name in names for t in samples[name]):
+        df[slots] += 1
+    total = sum(map(len, samples.values()))
+    model = Model(names, np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(1), np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(20))
+    if not names:
+        return model
+    parts = [_cluster(model.vectors(matrix(name)), clusters, rounds) for name in names]
+    model.centroids = np.concatenate(parts).astype(np.float32)
+    model.owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
+    seen = [(model.vectors(x) @ model.centroids.T).max(axis=1) for x in map(matrix, names)]
+    top, length = np.concatenate(seen), np.concatenate([length_class(matrix(name)) for name in names])
+    for size in range(20):  # a low quantile of lengths up to a factor of two away, times the margin
+        near = top[np.abs(length - size) <= 1]
+        if len(near) >= 20:
+            model.least[size] = margin * float(np.quantile(near, 0.02))
     return model
 
 
 def fit_language_model(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_languages: int = 64, clusters: int = 3
+    docs: DataFrame,
+    learn: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = 300,
+    most_rows: int = 6000,
+    least_rows: int = 20,
+    clusters: int = 3,
 ) -> Model:
     """A model of the rows where `learn` holds and label and text are not null, and the text has a letter.
 
-    The sample is the rows of lowest hash of id and text, about `per_language` of each label (all, if there are fewer;
-    rows that are alike count once), from the `max_languages` labels with the most rows. No rows: a model that rejects everything.
+    The sample is the rows of lowest hash of id and text, about min(`per_language`, max(`least_rows`, `most_rows` /
+    labels)) of each label (all, if there are fewer; rows that are alike count once). No rows: a model that rejects
+    everything.
     """
-    rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
+    sizes = {r._lang: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    each = min(per_language, max(least_rows, most_rows // max(len(sizes), 1)))
+    # The hash is uniform: below this part of its range lie about so many rows of a label. One lookup, for any labels.
+    upto = [F.lit(x) for name, n in sorted(sizes.items()) for x in (name, int(min(1.0, each / n) * 2**64) - 2**63 - 1)]
     rows = rows.withColumn("_order", F.xxhash64("_id", "_text"))
-    chosen = F.lit(False)  # the hash is uniform: below this part of its range lie about per_language rows
-    for r in sizes:
-        below = int(min(1.0, per_language / r["count"]) * 2**64) - 2**63 - 1
-        chosen = chosen | ((F.col("_lang") == r._lang) & (F.col("_order") <= below))
-    picked = rows.filter(chosen).dropDuplicates(["_lang", "_order"])
+    picked = (rows.filter(F.col("_order") <= F.create_map(*upto)[F.col("_lang")]) if sizes else rows.limit(0)).dropDuplicates(["_lang", "_order"])
 
     def vectorise(batches):
         for batch in batches:
             for c in T.chunks(batch.column(1), most_rows=_ROWS):
                 x = np.minimum(features(c), 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array([r.tobytes() for r in x], pa.binary())], names=["_lang", "x"])
-
-    got = picked.select("_lang", F.lower("_text").alias("_text")).mapInArrow(vectorise, "_lang string, x binary").orderBy("_lang", "x").collect()
-    names = [r._lang for r in got]
-    counts = np.frombuffer(b"".join(r.x for r in got), np.uint16).astype(np.float32).reshape(len(got), DIMS)
-    del got
-    return fit(names, counts, clusters)
+                found = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                cols = [pa.array([f.tobytes() for f in found], pa.binary()), pa.array([r[f].tobytes() for r, f in zip(x, found, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), *cols], names=["_lang", "slots", "counts"])
+
+    samples: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in picked.select("_lang", F.lower("_text").alias("_text")).mapInArrow(vectorise, "_lang string, slots binary, counts binary").collect():
+        samples.setdefault(r._lang, []).append((np.frombuffer(r.slots, np.uint16), np.frombuffer(r.counts, np.uint16)))
+    return fit(samples, clusters)
 
 
 def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
