@@ -3,13 +3,15 @@
 1. Classes. Each text becomes its set of shingle hashes; texts with equal sets (128-bit digest) are one class.
 2. Candidates. Sets are ordered by hash. Two sets that link share at least min(l, l') of their first
    p(n) = n - ceil(s n) + l(n) hashes, with l(n) about n / 8. So only those tokens are dealt out, in blocks of bytes, to
-   buckets; a token that two classes have names the least class as its hub. A class with fewer shared tokens than any
-   link needs is alone. Others drop their weakest hubs as long as these hold less than half of what a link needs: linked
-   classes keep a hub in common, while a passage that many documents share ties none of them together.
+   buckets, whose number follows the bytes; a token that two classes have names the least class as its hub. A token that
+   very many classes have (by a sample of the classes) is a hub itself, so that they need not meet in a bucket: which
+   tokens these are changes no result. A class with fewer shared tokens than any link needs is alone. Others drop
+   their weakest hubs as long as these hold less than half of what a link needs: linked classes keep a hub in common,
+   while a passage that many documents share ties none of them together.
 3. Groups. Connected components over kept hubs hold every linked pair. Their sets are read again, by a bitmap of ids.
 4. Trees. A group is searched by a signature tree (signature_tree.py), which compares the remaining pairs exactly. A
    group that is too large for a task is dealt out in blocks by a hash, with some sets that are in all blocks. Whatever
-   isn't in its group's largest component after that is compared with all blocks, again in bounded tasks.
+   isn't in its group's largest component after that is compared with all blocks, by trees too and in bounded tasks.
 
 No pair list is built, exact copies never meet as pairs, and no link is lost.
 """
@@ -24,12 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as T
-from quillgraph.llm.components import connected_components
+from quillgraph.llm.components import components_of_members, connected_components
 from quillgraph.llm.signature_tree import SignatureTree
 from quillgraph.session import arrow_rows, cut
 
-_BITMAP_BITS = 24
 _TOKEN_BITS = 48
+_BUCKET_BYTES = 8 << 20  # of tokens that meet
+_SAMPLED = 64  # of so many classes one is looked at for common tokens
+_MANY = 32  # classes of the sample that make a token common
+_MOST_COMMON = 1 << 20
 _SET_ROWS = 256  # sets that a task sends to Python at once: some kilobytes each
 
 
@@ -73,20 +78,48 @@ def _ceil_part(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _documents(docs: DataFrame, k: int) -> DataFrame:
+def _first_tokens(s: Shingles, percent: int) -> np.ndarray:
+    """Which hashes are among the p(n) first of their set."""
+    return np.arange(len(s.hash)) - s.bounds[s.row] < (s.n - _ceil_part(s.n, percent) + _least_shared(s.n))[s.row]
+
+
+def _documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """id, text_hash, size and digests of each text; of each 64th class, by its key, also the first tokens."""
+
     def digest(batches):
         for batch in batches:
             for c in T.chunks(batch.column(1)):
                 s = Shingles(c, k)
                 hi, key = s.digests()
+                tokens = s.hash >> np.uint64(64 - _TOKEN_BITS)
+                first = _first_tokens(s, percent)
+                asked = ((key >> 1) % _SAMPLED == 0) & (s.n > 0)
+                sample = [tokens[s.bounds[r] : s.bounds[r + 1]][first[s.bounds[r] : s.bounds[r + 1]]].tobytes() if asked[r] else None for r in range(c.rows)]
                 same = [batch.column(i).slice(c.first, c.rows) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(s.n, pa.int64()), pa.array(hi), pa.array(key)], names=["id", "text_hash", "n", "hi", "key"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(s.n, pa.int64()), pa.array(hi), pa.array(key), pa.array(sample, pa.binary())], names=["id", "text_hash", "n", "hi", "key", "sample"])
 
-    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long")
+    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long, sample binary")
 
 
-def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 500_000) -> DataFrame:
-    """bucket, tokens (32 bits beyond those of the bucket) and keys, as bytes."""
+def _common_tokens(rows: DataFrame, shingles: int, percent: int) -> np.ndarray:
+    """Tokens that very many classes have among their first, sorted: those of `_MANY` classes or more of the sample (of
+    more where these could be over `_MOST_COMMON`: what comes to the driver is never more)."""
+
+    def unpack(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
+
+    least = max(_MANY, -(-shingles * (100 - percent + 13) // (100 * _SAMPLED * _MOST_COMMON)))
+    sampled = rows.filter("sample is not null").groupBy("hi", "key").agg(F.first("sample").alias("sample")).select("sample")
+    common = sampled.mapInArrow(unpack, "token long").groupBy("token").count().filter(F.col("count") >= least)
+    return np.sort(common.select("token").toArrow()["token"].to_numpy().view(np.uint64))
+
+
+def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, common: np.ndarray, flush: int = 500_000) -> DataFrame:
+    """bucket, tokens (32 bits beyond those of the bucket) and keys, as bytes. Tokens that very many classes have lie in
+    buckets below 0 by key, and are numbers in `common`."""
     shift = np.uint64(64 - _TOKEN_BITS)
 
     def deal(batches):
@@ -96,21 +129,24 @@ def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, flush: in
             tokens, keys = np.concatenate([t for t, _ in held]), np.concatenate([x for _, x in held])
             held.clear()
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+            rest = (tokens // np.uint64(buckets)).astype(np.uint32)
+            if len(common):
+                at = np.searchsorted(common, tokens)
+                at[at == len(common)] = 0
+                many = common[at] == tokens
+                bucket[many], rest[many] = -1 - (keys[many] >> 1) % buckets, at[many]
             order = np.argsort(bucket, kind="stable")
-            at = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-            rest = (tokens // np.uint64(buckets)).astype(np.uint32)[order]
-            keys = keys[order]
+            at = np.append(np.flatnonzero(np.diff(bucket[order], prepend=buckets)), len(order))
+            rest, keys = rest[order], keys[order]
             rows = [(int(bucket[order[a]]), rest[a:b].tobytes(), keys[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "keys"])
 
         for batch in batches:
             for c in T.chunks(batch.column(0)):
                 s = Shingles(c, k)
-                place = np.arange(len(s.hash)) - s.bounds[s.row]
-                first = place < (s.n - _ceil_part(s.n, percent) + _least_shared(s.n))[s.row]
                 once = np.zeros(c.rows, bool)  # copies within a chunk go once
                 once[np.unique(s.digests()[1], return_index=True)[1]] = True
-                first &= once[s.row]
+                first = _first_tokens(s, percent) & once[s.row]
                 if first.any():
                     held.append((s.hash[first] >> shift, s.digests()[1][s.row[first]]))
                 if sum(len(t) for t, _ in held) > flush:
@@ -144,8 +180,9 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _hubs(blocks: DataFrame) -> DataFrame:
-    """key, hub, n: tokens that a class shares with others and whose least class is the hub."""
+def _hubs(blocks: DataFrame, tasks: int, common: np.ndarray) -> DataFrame:
+    """key, hub, shared: tokens that a class shares with others and whose least class is the hub. A token that very many
+    classes have is a hub itself (an odd number), so that its classes need not meet."""
 
     def meet(batches):
         for g in _groups(batches, ["bucket"]):
@@ -156,26 +193,32 @@ def _hubs(blocks: DataFrame) -> DataFrame:
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
             tokens, keys = tokens[new], keys[new]
-            at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-            many = np.diff(np.append(at, len(tokens)))
-            shared, hub = np.repeat(many > 1, many), np.repeat(keys[at], many)
-            keys, hub = keys[shared], hub[shared]
-            order = np.lexsort((hub, keys))
-            keys, hub = keys[order], hub[order]
-            at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (hub[1:] != hub[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(hub[at]), pa.array(np.diff(np.append(at, len(keys))), pa.int64())], names=["key", "hub", "n"])
-
-    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
+            if g.column("bucket")[0].as_py() < 0:
+                hub, many = (T.mix(common[tokens]) | np.uint64(1)).view(np.int64), np.ones(len(keys), np.int64)
+            else:
+                at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+                many = np.diff(np.append(at, len(tokens)))
+                shared, hub = np.repeat(many > 1, many), np.repeat(keys[at], many)
+                keys, hub = keys[shared], hub[shared]
+                order = np.lexsort((hub, keys))
+                keys, hub = keys[order], hub[order]
+                at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (hub[1:] != hub[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                keys, hub, many = keys[at], hub[at], np.diff(np.append(at, len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hub), pa.array(many, pa.int64())], names=["key", "hub", "n"])
+
+    dealt = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, "key long, hub long, n long").groupBy("key", "hub").agg(F.sum("n").alias("shared"))
 
 
-def _sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
-    """hi, key and set of the documents whose id is in `ids` (or by chance seems so)."""
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - _BITMAP_BITS)
+def _sets(docs: DataFrame, k: int, ids: DataFrame, count: int) -> DataFrame:
+    """hi, key and set of the documents whose id is in `ids`, of which there are `count` (or by chance seems so). Beyond
+    some ten million ids the bitmap is fuller and more texts are read than needed; it is 8 MB at most."""
+    bits = min(26, max(20, (8 * count).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    bitmap = np.zeros(1 << (_BITMAP_BITS - 6), np.uint64)
-    got = words.toPandas()  # at most 2 ** 18 rows, whatever the number of ids
-    bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    got = words.toArrow()  # a row for each 64 bits at most, whatever the number of ids
+    bitmap[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
 
     def read(batches):
         for batch in batches:
@@ -191,37 +234,42 @@ def _sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
     return docs.select(place.alias("p"), "text").mapInArrow(read, "hi long, key long, tokens binary")
 
 
-def _search(rows: DataFrame, by: list[str], percent: int, queries: bool) -> DataFrame:
-    """Edges (key to the first key of its component) within each group of rows; queries: rows have a label, and those
-    that are `asking` are compared with all others, while the rest are not among themselves."""
+def _classes_of(g: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The first row of each class of a group, in order, and its set."""
+    pair = np.stack([g.column("hi").to_numpy(), g.column("key").to_numpy()])
+    one = np.sort(np.unique(pair, axis=1, return_index=True)[1])
+    return one, [np.frombuffer(x, np.uint64) for x in g.column("tokens").take(pa.array(one)).to_pylist()]
+
+
+def _search(rows: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """For each class of a block: big (whether its group has other blocks), and of the first class that it is connected
+    with there the key and the first document. Rows are ordered by first document, so that this is the least one."""
 
     def search(batches):
-        for g in _groups(batches, by):
-            hi, key = g.column("hi").to_numpy(), g.column("key").to_numpy()
-            _, one = np.unique(np.stack([hi, key]), axis=1, return_index=True)  # repeats of a class
-            sets = [np.frombuffer(x, np.uint64) for x in g.column("tokens").take(pa.array(one)).to_pylist()]
-            hi, key = hi[one], key[one]
-            if queries:
-                label, asking = g.column("label").to_numpy()[one], g.column("asking").to_numpy()[one]
-                tree = SignatureTree(sets, percent)
-                pairs = []
-                for i in np.flatnonzero(asking).tolist():
-                    others = np.flatnonzero((label != label[i]) & (100 * tree.n >= percent * tree.n[i]) & (100 * tree.n[i] >= percent * tree.n))
-                    others = others[tree.roots()[others] != tree.find(i)]
-                    if len(others):
-                        for j in others[tree.linked(i, others)].tolist():
-                            pairs.append((i, j))
-                            tree.link(i, j)
-                a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-            else:
-                if len(sets) < 2:
-                    a = b = np.zeros(len(sets), np.int64)
-                else:
-                    a, b = np.arange(len(sets)), SignatureTree(sets, percent).components()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g.column("group")[0].as_py()), pa.int64()), pa.array(hi[a]), pa.array(key[a]), pa.array(key[b])], names=["group", "hi", "key", "root"])
+        for g in _groups(batches, ["group", "block"]):
+            one, sets = _classes_of(g)
+            root = SignatureTree(sets, percent).components() if len(sets) > 1 else np.zeros(len(sets), np.int64)
+            of = pa.array(one[root])
+            own = [g.column(c).take(pa.array(one)).combine_chunks() for c in ("big", "hi", "key")]
+            yield pa.RecordBatch.from_arrays([*own, *[g.column(c).take(of).combine_chunks() for c in ("key", "none", "id", "text_hash")]], names=["big", "hi", "key", "root", "none", "id", "text_hash"])
+
+    dealt = rows.repartition("group", "block").sortWithinPartitions("group", "block", "none", "id", "text_hash")
+    return dealt.mapInArrow(search, f"big boolean, hi long, key long, root long, none boolean, id {id_type}, text_hash long")
+
+
+def _search_rest(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of labels (u, v) that a set which is `asking` connects, by a tree over all sets of a block."""
+
+    def search(batches):
+        for g in _groups(batches, ["group", "block", "turn"]):
+            one, sets = _classes_of(g)
+            label, asking = (g.column(c).to_numpy(zero_copy_only=False)[one] for c in ("label", "asking"))
+            if len(sets) > 1 and asking.any():
+                root = label[SignatureTree(sets, percent).components(labels=label, asking=asking)]
+                pairs = np.unique(np.stack([label, root])[:, label != root], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
-    dealt = rows.repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(search, "group long, hi long, key long, root long")
+    return rows.repartition("group", "block", "turn").sortWithinPartitions("group", "block", "turn").mapInArrow(search, "u long, v long")
 
 
 def near_duplicates(
@@ -237,47 +285,49 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(_documents(docs, shingle)).withColumn("me", F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+    id_type = docs.schema["id"].dataType.simpleString()
+    rows = cut(_documents(docs, shingle, percent))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    common = _common_tokens(rows, total, percent)
+    rows = rows.select("n", "hi", "key", F.struct(F.col("id").isNull().alias("none"), "id", "text_hash").alias("me"))
     classes = cut(rows.filter("n > 0").groupBy("hi", "key").agg(F.min("n").alias("n"), F.min("me").alias("first")))
 
     # Candidates: what a class shares with others, its weakest hubs left out.
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hubs = _hubs(_token_blocks(docs, shingle, percent, buckets)).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
+    buckets = max(1, -(-total * 12 * (100 - percent + 13) // (100 * _BUCKET_BYTES)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    hubs = _hubs(_token_blocks(docs, shingle, percent, buckets, common), tasks, common).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
     # Of the sizes of its partners, the least decides: l(ceil(s n)).
     needed = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / 8), F.lit(1))
     weakest = Window.partitionBy("key").orderBy("shared", "hub")
-    hubs = hubs.select("key", "hub", "shared", needed.alias("needed"), F.sum("shared").over(Window.partitionBy("key")).alias("all"), F.sum("shared").over(weakest.rowsBetween(Window.unboundedPreceding, 0)).alias("sofar"))
+    hubs = hubs.select("key", "hub", needed.alias("needed"), F.sum("shared").over(Window.partitionBy("key")).alias("all"), F.sum("shared").over(weakest.rowsBetween(Window.unboundedPreceding, 0)).alias("sofar"))
     kept = hubs.filter("all >= needed and sofar > floor((needed - 1) / 2)")
-    grouped = connected_components(kept.select(F.col("key").alias("u"), F.col("hub").bitwiseOR(F.lit(1)).alias("v")))
-    grouped = grouped.filter(F.col("node") % 2 == 0).select(F.col("node").alias("key"), F.col("label").alias("group"))
-    members = classes.join(grouped, "key")
+    grouped = components_of_members(kept.select(F.col("key").alias("member"), "hub")).select(F.col("member").alias("key"), F.col("label").alias("group"))
+    members = cut(classes.join(grouped, "key"))
     sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), *[F.min(F.when(_part("key") == i, F.xxhash64("key", F.lit(3)))).alias(f"p{i}") for i in range(4)])
     blocks = F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("sets") / block_sets)).cast("int")
-    sizes = sizes.filter("sets > 1").select("group", blocks.alias("blocks"), *[f"p{i}" for i in range(4)])
+    sizes = cut(sizes.filter("sets > 1").select("group", blocks.alias("blocks"), *[f"p{i}" for i in range(4)]))
     pivot = F.xxhash64("key", F.lit(3)).isin(*[F.col(f"p{i}") for i in range(4)])
     members = cut(members.join(sizes, "group").select("group", "blocks", "hi", "key", "n", "first", pivot.alias("pivot")))
+    count = members.count()
 
     # Trees over groups; those of several blocks have some sets (pivots) in all of them.
     home = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
     places = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
-    sets = _sets(docs, shingle, members.select("first.id")).join(members.select("group", "hi", "key", places.alias("places")), ["hi", "key"])
+    sets = _sets(docs, shingle, members.select("first.id"), count).join(members.select("group", "blocks", "hi", "key", places.alias("places"), "first.*"), ["hi", "key"])
+    sets = sets.select("group", F.explode("places").alias("block"), (F.col("blocks") > 1).alias("big"), "hi", "key", "none", "id", "text_hash", "tokens")
     with arrow_rows(spark, _SET_ROWS):
-        edges = cut(_search(sets.select("group", F.explode("places").alias("block"), "hi", "key", "tokens"), ["group", "block"], percent, False))
+        edges = cut(_search(sets, percent, id_type))
+    component = F.struct("none", "id", "text_hash").alias("component")
+    labelled = edges.filter("not big").select("hi", "key", component)
     large = members.filter("blocks > 1")
-    if large.isEmpty():
-        whole = edges.select("hi", "key", "root")
-    else:
-        inside = edges.join(large.select("group").distinct(), "group", "left_semi").select(F.col("key").alias("u"), F.col("root").alias("v"))
-        labels = cut(connected_components(inside).withColumnRenamed("node", "key"))
-        final = _across_blocks(docs, shingle, large, labels, percent, block_tokens, block_sets, home)
-        whole = edges.join(large.select("group").distinct(), "group", "left_anti").select("hi", "key", "root")
-        whole = whole.unionByName(large.select("hi", "key").join(final.select("key", F.col("label").alias("root")), "key").select("hi", "key", "root"))
-
-    best = whole.join(classes, ["hi", "key"])
-    of_root = best.groupBy("root").agg(F.min("first").alias("component"))
-    labelled = best.select("hi", "key", "root").join(of_root, "root").select("hi", "key", "component")
-    by_class = classes.join(labelled, ["hi", "key"], "left").select("hi", "key", F.coalesce("component", "first").alias("component"))
-    found = rows.filter("n > 0").join(by_class, ["hi", "key"], "left").select("me", "n", "component")
+    if not large.isEmpty():
+        labels = cut(components_of_members(edges.filter("big").select(F.col("key").alias("member"), F.col("root").alias("hub")))).withColumnRenamed("member", "key")
+        labels = _across_blocks(docs, shingle, large, labels, percent, block_tokens, block_sets, home)
+        whole = cut(large.select("hi", "key", "first").join(labels, "key"))
+        least = cut(whole.groupBy("label").agg(F.min("first").alias("component")))
+        labelled = labelled.unionByName(whole.join(least, "label").select("hi", "key", "component"))
+    by_class = cut(classes.join(labelled, ["hi", "key"], "left").select("hi", "key", F.coalesce("component", "first").alias("component")))
+    found = rows.filter("n > 0").join(by_class, ["hi", "key"]).select("me", "n", "component")
     found = found.unionByName(rows.filter("n = 0").select("me", "n", F.col("me").alias("component")))
     return found.select(
         F.col("me.id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"), "me.text_hash", F.col("me").eqNullSafe(F.col("component")).alias("first")
@@ -291,13 +341,13 @@ def _part(key: str) -> Column:
 def _across_blocks(docs: DataFrame, k: int, large: DataFrame, labels: DataFrame, percent: int, block_tokens: int, block_sets: int, home: Column) -> DataFrame:
     """key, label of the members of groups of several blocks. labels: what their blocks linked. The sets outside of a
     group's largest component so far are compared with all others of the group; mostly there are none."""
-    tagged = large.join(labels, "key")
-    main = tagged.groupBy("group", "label").agg(F.count("*").alias("many")).groupBy("group").agg(F.max_by("label", F.struct("many", "label")).alias("main"))
+    tagged = cut(large.join(labels, "key"))
+    main = cut(tagged.groupBy("group", "label").agg(F.count("*").alias("many")).groupBy("group").agg(F.max_by("label", F.struct("many", "label")).alias("main")))
     tagged = cut(tagged.join(main, "group").select("group", "blocks", "hi", "key", "n", "first", "label", (F.col("label") != F.col("main")).alias("asking")))
     if tagged.filter("asking").isEmpty():
         return labels
-    turns = tagged.filter("asking").groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / block_tokens), F.ceil(F.count("*") / block_sets)).cast("int").alias("turns"))
-    tagged = tagged.join(turns, "group")
+    turns = cut(tagged.filter("asking").groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / block_tokens), F.ceil(F.count("*") / block_sets)).cast("int").alias("turns")))
+    tagged = cut(tagged.join(turns, "group"))
     turn = F.pmod(F.xxhash64("key", F.lit(4)), F.col("turns")).cast("int")
     # Members in their block at every turn; those that ask in every block, at their turn (and not as members there).
     every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
@@ -305,8 +355,9 @@ def _across_blocks(docs: DataFrame, k: int, large: DataFrame, labels: DataFrame,
     is_at = every("turns", lambda t: F.struct(home.alias("block"), t.alias("turn"), F.lit(False).alias("asking")))
     others = F.filter(is_at, lambda p: ~F.col("asking") | (p["turn"] != turn))
     places = tagged.select("group", "hi", "key", "label", F.concat(F.coalesce(asks, F.array().cast("array<struct<block:int,turn:int,asking:boolean>>")), others).alias("places"))
-    sets = _sets(docs, k, tagged.select("first.id")).join(places, ["hi", "key"])
+    sets = _sets(docs, k, tagged.select("first.id"), tagged.count()).join(places, ["hi", "key"])
     rows = sets.select("group", "hi", "key", "label", "tokens", F.explode("places").alias("p")).select("group", "hi", "key", "label", "tokens", "p.*")
     with arrow_rows(docs.sparkSession, _SET_ROWS):
-        more = cut(_search(rows, ["group", "block", "turn"], percent, True)).select(F.col("key").alias("u"), F.col("root").alias("v"))
-    return connected_components(labels.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(more)).withColumnRenamed("node", "key")
+        more = cut(_search_rest(rows, percent))
+    further = cut(connected_components(more)).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return labels.join(further, "label", "left").select("key", F.coalesce("least", "label").alias("label"))

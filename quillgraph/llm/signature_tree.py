@@ -25,6 +25,7 @@ class SignatureTree:
         self.ids, self.tokens = None, flat
         self.starts = np.append(0, np.cumsum(self.n))
         self.parent = np.arange(len(sets))
+        self.asks: list[np.ndarray] | None = None
 
     # Components so far.
     def find(self, i: int) -> int:
@@ -86,6 +87,9 @@ class SignatureTree:
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of nodes may hold a similar pair that isn't connected yet."""
         bm, lo, hi, excess = self.levels[level]
+        if self.asks is not None:
+            some = self.asks[level][a] | self.asks[level][b]
+            a, b, kept = a[some], b[some], some
         # With s the similarity, both sizes are within a factor of s, and share s / (1 + s) of their sum.
         ok = (100 * hi[a] >= self.percent * lo[b]) & (100 * hi[b] >= self.percent * lo[a])
         uniform = self.uniform[level]
@@ -96,6 +100,9 @@ class SignatureTree:
             common[at : at + step] = np.bitwise_count(bm[a[at : at + step]] & bm[b[at : at + step]]).sum(axis=1)
         most = np.minimum(common + np.minimum(excess[a], excess[b]), np.minimum(hi[a], hi[b]))
         ok[ok] = (100 + self.percent) * most >= self.percent * (lo[a] + lo[b])
+        if self.asks is not None:
+            kept[kept] = ok
+            return kept
         return ok
 
     def _uniform(self) -> None:
@@ -115,10 +122,24 @@ class SignatureTree:
         ok = (x < below) & (y < below) & (x <= y if level > 1 else x < y)
         return x[ok], y[ok]
 
-    def components(self, pivots: int = 2) -> np.ndarray:
-        """For each set the number of the first set of its component."""
+    def _asking(self, asking: np.ndarray) -> None:
+        """For each node whether a set below it asks."""
+        some = asking[self.order]
+        self.asks = [some]
+        for fan in [_LEAF] + [_FAN] * (len(self.levels) - 2):
+            some = np.logical_or.reduceat(some, np.arange(0, len(some), fan))
+            self.asks.append(some)
+
+    def components(self, pivots: int = 2, labels: np.ndarray | None = None, asking: np.ndarray | None = None) -> np.ndarray:
+        """For each set the number of the first set of its component. Sets of equal labels are connected to begin with;
+        with `asking`, only pairs are compared of which one asks."""
         m = len(self.n)
-        if m == 2:
+        if labels is not None:
+            _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+            self.parent = first[back]
+        if asking is not None:
+            pivots = 0
+        elif m == 2:
             if self.linked(0, np.array([1]))[0]:
                 self.link(0, 1)
             return self.roots()
@@ -133,6 +154,8 @@ class SignatureTree:
             return self.roots()
         self._build()
         self._uniform()
+        if asking is not None:
+            self._asking(asking)
         top = len(self.levels) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:

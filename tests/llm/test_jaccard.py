@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm.components import connected_components
+from quillgraph.llm import components, jaccard
+from quillgraph.llm.components import components_of_members, connected_components
 from quillgraph.llm.jaccard import near_duplicates
 from quillgraph.llm.signature_tree import SignatureTree
 
@@ -75,6 +76,45 @@ def test_components_are_those_of_all_pairs(documents, kw):
     assert sorted(map(tuple, found), key=str) == brute(rows)
 
 
+def test_common_tokens_change_nothing(documents, monkeypatch):
+    """With every class looked at, and tokens of two classes common, none meet in buckets."""
+    monkeypatch.setattr(jaccard, "_SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "_MANY", 2)
+    monkeypatch.setattr(jaccard, "_BUCKET_BYTES", 1000)
+    rows = corpus(11)
+    found = near_duplicates(documents(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+
+
+def test_most_sets_of_a_group_ask(documents):
+    """A passage ties many small groups of near copies into one large candidate group of many blocks: nearly all sets lie
+    outside of its largest component, and pairs lie in different blocks."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(30)]
+    rows = []
+    for g in range(40):
+        base = passage + [word() for _ in range(25)]
+        for _ in range(3):
+            t = list(base)
+            t[rng.randrange(len(passage), len(t))] = word()
+            rows.append((len(rows) * 7 % 1009, " ".join(t)))
+    found = near_duplicates(documents(rows), block_sets=12, block_tokens=100_000).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    assert len({r.component_id for r in found}) >= 40
+
+
+def test_very_long_texts(documents):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(250_000)]
+    near = list(base)
+    for i in range(0, len(near), 5000):
+        near[i] = "changed"
+    rows = [(2, " ".join(base)), (1, " ".join(near)), (3, " ".join(base[:100_000])), (4, "short text of six words here")]
+    found = {r.doc_id: r.component_id for r in near_duplicates(documents(rows)).collect()}
+    assert found == {2: 1, 1: 1, 3: 3, 4: 4}
+
+
 def test_odd_rows(documents, odd):
     rows = [*odd, (30, "WORD"), (31, "a B c D e f"), (32, "A b C d E F")]
     out = near_duplicates(documents(rows, extra="key"))
@@ -104,6 +144,10 @@ def test_tree_is_exact():
             return 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
 
         assert SignatureTree(sets).components().tolist() == roots(len(sets), linked)
+        # Sets of one label are connected; of the other pairs only those count of which one asks.
+        label, asks = rng.integers(0, 5, len(sets)), rng.random(len(sets)) < 0.4
+        want = roots(len(sets), lambda i, j: label[i] == label[j] or ((asks[i] or asks[j]) and linked(i, j)))
+        assert SignatureTree(sets).components(labels=label, asking=asks).tolist() == want
 
 
 def test_connected_components(spark):
@@ -118,6 +162,23 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 2_000_000])
+def test_components_of_members(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "_BLOCK", block)
+    rng = random.Random(2)
+    pairs = [(rng.randrange(400), rng.randrange(300)) for _ in range(450)] + [(1000 + i, 1) for i in range(300)] + [(2000, 7), (2000, 7)]
+    hubs = sorted({h for _, h in pairs})
+    of: dict = {}
+    for m, h in pairs:
+        of.setdefault(m, []).append(hubs.index(h))
+    together = {(a, b) for v in of.values() for a in v for b in v}
+    root = roots(len(hubs), lambda i, j: (i, j) in together)
+    want = {m: hubs[root[v[0]]] for m, v in of.items()}
+    got = components_of_members(spark.createDataFrame(pairs, "member long, hub long")).collect()
+    assert {r.member: r.label for r in got} == want and len(got) == len(want)
+    assert components_of_members(spark.createDataFrame([], "member long, hub long")).count() == 0
+
+
 def test_hot_group_of_near_copies(documents):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
