@@ -12,13 +12,13 @@ from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.jaccard import near_duplicates
 from quillgraph.llm.language import fit_language_model, identify_language
 from quillgraph.llm.licenses import scan_licenses
-from quillgraph.llm.likelihood import build_vocabulary, score_pseudo_likelihood, train
+from quillgraph.llm.likelihood import build_vocabulary, encode, score_encoded, train
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import judge_quality, language_references
 from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.tokens import token_counts
 from quillgraph.llm.urls import judge_urls
-from quillgraph.session import table
+from quillgraph.session import cut, table
 
 try:
     import public_tokenizers
@@ -68,7 +68,8 @@ def op5_link_graph_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = build_vocabulary(docs)
-    scored = score_pseudo_likelihood(docs, vocabulary, train(docs, vocabulary))
+    encoded = cut(encode(docs, vocabulary))
+    scored = score_encoded(encoded, train(encoded, vocabulary))
     return scored.withColumns({c: F.round(c, 4) for c in ("log_likelihood", "per_word")})
 
 
