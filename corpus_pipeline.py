@@ -23,8 +23,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are rejected go: no letters, or too far from every language (all, if no row has a label)."""
+    """Documents that are rejected go: null, empty or without letters, or too far from every language. If no row has a
+    label, nothing is learned, and all documents stay. Repeated rows are judged each, and alike."""
     model = fit_language_model(docs, ~held_out(F.col("doc_id")))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     judged = identify_language(docs.withColumn("id", F.col("doc_id")), model, id_col="id", keep=COLUMNS)
     return judged.filter(~F.col("rejected")).select(*COLUMNS)
 
@@ -44,18 +47,22 @@ def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none and stay; so do all if there
+    are no items. Repeated rows are judged each, and alike."""
     judged = decontaminate(docs.withColumn("id", F.col("doc_id")), table(spark, sf_dir, "benchmark"), id_col="id", keep=COLUMNS)
     return judged.filter(F.size("spans") == 0).select(*COLUMNS)
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a secret, or linked parts of a credential, are found go."""
+    """Documents in which a secret, or linked parts of a credential, are found go. Null and empty texts stay; repeated
+    rows are judged each, and alike."""
     return scan_secrets(docs.withColumn("id", F.col("doc_id")), id_col="id", keep=COLUMNS).filter(F.size("parts") == 0).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The order of training: each document at least once, those of small sources more often."""
+    """The order of training: each document at least once, those of small sources more often. Null and empty texts have
+    no tokens and are used once for each time their source is; a null source is a source of its own. Ties of the order
+    go by hash and id, repeated rows are used each; no documents give no rows."""
     return mix_sources(docs)
 
 
