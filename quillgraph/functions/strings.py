@@ -77,3 +77,48 @@ def page_title(html: Column) -> Column:
 
 def backoff(attempts: Column, base: float = 30.0, cap: float = 3600.0) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempts - 1), F.lit(cap))
+
+
+def strip_markers(text: Column, keep: Column) -> Column:
+    """The text without the markers `[N]` whose N is not in `keep`, and with its spacing repaired. A dash that joined a
+    marker to one that went goes with it; line breaks and indentation stay."""
+    bare = F.regexp_replace(text, "\x01", "")
+    parts, marks = F.split(bare, r"\[[0-9]+\]", -1), F.regexp_extract_all(bare, F.lit(r"\[([0-9]+)\]"), F.lit(1))
+    mark = lambda m: F.when(m.isNull(), "").when(F.array_contains(keep, m.cast("int")), F.concat(F.lit("["), m, F.lit("]"))).otherwise("\x01")
+    out = F.array_join(F.transform(parts, lambda p, i: F.concat(p, mark(F.get(marks, i)))), "")
+    out = F.regexp_replace(out, "\x01[ \t]*[-–—][ \t]*(?=\\[[0-9]+\\]|\x01)", "\x01")
+    out = F.regexp_replace(out, "(\\[[0-9]+\\])[ \t]*[-–—][ \t]*(?=\x01)", "$1")
+    out = F.regexp_replace(out, "[ \t]*\x01[ \t]*", " ")
+    out = F.regexp_replace(out, r"(?<=\S)[ \t]{2,}", " ")
+    out = F.regexp_replace(out, r"[ \t]+([.,;:!?])", "$1")
+    return F.trim(F.regexp_replace(out, r"[ \t]+\n", "\n"))
+
+
+def hmac_sha256(key: str, body: Column) -> Column:
+    """Hexadecimal HMAC of a text under a key of up to 64 bytes."""
+    raw = key.encode()
+    if len(raw) > 64:
+        raise ValueError("keys have 64 bytes at most")
+    padded = raw.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in padded) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), body.cast("binary")), 256))), 256)
+
+
+def json_object(text: Column) -> Column:
+    """What stands from the first brace to the last one: a JSON object within prose, or null."""
+    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(found != "", found)
+
+
+def iso_time(text: Column) -> Column:
+    """An ISO 8601 date or time (Z or no zone: UTC), or null for anything else."""
+    bare = F.regexp_replace(F.regexp_replace(text, "Z$", ""), "T", " ")
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?Z?)?$"), bare.try_cast("timestamp_ntz"))
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    """The longest ending that two texts share."""
+    x, y = (F.split(F.reverse(F.coalesce(c, F.lit(""))), "", -1) for c in (a, b))
+    same = F.zip_with(x, y, lambda p, q: p.eqNullSafe(q) & (p != "") & q.isNotNull())
+    n = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")), lambda s: s["n"])
+    return F.when(n > 0, F.right(a, n)).otherwise("")

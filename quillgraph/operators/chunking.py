@@ -1,69 +1,155 @@
-"""Parsers whose state runs along a text: sections, packing, tables of contents, grounding. Arrow batches of whole rows."""
+"""Parsers whose state runs along a text: markdown chunks, packed blocks, tables of contents. Arrow batches of whole rows."""
 
 from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-_FENCE = re.compile(r"^\s*(```|~~~)")
-
-
-def sections_of(text: str) -> list[tuple[list[str], str]]:
-    """Heading path and body of each section; headings within fences are text. A line under-lined by = or - is a heading
-    of level 1 or 2."""
-    out: list[tuple[list[str], str]] = []
-    path: list[tuple[int, str]] = []
-    body: list[str] = []
-    fenced = False
-
-    def close():
-        if any(line.strip() for line in body):
-            out.append(([title for _, title in path], "\n".join(body).strip("\n")))
-        body.clear()
-
-    for line in text.split("\n"):
-        if _FENCE.match(line):
-            fenced = not fenced
-        hit = None if fenced else _HEADING.match(line)
-        level, title = (len(hit[1]), hit[2]) if hit else (0, "")
-        if not fenced and not hit and body and body[-1].strip() and re.fullmatch(r"=+|-{2,}", line.strip()):
-            level, title = (1 if line.strip()[0] == "=" else 2), body.pop().strip()
+_RULE = re.compile(r"^\s{0,3}(=+|-{2,})\s*$")
+
+
+@dataclass
+class Section:
+    """A heading path, and the blocks (text, whether it is a table) below it."""
+
+    path: tuple[str, ...]
+    blocks: list[tuple[str, bool]] = field(default_factory=list)
+
+
+def sections_of(text: str) -> list[Section]:
+    """Sections that have blocks, in order. Blocks end at blank lines, headings and where tables begin or end; a table is
+    one block; what stands within fences is text. A line that is underlined by = or - is a heading of level 1 or 2."""
+    out, path, held, table, fence = [Section(())], [], [], False, None
+
+    def flush() -> None:
+        nonlocal table
+        body = "\n".join(held).strip("\n")
+        if body.strip():
+            out[-1].blocks.append((body, table))
+        held.clear()
+        table = False
+
+    lines, skip = text.splitlines(), False
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if skip:
+            skip = False
+            continue
+        if fence:
+            held.append(line)
+            fence = None if bare.startswith(fence * 3) else fence
+            continue
+        if bare.startswith(("```", "~~~")):
+            flush()
+            fence = bare[0]
+            held.append(line)
+            continue
+        if bare.startswith("|") != table:
+            flush()
+            table = bare.startswith("|")
+        hit = _HEADING.match(line)
+        level, title = (len(hit[1]), hit[2]) if hit and hit[2] else (0, "")
+        if not level and bare and not table and i + 1 < len(lines) and _RULE.match(lines[i + 1]):
+            level, title, skip = (1 if "=" in lines[i + 1] else 2), bare, True
         if level:
-            close()
+            flush()
             path = [p for p in path if p[0] < level] + [(level, title)]
+            out.append(Section(tuple(t for _, t in path)))
+        elif not bare:
+            flush()
         else:
-            body.append(line)
-    close()
+            held.append(line)
+    flush()
+    return [s for s in out if s.blocks]
+
+
+def _pieces(block: str, room: int) -> list[str]:
+    """A block of text that is too large, as groups of lines; a line that is, in equal cuts."""
+    out: list[str] = []
+    for line in block.split("\n"):
+        for part in [line[i : i + room] for i in range(0, len(line), room)] or [""]:
+            if out and len(out[-1]) + 1 + len(part) <= room:
+                out[-1] += "\n" + part
+            else:
+                out.append(part)
     return out
 
 
-def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, ordinal, path, body. Null texts have no sections."""
+def chunks_of(title: str, text: str, least: int = 300, most: int = 1200) -> list[tuple[tuple[str, ...], str]]:
+    """Heading path (from the title on) and text of each chunk, of up to `most` tokens (four characters each) with its
+    heading line; tables stay whole. A chunk of fewer than `least` tokens joins the one before it, if one's path leads to
+    the other's or both are of one section."""
+    head = lambda path: " > ".join(path) + "\n\n"
+    tokens = lambda path, body: len(head(path) + body) // 4
+    units: list[tuple[tuple[str, ...], str]] = []
+    for s in sections_of(text):
+        path = (title, *(s.path[1:] if s.path and s.path[0].strip().lower() == title.strip().lower() else s.path))
+        room, body = max(1, most * 4 - len(head(path))), ""
+        for block, is_table in s.blocks:
+            for part in [block] if is_table or len(block) <= room else _pieces(block, room):
+                if body and len(body) + 2 + len(part) > room:
+                    units.append((path, body))
+                    body = part
+                else:
+                    body += ("\n\n" if body else "") + part
+        units.append((path, body))
+    out: list[tuple[tuple[str, ...], str]] = []
+    for path, body in units:
+        if out:
+            before, held = out[-1]
+            n = min(len(before), len(path))
+            near = before[:n] == path[:n] or before[:-1] == path[:-1]
+            small = tokens(path, body) < least or (len(out) == 1 and tokens(before, held) < least)
+            joined = f"{held}\n\n{path[-1] + chr(10) if path != before and len(path) > 1 else ''}{body}"
+            if near and small and tokens(before, joined) <= most:
+                out[-1] = (before, joined)
+                continue
+        out.append((path, body))
+    return out
+
+
+def markdown_chunks(docs: DataFrame, id_col: str, title_col: str, text_col: str, least: int = 300, most: int = 1200) -> DataFrame:
+    """id, ordinal, path, body. Null texts have no chunks."""
 
     def parse(frames):
         for pdf in frames:
-            rows = [(i, n, path, body) for i, text in zip(pdf["i"], pdf["t"], strict=True) for n, (path, body) in enumerate(sections_of(text))]
+            rows = [(i, n, list(path), body) for i, title, text in zip(pdf["i"], pdf["h"], pdf["t"], strict=True) for n, (path, body) in enumerate(chunks_of(title, text, least, most))]
             yield pd.DataFrame(rows, columns=[id_col, "ordinal", "path", "body"])
 
-    return docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(parse, f"{id_col} long, ordinal int, path array<string>, body string")
+    source = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(title_col), F.lit("")).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return source.mapInPandas(parse, f"{id_col} long, ordinal int, path array<string>, body string")
 
 
 def packed_blocks(text: str, limit: int) -> list[str]:
-    """Blocks between blank lines, joined while they fit; a block over the limit stays whole."""
-    out: list[str] = []
-    for block in re.split(r"\n\s*\n", text):
-        if not block.strip():
-            continue
-        if out and len(out[-1]) + 2 + len(block) <= limit:
-            out[-1] += "\n\n" + block
+    """Blocks, which end at blank lines and headings (each heading is one), packed while their sizes fit the limit; a
+    block over the limit stays whole."""
+    blocks: list[str] = []
+    held: list[str] = []
+    for line in [*text.splitlines(), ""]:
+        heading = bool(_HEADING.match(line))
+        if (heading or not line.strip()) and held:
+            blocks.append("\n".join(held))
+            held = []
+        if heading:
+            blocks.append(line)
+        elif line.strip():
+            held.append(line)
+    out: list[list[str]] = []
+    size = 0
+    for block in blocks:
+        if out and size + len(block) <= limit:
+            out[-1].append(block)
+            size += len(block)
         else:
-            out.append(block)
-    return out
+            out.append([block])
+            size = len(block)
+    return ["\n\n".join(p) for p in out]
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
@@ -95,25 +181,3 @@ def flatten_toc(trees: DataFrame, json_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "title", "parent", "level", "place"])
 
     return trees.select(F.col(json_col).alias("j")).mapInPandas(walk, "id string, title string, parent string, level int, place int")
-
-
-def is_grounded(name: str | None, text: str | None) -> bool:
-    """The name stands in the text as whole words, or two thirds of its words (four letters or more) do."""
-    if not name or not text:
-        return False
-    low = text.lower()
-    if re.search(rf"(?<!\w){re.escape(name.lower())}(?!\w)", low):
-        return True
-    words = {w for w in re.findall(r"\w+", name.lower()) if len(w) >= 4}
-    found = sum(bool(re.search(rf"(?<!\w){re.escape(w)}(?:s|es|ed|ing)?(?!\w)", low)) for w in words)
-    return bool(words) and 3 * found >= 2 * len(words)
-
-
-def grounded(rows: DataFrame, id_col: str, name_col: str, text_col: str) -> DataFrame:
-    """id, name, grounded."""
-
-    def judge(frames):
-        for pdf in frames:
-            yield pd.DataFrame({id_col: pdf["i"], "name": pdf["n"], "grounded": [is_grounded(n, t) for n, t in zip(pdf["n"], pdf["t"], strict=True)]})
-
-    return rows.select(F.col(id_col).alias("i"), F.col(name_col).alias("n"), F.col(text_col).alias("t")).mapInPandas(judge, f"{id_col} long, name string, grounded boolean")

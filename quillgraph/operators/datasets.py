@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.strings import hash_fraction
+from quillgraph.functions.strings import hash_fraction, tokens
+from quillgraph.operators.ordered import fold_groups, running
 
 
 def mix_weights(rows: DataFrame, group: str, size: str, target: dict[str, float]) -> DataFrame:
@@ -57,13 +58,12 @@ def apportion(groups: DataFrame, group: str, n: str, seats: int) -> DataFrame:
 def fair_share(items: DataFrame, group: str, budget: float) -> DataFrame:
     """group, id, given: max-min fair parts of the budget of a group, none above its size.
 
-    With sizes ascending, the level is the first k with k-th size * (items left) beyond what remains: a window, no loop.
+    With sizes ascending, the level is the first k with k-th size * (items left) beyond what remains: running sums, no
+    loop.
     """
-    w = Window.partitionBy(group).orderBy("size", "id")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.count("*").over(Window.partitionBy(group)) - F.row_number().over(w) + 1
-    level = (F.lit(budget) - before) / left
-    x = items.select(group, "id", "size", level.alias("level"))
+    x = running(items.select(group, "id", "size"), [group], [F.col("size"), F.col("id")], F.col("size"))
+    level = (F.lit(budget) - F.col("before")) / (F.col("n") - F.col("place") + 1)
+    x = x.select(group, "id", "size", level.alias("level"))
     cut = x.filter(F.col("size") > F.col("level")).groupBy(group).agg(F.min_by("level", F.struct("size", "id")).alias("cut"))
     return x.join(cut, group, "left").select(group, "id", F.least(F.col("size").cast("double"), F.coalesce("cut", F.col("size").cast("double"))).alias("given"))
 
@@ -71,19 +71,22 @@ def fair_share(items: DataFrame, group: str, budget: float) -> DataFrame:
 def pack_consecutive(rows: DataFrame, group: str, order: str, size: Column, limit: int) -> DataFrame:
     """group, order, pack: neighbours share a pack while its size stays within the limit (a larger row is alone).
 
-    The sum starts anew at each pack, which no window can say: a fold over each group's list of sizes.
+    The sum starts anew at each pack, which no window can say: a group's rows stream through a fold.
     """
-    g = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n")))).alias("r"))
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,pack:int>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        n = F.coalesce(x["n"], F.lit(0))
-        fits = (F.size(a["out"]) == 0) | (a["used"] + n <= limit)
-        pack = F.when(fits, a["pack"]).otherwise(a["pack"] + 1)
-        return F.struct(pack.alias("pack"), F.when(fits, a["used"] + n).otherwise(n).alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), pack.alias("pack")))).alias("out"))
+    def pack(key, rows):
+        number, used = 0, None
+        for r in rows:
+            n = r["_n"] or 0
+            if used is not None and used + n > limit:
+                number, used = number + 1, n
+            else:
+                used = (used or 0) + n
+            yield (*key, r["_o"], number)
 
-    packed = g.select(group, F.explode(F.aggregate("r", start, step)["out"]).alias("p"))
-    return packed.select(group, F.col("p.o").alias(order), F.col("p.pack").alias("pack"))
+    kind = rows.schema[group].dataType.simpleString()
+    sized = rows.select(group, F.col(order).cast("long").alias("_o"), size.cast("long").alias("_n"))
+    return fold_groups(sized, [group], ["_o"], pack, f"{group} {kind}, {order} long, pack int")
 
 
 def stratified_sample(rows: DataFrame, strata: str, id_col: str, seats: int, weight: Column | None = None) -> DataFrame:
@@ -94,3 +97,50 @@ def stratified_sample(rows: DataFrame, strata: str, id_col: str, seats: int, wei
     w = Window.partitionBy(strata).orderBy(F.desc("_key"), id_col)
     return rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(w)).join(by, strata).filter("_rn <= seats").drop("_key", "_rn", "seats")
 
+
+
+def balance(pairs: DataFrame, seed: str, band: float = 0.25, target: float = 0.0) -> DataFrame:
+    """id, kind of the pairs that make a balanced set: every A; C pairs without those that a seeded order drops while the
+    mean delta is above the band; then B pairs in a seeded order while the mean is below the target. ok: whether the
+    mean lies within the band at the end.
+
+    pairs: id, kind (A, B or C), delta. Each step is a running sum: the first place where the mean is reached.
+    """
+    key = F.sha2(F.concat(F.col("kind"), F.lit(f":{seed}:"), F.col("id").cast("string")), 256)
+    sums = pairs.groupBy("kind").agg(F.sum("delta").alias("s"), F.count("*").alias("n")).collect()  # three rows at most
+    s, n = ({r.kind: v for r, v in zip(sums, x, strict=True)} for x in ([r.s for r in sums], [r.n for r in sums]))
+    # From the end of each order; before: what was dropped or added earlier.
+    placed = running(pairs.filter("kind <> 'A'").select("id", "kind", "delta", F.translate(key, "0123456789abcdef", "fedcba9876543210").alias("k")), ["kind"], [F.col("k"), F.col("id")], F.col("delta"))
+    all_s, all_n = s.get("A", 0) + s.get("C", 0), n.get("A", 0) + n.get("C", 0)
+    c = placed.filter("kind = 'C'")
+    left = F.lit(all_n) - F.col("place")
+    done = c.filter((left == 0) | ((F.lit(all_s) - F.col("before") - F.col("delta")) / left <= band)).agg(F.min("place")).first()[0]
+    drop = 0 if not all_n or all_s / all_n <= band else (done or n.get("C", 0))
+    gone = c.filter(F.col("place") <= drop).agg(F.sum("delta")).first()[0] or 0
+    now_s, now_n = all_s - gone, all_n - drop
+    b = placed.filter("kind = 'B'")
+    enough = b.filter((F.lit(now_s) + F.col("before") + F.col("delta")) / (F.lit(now_n) + F.col("place")) >= target).agg(F.min("place")).first()[0]
+    add = 0 if (now_s / now_n if now_n else 0.0) >= target else (enough or n.get("B", 0))
+    more = b.filter(F.col("place") <= add)
+    end_s, end_n = now_s + (more.agg(F.sum("delta")).first()[0] or 0), now_n + add
+    ok = not end_n or abs(end_s / end_n) <= band
+    out = pairs.filter("kind = 'A'").select("id", "kind").unionByName(c.filter(F.col("place") > drop).select("id", "kind")).unionByName(more.select("id", "kind"))
+    return out.withColumn("ok", F.lit(ok))
+
+
+def lexical_overlap(items: DataFrame, docs: DataFrame, least: float, item_col: str = "item_id", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """item, doc, overlap: the share of an item's different words that a document has, from `least` on.
+
+    A pair that reaches it shares one of the item's rarest words, all but the ceil(least * n) - 1 most common of them:
+    only these are joined, so that common words bring no pairs; what comes out is counted exactly.
+    """
+    words = lambda t, c: t.select(F.col(c).alias(c), F.array_distinct(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    q, d = words(items, item_col).filter(F.size("w") > 0), words(docs, doc_col)
+    asked = q.select(item_col, F.size("w").alias("n"), F.explode("w").alias("word"))
+    df = d.select(F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy(item_col).orderBy(F.coalesce("df", F.lit(0)), "word"))  # of one item's words
+    rare = asked.join(df, "word", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(item_col, "word")
+    pairs = rare.join(d.select(doc_col, F.explode("w").alias("word")), "word").select(item_col, doc_col).distinct()
+    both = pairs.join(q, item_col).join(d.withColumnRenamed("w", "v"), doc_col)
+    overlap = F.size(F.array_intersect("w", "v")) / F.size("w")
+    return both.select(item_col, doc_col, overlap.alias("overlap")).filter(F.col("overlap") >= least - 1e-9)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.strings import community_id
+from quillgraph.operators.ordered import fold_groups
 from quillgraph.session import cut
 
 
@@ -66,13 +68,26 @@ def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution
     return out.join(sizes, ["level", "community"]).select("node", "level", "community", "size")
 
 
+def community_ids(members: DataFrame, level: str, community: str, node: str) -> DataFrame:
+    """level, community, id: 16 hex digits of a hash over the level and the members' names in order. Members stream
+    through the hash, so that a community of any size is no list."""
+
+    def digest(key, rows):
+        h = hashlib.sha1(f"{key[0]}:".encode())
+        for i, r in enumerate(rows):
+            h.update(("," if i else "").encode() + r["_name"].encode())
+        yield (*key, h.hexdigest()[:16])
+
+    names = members.select(F.col(level).cast("int").alias("level"), F.col(community).cast("string").alias("community"), F.col(node).cast("string").alias("_name"))
+    return fold_groups(names, ["level", "community"], ["_name"], digest, "level int, community string, id string")
+
+
 def hierarchy(layers: DataFrame) -> DataFrame:
     """level, community, parent (of the level above), members, id (a hash of level and members)."""
     up = layers.select("node", (F.col("level") - 1).alias("level"), F.col("community").alias("parent"))
-    grouped = layers.join(up, ["node", "level"], "left").groupBy("level", "community").agg(
-        F.min("parent").alias("parent"), F.count("*").alias("members"), F.collect_list(F.col("node").cast("string")).alias("names")
-    )
-    return grouped.select("level", "community", "parent", "members", community_id(F.col("level"), F.col("names")).alias("id"))
+    grouped = layers.join(up, ["node", "level"], "left").groupBy("level", "community").agg(F.min("parent").alias("parent"), F.count("*").alias("members"))
+    ids = community_ids(layers, "level", "community", "node")
+    return grouped.join(ids, ["level", "community"]).select("level", "community", "parent", "members", "id")
 
 
 def distances(edges: DataFrame, centre: int, depth: int = 3, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -95,17 +110,16 @@ def jaccard_pairs(fresh: DataFrame, kept: DataFrame, tau: float) -> DataFrame:
     return out.select("level", "fresh", "kept", (F.col("both") / (F.col("n_fresh") + F.col("n_kept") - F.col("both"))).alias("jaccard")).filter(F.col("jaccard") >= tau)
 
 
-def match_communities(fresh: DataFrame, kept: DataFrame, tau: float = 0.5, most_rounds: int = 50) -> DataFrame:
+def match_communities(fresh: DataFrame, kept: DataFrame, tau: float = 0.5) -> DataFrame:
     """Greedy one-to-one matching: best pairs first (ties by ids). Pairs that are best for both sides are what greedy would
     take, so that rounds of mutual best give its result without a loop over pairs."""
     left = cut(jaccard_pairs(fresh, kept, tau))
-    done = None
-    for _ in range(most_rounds):
-        by = [F.desc("jaccard"), "fresh", "kept"]
-        one = left.withColumn("f", F.row_number().over(Window.partitionBy("level", "fresh").orderBy(*by))).withColumn("k", F.row_number().over(Window.partitionBy("level", "kept").orderBy(*by)))
-        best = cut(one.filter("f = 1 and k = 1").select("level", "fresh", "kept", "jaccard"))
-        if best.isEmpty():
-            break
-        done = best if done is None else done.unionByName(best)
+    done = left.limit(0)
+    while not left.isEmpty():  # the best pair of all is taken in each round, so that it ends
+        order = F.struct((-F.col("jaccard")).alias("j"), "fresh", "kept")
+        of_fresh = left.groupBy("level", "fresh").agg(F.min(order).alias("best")).select("level", "fresh", F.col("best.kept").alias("kept"))
+        of_kept = left.groupBy("level", "kept").agg(F.min(order).alias("best")).select("level", F.col("best.fresh").alias("fresh"), "kept")
+        best = cut(left.join(of_fresh, ["level", "fresh", "kept"]).join(of_kept, ["level", "fresh", "kept"]))
+        done = cut(done.unionByName(best))
         left = cut(left.join(best.select("level", "fresh"), ["level", "fresh"], "left_anti").join(best.select("level", "kept"), ["level", "kept"], "left_anti"))
-    return done if done is not None else left.limit(0)
+    return done

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.strings import backoff
+from quillgraph.operators.ordered import fold_groups
 
 
 def enqueue(pending: DataFrame) -> DataFrame:
@@ -31,6 +34,26 @@ def fail(jobs: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
+def complete(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """jobs with those done that are listed in `done` (job_id, claimed_at), if they are still in progress under the same
+    claim: a job that was reaped and claimed again belongs to someone else."""
+    own = done.select("job_id", F.col("claimed_at").alias("_claim"), F.lit(True).alias("_done"))
+    ends = F.col("_done") & (F.col("status") == "in_progress") & (F.col("claimed_at") == F.col("_claim"))
+    return jobs.join(own, "job_id", "left").withColumn("status", F.when(ends, "done").otherwise(F.col("status"))).drop("_claim", "_done")
+
+
+def defer(jobs: DataFrame, deferred: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """jobs with the listed ones (job_id, claimed_at) pending again, `seconds` from now and without a spent attempt. If
+    the article has a pending job by now, that one covers it and the deferred job goes."""
+    own = deferred.select("job_id", F.col("claimed_at").alias("_claim"), F.lit(True).alias("_later"))
+    twins = jobs.filter("status = 'pending'").select("article_id", F.lit(True).alias("_twin")).distinct()
+    x = jobs.join(own, "job_id", "left").join(twins, "article_id", "left")
+    mine = F.coalesce(F.col("_later") & (F.col("status") == "in_progress") & (F.col("claimed_at") == F.col("_claim")), F.lit(False))
+    x = x.withColumn("_mine", mine).filter(~(F.col("_mine") & F.col("_twin").isNotNull()))
+    again = {"status": F.lit("pending"), "claimed_at": F.lit(None).cast("timestamp_ntz"), "next_at": now + F.expr(f"interval {seconds} seconds")}
+    return x.withColumns({c: F.when(F.col("_mine"), v).otherwise(F.col(c)) for c, v in again.items()}).select(*jobs.columns)
+
+
 def reap(jobs: DataFrame, now: Column, lease_seconds: int) -> DataFrame:
     """Jobs in progress for longer than the lease go back."""
     expired = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("enqueued_at").cast("timestamp")) > lease_seconds
@@ -38,12 +61,67 @@ def reap(jobs: DataFrame, now: Column, lease_seconds: int) -> DataFrame:
 
 
 def debounce(events: DataFrame, key: str, time_col: str, seconds: int) -> DataFrame:
-    """key, passed: how many events come more than `seconds` after the last one let through: a fold over a key's times."""
-    at = F.unix_timestamp(F.col(time_col).cast("timestamp"))
-    g = events.groupBy(key).agg(F.sort_array(F.collect_list(at)).alias("t"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("n"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x - a["last"] > seconds), F.struct(x.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return g.select(key, F.aggregate("t", start, step)["n"].alias("passed"))
+    """key, passed: how many events come more than `seconds` after the last one let through: a key's times stream
+    through a fold."""
+
+    def passes(k, rows):
+        last, n = None, 0
+        for r in rows:
+            if last is None or r["_at"] - last > seconds:
+                last, n = r["_at"], n + 1
+        yield (*k, n)
+
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.select(key, F.unix_timestamp(F.col(time_col).cast("timestamp")).alias("_at")).filter("_at is not null")
+    return fold_groups(timed, [key], ["_at"], passes, f"{key} {kind}, passed int")
+
+
+def schedule(chunks: DataFrame, slots: int, warmup: int, alpha: float = 0.5) -> DataFrame:
+    """scenario, article, chunk, resolve, commit: a replay of a run with some slots. chunks: scenario, source, article,
+    chunk, seconds; articles start in the order of their numbers.
+
+    Until `warmup` articles of its source have committed their first chunk, an article waits for all that run and goes
+    alone; then each takes the slot that is free first. A chunk resolves its names after a part `alpha` of its time. The
+    replay of a scenario is sequential: its chunks stream through a fold.
+    """
+
+    def replay(key, rows):
+        free, running, now = [0.0] * slots, [], 0.0
+        live: dict[int, list[float]] = {}
+        for article, own in groupby(rows, key=lambda r: r["article"]):
+            own = list(own)  # the chunks of one article
+            source = own[0]["source"]
+            cold = sum(x <= now for x in live.get(source, ())) < warmup
+            if cold:
+                now = max([now, *running])
+                running.clear()
+                start = now
+            else:
+                slot = min(range(slots), key=free.__getitem__)
+                start = max(free[slot], now)
+            at = start
+            for r in own:
+                yield (*key, article, r["chunk"], at + alpha * r["seconds"], at + r["seconds"])
+                if r is own[0]:
+                    live.setdefault(source, []).append(at + r["seconds"])
+                at += r["seconds"]
+            if cold:
+                now, free = at, [at] * slots
+            else:
+                free[slot] = at
+                running.append(at)
+
+    rows = chunks.select("scenario", "source", "article", "chunk", F.col("seconds").cast("double").alias("seconds"))
+    return fold_groups(rows, ["scenario"], ["article", "chunk"], replay, "scenario long, article long, chunk long, resolve double, commit double")
+
+
+def excess_copies(spans: DataFrame) -> DataFrame:
+    """scenario, entity, excess of the entities that are made more than once: an article that resolves a name before any
+    earlier one has committed it makes a copy. spans: scenario, entity, article, resolve, commit."""
+    w = Window.partitionBy("scenario", "entity").orderBy("resolve", "article").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min("commit").over(w)
+    copies = spans.select("scenario", "entity", (F.col("resolve") < first).alias("copy"))
+    return copies.groupBy("scenario", "entity").agg(F.count_if("copy").alias("excess")).filter("excess > 0")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

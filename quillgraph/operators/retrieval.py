@@ -1,40 +1,15 @@
-"""Search: BM25, vector similarity, reciprocal rank fusion, neighbours of hits, diverse selection."""
+"""Search: vector similarity, reciprocal rank fusion, neighbours of hits, diverse selection."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors as V
-from quillgraph.functions.strings import tokens
-
-
-def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score of documents with any of the terms. Null texts have no tokens and length 0.
-
-    One pass gives each document's length and counts of the few terms; corpus statistics are one row of sums, so that
-    nothing but that row and the matching documents is shuffled.
-    """
-    words = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    counted = docs.select(F.col(id_col).alias("id"), words.alias("w")).select(
-        "id", F.size("w").alias("n"), *[F.size(F.filter("w", _equals(t))).alias(f"t{i}") for i, t in enumerate(terms)]
-    )
-    stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"t{i}"), F.col(f"d{i}")
-        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.greatest("mean", F.lit(1e-9))))
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"t{i}") > 0)
-    return counted.filter(hit).join(F.broadcast(stats)).select(F.col("id").alias(id_col), score.alias("score"))  # stats: one row
-
-
-def _equals(term: str):
-    return lambda w: w == term
 
 
 def vector_search(table: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", above: float | None = None) -> DataFrame:
@@ -46,20 +21,91 @@ def vector_search(table: DataFrame, query: list[float], k: int, id_col: str = "v
 
 
 def vector_join(queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 5_000) -> DataFrame:
-    """query_id, id, score, rank: the k nearest of each of a stated set of queries, exact. Queries are sent to every task
-    in blocks of about `block`, so that what is broadcast doesn't grow with them; each task keeps k rows of a query before
-    anything is shuffled."""
+    """query_id, id, score, rank: the k nearest of each of a stated set of queries, exact; ties by id. Null, zero or
+    unequally long vectors score 0.
+
+    Queries go to the tasks in blocks of about `block`, so that what is sent doesn't grow with them; a task multiplies
+    its vectors with a block as matrices, and keeps k rows of a query before anything is shuffled.
+    """
     blocks = max(1, -(-queries.count() // block))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("q"))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     out = None
     for i in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = rows.join(F.broadcast(part), F.col("id") != F.col("query_id")).select("query_id", "id", V.cosine_or_zero(F.col("v"), F.col("q")).alias("score"))
-        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        part = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()
+        ids = part["query_id"].to_numpy()
+        if not len(ids):
+            continue
+        vectors = part["q"].combine_chunks()
+        asked = _unit_rows(vectors, pc.max(pc.list_value_length(vectors)).as_py() or 1)
+        best = rows.mapInArrow(_nearest(ids, asked, k), "query_id long, id long, score double")
+        top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
-    return out
+    return out if out is not None else rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+
+def _unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors of length 1 as rows; missing ones, and those of another width, are 0."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+    out = np.zeros((len(vectors), width))
+    flat = pc.fill_null(vectors.filter(fits).flatten().cast(pa.float64()), 0.0)
+    out[np.asarray(fits)] = np.asarray(flat).reshape(-1, width)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, step: int = 1_000):
+    """For a task: of each query the k best of its rows, ties by id."""
+    n = len(asked)
+
+    def find(batches):
+        best, who = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+        for batch in batches:
+            every, vectors = np.asarray(batch.column(0)), batch.column(1)
+            for at in range(0, batch.num_rows, step):
+                ids = every[at : at + step]
+                score = asked @ _unit_rows(vectors.slice(at, step), asked.shape[1]).T
+                score[query_ids[:, None] == ids[None, :]] = -np.inf  # not itself
+                both = np.hstack([best, score])
+                # All that reach a query's k-th score, by score and id; the k first of each.
+                row, col = np.nonzero((both >= np.partition(both, -k, axis=1)[:, -k][:, None]) & (both > -np.inf))
+                of = np.where(col < k, who[row, np.minimum(col, k - 1)], ids[np.maximum(col - k, 0)])
+                order = np.lexsort((of, -both[row, col], row))
+                row, col, of = row[order], col[order], of[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = place < k
+                found = both[row[kept], col[kept]]
+                best.fill(-np.inf)
+                best[row[kept], place[kept]], who[row[kept], place[kept]] = found, of[kept]
+        row, col = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(who[row, col]), pa.array(best[row, col])], names=["query_id", "id", "score"])
+
+    return find
+
+
+def worst_cosine(items: DataFrame, group: str, block: int = 1_000) -> DataFrame:
+    """group, worst: the least cosine of two items of a group (of two or more). items: group, id, v.
+
+    A group is dealt out in parts of about `block` rows by a hash, and each pair of parts meets in one task, which
+    multiplies them: a row goes to as many tasks as its group has parts, and what comes out is one number each.
+    """
+    sizes = items.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = items.join(sizes, group).select(group, "v", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select(group, "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    kind = items.schema[group].dataType.simpleString()
+
+    def worst(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["v"].tolist(), np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        own, a, b = pdf["own"].to_numpy(), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        x, y = v[own == a], v[own == b]
+        cos = x @ y.T
+        least = cos[np.triu_indices(len(x), 1)].min(initial=np.inf) if a == b else cos.min(initial=np.inf)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "worst": [float(least)]})
+
+    per = rows.groupBy(group, "a", "b").applyInPandas(worst, f"{group} {kind}, worst double")
+    return per.groupBy(group).agg(F.min("worst").alias("worst"))
 
 
 def ranked(hits: DataFrame, id_col: str, list_no: int, k: int) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.plans import registry
-from quillgraph.session import table
+from quillgraph.plans.made_up import MADE_UP
+from quillgraph.session import kept, table
 
 CANONICAL: dict[str, str] = {
     "vendor": "select cast(r_regionkey as bigint) as vendor_id, r_name as vendor from {region}",
@@ -33,6 +34,7 @@ CANONICAL: dict[str, str] = {
     "job": """select event_id as job_id, user_id as article_id, case when event_type in ('error') then 'dead' when event_type in ('signup', 'purchase') then 'done' when event_type = 'click' then 'in_progress' else 'pending' end as status,
         case when event_id % 3 = 0 then 'bootstrap' else 'incremental' end as lane, event_type as op, cast(event_id % 4 as bigint) as attempts, ts as enqueued_at, value as tokens, user_id % 20 as source_id, props from {events}""",
 }
+CANONICAL |= MADE_UP
 #: The time at which facts are looked at, a parameter everywhere.
 AS_OF = "1998-06-01"
 
@@ -41,6 +43,10 @@ def now(at: str = AS_OF) -> Column:
     return F.expr(f"timestamp_ntz'{at} 00:00:00'")
 
 
+#: Canonical tables that take a shuffle to make: made once in a session, and read after that.
+MADE_ONCE = {"episode", "fact", "fact_episode", "mention"}
+
+
 class Tables:
     """Base and canonical tables as attributes."""
 
@@ -51,13 +57,19 @@ class Tables:
         if name not in CANONICAL:
             return table(self.spark, self.sf_dir, name)
         text = CANONICAL[name]
-        return self.spark.sql(text, **{b: table(self.spark, self.sf_dir, b) for b in re.findall(r"\{(\w+)\}", text)})
+        make = lambda: self.spark.sql(text, **{b: getattr(self, b) for b in set(re.findall(r"\{(\w+)\}", text))})
+        return kept(self.spark, f"{name} of {self.sf_dir}", make) if name in MADE_ONCE else make()
 
 
 def oracle(sql: str) -> str:
-    """The SQL with the canonical tables that it names in front."""
-    used = [n for n in CANONICAL if re.search(rf"\b{n}\b", sql)]
-    ctes = [f"{n} as ({CANONICAL[n].format_map(_Same())})" for n in used]
+    """The SQL with the canonical tables that it names, or that these name, in front."""
+    used: set[str] = set()
+    todo = [sql]
+    while todo:
+        more = {n for n in CANONICAL if n not in used and any(re.search(rf"\b{n}\b", text) for text in todo)}
+        used |= more
+        todo = [" ".join(re.findall(r"\{(\w+)\}", CANONICAL[n])) for n in more]
+    ctes = [f"{n} as ({CANONICAL[n].format_map(_Same())})" for n in CANONICAL if n in used]
     if not ctes:
         return sql
     head, rest = re.match(r"\s*(with\s+recursive\s|with\s)?(.*)", sql, re.S | re.I).groups()

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions import strings as S
 from quillgraph.operators import dedup as D
 from quillgraph.operators import graphs as G
 from quillgraph.operators import provenance as P
@@ -54,16 +52,6 @@ def _(t):
     return G.hierarchy(low.unionByName(up))
 
 
-@query("gr_4_dirty_communities", f"""with f as ({FRESH}), k as ({KEPT}), b as (select f.community as c, k.community as d, count(*) as n from f join k using (node) group by all),
-    m as (select c, max(n * 1.0 / ((select count(*) from f where community = c) + (select count(*) from k where community = d) - n)) as j from b group by c)
-    select f.community, case when coalesce(max(j), 0) < 0.5 then 'dirty' when bool_or(node in (select src from fact where valid_at > timestamp '2001-07-30')) then 'dirty' else 'clean' end as state from f left join m on m.c = f.community group by f.community""")
-def _(t):
-    best = G.jaccard_pairs(_fresh(t), _kept(t), 0.5).groupBy(F.col("fresh").alias("community")).agg(F.max("jaccard").alias("j"))
-    new = t.fact.filter(F.col("valid_at") > now("2001-07-30")).select(F.col("src").alias("node"), F.lit(True).alias("new")).distinct()
-    touched = _fresh(t).join(new, "node", "left").groupBy("community").agg(F.coalesce(F.bool_or("new"), F.lit(False)).alias("touched"))
-    return touched.join(best, "community", "left").select("community", F.when(F.col("j").isNull() | F.col("touched"), "dirty").otherwise("clean").alias("state"))
-
-
 @query("join_12_jaccard_pairs", f"""with f as ({FRESH}), k as ({KEPT}), b as (select f.level, f.community as c, k.community as d, count(*) as n from f join k using (node) group by all),
     j as (select level, c, d, n * 1.0 / ((select count(*) from f where community = c) + (select count(*) from k where community = d) - n) as j from b)
     select level, c as fresh, d as kept, round(j, 6) as jaccard from j where j >= 0.3""")
@@ -84,14 +72,6 @@ def _(t):
     return G.distances(edges, centre)
 
 
-@query("gr_6_merge_rewire", """with p as (select entity_id, min(entity_id) over (partition by upper(left(name, 9))) as s from entity)
-    select fact_id, coalesce(a.s, src) as src, coalesce(b.s, dst) as dst from fact left join p a on a.entity_id = src left join p b on b.entity_id = dst""")
-def _(t):
-    keyed = t.entity.withColumn("key", F.upper(F.substring("name", 1, 9)))
-    plan = D.merge_plan(keyed, "key", [])
-    return D.remap(t.fact.select("fact_id", "src", "dst"), plan, ["src", "dst"])
-
-
 @query("gr_7_merge_plan", """with g as (select label || kind as k, entity_id, row_number() over (partition by label || kind order by size nulls last, price, entity_id) as rn, count(*) over (partition by label || kind) as n from entity)
     select entity_id, min(entity_id) filter (rn = 1) over (partition by k) as survivor, n as copies from g where n > 1""")
 def _(t):
@@ -118,21 +98,6 @@ def _(t):
     return g.select("size", "survivor", F.when(F.col("bare") & (F.col("n") == 1), F.col("l")).alias("promoted"))
 
 
-@query("gr_9_retype_guard", """with c as (select count(*) filter (label = 'Brand#11') as now, count(*) filter (label = 'Brand#11' and size < 40) as demoted from entity)
-    select entity_id, case when size >= 49 then 'Brand#11' when label = 'Brand#11' and size < 40 and demoted <= greatest(2, ceil(0.5 * now)) then 'Entity' else label end as label from entity, c""")
-def _(t):
-    c = t.entity.agg(F.count_if(F.col("label") == "Brand#11").alias("now"), F.count_if((F.col("label") == "Brand#11") & (F.col("size") < 40)).alias("demoted"))
-    fits = F.col("demoted") <= F.greatest(F.lit(2), F.ceil(0.5 * F.col("now")))
-    label = F.when(F.col("size") >= 49, "Brand#11").when((F.col("label") == "Brand#11") & (F.col("size") < 40) & fits, "Entity").otherwise(F.col("label"))
-    return t.entity.join(F.broadcast(c)).select("entity_id", label.alias("label"))  # c: one row
-
-
-@query("gr_10_prune_noise", "with bad as (select entity_id from entity where size <= 3) select fact_id from fact where src not in (select entity_id from bad) and dst not in (select entity_id from bad)")
-def _(t):
-    bad = t.entity.filter("size <= 3").select("entity_id")
-    return t.fact.join(bad.withColumnRenamed("entity_id", "src"), "src", "left_anti").join(bad.withColumnRenamed("entity_id", "dst"), "dst", "left_anti").select("fact_id")
-
-
 @query("gr_11_navigation_tombstone", "select episode_id, superseded or article_id in (select article_id from article where title = '5-LOW') as removed from episode")
 def _(t):
     nav = t.article.filter("title = '5-LOW'").select("article_id", F.lit(True).alias("nav"))
@@ -146,13 +111,6 @@ def _(t):
     return P.staleness_sweep(t.fact, t.fact_episode, t.episode, t.article, now())
 
 
-@query("gr_13_supersede", """select episode_id, row_number() over (partition by article_id, chunk_index % 3 order by tokens desc, episode_id) > 1 or chunk_index >= 6 as superseded from episode""")
-def _(t):
-    best = t.episode.groupBy("article_id", (F.col("chunk_index") % 3).alias("slot")).agg(F.max_by("episode_id", F.struct("tokens", -F.col("episode_id"))).alias("best"))
-    e = t.episode.withColumn("slot", F.col("chunk_index") % 3).join(best, ["article_id", "slot"])
-    return e.select("episode_id", ((F.col("episode_id") != F.col("best")) | (F.col("chunk_index") >= 6)).alias("superseded"))
-
-
 @query("gr_14_layer_counts", f"""with f as (select community, count(*) as n from ({FRESH}) group by all), k as (select community, count(*) as n from ({KEPT}) group by all)
     select case when k.community is null then 'written' when f.community is null then 'lost' else 'preserved' end as state, count(*) as communities from f full outer join k on f.community = k.community group by 1""")
 def _(t):
@@ -161,19 +119,6 @@ def _(t):
     return f.join(k, "community", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("communities"))
 
 
-@query("gr_16_semantic_reset", "select 'structure' as kept, count(*) as n from article union all select 'semantic', 0")
-def _(t):
-    return t.article.agg(F.count("*").alias("n")).select(F.lit("structure").alias("kept"), "n").unionByName(t.fact.limit(0).agg(F.count("*").alias("n")).select(F.lit("semantic").alias("kept"), "n"))
-
-
-@query("join_31_report_carry_over", f"""with f as (select distinct community from ({FRESH})), k as (select community, count(*) as n, max(node) as top from ({KEPT}) group by community)
-    select f.community, coalesce(k.top, 0) as report, case when k.community is null then 'fresh' when n % 2 = 0 then 'carried' else 'stale' end as state from f left join k using (community)""")
-def _(t):
-    k = _kept(t).groupBy("community").agg(F.count("*").alias("n"), F.max("node").alias("top"))
-    state = F.when(F.col("n").isNull(), "fresh").when(F.col("n") % 2 == 0, "carried").otherwise("stale")
-    return _fresh(t).select("community").distinct().join(k, "community", "left").select("community", F.coalesce("top", F.lit(0)).alias("report"), state.alias("state"))
-
-
 @query("set_2_ordered_union", "select id, min(pos) as pos from (select p_partkey as id, p_size as pos from part where p_size < 10 union all select p_partkey, 100 + p_size from part where p_retailprice > 1500) group by id")
 def _(t):
     a = t.part.filter("p_size < 10").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("pos"))
@@ -205,5 +150,5 @@ def _(t):
 
 @query("str_community_id", "select p_brand, substr(sha1('2:' || string_agg(cast(p_partkey as varchar), ',' order by cast(p_partkey as varchar))), 1, 16) as id from part group by p_brand")
 def _(t):
-    g = t.part.groupBy("p_brand").agg(F.collect_list(F.col("p_partkey").cast("string")).alias("m"))
-    return g.select("p_brand", S.community_id(F.lit(2), F.col("m")).alias("id"))
+    members = t.part.select(F.lit(2).alias("level"), F.col("p_brand").alias("community"), F.col("p_partkey").alias("node"))
+    return G.community_ids(members, "level", "community", "node").select(F.col("community").alias("p_brand"), "id")

@@ -14,10 +14,10 @@ from quillgraph.streaming import feeds
 
 
 def drain(t, stream, mode: str = "append"):
-    """Run a stream over all of its input into an in-memory table of small results, and give that table."""
-    name = "s" + uuid.uuid4().hex
-    feeds.run_once(stream, f"{checkpoint_dir(t.spark)}/streams/{name}", name=name, mode=mode)
-    return t.spark.table(name)
+    """Run a stream over all of its input into files of the shared folder, and read these."""
+    path = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
+    feeds.run_once(stream, f"{path}-state", feeds.to_files(f"{path}-out", mode), mode)
+    return t.spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}-out")
 
 
 def events_stream(t):
@@ -45,11 +45,6 @@ def _(t):
     return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("str_6_debounce")
-def _(t):
-    return J.debounce(t.events, "user_id", "ts", 86400)
-
-
 @query("str_7_enqueue", """select article_id, max_by(op, (enqueued_at, job_id)) as op, case when bool_or(lane = 'incremental') then 'incremental' else 'bootstrap' end as lane, min_by(source_id, job_id) as source_id from job where status = 'pending' group by article_id""")
 def _(t):
     return J.enqueue(t.job.filter("status = 'pending'"))
@@ -70,11 +65,6 @@ def _(t):
     return J.reap(t.job, F.expr("timestamp_ntz'2024-01-20 00:00:00'"), 7200)
 
 
-@query("str_11_metrics", "select lane, status, count(*) as n, round(sum(tokens), 4) as tokens from job group by all")
-def _(t):
-    return t.job.groupBy("lane", "status").agg(F.count("*").alias("n"), F.round(F.sum("tokens"), 4).alias("tokens"))
-
-
 @query("str_tumbling_windows", "select time_bucket(interval 1 hour, ts, timestamp '2024-01-01') as start, event_type, count(*) as n from events group by all")
 def _(t):
     return t.events.groupBy(F.window("ts", "1 hour")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"))

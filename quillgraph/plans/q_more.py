@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions import strings as S
 from quillgraph.functions import vectors as V
 from quillgraph.operators import ann
 from quillgraph.operators import datasets as DS
-from quillgraph.operators import dedup as D
+from quillgraph.operators import evidence as EV
+from quillgraph.operators import jobs as J
 from quillgraph.operators import provenance as P
-from quillgraph.operators import retrieval as R
-from quillgraph.plans.canonical import AS_OF, now, query
-from quillgraph.plans.q_jobs import drain, events_stream
-from quillgraph.plans.q_retrieval import TERMS, query_vector, vectors
+from quillgraph.plans.canonical import query
+from quillgraph.plans.q_retrieval import query_vector, vectors
 from quillgraph.sources import feed
 
 CHAIN = "article join source using (source_id) join product using (product_id) join vendor using (vendor_id)"
@@ -24,80 +22,24 @@ def _chain(t):
     return P.chain(t.article, t.source, t.product, t.vendor)
 
 
-@query("src_1_feed_lines", """select case when event_type = 'error' then 'malformed' when event_type = 'signup' then 'control' when event_type = 'click' then 'tombstone' else 'content' end as kind, count(*) as n from events group by 1""")
-def _(t):
-    c = F.col("event_type")
-    change = F.when(c == "click", "removed").when(c != "signup", "updated")
-    line = F.to_json(F.struct(change.alias("change_type"), F.when(c == "signup", "cursor").alias("control"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("seq")))
-    lines = t.events.select(F.when(c == "error", F.concat(F.lit("{"), line)).otherwise(line).alias("line"))
-    return feed.parse_records(lines).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("src_15_signed_deliveries", """with s as (select event_id, sha256('key' || props) as sig from events) select min(event_id) as event_id, sig, count(*) as deliveries from s group by sig""")
-def _(t):
-    s = t.events.select("event_id", F.sha2(F.concat(F.lit("key"), "props"), 256).alias("sig"))
-    return s.groupBy("sig").agg(F.min("event_id").alias("event_id"), F.count("*").alias("deliveries"))
-
-
 @query("src_16_json_documents", "select doc_id, lang, n_chars from documents")
 def _(t):
     packed = t.documents.select(F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("j"))
     return packed.select(F.from_json("j", "doc_id bigint, lang string, n_chars bigint").alias("d")).select("d.*")
 
 
-@query("src_18_memoised_drafts", """with c as (select label, sha1(string_agg(cast(entity_id as varchar), ',' order by cast(entity_id as varchar))) as context from entity group by label)
-    select label, label || ':' || context as key, left(context, 1) < '8' as saved from c""")
-def _(t):
-    c = t.entity.groupBy("label").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(F.col("entity_id").cast("string"))), ",")).alias("context"))
-    return c.select("label", F.concat("label", F.lit(":"), "context").alias("key"), (F.substring("context", 1, 1) < "8").alias("saved"))
-
-
-@query("flt_11_cross_vendor_wording", "select item_id, regexp_matches(text, '(?i)(than|versus|compared|both|with)') as across from benchmark")
-def _(t):
-    return t.benchmark.select("item_id", F.col("text").rlike("(?i)(than|versus|compared|both|with)").alias("across"))
-
-
-@query("flt_14_grounded_names", """with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w, lower(text) as t from documents) select doc_id, len(list_filter(w, lambda x: length(x) >= 8 and contains(t, x || ' '))) as grounded from w""")
-def _(t):
-    w = F.array_distinct(S.tokens(F.col("text")))
-    low = t.documents.select("doc_id", w.alias("w"), F.lower("text").alias("t"))
-    return low.select("doc_id", F.size(F.filter("w", lambda x: (F.length(x) >= 8) & F.contains(F.col("t"), F.concat(x, F.lit(" "))))).cast("long").alias("grounded"))
-
-
 @query("flt_16_conversation_shape", """select conv_id, (min(turn) = 0 and count(distinct turn) = count(*) and max(turn) = count(*) - 1 and bool_and(text is not null)) as valid from conversations group by conv_id""")
 def _(t):
     ok = (F.min("turn") == 0) & (F.count_distinct("turn") == F.count("*")) & (F.max("turn") == F.count("*") - 1) & F.bool_and(F.col("text").isNotNull())
     return t.conversations.groupBy("conv_id").agg(ok.alias("valid"))
 
 
-@query("flt_17_question_violations", """select item_id, 'short' as rule from benchmark where length(text) < 200 union all select min(item_id), 'duplicate' from benchmark group by left(text, 3) having count(*) > 1
-    union all select item_id, 'unknown' from benchmark where item_id not in (select doc_id from labels)""")
-def _(t):
-    short = t.benchmark.filter(F.length("text") < 200).select("item_id", F.lit("short").alias("rule"))
-    twice = t.benchmark.groupBy(F.substring("text", 1, 3).alias("p")).agg(F.min("item_id").alias("item_id"), F.count("*").alias("n")).filter("n > 1").select("item_id", F.lit("duplicate").alias("rule"))
-    unknown = t.benchmark.join(t.labels.select(F.col("doc_id").alias("item_id")), "item_id", "left_anti").select("item_id", F.lit("unknown").alias("rule"))
-    return short.unionByName(twice).unionByName(unknown)
-
-
 @query("flt_19_index_range", "select p_partkey, len(list_filter([p_size, p_size - 20, p_size + 15], lambda i: i between 0 and 49)) as known, len(list_filter([p_size, p_size - 20, p_size + 15], lambda i: i > 49 or i < 0)) as stray from part")
 def _(t):
     i = F.array("p_size", F.col("p_size") - 20, F.col("p_size") + 15)
     return t.part.select("p_partkey", F.size(F.filter(i, lambda x: x.between(0, 49))).cast("long").alias("known"), F.size(F.filter(i, lambda x: (x > 49) | (x < 0))).cast("long").alias("stray"))
 
 
-@query("flt_20_unnamed_subjects", """select distinct m.episode_id, e.entity_id from mention m join entity e using (entity_id) join episode p using (episode_id) join article a using (article_id) where e.size > 45 and not contains(lower(a.title), lower(substr(e.name, 1, 2)))""")
-def _(t):
-    joined = t.mention.join(t.entity.filter("size > 45").select("entity_id", "name"), "entity_id").join(t.episode.select("episode_id", "article_id"), "episode_id").join(t.article.select("article_id", "title"), "article_id")
-    return joined.filter(~F.contains(F.lower("title"), F.lower(F.substring("name", 1, 2)))).select("episode_id", "entity_id").distinct()
-
-
-@query("flt_22_strict_labels", """with k as (select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events) select event_id, case when k between 0 and 49 then k end as label, k is null or k not between 0 and 49 as keep_all from k""")
-def _(t):
-    k = F.from_json("props", "k bigint")["k"]
-    ok = F.coalesce(k.between(0, 49), F.lit(False))
-    return t.events.select("event_id", F.when(ok, k).alias("label"), (~ok).alias("keep_all"))
-
-
 @query("flt_23_map_differences", """with a as (select lang as k, count(*) as v from documents group by lang), b as (select lang as k, count(*) as v from documents where n_chars > 1 group by lang) select coalesce(a.k, b.k) as key, a.v as expected, b.v as actual from a full outer join b on a.k = b.k where a.v is distinct from b.v or a.k < 'z'""")
 def _(t):
     a = t.documents.groupBy(F.col("lang").alias("key")).agg(F.count("*").alias("expected"))
@@ -105,40 +47,12 @@ def _(t):
     return a.join(b, "key", "full_outer").filter(~F.col("expected").eqNullSafe(F.col("actual")) | (F.col("key") < "z")).select("key", "expected", "actual")
 
 
-@query("flt_24_parity_guards", "select (select count(*) from documents) = (select count(distinct doc_id) from documents) as ids_ok, (select count(*) from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id)) = 0 as labels_ok")
-def _(t):
-    ids = t.documents.agg((F.count("*") == F.count_distinct("doc_id")).alias("ids_ok"))
-    stray = t.labels.join(t.documents.select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("labels_ok"))
-    return ids.join(F.broadcast(stray))  # one row each
-
-
 @query("flt_25_distinctive_names", "select source_id, contains(lower(source), 'customer') and length(regexp_replace(lower(source), '(customer|[#0])', '', 'g')) >= 3 as distinctive from source")
 def _(t):
     rest = F.regexp_replace(F.lower("source"), "(customer|[#0])", "")
     return t.source.select("source_id", (F.contains(F.lower("source"), F.lit("customer")) & (F.length(rest) >= 3)).alias("distinctive"))
 
 
-@query("flt_26_follow_ups", """select user_id, event_id, case when event_type in ('view', 'click') then event_type end as community from events where event_type <> 'error' qualify row_number() over (partition by user_id order by coalesce(value, 0) desc, event_id) <= 3""")
-def _(t):
-    w = Window.partitionBy("user_id").orderBy(F.desc(F.coalesce("value", F.lit(0.0))), "event_id")
-    top = t.events.filter("event_type <> 'error'").withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    return top.select("user_id", "event_id", F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).alias("community"))
-
-
-@query("flt_27_new_entries", """with k as (select entity_id, trim(regexp_replace(lower(kind || ' - ' || size), '[^a-z0-9]+', ' ', 'g')) as key, label from entity) select min(entity_id) as entity_id, key from k where label <> 'Brand#1' and key not in (select key from k where label = 'Brand#1') group by key""")
-def _(t):
-    k = t.entity.select("entity_id", S.fact_text_key(F.concat("kind", F.lit(" - "), F.col("size").cast("string"))).alias("key"), "label")
-    listed = k.filter("label = 'Brand#1'").select("key")
-    return k.filter("label <> 'Brand#1'").join(listed, "key", "left_anti").groupBy("key").agg(F.min("entity_id").alias("entity_id")).select("entity_id", "key")
-
-
-@query("flt_28_sanitised_citations", """with c as (select src, list_sort(list_distinct(list(dst))) as cited from fact group by src) select src, array_to_string(list_filter(cited, lambda x: x <= 50), ',') as kept, len(list_filter(cited, lambda x: x > 50)) as dropped from c""")
-def _(t):
-    c = t.fact.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("cited"))
-    kept = F.filter("cited", lambda x: x <= 50)
-    return c.select("src", F.array_join(F.transform(kept, lambda x: x.cast("string")), ",").alias("kept"), (F.size("cited") - F.size(kept)).cast("long").alias("dropped"))
-
-
 @query("prj_2_lean_projection", "select fact_id, src, dst from fact")
 def _(t):
     return t.fact.select("fact_id", "src", "dst")
@@ -155,13 +69,6 @@ def _(t):
     return t.episode.filter("tokens >= 30").select("episode_id", "article_id").join(t.article.select("article_id", "title", "source_id"), "article_id").join(t.source.select("source_id", "source"), "source_id").select("episode_id", "title", "source")
 
 
-@query("join_23_marker_citations", """with m as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+')) as m from documents), k as (select doc_id, try_cast(m as bigint) as item from m) select doc_id, count(*) as markers, count(b.item_id) as known from k left join benchmark b on b.item_id = k.item group by all""")
-def _(t):
-    m = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("m")).select("doc_id", F.expr("try_cast(m as bigint)").alias("item"))
-    known = t.benchmark.select(F.col("item_id").alias("item"), F.lit(1).alias("there"))
-    return m.join(known, "item", "left").groupBy("doc_id").agg(F.count("*").alias("markers"), F.count("there").alias("known"))
-
-
 @query("join_27_anonymous_pairs", """with l as (select user_id, event_type as side, value from events where event_type in ('view', 'click') qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1),
     p as (select a.user_id, a.value as v, b.value as c, substr(sha256(cast(a.user_id as varchar)), 1, 1) < '8' as coin from l a join l b on a.user_id = b.user_id and a.side = 'view' and b.side = 'click')
     select user_id, case when coin then v else c end as a, case when coin then c else v end as b from p""")
@@ -173,24 +80,6 @@ def _(t):
     return v.join(c, "user_id").select("user_id", F.when(coin, F.col("v")).otherwise(F.col("c")).alias("a"), F.when(coin, F.col("c")).otherwise(F.col("v")).alias("b"))
 
 
-@query("join_28_alias_resolution", """with n as (select lower(vendor) as name, 'vendor' as kind, vendor_id as id, 1 as pri from vendor union all select lower(product), 'product', product_id, 2 from product union all select lower(kind), 'source', min(source_id), 3 from source group by lower(kind) having count(*) < 400),
-    a as (select unnest(['asia', 'nation_4', 'building', 'machinery', 'nowhere', 'europe']) as alias) select alias, kind, id from a join n on n.name = a.alias qualify row_number() over (partition by alias order by pri, id) = 1""")
-def _(t):
-    names = t.vendor.select(F.lower("vendor").alias("alias"), F.struct(F.lit(1).alias("pri"), F.col("vendor_id").alias("id"), F.lit("vendor").alias("kind")).alias("n"))
-    names = names.unionByName(t.product.select(F.lower("product").alias("alias"), F.struct(F.lit(2).alias("pri"), F.col("product_id").alias("id"), F.lit("product").alias("kind")).alias("n")))
-    unique = t.source.groupBy(F.lower("kind").alias("alias")).agg(F.min("source_id").alias("id"), F.count("*").alias("c")).filter("c < 400")
-    names = names.unionByName(unique.select("alias", F.struct(F.lit(3).alias("pri"), "id", F.lit("source").alias("kind")).alias("n")))
-    asked = t.spark.createDataFrame([(a,) for a in ("asia", "nation_4", "building", "machinery", "nowhere", "europe")], "alias string")
-    return names.join(F.broadcast(asked), "alias").groupBy("alias").agg(F.min("n").alias("n")).select("alias", "n.kind", "n.id")  # a fixed list
-
-
-@query("agg_24_dedup_acceptance", """with g as (select label, list_sort(list_distinct(list(kind))) as k, count(*) as n from entity group by label) select a.label as a, b.label as b, len(list_intersect(a.k, b.k)) as shared from g a join g b on a.label < b.label where len(list_intersect(a.k, b.k)) > 0""")
-def _(t):
-    g = t.entity.select("label", "kind").distinct()
-    both = g.select(F.col("label").alias("a"), "kind").join(g.select(F.col("label").alias("b"), "kind"), "kind").filter("a < b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
 @query("agg_25_provenance_rate", f"""with s as (select distinct fact_id from fact_episode join episode using (episode_id) join {CHAIN} using (article_id)) select relation, round(avg((s.fact_id is not null)::int), 6) as rate, count(*) as n from fact f left join s on s.fact_id = f.fact_id group by relation""")
 def _(t):
     s = P.fact_sources(t.fact_episode, t.episode, _chain(t)).select("fact_id").distinct().withColumn("there", F.lit(1))
@@ -217,26 +106,6 @@ def _(t):
     return t.conversations.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.col("text").isNull() | (n < 20)).alias("refusals"), F.count_if(n >= 20).alias("ok"))
 
 
-@query("agg_38_missing_term", """with m as (select size, label, count(*) as n, sum(count(*)) over (partition by size) as total from entity group by size, label) select size, label as term, n from m where n >= 2 and 10 * n >= total qualify row_number() over (partition by size order by n desc, label) = 1""")
-def _(t):
-    m = t.entity.groupBy("size", "label").agg(F.count("*").alias("n"))
-    total = m.groupBy("size").agg(F.sum("n").alias("total"))
-    ok = m.join(total, "size").filter("n >= 2 and 10 * n >= total")
-    return ok.groupBy("size").agg(F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), F.col("label"))).alias("b")).select("size", F.col("b.label").alias("term"), "b.n")
-
-
-@query("agg_39_adopt_decision", "select lang, round(median(n_chars * 1.0 / length(source)), 6) as ratio, case when median(n_chars * 1.0 / length(source)) > 250 and sum(n_chars) > 100000 then 'adopt' else 'keep' end as decision from documents group by lang")
-def _(t):
-    ratio = F.median(F.col("n_chars") / F.length("source"))
-    return t.documents.groupBy("lang").agg(F.round(ratio, 6).alias("ratio"), F.when((ratio > 250) & (F.sum("n_chars") > 100000), "adopt").otherwise("keep").alias("decision"))
-
-
-@query("agg_41_crosscheck", """select status, count(*) as jobs, count(*) filter (a.article_id is null) as missing, count(*) filter (a.removed) as removed from job j left join article a on a.article_id = j.article_id group by status""")
-def _(t):
-    a = t.article.select("article_id", "removed", F.lit(True).alias("there"))
-    return t.job.select("article_id", "status").join(a, "article_id", "left").groupBy("status").agg(F.count("*").alias("jobs"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if("removed").alias("removed"))
-
-
 @query("agg_42_facet_coverage", f"""with f as (select distinct article_id, vendor from {CHAIN}), v as (select vendor from vendor), u as (select source_id, vendor from article join f using (article_id) group by all)
     select s.source_id, bool_and(coalesce(u.vendor is not null, false)) as covered from (select distinct source_id from article) s cross join v left join u on u.source_id = s.source_id and u.vendor = v.vendor group by s.source_id""")
 def _(t):
@@ -245,28 +114,6 @@ def _(t):
     return cited.join(F.broadcast(facets)).select("source_id", (F.col("n") == F.col("facets")).alias("covered"))  # one row
 
 
-@query("agg_43_enumeration_hit", "select label, count(distinct size) filter (price > 1200) = count(distinct size) as exact from entity group by label")
-def _(t):
-    return t.entity.groupBy("label").agg((F.count_distinct(F.when(F.col("price") > 1200, F.col("size"))) == F.count_distinct("size")).alias("exact"))
-
-
-@query("agg_44_retrieval_check", """select source, max((quality = 1)::int) = 1 as hit, count(*) filter (toxic = 1) as toxic, count(distinct lang) as langs from documents left join labels using (doc_id) group by source""")
-def _(t):
-    d = t.documents.select("doc_id", "source", "lang").join(t.labels, "doc_id", "left")
-    return d.groupBy("source").agg((F.max((F.col("quality") == 1).cast("int")) == 1).alias("hit"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_distinct("lang").alias("langs"))
-
-
-@query("agg_45_arm_summary", "select lane, count(*) as n, round(median(tokens), 6) as med, round(sum(tokens) / nullif(count(*) filter (status = 'done'), 0), 6) as per_done from job group by lane")
-def _(t):
-    return t.job.groupBy("lane").agg(F.count("*").alias("n"), F.round(F.median("tokens"), 6).alias("med"), F.round(F.try_divide(F.sum("tokens"), F.count_if(F.col("status") == "done")), 6).alias("per_done"))
-
-
-@query("agg_47_two_pass_labels", "select count(*) filter (quality = 0 and toxic = 1) as both_bad, count(*) filter (quality = 0 or toxic = 1) as any_bad, count(*) as n from labels")
-def _(t):
-    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    return t.labels.agg(F.count_if(bad & toxic).alias("both_bad"), F.count_if(bad | toxic).alias("any_bad"), F.count("*").alias("n"))
-
-
 @query("agg_50_judged_quality", "select lang, round(avg(quality), 6) as rate, count(*) filter (quality is null) as unparsed from documents left join labels using (doc_id) group by lang")
 def _(t):
     d = t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left")
@@ -279,54 +126,6 @@ def _(t):
     return t.events.select("event_id", F.row_number().over(w).cast("long").alias("place")).filter("place <= 8")
 
 
-@query("ret_2_local_search", f"""with s as (select distinct fact_id from fact_episode join episode using (episode_id) join {CHAIN} using (article_id) where vendor = 'ASIA')
-    select fact_id, src, score from fact where (invalid_at is null or invalid_at > timestamp '{AS_OF}') and fact_id in (select fact_id from s) order by score desc, fact_id limit 40""")
-def _(t):
-    scope = P.fact_sources(t.fact_episode, t.episode, _chain(t).filter(P.scope_condition(["asia"]))).select("fact_id")
-    current = t.fact.filter(R.is_current(F.col("invalid_at"), now())).join(scope, "fact_id", "left_semi")
-    return current.orderBy(F.desc("score"), "fact_id").limit(40).select("fact_id", "src", "score")
-
-
-@query("ret_9_enumerate_vendors", f"""with s as (select distinct fact_id, vendor from fact_episode join episode using (episode_id) join {CHAIN} using (article_id)) select vendor, count(*) as facts, round(max(score), 4) as best from s join fact using (fact_id) where score > 20000 group by vendor having max(score) >= 30000""")
-def _(t):
-    s = P.fact_sources(t.fact_episode, t.episode, _chain(t)).select("fact_id", "vendor").distinct()
-    g = s.join(t.fact.filter("score > 20000").select("fact_id", "score"), "fact_id").groupBy("vendor").agg(F.count("*").alias("facts"), F.max("score").alias("best"))
-    return g.filter("best >= 30000").select("vendor", "facts", F.round("best", 4).alias("best"))
-
-
-@query("ret_10_item_grades", "select event_id, case when value >= 400 then 'confirmed' when value >= 200 then 'needs_validation' else 'dropped' end as grade from events")
-def _(t):
-    v = F.col("value")
-    return t.events.select("event_id", F.when(v >= 400, "confirmed").when(v >= 200, "needs_validation").otherwise("dropped").alias("grade"))
-
-
-@query("ret_11_routing", """select item_id, case when regexp_matches(text, '(?i)(when|since|until|was)') then 'timeline' when regexp_matches(text, '(?i)(than|both)') then 'comparison' when length(text) > 400 then 'global' else 'local' end as mode from benchmark""")
-def _(t):
-    c = F.col("text")
-    return t.benchmark.select("item_id", F.when(c.rlike("(?i)(when|since|until|was)"), "timeline").when(c.rlike("(?i)(than|both)"), "comparison").when(F.length(c) > 400, "global").otherwise("local").alias("mode"))
-
-
-@query("ret_12_question_shape", "select item_id, case when len(regexp_extract_all(lower(text), '(and|or) ')) = 0 then 'single' when len(regexp_extract_all(lower(text), '(and|or) ')) <= 3 then 'comparison' else 'enumeration' end as shape from benchmark")
-def _(t):
-    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("(and|or) "), F.lit(0)))
-    return t.benchmark.select("item_id", F.when(n == 0, "single").when(n <= 3, "comparison").otherwise("enumeration").alias("shape"))
-
-
-@query("ret_14_report_context", """with d as (select src as entity_id, count(*) as n from fact group by src), m as (select label, entity_id, n from d join entity using (entity_id) qualify row_number() over (partition by label order by n desc, entity_id) <= 30)
-    select m.label, count(*) as facts, cast(sum(length(relation) + 10) as bigint) as chars from m join fact on fact.src = m.entity_id group by m.label""")
-def _(t):
-    d = t.fact.groupBy(F.col("src").alias("entity_id")).agg(F.count("*").alias("n")).join(t.entity.select("entity_id", "label"), "entity_id")
-    w = Window.partitionBy("label").orderBy(F.desc("n"), "entity_id")
-    m = d.withColumn("rn", F.row_number().over(w)).filter("rn <= 30").select(F.col("entity_id").alias("src"), "label")
-    return t.fact.join(m, "src").groupBy("label").agg(F.count("*").alias("facts"), F.sum(F.length("relation") + 10).alias("chars"))
-
-
-@query("ret_15_mode_fallback", "select user_id, case when count(*) filter (event_type = 'view') = 0 then 'drift' when count(*) filter (value > 480) = 0 then 'local' else 'global' end as mode from events group by user_id")
-def _(t):
-    seen, cited = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("value") > 480)
-    return t.events.groupBy("user_id").agg(F.when(seen == 0, "drift").when(cited == 0, "local").otherwise("global").alias("mode"))
-
-
 @query("ds_7_weighted_pick", """select source, doc_id from documents qualify row_number() over (partition by source order by ln((('0x' || substr(sha256(cast(doc_id as varchar)), 1, 8))::ubigint + 1) / 4294967296.0) / n_chars desc, doc_id) <= 5""")
 def _(t):
     u = F.log((F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0) / F.col("n_chars")
@@ -357,32 +156,9 @@ def _(t):
 
 @query("join_30_evidence_cap")
 def _(t):
-    """Of equal texts of a conversation the first is shown, later ones are pointers of ten characters; then fair parts."""
-    w = Window.partitionBy("conv_id", F.md5("text")).orderBy("turn")
-    shown = t.conversations.select("conv_id", F.col("turn").alias("id"), F.when(F.row_number().over(w) == 1, F.length("text")).otherwise(10).alias("size"))
-    return DS.fair_share(shown, "conv_id", 600)
-
-
-@query("gr_15_duplicate_simulation", """with m as (select l_partkey as entity_id, l_shipdate as start from lineitem), f as (select entity_id, min(start) + interval 60 days as committed from m group by entity_id)
-    select m.entity_id, count(*) - 1 as excess from m join f using (entity_id) where start < committed group by m.entity_id""")
-def _(t):
-    """Extractions that start before the first one of their entity is committed make copies of it."""
-    m = t.lineitem.select(F.col("l_partkey").alias("entity_id"), F.col("l_shipdate").alias("start"))
-    first = m.groupBy("entity_id").agg((F.min("start") + F.expr("interval 60 days")).alias("committed"))
-    return m.join(first, "entity_id").filter("start < committed").groupBy("entity_id").agg((F.count("*") - 1).alias("excess"))
-
-
-@query("str_1_feed_gate", """with o as (select user_id, max(value) as seen from events where event_type = 'purchase' group by user_id) select case when seen is null or value > seen then 'enqueue' else 'skip' end as action, count(*) as n from events left join o using (user_id) group by 1""")
-def _(t):
-    """The feed as a stream against the state as a table, each file once."""
-    state = t.events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("value").alias("seen"))
-    act = F.when(F.col("seen").isNull() | (F.col("value") > F.col("seen")), "enqueue").otherwise("skip")
-    return drain(t, events_stream(t).join(state, "user_id", "left").groupBy(act.alias("action")).agg(F.count("*").alias("n")), "complete")
-
-
-@query("str_2_resumed_bootstrap", "select user_id, min(event_id) as first, count(*) as n from events where event_id > 2500 group by user_id")
-def _(t):
-    return feed.scan(t.events, {}, after=("event_id", 2500)).groupBy("user_id").agg(F.min("event_id").alias("first"), F.count("*").alias("n"))
+    """Texts that a conversation's sources (roles) show, within a budget: copies of an earlier source's are pointers."""
+    role = F.when(F.col("role") == "user", 0).otherwise(F.length("role") + 1).cast("long")
+    return EV.capped(t.conversations.select(F.col("conv_id").alias("answer"), role.alias("source"), F.col("turn").alias("pos"), "text"), 600)
 
 
 def _shortlist(t, n: int):
@@ -396,43 +172,14 @@ _SHORT = """q as (select embedding as q from embeddings where vec_id = 0), s as
     best as (select label, max(score) as best from s group by label order by best desc, label limit {n})"""
 
 
-@query("ret_4_global_search", f"""with {_SHORT.format(n=5)}, m as (select * from s join best using (label) qualify row_number() over (partition by label order by score desc, vec_id) <= 6) select label, vec_id, row_number() over (order by best desc, label, score desc, vec_id) as number from m""")
-def _(t):
-    """Communities on a shortlist, the best members of each, numbered through in the order of the shortlist."""
-    scored, best = _shortlist(t, 5)
-    w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    top = scored.join(best, "label").withColumn("rn", F.row_number().over(w)).filter("rn <= 6")
-    number = F.row_number().over(Window.orderBy(F.desc("best"), "label", F.desc("score"), "vec_id"))  # of 30 rows
-    return top.select("label", "vec_id", number.cast("long").alias("number"))
-
-
-@query("ret_5_drift_search", f"""with {_SHORT.format(n=4)}, p as (select arg_max(vec_id, (score, -vec_id)) as primer, label from s join best using (label) group by label)
-    select d.doc_id, min(p.label) as label from p join documents a on a.doc_id = p.primer join documents d on d.source = a.source and d.lang = a.lang group by d.doc_id""")
-def _(t):
-    """The best member of each community on the shortlist leads to the documents of its source and language, each once."""
-    scored, best = _shortlist(t, 4)
-    primer = scored.join(best, "label").groupBy("label").agg(F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("doc_id"))
-    lead = primer.join(t.documents.select("doc_id", "source", "lang"), "doc_id").select("label", "source", "lang")
-    return t.documents.select("doc_id", "source", "lang").join(F.broadcast(lead), ["source", "lang"]).groupBy("doc_id").agg(F.min("label").alias("label"))  # four rows
-
-
-@query("ret_7_list_search")
-def _(t):
-    """Fused lists, near duplicates collapsed, then a diverse choice."""
-    lists = R.ranked(R.bm25(t.documents, TERMS), "doc_id", 1, 60).unionByName(R.ranked(vectors(t, 60), "vec_id", 2, 60))
-    hits = R.rrf(lists).select("id", "score").join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").withColumn("query_id", F.lit(0))
-    kept = D.collapse_near_duplicates(hits.select("query_id", "id", "v"), "query_id", 0.96).select(F.col("kept").alias("id")).distinct()
-    return R.diverse(hits.join(kept, "id", "left_semi").select("query_id", "id", "score", "v"), 10)
-
 
-@query("ret_13_scope_resolution", """with a as (select lower(vendor) as name, 'vendor' as kind from vendor union all select lower(product), 'product' from product), d as (select article_id, lower(concat(product, ' of ', vendor)) as q from """ + CHAIN + """)
-    select q, max(name) filter (kind = 'vendor') as vendor, max_by(name, length(name)) filter (kind = 'product') as product from (select distinct q from d) x join a on contains(q, name) group by q""")
+@query("gr_15_duplicate_simulation")
 def _(t):
-    """Names mentioned in a question: longest product, vendor."""
-    names = t.vendor.select(F.lower("vendor").alias("name"), F.lit("vendor").alias("kind")).unionByName(t.product.select(F.lower("product").alias("name"), F.lit("product").alias("kind")))
-    asked = _chain(t).select(F.lower(F.concat("product", F.lit(" of "), "vendor")).alias("q")).distinct()
-    w = F.regexp_extract_all("q", F.lit("[a-z0-9_]+"), F.lit(0))
-    grams = F.flatten(F.transform(w, lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(w, i + 1, n), " "))))
-    hit = asked.select("q", F.explode(F.array_distinct(grams)).alias("name")).join(names, "name")  # names of up to three words
-    product, vendor = F.when(F.col("kind") == "product", F.col("name")), F.when(F.col("kind") == "vendor", F.col("name"))
-    return hit.groupBy("q").agg(F.max(vendor).alias("vendor"), F.max_by(product, F.when(F.col("kind") == "product", F.length("name"))).alias("product"))
+    """What a run with four slots and a warm-up of one article makes of entities that several articles name: how many
+    copies beyond the first."""
+    first = t.episode.select("episode_id", "article_id", "chunk_index", "tokens").join(t.article.select("article_id", "source_id"), "article_id")
+    chunks = first.select((F.col("source_id") % 20).alias("scenario"), F.col("source_id").alias("source"), F.col("article_id").alias("article"), F.col("chunk_index").cast("long").alias("chunk"), F.col("tokens").alias("seconds"))
+    times = J.schedule(chunks, slots=4, warmup=1)
+    named = t.mention.join(first.select("episode_id", "article_id", F.col("chunk_index").alias("chunk"), "source_id"), "episode_id")
+    named = named.groupBy("entity_id", "article_id").agg(F.min("chunk").cast("long").alias("chunk")).withColumnRenamed("article_id", "article")
+    return J.excess_copies(named.join(times, ["article", "chunk"]).select("scenario", F.col("entity_id").alias("entity"), "article", "resolve", "commit"))

@@ -16,13 +16,6 @@ def _(t):
     return t.article.select("article_id", (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
-@query("win_3_lead_gap", "select event_id, coalesce(date_diff('second', ts, lead(ts) over (partition by user_id order by ts, event_id)), -1) as gap from events")
-def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp(F.lead("ts").over(w).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return t.events.select("event_id", F.coalesce(gap, F.lit(-1)).alias("gap"))
-
-
 @query("win_4_birth_episode", "select entity_id, min(episode_id) as born from mention group by entity_id")
 def _(t):
     return t.mention.groupBy("entity_id").agg(F.min("episode_id").alias("born"))
@@ -38,13 +31,6 @@ def _(t):
     return t.events.groupBy("user_id", "event_type").agg(F.min_by("value", "event_id").alias("value"))
 
 
-@query("win_7_running_share", "select p_brand, p_partkey, round(sum(p_retailprice) over (partition by p_brand order by p_partkey) / sum(p_retailprice) over (partition by p_brand), 6) as share from part")
-def _(t):
-    w = Window.partitionBy("p_brand")
-    run = F.sum("p_retailprice").over(w.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0))
-    return t.part.select("p_brand", "p_partkey", F.round(run / F.sum("p_retailprice").over(w), 6).alias("share"))
-
-
 @query("win_8_survivors", "select source_id, article_id from article qualify row_number() over (partition by source_id order by sort_order nulls last, changed_at, article_id) = 1")
 def _(t):
     key = F.struct(F.col("sort_order").isNull(), "sort_order", "changed_at", "article_id")
@@ -71,34 +57,6 @@ def _(t):
     return r.select("fact_id", F.row_number().over(Window.partitionBy("dst").orderBy("depth", "src")).cast("long").alias("place"))
 
 
-@query("win_12_budget_cut", """with r as (select source, doc_id, sum(n_chars + 1) over (partition by source order by doc_id) as used, row_number() over (partition by source order by doc_id) as rn from documents)
-    select source, doc_id from r where used <= 20000 or rn = 1""")
-def _(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    used = F.sum(F.col("n_chars") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.documents.select("source", "doc_id", used.alias("used"), F.row_number().over(w).alias("rn")).filter("used <= 20000 or rn = 1").select("source", "doc_id")
-
-
-@query("win_13_greedy_packing")
-def _(t):
-    return DS.pack_consecutive(t.conversations, "conv_id", "turn", F.length("text"), 800)
-
-
-@query("win_14_vendor_round_robin", """with r as (select source, doc_id, row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) as rn from documents)
-    select doc_id, rn as turn from r where rn <= 5""")
-def _(t):
-    w = Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return t.documents.select("doc_id", F.row_number().over(w).cast("long").alias("turn")).filter("turn <= 5")
-
-
-@query("win_15_early_stop", """with r as (select user_id, event_id, value, min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as best from events where event_type = 'purchase')
-    select user_id, count(*) filter (best is null or value < best) as improvements, min(value) as lowest from r group by user_id""")
-def _(t):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = t.events.filter("event_type = 'purchase'").select("user_id", "value", F.min("value").over(w).alias("best"))
-    return r.groupBy("user_id").agg(F.count_if(F.col("best").isNull() | (F.col("value") < F.col("best"))).alias("improvements"), F.min("value").alias("lowest"))
-
-
 @query("win_16_citation_numbers", "with f as (select user_id, event_type, min(event_id) as first from events group by all) select user_id, event_type, dense_rank() over (partition by user_id order by first) as number from f")
 def _(t):
     f = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
@@ -115,13 +73,6 @@ def _(t):
     return t.job.filter("status = 'pending'").orderBy(F.col("lane") == "bootstrap", "enqueued_at", "job_id").limit(40).select("job_id")
 
 
-@query("top_10_dispatch_spread", """with r as (select article_id, row_number() over (partition by source_id order by sort_order nulls last, article_id) as rn from article) select article_id, case when rn <= 2 then rn else 1000000 + article_id end as turn from r""")
-def _(t):
-    w = Window.partitionBy("source_id").orderBy(F.asc_nulls_last("sort_order"), "article_id")
-    rn = F.row_number().over(w).cast("long")
-    return t.article.select("article_id", F.when(rn <= 2, rn).otherwise(F.col("article_id") + 1000000).alias("turn"))
-
-
 @query("top_11_bounded_samples", "select source, array_to_string(list_sort(list(doc_id))[1:20], ',') as sample from documents group by source")
 def _(t):
     rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))  # cut to 20 before the shuffle
@@ -135,11 +86,6 @@ def _(t):
     return DS.apportion(t.documents.groupBy("source").agg(F.count("*").alias("n")), "source", "n", 137)
 
 
-@query("top_13_fair_share")
-def _(t):
-    return DS.fair_share(t.documents.select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("size")), "source", 20000)
-
-
 @query("ds_1_hash_split", """select doc_id, case when ('0x' || substr(sha256(source), 1, 8))::ubigint / 4294967295.0 < 0.1 then 'val' else 'train' end as part from documents""")
 def _(t):
     return t.documents.select("doc_id", F.when(S.hash_fraction(F.col("source")) < 0.1, "val").otherwise("train").alias("part"))
@@ -173,25 +119,6 @@ def _(t):
     return DS.weighted_sample(t.documents, "doc_id", F.col("n_chars"), 100).select("doc_id")
 
 
-@query("ds_9_lexical_overlap", """with q as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark), d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents)
-    select item_id, doc_id, round(len(list_intersect(q.w, d.w)) * 1.0 / len(q.w), 6) as overlap from q, d where len(list_intersect(q.w, d.w)) * 1.0 / len(q.w) >= 0.3""")
-def _(t):
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
-    d = t.documents.select("doc_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
-    both = q.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("both")).join(q.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
-    return both.select("item_id", "doc_id", F.round(F.col("both") / F.col("n"), 6).alias("overlap")).filter("both / n >= 0.3")
-
-
 @query("ds_10_undo_upsampling", "select doc_id, min(n_chars) as n_chars from documents group by doc_id")
 def _(t):
     return DS.upsample(t.documents.select("doc_id", "lang", "n_chars"), "lang", 4).filter("repeat_index = 0").select("doc_id", "n_chars")
-
-
-@query("ds_11_triple_scores", """with p as (select list_sort(list_distinct(list(src || '|' || relation || '|' || dst))) as s, created % 100 as g from fact where relation <> 'R' group by 2), k as (select list_sort(list_distinct(list(src || '|' || relation || '|' || dst))) as s, created % 100 as g from fact where score > 30000 group by 2)
-    select p.g, len(list_intersect(p.s, k.s)) as both, len(p.s) - len(list_intersect(p.s, k.s)) as spurious from p join k using (g)""")
-def _(t):
-    key = F.concat_ws("|", "src", "relation", "dst")
-    p = t.fact.filter("relation <> 'R'").groupBy((F.col("created") % 100).alias("g")).agg(F.collect_set(key).alias("s"))
-    k = t.fact.filter("score > 30000").groupBy((F.col("created") % 100).alias("g")).agg(F.collect_set(key).alias("o"))
-    both = F.size(F.array_intersect("s", "o"))
-    return p.join(k, "g").select("g", both.cast("long").alias("both"), (F.size("s") - both).cast("long").alias("spurious"))

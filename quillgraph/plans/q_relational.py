@@ -22,24 +22,11 @@ def _chain(t):
 # Sources and sinks -------------------------------------------------------------------------------------------------
 
 
-@query("src_2_record_kinds", """select event_type as op, case when event_type = 'error' then 'tombstone' when event_type = 'signup' then 'control' else 'content' end as record, count(*) as n
-    from events group by all""")
-def _(t):
-    kind = F.when(F.col("event_type") == "error", "tombstone").when(F.col("event_type") == "signup", "control").otherwise("content")
-    return t.events.groupBy(F.col("event_type").alias("op"), kind.alias("record")).agg(F.count("*").alias("n"))
-
-
 @query("src_3_pushed_scan", "select event_id, user_id, value from events where event_id > 500 and user_id = 7")
 def _(t):
     return feed.scan(t.events, {"user_id": 7, "event_type": None}, after=("event_id", 500)).select("event_id", "user_id", "value")
 
 
-@query("src_4_dead_letters", """select event_id, props from events where try_cast(json_extract_string(props, '$.k') as bigint) is null or try_cast(json_extract_string(props, '$.k') as bigint) > 95""")
-def _(t):
-    k = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
-    return t.events.filter(k.isNull() | (k > 95)).select("event_id", "props")
-
-
 @query("src_6_catalog_load", "select source_id, source, product, coalesce(vendor, '') as vendor from source join product using (product_id) left join vendor using (vendor_id)")
 def _(t):
     joined = t.source.join(t.product, "product_id").join(t.vendor, "vendor_id", "left")
@@ -96,14 +83,6 @@ def _(t):
     return _chain(t).filter(~F.col("removed")).groupBy("article_id").agg(first).select("article_id", "f.vendor", "f.product", "f.source")
 
 
-@query("src_13_first_reply_wins", """with j as (select user_id, event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events)
-    select user_id, k, count(*) over () as calls from j where k is not null qualify row_number() over (partition by user_id order by event_id) = 1""")
-def _(t):
-    k = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
-    first = t.events.select("user_id", "event_id", k.alias("k")).filter("k is not null").groupBy("user_id").agg(F.min_by("k", "event_id").alias("k"), F.count("*").alias("n"))
-    return first.join(F.broadcast(first.agg(F.sum("n").alias("calls")))).select("user_id", "k", "calls")  # one row
-
-
 @query("src_14_article_fetch", "select a.article_id, a.title, d.n_chars, cast(a.changed_at as date) as changed from article a join documents d on d.doc_id = a.article_id")
 def _(t):
     return t.article.join(t.documents.select(F.col("doc_id").alias("article_id"), "n_chars"), "article_id").select("article_id", "title", "n_chars", F.to_date("changed_at").alias("changed"))
@@ -149,19 +128,6 @@ def _(t):
 _NOISE = [("numeric", r"^[0-9]{6,}$"), ("resource", r"^[a-z]+-[0-9a-f]{8,}$"), ("invalid", r"^Invalid[A-Z]"), ("coded", r"[0-9]{3,}"), ("region", r"-(east|west|north|south)-[0-9]$"), ("action", r"^[a-z]+:[A-Za-z]+$")]
 
 
-@query("flt_5_noise_classifier", "select entity_id, case " + " ".join(f"when regexp_matches(name, '{p}') then '{n}'" for n, p in _NOISE) + " else 'kept' end as rule from entity")
-def _(t):
-    rule = F.lit("kept")
-    for n, p in reversed(_NOISE):
-        rule = F.when(F.col("name").rlike(p), n).otherwise(rule)
-    return t.entity.select("entity_id", rule.alias("rule"))
-
-
-@query("flt_6_navigation_articles", "select article_id, title from article where regexp_matches(title, '(?i)(not specified|low$|table of contents|index)')")
-def _(t):
-    return t.article.filter(F.col("title").rlike("(?i)(not specified|low$|table of contents|index)")).select("article_id", "title")
-
-
 @query("flt_7_dense_tables", r"""with l as (select doc_id, string_split(rtrim(text, chr(10)), chr(10)) as lines, text from documents)
     select doc_id, (len(list_filter(lines, lambda x: x like '%|%')) >= 0.25 * len(lines) or length(text) - length(replace(text, '|', '')) >= 200) as dense from l""")
 def _(t):
@@ -171,23 +137,6 @@ def _(t):
     return t.documents.select("doc_id", ((piped >= 0.25 * F.size(lines)) | (pipes >= 200)).alias("dense"))
 
 
-@query("flt_8_region_gazetteer", """select s.source_id, p.product from source s join product p using (product_id) where trim(regexp_replace(lower(p.product), '^nation_', '')) in (select trim(n) from (values ('1'), ('4'), ('9')) v(n))""")
-def _(t):
-    known = t.spark.createDataFrame([("1",), ("4",), ("9",)], "n string")
-    key = F.trim(F.regexp_replace(F.lower("product"), "^nation_", ""))
-    return t.source.join(t.product, "product_id").withColumn("n", key).join(F.broadcast(known), "n", "left_semi").select("source_id", "product")  # a fixed list
-
-
-@query("flt_9_limitations", "select conv_id, turn from conversations where regexp_matches(text, '(?i)(not supported|cannot|unable|nicht|pas |est)')")
-def _(t):
-    return t.conversations.filter(F.col("text").rlike("(?i)(not supported|cannot|unable|nicht|pas |est)")).select("conv_id", "turn")
-
-
-@query("flt_10_list_questions", "select item_id from benchmark where regexp_matches(text, '(?i)(all|list|which|that)') and not regexp_matches(text, '(?i)(why|how come)')")
-def _(t):
-    return t.benchmark.filter(F.col("text").rlike("(?i)(all|list|which|that)") & ~F.col("text").rlike("(?i)(why|how come)")).select("item_id")
-
-
 @query("flt_12_liveness", """select e.episode_id, (not coalesce(superseded, false) and not coalesce(removed, false)) as alive from episode e left join article a on a.article_id = e.article_id""")
 def _(t):
     joined = t.episode.join(t.article.select("article_id", "removed"), "article_id", "left")
@@ -207,16 +156,6 @@ def _(t):
     return t.documents.select("doc_id", reason.alias("reason"))
 
 
-@query("flt_21_edge_acceptance", """with e as (select fact_id, src, dst, row_number() over (partition by least(src, dst), greatest(src, dst) order by fact_id) as rn, exists (select 1 from entity where entity_id = dst and size > 5) as listed from fact)
-    select fact_id, case when not listed then 'not_listed' when src = dst then 'self_loop' when rn > 1 then 'present' else 'accepted' end as verdict from e""")
-def _(t):
-    first = t.fact.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("fact_id").alias("first"))
-    listed = t.entity.filter("size > 5").select(F.col("entity_id").alias("dst"), F.lit(True).alias("listed"))
-    e = t.fact.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(first, ["a", "b"]).join(listed, "dst", "left")
-    verdict = F.when(F.col("listed").isNull(), "not_listed").when(F.col("src") == F.col("dst"), "self_loop").when(F.col("fact_id") > F.col("first"), "present").otherwise("accepted")
-    return e.select("fact_id", verdict.alias("verdict"))
-
-
 @query("flt_29_already_ingested", """select n.episode_id from episode n where exists (select 1 from episode o where o.article_id = n.article_id and o.chunk_index = n.chunk_index and not o.superseded and o.tokens = n.tokens)""")
 def _(t):
     old = t.episode.filter(~F.col("superseded")).select("article_id", "chunk_index", "tokens")
@@ -302,14 +241,6 @@ def _(t):
     return t.fact.join(t.fact_episode.join(scope, "episode_id", "left_semi").select("fact_id"), "fact_id", "left_semi").select("fact_id", "score")
 
 
-@query("join_8_siblings", """with g as (select src, relation, count(*) as n from fact group by all), top as (select src, relation from g order by n desc, src, relation limit 6)
-    select src, relation, fact_id from fact join top using (src, relation) qualify row_number() over (partition by src, relation order by fact_id) <= 20""")
-def _(t):
-    top = t.fact.groupBy("src", "relation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "relation").limit(6)
-    w = Window.partitionBy("src", "relation").orderBy("fact_id")
-    return t.fact.join(top, ["src", "relation"]).withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("src", "relation", "fact_id")
-
-
 @query("join_9_reconcile", """with s as (select product_id, lower(replace(product, '_', ' ')) as form from product union select product_id, lower(product) from product),
     e as (select entity_id, lower('nation_' || (size % 30)) as name, size % 2 = 0 as right_kind from entity)
     select p.product_id, case when bool_or(right_kind) then 'matched' when count(entity_id) > 0 then 'wrong_type_candidate' else 'no_candidate' end as state, min(entity_id) filter (right_kind) as twin
@@ -437,13 +368,6 @@ def _(t):
     return E.at_rank(t.entity, "label", "price", lambda n: F.bround(0.9 * (n - 1)) + 1).select("label", F.col("price").alias("p90"))
 
 
-@query("agg_7_latency_buckets", """select case when attempts <= 0 then '1' when attempts <= 2 then '2-4' else '5+' end as bucket, count(*) as n, round(median(tokens), 6) as med, round(count(*) * 1.0 / sum(count(*)) over (), 6) as share from job group by 1""")
-def _(t):
-    bucket = F.when(F.col("attempts") <= 0, "1").when(F.col("attempts") <= 2, "2-4").otherwise("5+")
-    g = t.job.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.median("tokens"), 6).alias("med"))
-    return g.join(F.broadcast(g.agg(F.sum("n").alias("total")))).select("bucket", "n", "med", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # one row
-
-
 @query("agg_8_usage_tally", """select op, count(*) as calls, round(sum(tokens), 4) as tokens, round(sum(tokens) filter (attempts > 1) / nullif(sum(tokens), 0), 6) as retry_share from job group by op""")
 def _(t):
     retry = F.sum(F.when(F.col("attempts") > 1, F.col("tokens")))
@@ -532,11 +456,6 @@ def _(t):
     return e.agg(F.count_if("noisy").alias("entities")).join(F.broadcast(counts))  # one row each
 
 
-@query("agg_28_confusion", "select a.toxic as said, a.quality as truth, count(*) as n from labels a group by all")
-def _(t):
-    return t.labels.groupBy(F.col("toxic").alias("said"), F.col("quality").alias("truth")).agg(F.count("*").alias("n"))
-
-
 @query("agg_29_sign_test", """with s as (select source, count(*) filter (quality > toxic) as w, count(*) filter (quality < toxic) as l from labels join documents using (doc_id) group by source)
     select source, w as wins, l as losses, round(case when w + l = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1)))) / pow(2.0, w + l)) end, 6) as p from s""")
 def _(t):
@@ -552,28 +471,6 @@ def _(t):
     return s.select("source", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("agg_27_precision_recall", """with s as (select lang, count(*) filter (quality = 1 and toxic = 0) as tp, count(*) filter (quality = 0 and toxic = 0) as fp, count(*) filter (quality = 1 and toxic = 1) as fn from labels join documents using (doc_id) group by lang)
-    select lang, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from s""")
-def _(t):
-    s = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
-        F.count_if(F.expr("quality = 1 and toxic = 0")).alias("tp"), F.count_if(F.expr("quality = 0 and toxic = 0")).alias("fp"), F.count_if(F.expr("quality = 1 and toxic = 1")).alias("fn")
-    )
-    return s.select("lang", *[F.round(c, 6).alias(n) for n, c in E.precision_recall(F.col("tp"), F.col("fp"), F.col("fn")).items()])
-
-
-@query("agg_30_bootstrap")
-def _(t):
-    return E.bootstrap_mean(t.labels, "quality", "doc_id")
-
-
-@query("agg_35_duplicate_risk", """with h as (select md5(text) as h, count(*) as k, min(doc_id) as first from documents group by 1 having count(*) > 1), g as (select first, cast(sum(k - 1) as bigint) as w from h group by first)
-    select first, w, round(sum(w) over (order by first) / sum(w) over (), 6) as share from g""")
-def _(t):
-    g = t.documents.groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("k"), F.min("doc_id").alias("first")).filter("k > 1").groupBy("first").agg(F.sum(F.col("k") - 1).alias("w"))
-    w = Window.orderBy("first")
-    return g.select("first", "w", F.round(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 6).alias("share"))
-
-
 @query("agg_40_verdict", """select case when count(*) filter (status = 'dead') > 0 then 'NO_GO' when count(*) filter (status = 'in_progress') > 0 then 'GO_WITH_CONFIG' else 'GO' end as verdict, source_id from job where op <> 'view' group by source_id""")
 def _(t):
     g = t.job.filter("op <> 'view'").groupBy("source_id").agg(F.bool_or(F.col("status") == "dead").alias("bad"), F.bool_or(F.col("status") == "in_progress").alias("open"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors as V
 from quillgraph.operators import dedup as D
+from quillgraph.operators import fulltext as FT
 from quillgraph.operators import retrieval as R
 from quillgraph.plans.canonical import query
 
@@ -28,6 +29,11 @@ _BM25 = (
 _VEC = f"q as (select embedding as q from embeddings where vec_id = 0), vs as (select vec_id, {COS.format(a='embedding', b='q')} as score from embeddings, q where vec_id <> 0)"
 
 
+def search_text(t, terms: list[str] = TERMS):
+    """BM25 over the postings of documents: doc_id, score."""
+    return FT.bm25(FT.index(t.documents, f"documents of {t.sf_dir}"), terms).withColumnRenamed("id", "doc_id")
+
+
 def query_vector(t) -> list[float]:
     """The stored vector that stands for an embedded question."""
     return [float(x) for x in t.embeddings.filter("vec_id = 0").select("embedding").first()[0]]
@@ -39,7 +45,7 @@ def vectors(t, k: int):
 
 @query("fts_bm25_top", f"with {_BM25} select doc_id, round(score, 6) as score from bm order by score desc, doc_id limit 50")
 def _(t):
-    return R.bm25(t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+    return search_text(t).orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("top_1_cosine", f"with {_VEC} select vec_id, round(score, 6) as score from vs order by score desc, vec_id limit 20")
@@ -53,7 +59,7 @@ def _(t):
     select id as doc_id, round(score, 9) as score, row_number() over (order by round(score, 12) desc, first) as rank, source from f join documents on doc_id = id qualify rank <= 10""")
 def hybrid_search(t):
     """BM25 and vector lists of 50, fused by reciprocal ranks; the ten best with their source."""
-    lists = R.ranked(R.bm25(t.documents, TERMS), "doc_id", 1, 50).unionByName(R.ranked(vectors(t, 50), "vec_id", 2, 50))
+    lists = R.ranked(search_text(t), "doc_id", 1, 50).unionByName(R.ranked(vectors(t, 50), "vec_id", 2, 50))
     fused = R.rrf(lists).withColumnRenamed("id", "doc_id")
     place = F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "first")).cast("long")  # of 100 rows at most
     best = fused.join(t.documents.select("doc_id", "source"), "doc_id").withColumn("rank", place)
@@ -87,14 +93,6 @@ def _(t):
     return R.vector_search(t.embeddings.filter("vec_id <> 0"), query_vector(t), 1 << 30, above=0.0).select("vec_id", F.round(V.unit_score(F.col("score")), 6).alias("score"))
 
 
-@query("agg_19_worst_cosine", f"""with e as (select vec_id, embedding, md5(text) as h from embeddings join documents on doc_id = vec_id) select a.h, round(min({COS.format(a='a.embedding', b='b.embedding')}), 6) as worst from e a join e b on a.h = b.h and a.vec_id < b.vec_id group by a.h""")
-def _(t):
-    """Within groups of copies, as a merge plan has them."""
-    e = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("h")), "vec_id").select("vec_id", "embedding", "h")
-    b = e.select("h", F.col("vec_id").alias("other"), F.col("embedding").alias("w"))
-    return e.join(b, "h").filter("vec_id < other").groupBy("h").agg(F.round(F.min(V.cosine(F.col("embedding"), F.col("w"))), 6).alias("worst"))
-
-
 @query("agg_49_nearest_neighbours", f"""with s as (select a.vec_id, max({COS.format(a='a.embedding', b='b.embedding')}) as near from embeddings a, embeddings b where a.vec_id <> b.vec_id and a.vec_id % 20 = 0 group by a.vec_id)
     select round(percentile_disc(0.1) within group (order by near), 6) as p10, round(percentile_disc(0.5) within group (order by near), 6) as p50, round(percentile_disc(0.9) within group (order by near), 6) as p90 from s""")
 def _(t):
@@ -124,13 +122,6 @@ def _(t):
     return scored.orderBy(F.desc("b"), "vec_id").limit(25).select("vec_id", F.round("b", 6).alias("boosted"))
 
 
-@query("top_3_rerank_floor", f"""with {_VEC}, c as (select vec_id, score, case when vec_id % 3 = 0 then score / 2 + 0.3 when vec_id % 3 = 1 then score end as r from vs order by score desc, vec_id limit 50)
-    select vec_id, round(r, 6) as rerank from c where r >= 0.2 order by r desc, vec_id limit 10""")
-def _(t):
-    c = vectors(t, 50).withColumn("r", F.when(F.col("vec_id") % 3 == 0, F.col("score") / 2 + 0.3).when(F.col("vec_id") % 3 == 1, F.col("score")))
-    return c.filter("r >= 0.2").orderBy(F.desc("r"), "vec_id").limit(10).select("vec_id", F.round("r", 6).alias("rerank"))
-
-
 @query("top_4_padded_rerank", f"""with {_VEC}, c as (select vec_id, score, row_number() over (order by score desc, vec_id) as pos, case when vec_id % 2 = 0 then score * score end as r from vs qualify pos <= 30)
     select vec_id, pos, row_number() over (order by r is null, r desc, pos) as place from c qualify place <= 20""")
 def _(t):
@@ -153,29 +144,6 @@ def _(t):
     return D.collapse_near_duplicates(items, "label", 0.9)
 
 
-@query("ret_3_community_shortlist", f"""with {_VEC}, c as (select label, max(score) as best, count(*) as n, avg((score > 0)::int) as share from vs join embeddings using (vec_id) group by label)
-    select label, round(best, 6) as best, round(share, 6) as share from c where share >= 0.2 order by best desc, label limit 5""")
-def _(t):
-    q = F.array(*map(F.lit, query_vector(t)))
-    scored = t.embeddings.filter("vec_id <> 0").select("label", V.cosine_or_zero(F.col("embedding"), q).alias("score"))
-    c = scored.groupBy("label").agg(F.max("score").alias("best"), F.avg((F.col("score") > 0).cast("int")).alias("share"))
-    return c.filter("share >= 0.2").orderBy(F.desc("best"), "label").limit(5).select("label", F.round("best", 6).alias("best"), F.round("share", 6).alias("share"))
-
-
-@query("ret_6_timeline_search", """select fact_id, src, cast(valid_at as date) as valid_on, case when invalid_at is null or invalid_at > timestamp '1998-06-01' then 'current' else 'superseded' end as status
-    from (select * from fact order by score desc, fact_id limit 60) order by valid_at, fact_id limit 20""")
-def _(t):
-    top = t.fact.orderBy(F.desc("score"), "fact_id").limit(60).orderBy("valid_at", "fact_id").limit(20)
-    status = R.temporal_status(F.col("invalid_at"), F.expr("timestamp_ntz'1998-06-01 00:00:00'"))
-    return top.select("fact_id", "src", F.to_date("valid_at").alias("valid_on"), status.alias("status"))
-
-
-@query("ret_8_keyword_sweep", f"with {_BM25} select source, count(*) as hits, round(max(score), 6) as best from bm join documents using (doc_id) where source in ('src1', 'src2', 'src3') group by source")
-def _(t):
-    hits = R.bm25(t.documents, TERMS).join(t.documents.select("doc_id", "source"), "doc_id").filter(F.col("source").isin("src1", "src2", "src3"))
-    return hits.groupBy("source").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
-
-
 @query("agg_33_first_hit_rank", f"""with q as (select vec_id as query_id, embedding as q, label as ql from embeddings where vec_id % 20 = 0),
     s as (select query_id, label = ql as hit, row_number() over (partition by query_id order by {COS.format(a='embedding', b='q')} desc, vec_id) as rank from embeddings, q where vec_id <> query_id qualify rank <= 10)
     select query_id, count(*) filter (hit) / 10.0 as precision, round(coalesce(1.0 / min(rank) filter (hit), 0), 6) as reciprocal from s group by query_id""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import strings as S
 from quillgraph.operators import chunking as C
+from quillgraph.operators import grounding as GR
 from quillgraph.plans.canonical import query
 
 MARKED = "concat('see [', cast(p_size as varchar), ', ', cast(p_partkey % 9 as varchar), '] and [', cast(p_partkey % 5 as varchar), '].')"
@@ -58,20 +59,6 @@ def _(t):
     return m.filter("marker > 20").groupBy("marker").agg(F.count("*").alias("uses"))
 
 
-@query("win_17_markers_per_sentence", """with s as (select conv_id, turn, unnest(string_split_regex(text, '[.!?]\\s+')) as s from conversations) select conv_id, turn, count(*) as sentences, count(*) filter (regexp_matches(s, '[0-9]')) as marked from s group by all""")
-def _(t):
-    s = t.conversations.select("conv_id", "turn", F.explode(F.split("text", r"[.!?]\s+", -1)).alias("s"))
-    return s.groupBy("conv_id", "turn").agg(F.count("*").alias("sentences"), F.count_if(F.col("s").rlike("[0-9]")).alias("marked"))
-
-
-@query("agg_34_bag_share", """with s as (select doc_id, unnest(string_split_regex(text, '[.!?]\\s+')) as s from documents), c as (select doc_id, length(s) - length(replace(s, ',', '')) as n from s)
-    select doc_id, round(sum(n) filter (n >= 3) / nullif(sum(n), 0), 6) as share from c group by doc_id""")
-def _(t):
-    s = t.documents.select("doc_id", F.explode(F.split("text", r"[.!?]\s+", -1)).alias("s"))
-    c = s.select("doc_id", (F.length("s") - F.length(F.replace("s", F.lit(","), F.lit("")))).alias("n"))
-    return c.groupBy("doc_id").agg(F.round(F.try_divide(F.sum(F.when(F.col("n") >= 3, F.col("n"))).cast("double"), F.sum("n")), 6).alias("share"))
-
-
 @query("txt_page_title", "select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title from pages")
 def _(t):
     return t.pages.select("page_id", S.page_title(F.col("html")).alias("title"))
@@ -113,7 +100,7 @@ def _(t):
 
 @query("chunk_markdown_sections")
 def _(t):
-    return C.markdown_sections(t.documents, "doc_id", "text")
+    return C.markdown_chunks(t.documents, "doc_id", "source", "text")
 
 
 @query("chunk_pack_paragraphs")
@@ -121,10 +108,12 @@ def _(t):
     return C.pack_blocks(t.documents, "doc_id", "text", 1200)
 
 
-@query("src_5_toc_flatten")
+@query("src_5_toc_flatten", """select 'v' || vendor_id as id, vendor as title, null as parent, 0 as level, 0 as place from vendor where vendor_id in (select vendor_id from product)
+    union all select 'p' || product_id, product, 'v' || vendor_id, 1, (row_number() over (partition by vendor_id order by product_id) - 1)::int from product""")
 def _(t):
-    """A table of contents of three levels made from the catalog, flattened again."""
-    leaf = t.product.groupBy("vendor_id").agg(F.collect_list(F.struct(F.concat(F.lit("p"), "product_id").alias("id"), F.col("product").alias("title"))).alias("children"))
+    """A table of contents of two levels made from the catalog, flattened again."""
+    child = F.struct("product_id", F.concat(F.lit("p"), "product_id").alias("id"), F.col("product").alias("title"))
+    leaf = t.product.groupBy("vendor_id").agg(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"))).alias("children"))
     toc = leaf.join(t.vendor, "vendor_id").select(F.to_json(F.struct(F.concat(F.lit("v"), "vendor_id").alias("id"), F.col("vendor").alias("title"), "children")).alias("toc"))
     return C.flatten_toc(toc, "toc")
 
@@ -132,4 +121,13 @@ def _(t):
 @query("flt_13_grounding")
 def _(t):
     d = t.documents.select("doc_id", "text", F.get(S.tokens(F.col("text")), F.lit(3)).alias("name"))
-    return C.grounded(d, "doc_id", "name", "text")
+    return GR.grounded(d, "doc_id", "name", "text")
+
+
+@query("flt_14_grounded_names")
+def _(t):
+    """Entities of a text by what stands in it; an alias of its product becomes the product, which is there in any case."""
+    w = S.tokens(F.col("text"))
+    names = F.array(F.get(w, F.lit(1)), F.get(w, F.lit(5)), F.lit("Vault of Nowhere"), F.lit("SRC"), F.lit("Other Product"))
+    rows = t.documents.filter(F.size(w) > 5).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("product"), F.col("lang").alias("vendor"), names.alias("names"), F.array(*map(F.lit, ("Feature", "Feature", "Feature", "Product", "Product"))).alias("types"))
+    return GR.admit_entities(rows, {}, {f"src{i}": ["SRC"] for i in range(3)})

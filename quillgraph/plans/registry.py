@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("retrieval", "relational", "graph", "ranking", "text", "jobs", "more"):
+    for name in ("retrieval", "relational", "graph", "ranking", "text", "jobs", "more", "rules", "evals", "modes"):
         importlib.import_module(f"quillgraph.plans.q_{name}")
 
 

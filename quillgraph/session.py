@@ -1,40 +1,66 @@
-"""Session helpers: reading tables, and cutting lineage in storage that every executor shares."""
+"""Session helpers: reading tables, and keeping results in storage that every executor shares."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_kept: dict[tuple[str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests on one machine), a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where that is unset on one machine (tests), a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="quillgraph-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: survives lost executors, and later plans start from it."""
+    """Materialise in the shared checkpoint folder: survives lost executors, and later plans start from it. The shuffle
+    files that led to it go at once, rather than when the driver happens to collect its garbage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint(eager=True)  # a new plan, made under the setting
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within this, plans that run send Python batches of at most so many rows: for rows of many kilobytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
+    """A table that is built once in a session and written to the shared folder, as Parquet; later plans read it, with
+    their filters and columns pushed down. `name` stands for all that it is made from; `partition`: a column of folders,
+    each of which is one file."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        path = f"{checkpoint_dir(spark)}/kept/{hashlib.sha256(name.encode()).hexdigest()[:24]}"
+        df = build()
+        writer = df.repartition(partition).sortWithinPartitions(partition, *[c for c in df.columns if c != partition][:1]).write.partitionBy(partition) if partition else df.write
+        writer.mode("overwrite").parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, plans that run send Python batches of at most so many rows: for rows of many kilobytes."""
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
+        yield

@@ -20,10 +20,24 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_records(lines: DataFrame) -> DataFrame:
     schema = F.from_json("line", RECORD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    parsed = lines.select("line", schema.alias("r"))
+    also = [c for c in lines.columns if c != "line"]
+    parsed = lines.filter(F.trim("line") != "").select("line", *also, schema.alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     kind = F.when(bad, "malformed").when(F.col("r.control").isNotNull(), "control").when(F.col("r.change_type") == "removed", "tombstone").otherwise("content")
-    return parsed.select("line", "r.*", kind.alias("kind")).drop("_bad")
+    return parsed.select("line", *also, "r.*", kind.alias("kind")).drop("_bad")
+
+
+def pulled(records: DataFrame, by: str, cursor: str = "old_cursor") -> DataFrame:
+    """Of parsed records, by feed: applied, malformed, clean (a terminal cursor came), and the cursor to go on from: the
+    new one only after a clean end without malformed lines, else the old one."""
+    g = records.groupBy(by).agg(
+        F.count_if(F.col("kind").isin("content", "tombstone")).alias("applied"),
+        F.count_if(F.col("kind") == "malformed").alias("malformed"),
+        F.coalesce(F.bool_or((F.col("kind") == "control") & (F.col("control") == "cursor")), F.lit(False)).alias("clean"),
+        F.max(F.when(F.col("control") == "cursor", F.col("next_since"))).alias("new"),
+        F.max(cursor).alias("old"),
+    )
+    return g.select(by, "applied", "malformed", "clean", F.when(F.col("clean") & (F.col("malformed") == 0), F.col("new")).otherwise(F.col("old")).alias("cursor"))
 
 
 def scan(df: DataFrame, equal: dict[str, Any], after: tuple[str, Any] | None = None) -> DataFrame:

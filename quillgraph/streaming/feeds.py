@@ -21,10 +21,11 @@ def deduplicated(events: DataFrame, key: list[str], time_col: str, lateness: str
     return events.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(key)
 
 
-def windowed(events: DataFrame, time_col: str, lateness: str, length: str, slide: str | None, by: list[str], aggregates: list[Column]) -> DataFrame:
-    """Tumbling (no slide) or sliding windows."""
+def windowed(events: DataFrame, time_col: str, lateness: str, length: str, slide: str | None, by: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Tumbling (no slide) or sliding windows: start, the columns in `by`, and the aggregates by name."""
     w = F.window(time_col, length, slide) if slide else F.window(time_col, length)
-    return events.withWatermark(time_col, lateness).groupBy(w.alias("w"), *by).agg(*aggregates).select(F.col("w.start").alias("start"), *by, *[F.col(a._jc.toString().split(" AS ")[-1].strip("`")) for a in aggregates])
+    grouped = events.withWatermark(time_col, lateness).groupBy(w.alias("w"), *by).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return grouped.select(F.col("w.start").alias("start"), *by, *aggregates)
 
 
 def sessions(events: DataFrame, time_col: str, lateness: str, gap: str, by: list[str]) -> DataFrame:
@@ -49,8 +50,27 @@ def debounced(events: DataFrame, key: str, time_col: str, seconds: int) -> DataF
     return narrow.groupBy(key).applyInPandasWithState(step, f"{key} long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, name: str | None = None, mode: str = "append") -> None:
-    """Process all input that is there: each batch by `each`, or into the in-memory table `name`."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer = writer.foreachBatch(each) if each else writer.format("memory").queryName(name)
-    writer.start().awaitTermination()
+def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None, until: Callable[[], bool] | None = None) -> None:
+    """Process input batch by batch by `each`: all that is there, or, with `every` (as "5 seconds"), again and again at
+    that interval until `until` holds: the poll loop. A later run goes on where the last one ended."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    running = writer.trigger(processingTime=every).start()
+    try:
+        while not (until and until()):
+            if running.awaitTermination(0.2):
+                break
+    finally:
+        running.stop()
+
+
+def to_files(path: str, mode: str = "append") -> Callable[[DataFrame, int], None]:
+    """A sink of Parquet files: each batch in a folder of its own (so that a repeated one replaces itself), or, for whole
+    results, the last one."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    return write

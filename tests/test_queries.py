@@ -18,10 +18,12 @@ def test_same_as_sql(spark, sf, connection, name):
     duck.same(spark, connection, sf, QUERIES[name], SQL[name])
 
 
+#: Queries whose rule SQL can't state: their operators are tested against plain Python in test_operators, test_rules and
+#: test_scale; here they run over the tables, and give rows.
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, sf, name):
+def test_gives_rows(spark, sf, name):
     df = QUERIES[name](spark, sf)
-    assert df.columns and df.count() >= 0
+    assert df.columns and not df.isEmpty()
 
 
 def test_every_sql_has_a_query():
