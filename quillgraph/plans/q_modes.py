@@ -17,7 +17,6 @@ from quillgraph.plans.q_retrieval import _BM25, _VEC, COS, query_vector, search_
 from quillgraph.plans.q_rules import _STEM, lit
 
 _NOW = "(invalid_day is null or invalid_day > 800)"
-CURRENT = F.expr(_NOW)
 SCOPE = ("ASIA", "EUROPE")
 _LISTS = f"""{_BM25}, {_VEC}, l as (select doc_id as id, 0 as list, row_number() over (order by score desc, doc_id) as rank from (select * from bm order by score desc, doc_id limit 60)
     union all select vec_id, 1, row_number() over (order by score desc, vec_id) from (select * from vs order by score desc, vec_id limit 60)),
@@ -45,7 +44,7 @@ def _scope(t, *names: str):
 def _(t):
     """Fused lists, what is current and in scope, the scope's own facts after them, with their sources."""
     whole = t.embeddings.filter("vec_id <> 0").select(F.col("vec_id").alias("id"), V.cosine_or_zero(F.col("embedding"), F.array(*map(F.lit, query_vector(t)))).alias("score"))
-    found = M.local(M.fused([_words(t), _near(t, 60)], 60), t.claim, _scope(t, "ASIA"), CURRENT, 15, whole)
+    found = M.local(M.fused([_words(t), _near(t, 60)], 60), t.claim, _scope(t, "ASIA"), F.expr(_NOW), 15, whole)
     labels = t.claim_scope.select(F.col("claim_id").alias("id"), F.concat("vendor", F.lit(" · "), "product").alias("label"))
     return found.join(labels, "id").select(F.col("pos").cast("long").alias("pos"), F.col("id").alias("claim_id"), "label")
 
@@ -57,7 +56,7 @@ def _(t):
     top = _words(t).orderBy(F.desc("score"), "id").limit(60).select(F.col("id").alias("claim_id"))
     s = t.claim.join(top, "claim_id", "left_semi").join(t.claim_scope.filter(F.col("vendor").isin(*SCOPE)).select("claim_id", "vendor"), "claim_id")
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("valid_day"), "claim_id")).cast("long")  # of 60 rows at most
-    status = F.when(CURRENT, "current").when(F.col("swept"), "expired").otherwise("superseded")
+    status = F.when(F.expr(_NOW), "current").when(F.col("swept"), "expired").otherwise("superseded")
     return s.select("claim_id", place.alias("place"), status.alias("status"), "vendor").filter("place <= 20")
 
 
@@ -69,7 +68,7 @@ def _(t):
 def _(t):
     """Exact forms and a prefix; current facts, five times as many as asked for, those in scope, and their sources."""
     hits = FT.bm25(FT.index(t.documents, f"documents of {t.sf_dir}"), ["nicht", "ertion"], ["ertio"])
-    found = M.sweep(hits, t.claim, _scope(t, *SCOPE), CURRENT, 20)
+    found = M.sweep(hits, t.claim, _scope(t, *SCOPE), F.expr(_NOW), 20)
     return found.join(t.claim_scope.select(F.col("claim_id").alias("id"), "vendor"), "id").select(F.col("id").alias("claim_id"), F.col("pos").cast("long").alias("pos"), "vendor")
 
 
@@ -143,7 +142,7 @@ def _(t):
     short = M.shortlist(c, score, None, 3, 3, 0.0)
     near = V.cosine_or_zero(F.col("embedding"), F.array(*map(F.lit, query_vector(t))))
     lead = m.join(short.select("community", "place"), "community").withColumn("near", near).groupBy("place").agg(F.min_by(F.struct("id", "embedding"), F.struct(-F.col("near"), F.col("id"))).alias("m"))
-    own = t.claim.filter(CURRENT).join(_scope(t, *SCOPE), "claim_id", "left_semi").select(F.col("claim_id").alias("vec_id"))
+    own = t.claim.filter(F.expr(_NOW)).join(_scope(t, *SCOPE), "claim_id", "left_semi").select(F.col("claim_id").alias("vec_id"))
     asked = lead.select(F.col("m.id").alias("vec_id"), F.col("m.embedding").alias("embedding"))
     found = RT.vector_join(asked, t.embeddings.join(own, "vec_id", "left_semi"), 8).join(lead.select(F.col("m.id").alias("query_id"), "place"), "query_id")
     first = found.groupBy("id").agg(F.min(F.struct("place", "rank")).alias("o"))
@@ -155,19 +154,19 @@ def _(t):
     """The question and one expansion, keywords, siblings, two collapses, limitations apart, a diverse choice."""
     scope = _scope(t, "ASIA", "EUROPE", "AMERICA")
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    own = M.local(M.fused([_words(t), _near(t, 60)], 60), t.claim, scope, CURRENT, 40)
+    own = M.local(M.fused([_words(t), _near(t, 60)], 60), t.claim, scope, F.expr(_NOW), 40)
     expansion = FT.bm25(FT.index(t.documents, f"documents of {t.sf_dir}"), ["the", "nicht"])
-    other = M.local(M.fused([expansion], 60), t.claim, scope, CURRENT, 40)
-    keywords = M.sweep(_words(t), t.claim, scope, CURRENT, 30)
+    other = M.local(M.fused([expansion], 60), t.claim, scope, F.expr(_NOW), 40)
+    keywords = M.sweep(_words(t), t.claim, scope, F.expr(_NOW), 30)
     scores = t.claim.filter("claim_id % 13 <> 0").select(F.col("claim_id").alias("id"), ((F.col("claim_id") * 31 % 100) / 100.0).alias("score"))
-    return M.list_search([own, other, keywords], t.claim, v, scores, scope, CURRENT)
+    return M.list_search([own, other, keywords], t.claim, v, scores, scope, F.expr(_NOW))
 
 
 @query("ret_9_enumerate_vendors", f"""with x as (select vendor, claim_id, text, case when vendor <> 'AFRICA' then (claim_id % 100) / 100.0 end as score from claim join claim_scope using (claim_id) where {_NOW}),
     own as (select * from (select * from x qualify row_number() over (partition by vendor order by score desc nulls last, claim_id) <= 10) where not coalesce(regexp_matches(text, {lit(R.LIMITATION)}), false)), g as (select vendor, count(*) as facts, max(score) as best from own group by vendor)
     select vendor, facts, best, case when best is null then 'unchecked' when best >= 0.985 then 'documented' else 'weak' end as state from g""")
 def _(t):
-    x = t.claim.filter(CURRENT).join(t.claim_scope.select("claim_id", "vendor"), "claim_id")
+    x = t.claim.filter(F.expr(_NOW)).join(t.claim_scope.select("claim_id", "vendor"), "claim_id")
     return M.vendors(x.select("vendor", F.col("claim_id").alias("id"), "text", F.when(F.col("vendor") != "AFRICA", (F.col("claim_id") % 100) / 100.0).alias("score")), 10, 0.985)
 
 
