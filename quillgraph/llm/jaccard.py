@@ -273,7 +273,7 @@ def _search_rest(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_tokens: int = 1_500_000, block_sets: int = 16384
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_tokens: int = 600_000, block_sets: int = 4096
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id that it reaches over links, its own
     included; links are pairs of texts with 100 * shared >= percent * all shingles), text_hash (xxhash64 of the text), and
