@@ -206,7 +206,7 @@ def _hubs(blocks: DataFrame, tasks: int, common: np.ndarray) -> DataFrame:
                 keys, hub, many = keys[at], hub[at], np.diff(np.append(at, len(keys)))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hub), pa.array(many, pa.int64())], names=["key", "hub", "n"])
 
-    dealt = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    dealt = blocks.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")  # a bucket a task
     return dealt.mapInArrow(meet, "key long, hub long, n long").groupBy("key", "hub").agg(F.sum("n").alias("shared"))
 
 
@@ -294,7 +294,7 @@ def near_duplicates(
 
     # Candidates: what a class shares with others, its weakest hubs left out.
     buckets = max(1, -(-total * 12 * (100 - percent + 13) // (100 * _BUCKET_BYTES)))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * buckets)
     hubs = _hubs(_token_blocks(docs, shingle, percent, buckets, common), tasks, common).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
     # Of the sizes of its partners, the least decides: l(ceil(s n)).
     needed = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / 8), F.lit(1))

@@ -32,12 +32,28 @@ _KEEP_LENGTH, _KEEP_MANY = 64, 400_000
 _NONE = np.int32(2**31 - 1)
 
 
+def _check(spec: dict) -> None:
+    """Files that ask for more than is done here are refused, so that no count is wrong."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = {
+        "model": model.get("type", "BPE") != "BPE",
+        "pre_tokenizer": pre.get("type") != "ByteLevel" or not pre.get("use_regex", True),
+        "add_prefix_space": bool(pre.get("add_prefix_space")),
+        "normalizer": spec.get("normalizer") is not None,
+        **{k: bool(model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        "added_tokens": any(not t["special"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]),
+    }
+    if found := [k for k, bad in wrong.items() if bad]:
+        raise ValueError(f"not supported in a vocabulary file: {', '.join(found)}")
+
+
 class MergeTable:
     """Ranks and results of the merges of one vocabulary file, as sorted arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         vocabulary = spec["model"]["vocab"]
         printed = set(PRINTED)
         rest = iter(range(256, 512))

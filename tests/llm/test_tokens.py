@@ -33,3 +33,16 @@ def test_odd_rows(documents, odd, library):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts(documents(odd, extra="n_tokens"), PATH).collect())
     assert got == sorted((str(i), len((t or "").encode()), n) for (i, t), n in zip(odd, library([t or "" for _, t in odd]), strict=True))
     assert token_counts(documents([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {"ignore_merges": True}}, {"added_tokens": [{"id": 1, "content": "x", "special": False}]}])
+def test_files_that_ask_for_more_are_refused(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for k, v in change.items():
+        spec[k] = spec[k] | v if k == "model" else v
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not supported"):
+        Counter(str(tmp_path / "v.json"))
