@@ -3,16 +3,21 @@ query looks into its nearest cells and ranks what is there exactly."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions import vectors as V
+from quillgraph.operators.retrieval import vector_join
 
 
-def fit_cells(table: DataFrame, cells: int = 16, sample: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = 10) -> np.ndarray:
-    """Unit centroids by spherical k-means over `sample` rows at most (lowest hash of the id)."""
-    rows = table.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).collect()
+def fit_cells(table: DataFrame, cells: int | None = None, sample: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = 10) -> np.ndarray:
+    """Unit centroids by spherical k-means over `sample` rows at most (lowest hash of the id). Cells grow with the square
+    root of the table, from 16 to a sixteenth of the sample."""
+    known = table.filter(F.col(vector_col).isNotNull())
+    cells = cells or int(min(max(16, math.isqrt(known.count())), max(16, sample // 16)))
+    rows = known.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).collect()
     v = np.array([r[0] for r in rows], np.float64)
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     c = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)].copy()
@@ -25,18 +30,8 @@ def fit_cells(table: DataFrame, cells: int = 16, sample: int = 4096, id_col: str
     return c
 
 
-def nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
-    """Numbers of the n nearest cells, nearest first."""
-    cells = F.array(*[F.array(*map(F.lit, c.tolist())) for c in centroids])
-    scored = F.transform(cells, lambda c, i: F.struct((-V.dot(vector, c)).alias("s"), i.alias("i")))
-    return F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: s["i"])
-
-
-def search(queries: DataFrame, table: DataFrame, centroids: np.ndarray, k: int, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank. The test vectors are nearly isotropic, where cells prune little: 12 of 16 cells give a
-    recall of 0.95 at 10 there (4 give 0.6); clustered vectors need far fewer."""
-    indexed = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.get(nearest_cells(F.col(vector_col), centroids, 1), F.lit(0)).alias("cell"))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), F.explode(nearest_cells(F.col(vector_col), centroids, probes)).alias("cell"))
-    scored = indexed.join(asked, "cell").filter("id <> query_id").select("query_id", "id", V.cosine_or_zero(F.col("v"), F.col("q")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def search(queries: DataFrame, table: DataFrame, centroids: np.ndarray, k: int, share: float = 0.75, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, id, score, rank. Rows stay where they lie: a task assigns its rows to cells, and multiplies those of a
+    cell with the queries that look into it. The test vectors are nearly isotropic, where cells prune little: three
+    quarters of them give a recall above 0.9 at 10 there; clustered vectors need far fewer."""
+    return vector_join(queries, table, k, id_col, vector_col, cells=centroids, share=share)

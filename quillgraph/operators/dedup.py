@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.strings import fact_text_key
 from quillgraph.session import cut
 
 
@@ -39,26 +40,32 @@ def _unit(vectors) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def collapse_near_duplicates(items: DataFrame, block_col: str, threshold: float, order_col: str = "id", vector_col: str = "v", most: int = 20_000) -> DataFrame:
-    """block, id, kept: in order, an item whose cosine with a survivor reaches the threshold joins the first such one.
+def collapse_near_duplicates(items: DataFrame, block_col: str, threshold: float, order_col: str = "id", vector_col: str = "v", most: int = 20_000, text_col: str | None = None) -> DataFrame:
+    """block, id, kept: in order, an item whose cosine with a survivor reaches the threshold, or whose text (in normal
+    form, if `text_col` is given) is a survivor's, joins the first such one.
 
     The rule is sequential within a block. A block of more than `most` items is cut into ranges of the order, of up to
     `most` items each; in a round the next range of up to 8 blocks is collapsed, in one task each, and all tasks compare later
     items to the survivors it gave. What joined one of them leaves.
     """
     schema = f"{block_col} int, id long, kept long"
+    key = F.xxhash64(fact_text_key(F.coalesce(F.col(text_col).cast("string"), F.lit("")))) if text_col else F.lit(None).cast("long")
+    items = items.withColumn("_text", key)
 
     def collapse(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_col, kind="stable")
         v = _unit(pdf[vector_col])
         kept, n, owner = np.empty_like(v), 0, []
         where: list[int] = []
+        text, texts = pdf["_text"].to_numpy(), np.empty(len(v), np.int64)
         for i in range(len(v)):
-            near = np.flatnonzero(kept[:n] @ v[i] >= threshold - 1e-12)
+            same = kept[:n] @ v[i] >= threshold - 1e-12
+            near = np.flatnonzero(same | (texts[:n] == text[i]) if text_col else same)
             if len(near):
                 owner.append(where[near[0]])
             else:
                 kept[n] = v[i]
+                texts[n] = text[i] if text_col else 0
                 n += 1
                 where.append(i)
                 owner.append(i)
@@ -72,7 +79,7 @@ def collapse_near_duplicates(items: DataFrame, block_col: str, threshold: float,
     is_large = F.col(block_col).eqNullSafe(F.col("_large"))
     out = items.join(F.broadcast(large), is_large, "left_anti").groupBy(block_col).applyInPandas(collapse, schema)
     # Positions in sorted partitions give ranges of the order without a block's rows meeting in one task.
-    left = items.join(F.broadcast(large), is_large, "left_semi").select(block_col, order_col, vector_col)
+    left = items.join(F.broadcast(large), is_large, "left_semi").select(block_col, order_col, vector_col, "_text")
     left = cut(left.repartitionByRange(F.col(block_col), F.col(order_col)).sortWithinPartitions(block_col, order_col).withColumn("_range", F.floor(F.monotonically_increasing_id() / most)))
     while not left.isEmpty():
         turn = left.groupBy(F.col(block_col).alias("_b")).agg(F.min("_range").alias("_r"))
@@ -82,18 +89,18 @@ def collapse_near_duplicates(items: DataFrame, block_col: str, threshold: float,
         later = left.join(F.broadcast(turn), now, "left_anti")
         survivors = done.filter("id = kept").select(F.col(block_col).alias("_b"), F.col("id").alias("_id"))
         fresh = left.join(survivors, F.col(block_col).eqNullSafe(F.col("_b")) & (F.col(order_col) == F.col("_id")), "left_semi")
-        later = cut(_join_survivors(later, fresh, block_col, order_col, vector_col, threshold))
+        later = cut(_join_survivors(later, fresh, block_col, order_col, vector_col, threshold, text_col is not None))
         out = out.unionByName(done).unionByName(later.filter("_kept is not null").select(block_col, F.col(order_col).alias("id"), F.col("_kept").alias("kept")))
         left = later.filter("_kept is null").drop("_kept")
     return out
 
 
-def _join_survivors(later: DataFrame, fresh: DataFrame, block_col: str, order_col: str, vector_col: str, threshold: float, block: int = 1000) -> DataFrame:
+def _join_survivors(later: DataFrame, fresh: DataFrame, block_col: str, order_col: str, vector_col: str, threshold: float, by_text: bool, block: int = 1000) -> DataFrame:
     """later with _kept: of the survivors of its block the first whose cosine reaches the threshold, else null. Survivors
     are sent to all tasks in groups of one block's."""
     key = F.coalesce(F.col(block_col).cast("string"), F.lit("-"))
-    packed = fresh.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("id"), F.col(vector_col).alias("v")))).alias("s"))
-    found = {r._key: (np.array([x.id for x in r.s]), _unit([x.v for x in r.s])) for r in packed.toLocalIterator()}
+    packed = fresh.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("id"), F.col(vector_col).alias("v"), "_text"))).alias("s"))
+    found = {r._key: (np.array([x.id for x in r.s]), _unit([x.v for x in r.s]), np.array([x._text or 0 for x in r.s])) for r in packed.toLocalIterator()}
     sent = later.sparkSession.sparkContext.broadcast(found)
 
     def match(batches):
@@ -104,11 +111,13 @@ def _join_survivors(later: DataFrame, fresh: DataFrame, block_col: str, order_co
             for name in np.unique(names):
                 if name not in sent.value:  # a block of another round
                     continue
-                ids, s = sent.value[name]
+                ids, s, texts = sent.value[name]
                 rows = np.flatnonzero(names == name)
                 for at in range(0, len(rows), block):
                     some = rows[at : at + block]
                     near = _unit(pdf[vector_col].iloc[some]) @ s.T >= threshold - 1e-12
+                    if by_text:
+                        near |= pdf["_text"].to_numpy()[some][:, None] == texts[None, :]
                     kept[some] = np.where(near.any(axis=1), near.argmax(axis=1), -1)
                 mine = rows[kept[rows] >= 0]
                 owner[mine] = ids[kept[mine]]

@@ -140,8 +140,13 @@ def _(t):
 
 @query("join_15_near_duplicate_collapse")
 def _(t):
-    items = t.embeddings.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return D.collapse_near_duplicates(items, "label", 0.9)
+    """Within a vendor (here a source's number) facts of the same text or a cosine from 0.9 on are one, the first; it has
+    the languages of all."""
+    d = t.documents.select(F.col("doc_id").alias("vec_id"), F.expr("cast(substring(source, 4) as int)").alias("vendor"), "lang", "text")
+    items = t.embeddings.join(d, "vec_id").select("vendor", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "text", "lang")
+    kept = D.collapse_near_duplicates(items, "vendor", 0.9, text_col="text")
+    merged = kept.join(items.select("id", "lang"), "id").groupBy("vendor", "kept").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count("*").alias("facts"))
+    return merged.select("vendor", F.col("kept").alias("id"), "facts", "langs")
 
 
 @query("agg_33_first_hit_rank", f"""with q as (select vec_id as query_id, embedding as q, label as ql from embeddings where vec_id % 20 = 0),

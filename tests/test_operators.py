@@ -69,6 +69,23 @@ def test_near_duplicate_collapse(spark):
             assert got[i] == (i if first is None else first)
 
 
+def test_equal_texts_collapse(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, i, rng.standard_normal(3).tolist(), rng.choice(["One, two.", "one two", "Three", "four!", f"own {i}"])) for i in range(120)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, v, _ in rows}
+    key = {i: "".join(c if c.isalnum() else " " for c in t.lower()).split() for _, i, _, t in rows}
+    kept: list[int] = []
+    want = {}
+    for _, i, _, _ in rows:
+        want[i] = next((k for k in kept if unit[i] @ unit[k] >= 0.95 or key[i] == key[k]), i)
+        if want[i] == i:
+            kept.append(i)
+    items = spark.createDataFrame(rows, "b int, id long, v array<double>, t string")
+    for most in (20_000, 30):
+        got = {r.id: r.kept for r in D.collapse_near_duplicates(items, "b", 0.95, text_col="t", most=most).collect()}
+        assert got == want
+
+
 def test_near_duplicate_collapse_of_large_blocks(spark):
     rng = np.random.default_rng(2)
     rows = [(int(rng.integers(0, 3)) if i % 3 else 0, i, rng.standard_normal(3).tolist()) for i in range(300)]
