@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import sql
+from quillgraph.llm.conversations import damaged, repair_digests
 from quillgraph.llm.decontaminate import decontaminate
+from quillgraph.llm.infill import fill_in_middle, restored
 from quillgraph.llm.jaccard import near_duplicates
 from quillgraph.llm.language import fit_language_model, identify_language
 from quillgraph.llm.licenses import scan_licenses
@@ -16,9 +19,10 @@ from quillgraph.llm.likelihood import build_vocabulary, encode, score_encoded, t
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import judge_quality, language_references
 from quillgraph.llm.secrets import scan_secrets
+from quillgraph.llm.sequences import read_documents, write_sequences
 from quillgraph.llm.tokens import token_counts
 from quillgraph.llm.urls import judge_urls
-from quillgraph.session import cut, table
+from quillgraph.session import checkpoint_dir, cut, table
 
 try:
     import public_tokenizers
@@ -111,7 +115,23 @@ def op9_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op6_masked_pseudo_likelihood, op7_language_centroids, op8_jaccard_signature_trees, op9_license_bigrams, op10_benchmark_winnowing]
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": restored(F.col("output"), F.col("form"))}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c, 256).alias(name) for name, c in digests.items()])
+
+
+def op13_arrow_sequences(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/sequences/{uuid.uuid4().hex}"
+    write_sequences(table(spark, sf_dir, "documents"), folder, vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, folder)
+
+
+_ALL = [op1_secret_linking, op2_distribution_divergence, op3_token_counts, op4_temperature_mixing, op5_link_graph_propagation, op6_masked_pseudo_likelihood, op7_language_centroids, op8_jaccard_signature_trees, op9_license_bigrams, op10_benchmark_winnowing, op11_conversation_repair, op12_fill_in_middle, op13_arrow_sequences]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -168,3 +168,74 @@ from d left join n using (rid) left join rep using (sig) left join comp on comp.
 
 
 ORACLES["op8_jaccard_signature_trees"] = components()
+
+
+def infill(docs: str = "documents") -> str:
+    return rf"""
+with d as (select doc_id, row_number() over () as rid, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from {docs}),
+u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+      when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1 : b], '') as middle, array_to_string(u[b + 1 :], '') as suffix from c),
+o as (select *, case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end as output from p)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(middle) end::bigint as middle_chars, sha256(output) as output_sha256,
+  sha256(case when form = 'plain' then output else prefix || middle || suffix end) as restored_sha256 from o"""
+
+
+ORACLES["op12_fill_in_middle"] = infill()
+
+
+def conversation_repair(turns: str = "conversations") -> str:
+    """Costs and audits to go, from the last turn back, as strings of nine digits and edits, whose least is the cheapest
+    and then the ASCII-least."""
+
+    def add(cost: str, letter: str, after: str) -> str:
+        return f"(printf('%09d', substr({after}, 1, 9)::bigint + {cost}) || '{letter}' || substr({after}, 10))"
+
+    never = "'900000000'"
+
+    def row(state: int) -> str:  # deletion, or keeping and reroling; new states by initial
+        to = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+        new = "'a'" if to == 3 else "'u'"
+        stay = add("3", "D", f"z.v{state}")
+        kept = f"case when r.ini = {new} then {add('r.short', 'K', f'z.v{to}')}" + (f" when r.ini = 's' then {add('r.short', 'K', 'z.v1')}" if state == 0 else "") + f" else {never} end"
+        return f"case when r.gone then {stay} else least({stay}, {kept}, {add('2 + r.short', 'R', f'z.v{to}')}) end"
+
+    inserted = f"w0, w1, w2, w3, least(w2, {add('2', 'I', 'w3')}) as x2, least(w3, {add('2', 'I', 'w2')}) as x3"
+    return rf"""
+with recursive source as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from {turns}),
+bytes as (select i::bigint as i, list_reduce(list_prepend(i::bigint, list_transform(range(8), lambda x: 0::bigint)), lambda c, b: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from range(256) t(i)),
+lookup as (select list(v order by i) as v from bytes),
+hashed as (select source.*, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)),
+    lambda c, b: xor(c // 256, lookup.v[(xor(c, b) % 256) + 1]))) % 20 as h from source, lookup),
+hurt as (select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from hashed, range(case when h = 3 then 2 else 1 end) where h <> 0),
+conv as (select conv_id, row_number() over () as c from (select distinct conv_id from {turns})),
+placed as (select c, turn, role, text, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i
+  from hurt join conv on hurt.conv_id is not distinct from conv.conv_id),
+seen as (select *, row_number() over (partition by c, role, text order by i) > 1 as again, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank from placed),
+r as (select c, i, turn, role, text, role[1:1] as ini, blank, again and not blank as dup, blank or again as gone,
+    (not blank and not again and not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$'))::bigint as short,
+    lag(role[1:1]) over (partition by c order by i) || role[1:1] as pair from seen),
+totals as (select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank, count_if(dup) as duplicate, sum(short) as truncated,
+    count_if(pair is not null and pair not in ('su', 'ua', 'au')) as illegal, max(i) as n from r group by c),
+z as (select c, n as i, '000000000' as v0, '000000004II' as v1, '000000002I' as v2, '000000000' as v3 from totals
+  union all select c, i, least(w0, {add('2', 'I', 'x2')}), least(w1, {add('2', 'I', 'x2')}), x2, x3 from (select c, i, {inserted} from
+    (select z.c, z.i - 1 as i, {', '.join(f'{row(s)} as w{s}' for s in range(4))} from z join r on r.c = z.c and r.i = z.i))),
+best as (select c, substr(v0, 1, 9)::bigint as cost, substr(v0, 10) as audit from z where i = 0),
+letters as (select c, p, audit[p:p] as e, length(audit[1:p]) - length(replace(audit[1:p], 'I', '')) as ins, length(audit[1:p]) - length(replace(audit[1:p], 'D', '')) as del,
+    length(replace(audit, 'D', '')) as m from (select c, audit, unnest(range(1, length(audit) + 1)) as p from best)),
+lines as (select l.c, l.p, case when e = 'K' then r.role when (p - del + m) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else r.text end as line
+  from letters l left join r on r.c = l.c and r.i = l.p - l.ins and l.e <> 'I' where e <> 'D'),
+joined as (select c, string_agg(line, chr(10) order by p) as body from lines group by c)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+from conv left join totals using (c) left join best using (c) left join joined using (c)"""
+
+
+ORACLES["op11_conversation_repair"] = conversation_repair()
