@@ -19,3 +19,12 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "12 34 !!"), (5, "word"), (5, "wor
 @pytest.fixture(scope="session")
 def odd():
     return ODD
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables are dealt to several tasks, as large ones are."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)

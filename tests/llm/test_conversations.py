@@ -126,13 +126,13 @@ def random_table(sizes):
 
 
 @pytest.mark.parametrize("sizes", [{i: i % 9 for i in range(60)}, {None: 300, 1: 5, 2: 1, 3: 700, 4: 3}, {5: 900}])
-def test_whole_tables(spark, sizes):
+def test_whole_tables(spark, sizes, many_ranges):
     rows = random_table(sizes)
     want = {conv: plain_python(in_order(turns)) for conv, turns in grouped(rows).items()}
     assert digests(repair_digests(table(spark, rows))) == want
 
 
-def test_a_long_conversation_lies_in_parts_that_join(spark):
+def test_a_long_conversation_lies_in_parts_that_join(spark, many_ranges):
     rows = random_table({3: 700, 9: 2})
     out = repair_conversations(table(spark, rows)).collect()
     parts = sorted((r for r in out if r.conv_id == 3), key=lambda r: r.part)
@@ -142,7 +142,7 @@ def test_a_long_conversation_lies_in_parts_that_join(spark):
     assert "".join(r.audit for r in parts) == digests(repair_digests(table(spark, rows)))[3][6]
 
 
-def test_repeats_of_one_row(spark):
+def test_repeats_of_one_row(spark, many_ranges):
     rows = [(1, 4, "user", "Same.")] * 400 + [(2, 1, "user", "Hi."), (2, 2, "assistant", "Yes.")]
     want = {conv: plain_python(in_order(turns)) for conv, turns in grouped(rows).items()}
     assert want[1][2] == 399 and digests(repair_digests(table(spark, rows))) == want

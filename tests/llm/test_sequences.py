@@ -43,7 +43,7 @@ def order(row):
     return (row[0] is not None, row[0] or 0)
 
 
-def test_round_trip_and_random_access(spark, documents, tmp_path):
+def test_round_trip_and_random_access(spark, documents, tmp_path, many_ranges):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["walk", "Überzug", "green\n", "漢字", "x1"]) for _ in range(rng.randint(0, 90)))) for i in rng.sample(range(-500, 500), 300)]
     folder = str(tmp_path / "out")
@@ -95,7 +95,7 @@ def test_what_an_attempt_left_behind_is_not_read(spark, documents, tmp_path):
         write_sequences(documents([(3, "d")]), str(folder), PATH)
 
 
-def test_odd_rows(spark, documents, odd, tmp_path):
+def test_odd_rows(spark, documents, odd, tmp_path, many_ranges):
     folder = str(tmp_path / "out")
     write_sequences(documents(odd, extra="_hash"), folder, PATH, end=None, length=8)
     encode = library()
