@@ -1,166 +1,155 @@
-"""Parsers whose state runs along a text: markdown chunks, packed blocks, tables of contents. Arrow batches of whole rows."""
+"""Texts cut into chunks: sections of markdown, packed blocks; and nested tables of contents.
+
+A text becomes a row for each line. Lines are classified by what they and their neighbours are; running counts along a
+text number its sections and blocks, and the last heading of each level that is still open gives a section's path. Blocks
+are put together again by grouping, and packed by folds over the arrays of a text.
+"""
 
 from __future__ import annotations
 
 import json
-import re
-from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-_RULE = re.compile(r"^\s{0,3}(=+|-{2,})\s*$")
-
-
-@dataclass
-class Section:
-    """A heading path, and the blocks (text, whether it is a table) below it."""
-
-    path: tuple[str, ...]
-    blocks: list[tuple[str, bool]] = field(default_factory=list)
-
-
-def sections_of(text: str) -> list[Section]:
-    """Sections that have blocks, in order. Blocks end at blank lines, headings and where tables begin or end; a table is
-    one block; what stands within fences is text. A line that is underlined by = or - is a heading of level 1 or 2."""
-    out, path, held, table, fence = [Section(())], [], [], False, None
-
-    def flush() -> None:
-        nonlocal table
-        body = "\n".join(held).strip("\n")
-        if body.strip():
-            out[-1].blocks.append((body, table))
-        held.clear()
-        table = False
-
-    lines, skip = text.splitlines(), False
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        if skip:
-            skip = False
-            continue
-        if fence:
-            held.append(line)
-            fence = None if bare.startswith(fence * 3) else fence
-            continue
-        if bare.startswith(("```", "~~~")):
-            flush()
-            fence = bare[0]
-            held.append(line)
-            continue
-        if bare.startswith("|") != table:
-            flush()
-            table = bare.startswith("|")
-        hit = _HEADING.match(line)
-        level, title = (len(hit[1]), hit[2]) if hit and hit[2] else (0, "")
-        if not level and bare and not table and i + 1 < len(lines) and _RULE.match(lines[i + 1]):
-            level, title, skip = (1 if "=" in lines[i + 1] else 2), bare, True
-        if level:
-            flush()
-            path = [p for p in path if p[0] < level] + [(level, title)]
-            out.append(Section(tuple(t for _, t in path)))
-        elif not bare:
-            flush()
-        else:
-            held.append(line)
-    flush()
-    return [s for s in out if s.blocks]
-
-
-def _pieces(block: str, room: int) -> list[str]:
-    """A block of text that is too large, as groups of lines; a line that is, in equal cuts."""
-    out: list[str] = []
-    for line in block.split("\n"):
-        for part in [line[i : i + room] for i in range(0, len(line), room)] or [""]:
-            if out and len(out[-1]) + 1 + len(part) <= room:
-                out[-1] += "\n" + part
-            else:
-                out.append(part)
-    return out
-
-
-def chunks_of(title: str, text: str, least: int = 300, most: int = 1200) -> list[tuple[tuple[str, ...], str]]:
-    """Heading path (from the title on) and text of each chunk, of up to `most` tokens (four characters each) with its
-    heading line; tables stay whole. A chunk of fewer than `least` tokens joins the one before it, if one's path leads to
-    the other's or both are of one section."""
-    head = lambda path: " > ".join(path) + "\n\n"
-    tokens = lambda path, body: len(head(path) + body) // 4
-    units: list[tuple[tuple[str, ...], str]] = []
-    for s in sections_of(text):
-        path = (title, *(s.path[1:] if s.path and s.path[0].strip().lower() == title.strip().lower() else s.path))
-        room, body = max(1, most * 4 - len(head(path))), ""
-        for block, is_table in s.blocks:
-            for part in [block] if is_table or len(block) <= room else _pieces(block, room):
-                if body and len(body) + 2 + len(part) > room:
-                    units.append((path, body))
-                    body = part
-                else:
-                    body += ("\n\n" if body else "") + part
-        units.append((path, body))
-    out: list[tuple[tuple[str, ...], str]] = []
-    for path, body in units:
-        if out:
-            before, held = out[-1]
-            n = min(len(before), len(path))
-            near = before[:n] == path[:n] or before[:-1] == path[:-1]
-            small = tokens(path, body) < least or (len(out) == 1 and tokens(before, held) < least)
-            joined = f"{held}\n\n{path[-1] + chr(10) if path != before and len(path) > 1 else ''}{body}"
-            if near and small and tokens(before, joined) <= most:
-                out[-1] = (before, joined)
-                continue
-        out.append((path, body))
-    return out
+LEVELS = 6
+_JOINT = "\n\n"
+
+
+def _fenced(lines: Column) -> Column:
+    """A digit for each line: 1 opens a fence, 2 is within one or closes it, 0 is outside. A fence is closed by its kind."""
+    mark = lambda x: F.when(F.trim(x).startswith("```"), "`").when(F.trim(x).startswith("~~~"), "~").otherwise("")
+
+    def step(s: Column, x: Column) -> Column:
+        m = mark(x)
+        digit = F.when(s["open"] != "", "2").when(m != "", "1").otherwise("0")
+        after = F.when(s["open"] == "", m).when(m == s["open"], "").otherwise(s["open"])
+        return F.struct(after.alias("open"), F.concat(s["out"], digit).alias("out"))
+
+    return F.aggregate(lines, F.struct(F.lit("").alias("open"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+
+def lines_of(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """_row, i, line, kind (heading, rule, blank, table, text), level, title, fence; and the columns to keep."""
+    split = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1)
+    one = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), split.alias("_lines")).withColumn("_fence", _fenced(F.col("_lines")))
+    each = one.select(*keep, "_row", "_fence", F.posexplode("_lines").alias("i", "line"))
+    each = each.select(*keep, "_row", "i", "line", F.expr("substring(_fence, i + 1, 1)").alias("fence"))
+    bare, plain = F.trim(F.col("line")), F.col("fence") == "0"
+    atx = F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)
+    title = F.trim(F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"(^|\s)#*\s*$", ""))
+    first = F.when(~plain, "text").when(bare == "", "blank").when((atx != "") & (title != ""), "heading").when(bare.startswith("|"), "table").otherwise("text")
+    each = each.select("*", first.alias("kind"), F.length(atx).alias("level"), title.alias("title"))
+    # A line of text over a rule is a heading, and the rule goes.
+    w = Window.partitionBy("_row").orderBy("i")
+    under = F.when(plain & F.col("line").rlike(r"^\s{0,3}=+\s*$"), 1).when(plain & F.col("line").rlike(r"^\s{0,3}--+\s*$"), 2)
+    each = each.withColumn("_under", under)
+    lined = (F.col("kind") == "text") & plain
+    over = F.lag(lined & F.col("_under").isNull()).over(w) & F.col("_under").isNotNull()
+    below = F.lead("_under").over(w)
+    headed = lined & F.col("_under").isNull() & below.isNotNull()
+    kind = F.when(over, "rule").when(headed, "heading").otherwise(F.col("kind"))
+    return each.select(*keep, "_row", "i", "line", "fence", kind.alias("kind"), F.when(headed, below).otherwise(F.col("level")).alias("level"), F.when(headed, bare).otherwise(F.col("title")).alias("title"))
+
+
+def blocks_of(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """_row, section, block, path (of the section's headings), text, is_table; and the columns to keep. Blocks end at blank
+    lines, headings, where tables begin or end, and before fences; within a fence nothing ends."""
+    w = Window.partitionBy("_row").orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = lines_of(docs, text, *keep)
+    x = x.withColumn("_body", F.col("kind").isin("text", "table"))
+    before, tabled = F.lag("kind").over(w), F.col("kind") == "table"
+    starts = F.col("_body") & (before.isNull() | ~before.isin("text", "table") | ((before == "table") != tabled) | (F.col("fence") == "1"))
+    x = x.select("*", F.sum((F.col("kind") == "heading").cast("int")).over(upto).alias("section"), F.sum(starts.cast("int")).over(upto).alias("block"))
+    opened = [F.last(F.when((F.col("kind") == "heading") & (F.col("level") == n), F.struct("i", "title")), ignorenulls=True).over(upto).alias(f"_h{n}") for n in range(1, LEVELS + 1)]
+    x = x.select("*", *opened)
+    path, latest = [], F.lit(-1)
+    for n in range(1, LEVELS + 1):  # a heading is open unless one of a higher level came after it
+        at = F.coalesce(F.col(f"_h{n}.i"), F.lit(-1))
+        path.append(F.when(at > latest, F.col(f"_h{n}.title")))
+        latest = F.greatest(latest, at)
+    x = x.filter("_body").select(*keep, "_row", "section", "block", "i", "line", "kind", F.array_compact(F.array(*path)).alias("path"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), "\n")  # of one block
+    return x.groupBy(*keep, "_row", "section", "block").agg(F.first("path").alias("path"), body.alias("text"), F.bool_and(F.col("kind") == "table").alias("is_table"))
+
+
+def packed(pieces: Column, limit: Column, joint: str = _JOINT, count_joint: bool = True) -> Column:
+    """Neighbouring pieces joined while they fit the limit; a piece over it stands alone."""
+    extra = len(joint) if count_joint else 0
+
+    def step(s: Column, p: Column) -> Column:
+        fits = (s["n"] > 0) & (s["size"] + extra + F.length(p) <= limit)
+        done = F.when(fits | (s["n"] == 0), s["done"]).otherwise(F.concat(s["done"], F.array(s["body"])))
+        return F.struct(
+            done.alias("done"), F.when(fits, F.concat(s["body"], F.lit(joint), p)).otherwise(p).alias("body"), F.when(fits, s["size"] + extra + F.length(p)).otherwise(F.length(p)).alias("size"), (s["n"] + 1).alias("n")
+        )
+
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("body"), F.lit(0).alias("size"), F.lit(0).alias("n"))
+    return F.aggregate(pieces, zero, step, lambda s: F.when(s["n"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["body"]))))
+
+
+def _cut(block: Column, room: Column) -> Column:
+    """A block of text as groups of lines that fit; a line that doesn't, in equal cuts."""
+    cuts = lambda line: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(line) / room).cast("int") - 1)), lambda k: F.substring(line, k * room + 1, room))
+    return packed(F.flatten(F.transform(F.split(block, "\n", -1), cuts)), room, "\n")
+
+
+def _head(path: Column) -> Column:
+    rest = F.array_join(F.slice(path, 2, F.greatest(F.size(path), F.lit(1))), " > ")
+    return F.concat(path[0], F.when(F.size(path) > 1, F.concat(F.lit("\n"), rest)).otherwise(""), F.lit(_JOINT))
+
+
+def _joined(units: Column, least: int, most: int) -> Column:
+    """Units (path, body) in order; a small one joins what is before it, and what is small takes in what follows, where
+    one's path is the other's, its direct parent's or its sibling's, and both fit."""
+    tokens = lambda path, body: F.floor((F.length(_head(path)) + F.length(body)) / 4)
+    parent = lambda p: F.slice(p, F.lit(1), F.size(p) - 1)
+
+    def step(done: Column, u: Column) -> Column:
+        last = F.element_at(done, -1)
+        line = F.when((u["path"] != last["path"]) & (F.size(u["path"]) > 1), F.concat(F.element_at(u["path"], -1), F.lit("\n"))).otherwise("")
+        both = F.concat(last["body"], F.lit(_JOINT), line, u["body"])
+        near = (last["path"] == u["path"]) | (last["path"] == parent(u["path"])) | (parent(last["path"]) == parent(u["path"]))
+        small = (tokens(u["path"], u["body"]) < least) | (tokens(last["path"], last["body"]) < least)
+        fits = (F.size(done) > 0) & near & small & (tokens(last["path"], both) <= most)
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["path"].alias("path"), both.alias("body"))))
+        return F.when(F.coalesce(fits, F.lit(False)), grown).otherwise(F.concat(done, F.array(u)))
+
+    return F.aggregate(units, F.array().cast("array<struct<path:array<string>,body:string>>"), step)
 
 
 def markdown_chunks(docs: DataFrame, id_col: str, title_col: str, text_col: str, least: int = 300, most: int = 1200) -> DataFrame:
-    """id, ordinal, path, body. Null texts have no chunks."""
-
-    def parse(frames):
-        for pdf in frames:
-            rows = [(i, n, list(path), body) for i, title, text in zip(pdf["i"], pdf["h"], pdf["t"], strict=True) for n, (path, body) in enumerate(chunks_of(title, text, least, most))]
-            yield pd.DataFrame(rows, columns=[id_col, "ordinal", "path", "body"])
-
-    source = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(title_col), F.lit("")).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return source.mapInPandas(parse, f"{id_col} long, ordinal int, path array<string>, body string")
-
-
-def packed_blocks(text: str, limit: int) -> list[str]:
-    """Blocks, which end at blank lines and headings (each heading is one), packed while their sizes fit the limit; a
-    block over the limit stays whole."""
-    blocks: list[str] = []
-    held: list[str] = []
-    for line in [*text.splitlines(), ""]:
-        heading = bool(_HEADING.match(line))
-        if (heading or not line.strip()) and held:
-            blocks.append("\n".join(held))
-            held = []
-        if heading:
-            blocks.append(line)
-        elif line.strip():
-            held.append(line)
-    out: list[list[str]] = []
-    size = 0
-    for block in blocks:
-        if out and size + len(block) <= limit:
-            out[-1].append(block)
-            size += len(block)
-        else:
-            out.append([block])
-            size = len(block)
-    return ["\n\n".join(p) for p in out]
+    """id, ordinal, path (from the title on; a first heading that repeats it is left out), body of each chunk, of up to
+    `most` tokens (four characters each) with its heading lines; tables stay whole. Null and blank texts have no chunks."""
+    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(title_col).cast("string"), F.lit("")).alias("_title"), F.col(text_col).cast("string").alias("_text"))
+    b = blocks_of(source, F.col("_text"), "_id", "_title")
+    again = F.lower(F.trim(F.get("path", F.lit(0)))) == F.lower(F.trim("_title"))
+    path = F.concat(F.array("_title"), F.when(again, F.slice("path", F.lit(2), F.size("path"))).otherwise(F.col("path")))
+    b = b.withColumn("path", path)
+    room = F.greatest(F.lit(1), F.lit(4 * most) - F.length(_head(F.col("path"))))
+    pieces = F.when(F.col("is_table") | (F.length("text") <= room), F.array("text")).otherwise(_cut(F.col("text"), room))
+    b = b.select("_id", "_row", "section", "block", "path", room.alias("room"), pieces.alias("pieces"))
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "pieces"))), lambda x: x["pieces"]))  # of one text, as below
+    s = b.groupBy("_id", "_row", "section").agg(F.first("path").alias("path"), F.first("room").alias("room"), in_order.alias("pieces"))
+    s = s.select("_id", "_row", "section", "path", packed(F.col("pieces"), F.col("room")).alias("bodies"))
+    units = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", "path", "bodies"))), lambda x: F.transform(x["bodies"], lambda y: F.struct(x["path"].alias("path"), y.alias("body")))))
+    whole = s.groupBy("_id", "_row").agg(units.alias("units"))
+    made = whole.select("_id", F.posexplode(_joined(F.col("units"), least, most)).alias("ordinal", "c"))
+    return made.select(F.col("_id").alias(id_col), "ordinal", "c.path", "c.body")
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """id, ordinal, length of packed blocks."""
-
-    def pack(frames):
-        for pdf in frames:
-            rows = [(i, n, len(b)) for i, text in zip(pdf["i"], pdf["t"], strict=True) for n, b in enumerate(packed_blocks(text, limit))]
-            yield pd.DataFrame(rows, columns=[id_col, "ordinal", "length"])
-
-    return docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(pack, f"{id_col} long, ordinal int, length int")
+    """id, ordinal, length of packed blocks, which end at blank lines and headings (each heading is one) and are packed
+    while their sizes fit the limit; a block over it stays whole. Null and blank texts have none."""
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), "\n", -1)
+    heading = lambda x: x.rlike(r"^#{1,6}\s+\S")
+    # Headings are set off by blank lines, and so every block is.
+    apart = F.array_join(F.transform(lines, lambda x: F.when(heading(x), F.concat(F.lit("\n"), x, F.lit("\n"))).when(F.trim(x) == "", "").otherwise(x)), "\n")
+    pieces = F.filter(F.transform(F.split(apart, "\n\n+", -1), lambda x: F.trim(x, F.lit("\n"))), lambda x: x != "")
+    made = docs.select(F.col(id_col), F.posexplode(packed(pieces, F.lit(limit), count_joint=False)).alias("ordinal", "body"))
+    return made.select(id_col, "ordinal", F.length("body").alias("length"))
 
 
 def flatten_toc(trees: DataFrame, json_col: str) -> DataFrame:

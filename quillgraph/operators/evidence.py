@@ -1,73 +1,51 @@
-"""Evidence that is shown for the citations of an answer, within a budget."""
+"""Evidence that is shown for the citations of an answer, within a budget.
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+A text that an earlier source of the answer has too is a pointer to it, but only while that copy is shown whole. Sources
+get fair parts of the budget, and show their texts from the first on while their parts last. Which copies are whole
+depends on the parts, and these on what points: pointers whose copy is cut are taken back, and only ever that, until none
+is left. Each round is the same few aggregations over all answers.
+"""
 
-from quillgraph.operators.ordered import fold_groups
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def shares(sizes: list[int], budget: int) -> list[int]:
-    """Max-min fair parts of the budget, none above its size, in whole units."""
-    out, left = [0] * len(sizes), budget
-    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
-    for n, i in enumerate(order):
-        out[i] = min(sizes[i], left // (len(order) - n))
-        left -= out[i]
-    return out
+from quillgraph.session import cut
 
 
-def shown(sources: list[list[str]], budget: int) -> list[list[tuple[int, int | None]]]:
-    """For each text of each source how many characters are shown, and the source that it points to instead, if any.
-
-    A text that an earlier source has is a pointer to it, but only while that copy is shown whole: a pointer to a cut copy
-    gets its own text back, after which parts are dealt out anew, until nothing changes. Sources get fair parts; within
-    one, texts are shown from the first on, and cut where its part ends.
-    """
-    own: set[tuple[int, int]] = set()  # texts that must not be pointers
-    while True:
-        first: dict[str, tuple[int, int]] = {}
-        target: dict[tuple[int, int], tuple[int, int]] = {}
-        for s, texts in enumerate(sources):
-            for d, text in enumerate(texts):
-                if text in first and first[text][0] != s and (s, d) not in own:
-                    target[s, d] = first[text]
-                else:
-                    first.setdefault(text, (s, d))
-        sizes = [sum(len(t) for d, t in enumerate(texts) if (s, d) not in target) for s, texts in enumerate(sources)]
-        out: list[list[tuple[int, int | None]]] = []
-        whole: set[tuple[int, int]] = set()
-        for s, (texts, left) in enumerate(zip(sources, shares(sizes, budget), strict=True)):
-            row: list[tuple[int, int | None]] = []
-            for d, text in enumerate(texts):
-                if (s, d) in target:
-                    row.append((0, target[s, d][0]))
-                    continue
-                n = min(len(text), left)
-                left -= n
-                if n == len(text):
-                    whole.add((s, d))
-                row.append((n, None))
-            out.append(row)
-        broken = {at for at, to in target.items() if to not in whole}
-        if not broken:
-            return out
-        own |= broken
+def fair_parts(sizes: DataFrame, budget: int) -> DataFrame:
+    """answer, source, part of (answer, source, size): every source up to a level that all who ask for more share, and of
+    the units left over one each from the first source on."""
+    by_size = Window.partitionBy("answer").orderBy("size", "source")
+    w = sizes.withColumn("before", F.coalesce(F.sum("size").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = w.withColumn("asking", F.count("*").over(Window.partitionBy("answer")) - F.row_number().over(by_size) + 1)
+    reach = F.floor((F.lit(budget) - F.col("before")) / F.col("asking"))  # the level, if all smaller ones get what they ask
+    level = w.filter(F.col("size") > reach).groupBy("answer").agg(F.min_by(reach, F.struct("size", "source")).alias("level"), F.min_by(F.col("before"), F.struct("size", "source")).alias("met"), F.max("asking").alias("short"))
+    x = sizes.join(level, "answer", "left")
+    left_over = F.lit(budget) - F.col("met") - F.col("level") * F.col("short")
+    place = F.row_number().over(Window.partitionBy("answer", F.col("size") > F.col("level")).orderBy("source"))
+    return x.select("answer", "source", F.when(F.col("level").isNull() | (F.col("size") <= F.col("level")), F.col("size")).otherwise(F.col("level") + (place <= left_over).cast("long")).alias("part"))
 
 
 def capped(texts: DataFrame, budget: int) -> DataFrame:
-    """answer, source, pos, chars, same_as. texts: answer, source (numbers in order), pos, text. An answer's evidence is
-    what fits a prompt many times at most: it is one task's, as every step needs the one before."""
-
-    def fold(key: tuple, rows: Iterator[dict]):
-        sources: dict[int, list[tuple[int, str]]] = {}
-        for r in rows:
-            sources.setdefault(r["source"], []).append((r["pos"], r["text"] or ""))
-        names = list(sources)
-        for name, row, made in zip(names, sources.values(), shown([[t for _, t in v] for v in sources.values()], budget), strict=True):
-            for (pos, _), (n, to) in zip(row, made, strict=True):
-                yield (*key, name, pos, n, None if to is None else names[to])
-
-    return fold_groups(texts.select("answer", "source", "pos", "text"), ["answer"], ["source", "pos"], fold, "answer long, source long, pos long, chars int, same_as long")
+    """answer, source, pos, chars, same_as, state of each text (answer, source in order, pos, text): the characters that
+    are shown; the source that it points to instead, if any; and `whole`, `cut`, `omitted` (nothing fits) or `same`.
+    Null texts are empty, and whole. Windows are over the sources of an answer and the texts of a source."""
+    length = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = cut(texts.select("answer", "source", "pos", length.alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")))
+    first = rows.groupBy("answer", "h").agg(F.min(F.struct("source", "pos")).alias("f"))
+    rows = cut(rows.join(first, ["answer", "h"]).select("answer", "source", "pos", "n", F.when(F.col("f.source") < F.col("source"), F.col("f")).alias("to")))
+    while True:
+        sizes = rows.groupBy("answer", "source").agg(F.sum(F.when(F.col("to").isNull(), F.col("n")).otherwise(0)).alias("size"))
+        own = rows.filter(F.col("to").isNull()).join(fair_parts(sizes, budget), ["answer", "source"])
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("answer", "source").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shown = cut(own.select("answer", "source", "pos", "n", F.greatest(F.lit(0), F.least(F.col("n"), F.col("part") - before)).alias("chars")))
+        partial = shown.filter("chars < n").select("answer", F.struct("source", "pos").alias("to"), F.lit(True).alias("broken"))
+        checked = cut(rows.join(partial, ["answer", "to"], "left"))
+        if checked.filter("broken").isEmpty():
+            break
+        rows = checked.withColumn("to", F.when(F.col("broken").isNull(), F.col("to"))).drop("broken")
+    state = F.when(F.col("chars") == F.col("n"), "whole").when(F.col("chars") > 0, "cut").otherwise("omitted")
+    shown = shown.select("answer", "source", "pos", "chars", F.lit(None).cast("long").alias("same_as"), state.alias("state"))
+    return shown.unionByName(rows.filter(F.col("to").isNotNull()).select("answer", "source", "pos", F.lit(0).cast("long").alias("chars"), F.col("to.source").cast("long").alias("same_as"), F.lit("same").alias("state")))

@@ -1,67 +1,148 @@
-"""Full-text search over a table of postings.
+"""Full-text search over a table of postings, and questions made into queries for it.
 
-`postings` is made once of a corpus: a row for each term of each text, with its count and the length of the text, in
-`BUCKETS` parts by the hash of a term's first letters and sorted by term there. A question reads the parts of its terms
-only, whatever the corpus has besides; terms that begin with a prefix of three letters or more lie in one part.
+The index of a corpus has a row for each term and block of texts, a block being a range of ids: the ids, counts and
+lengths of the texts with the term, and the largest weight that any of them gives it. Rows are sorted by term and block in
+ranges over the whole table, so that a common term lies in many files and is written and read by many tasks, and a reader
+skips pages of other terms. A search for the best k reads the blocks' heads first; texts of the most promising blocks give
+a score that the k-th best surely has, and blocks that can't reach it are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import rules
 from quillgraph.functions.strings import tokens
-from quillgraph.session import kept
+from quillgraph.session import cut, kept
 
-BUCKETS = 64
-_HEAD = 3
+K1, B = 1.2, 0.75
+BLOCK = 256  # texts of a block, about
+_NAMED = 500  # blocks that are named in a filter, rather than joined
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, id, tf, n, part
+    postings: DataFrame  # term, block, df, top, ids, tfs, ns
     docs: int
     mean: float
 
 
-def _part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(term, 1, _HEAD)), F.lit(BUCKETS)).cast("int")
+def weight(tf: Column, n: Column, mean: float, k1: float = K1, b: float = B) -> Column:
+    """What a term gives to the score of a text of n words that has it tf times, but for its rarity."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.greatest(F.lit(mean), F.lit(1e-9))))
 
 
-def make_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Null texts have no terms. A text's counts are made where it lies: nothing is summed across texts."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+def make_postings(words: DataFrame, mean: float, width: int) -> DataFrame:
+    """words: id, w (array). Counts are made text by text, and gathered by term and block of ids."""
     counted = words.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("id", "n", "term").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select("term", "id", "tf", "n", _part(F.col("term")).alias("part"))
+    rows = counted.select("term", F.floor(F.col("id") / width).alias("block"), F.struct("id", "tf", "n").alias("p"))
+    of = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("p"), F.max(weight(F.col("p.tf"), F.col("p.n"), mean)).alias("top"))  # a block has a bounded number of ids
+    part = lambda name: F.transform("p", lambda x: x[name]).alias(f"{name}s")
+    return of.select("term", "block", F.size("p").alias("df"), "top", *map(part, ("id", "tf", "n")))
 
 
-def index(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of a corpus, which `name` stands for: written at the first call of a session, and read at later ones."""
+def _write(df: DataFrame, path: str) -> None:
+    sorted_ = df.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    sorted_.write.mode("overwrite").option("parquet.page.row.count.limit", 64).parquet(path)
+
+
+def index(docs: DataFrame, name: str = "", id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of a corpus with distinct whole numbers as ids: written at the first call of a session, read at later
+    ones, and written anew when the files of the corpus have changed. Null texts have no terms."""
     spark = docs.sparkSession
-    postings = kept(spark, f"postings of {name}", lambda: make_postings(docs, id_col, text_col), "part")
-    lengths = lambda: docs.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("mean"))
-    s = kept(spark, f"lengths of {name}", lengths).first()
-    return Index(postings, s.docs, s.mean or 0.0)
-
-
-def bm25(found: Index, terms: list[str], prefixes: list[str] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score of the texts with any of the terms, or any term that begins with one of the prefixes (three letters or
-    more), each of which counts by itself. Repeated terms count once."""
-    spark = found.postings.sparkSession
-    wanted, heads = sorted(set(terms)), sorted(set(prefixes or []))
-    if any(len(p) < _HEAD for p in heads):
-        raise ValueError(f"prefixes have {_HEAD} letters or more")
-    if not wanted and not heads:
-        return found.postings.limit(0).select("id", F.lit(0.0).alias("score"))
-    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, wanted + heads))).alias("t"))
-    parts = sorted({r[0] for r in asked.select(_part(F.col("t"))).collect()})
-    is_hit = F.col("term").isin(wanted)
-    for p in heads:
-        is_hit = is_hit | F.col("term").startswith(p)
-    rows = found.postings.filter(F.col("part").isin(parts) & is_hit)
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(found.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.greatest(F.lit(found.mean), F.lit(1e-9))))
-    return rows.join(df, "term").groupBy("id").agg(F.sum(idf * tf).alias("score"))
+    words = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    sums = [F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean"), F.min("id").alias("low"), F.max("id").alias("high")]
+    s = kept(spark, f"lengths {name} {id_col} {text_col}", lambda: words.agg(*sums), [docs]).first()
+    width = max(1, ((s.high or 0) - (s.low or 0) + 1) * BLOCK // max(1, s.docs))
+    postings = kept(spark, f"postings {name} {id_col} {text_col}", lambda: make_postings(words, s["mean"] or 0.0, width), [docs], _write)
+    return Index(postings, s.docs, s["mean"] or 0.0)
+
+
+def _matching(term: Column, terms: list[str], prefixes: list[str]) -> Column:
+    hit = term.isin(terms) if terms else F.lit(False)
+    for p in prefixes:
+        hit = hit | term.startswith(p)
+    return hit
+
+
+def idf(df: Column, docs: int) -> Column:
+    return F.log(1 + (F.lit(docs) - df + 0.5) / (df + 0.5))
+
+
+def _scores(rows: DataFrame, rarity: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
+    each = rows.join(rarity, "term").select("idf", F.explode(F.arrays_zip("ids", "tfs", "ns")).alias("p"))
+    return each.groupBy(F.col("p.ids").alias("id")).agg(F.sum(F.col("idf") * weight(F.col("p.tfs"), F.col("p.ns"), mean, k1, b)).alias("score"))
+
+
+def bm25(found: Index, terms: list[str], prefixes: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """id, score of the texts with any of the terms, or any term that begins with one of the prefixes, each of which
+    counts by itself. Repeated terms count once."""
+    rows = found.postings.filter(_matching(F.col("term"), sorted(set(terms)), sorted(set(prefixes or []))))
+    return _scores(rows, rows.groupBy("term").agg(idf(F.sum("df"), found.docs).alias("idf")), found.mean, k1, b)
+
+
+def bm25_top(found: Index, terms: list[str], k: int, prefixes: list[str] | None = None) -> DataFrame:
+    """id, score of the k best by bm25(), ties by id; blocks of texts that can't be among them are not read."""
+    rows = found.postings.filter(_matching(F.col("term"), sorted(set(terms)), sorted(set(prefixes or []))))
+    heads = cut(rows.select("term", "block", "df", "top"))
+    rarity = cut(heads.groupBy("term").agg(idf(F.sum("df"), found.docs).alias("idf")))
+    bounds = cut(heads.join(rarity, "term").groupBy("block").agg(F.sum(F.col("top") * F.col("idf")).alias("bound"), F.max("df").alias("texts")))
+    best = bounds.orderBy(F.desc("bound"), "block").limit(_NAMED).collect()
+    first, n = [], 0
+    for r in best:  # blocks that hold k texts for sure
+        first.append(r.block)
+        n += r.texts
+        if n >= k:
+            break
+    if n < k:  # too few in them: all there is
+        return _scores(rows, rarity, found.mean, K1, B).orderBy(F.desc("score"), "id").limit(k)
+    sure = _scores(rows.filter(F.col("block").isin(first)), rarity, found.mean, K1, B).orderBy(F.desc("score"), "id").limit(k)
+    least = min(r.score for r in sure.select("score").collect())
+    left = [r.block for r in best if r.bound >= least - 1e-9]
+    if len(left) < len(best) or len(best) < _NAMED:
+        rows = rows.filter(F.col("block").isin(left))
+    else:  # more blocks than a filter names may have some
+        rows = rows.join(bounds.filter(F.col("bound") >= least - 1e-9).select("block"), "block", "left_semi")
+    return _scores(rows, rarity, found.mean, K1, B).orderBy(F.desc("score"), "id").limit(k)
+
+
+# Questions -----------------------------------------------------------------------------------------------------------
+
+
+def compiled(q: Column, drop: Column, prefix_from: int = 6) -> Column:
+    """A question as an array of (term, forms, prefix): its distinctive words without those in `drop` (names of the scope),
+    each with the forms that count for it, and a prefix (its stem, if that is long enough) or null."""
+    stem = lambda w: rules.let(rules.stem_of(w), lambda s: F.when((F.length(s) >= prefix_from) & ~s.contains("-") & ~s.contains("_"), s))
+    plain = lambda w: F.filter(rules.word_forms(w), lambda x: x.rlike("^[a-z0-9]+$"))
+    parts = lambda w: F.when(w.rlike("[_-]"), F.filter(F.split(w, "[_-]+"), lambda x: x != "")).otherwise(plain(w))
+    return F.transform(rules.question_terms(q, drop), lambda w: F.struct(w.alias("term"), parts(w).alias("forms"), stem(w).alias("prefix")))
+
+
+def search_questions(found: Index, questions: DataFrame, k: int, every: bool = False, id_col: str = "question_id") -> DataFrame:
+    """id, text_id, score, rank, how: the k best texts of each question (id, terms as compiled() gives them).
+
+    A term is found by any of its forms, or by what begins with its prefix; each such word counts by itself. With `every`,
+    texts must have all of a question's terms; questions for which no text does take those with any (`how`: all, any).
+    Questions are joined with the index's terms, so that any number of them is one pass over the postings that they name.
+    """
+    asked = questions.select(F.col(id_col).alias("_q"), F.size("terms").alias("_terms"), F.posexplode("terms").alias("_g", "t"))
+    words = found.postings.groupBy("term").agg(F.sum("df").alias("n"))
+    exact = asked.select("_q", "_g", "_terms", F.explode("t.forms").alias("term"))
+    begun = asked.filter(F.col("t.prefix").isNotNull()).select("_q", "_g", "_terms", F.col("t.prefix").alias("prefix"))
+    sizes = [r[0] for r in begun.select(F.length("prefix")).distinct().collect()]  # lengths of words
+    heads = words.select("term", F.explode(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sizes])).alias("prefix")) if sizes else words.limit(0).select("term", F.col("term").alias("prefix"))
+    named = exact.unionByName(begun.join(heads.filter("prefix is not null"), "prefix").select("_q", "_g", "_terms", "term"))
+    named = cut(named.distinct().join(words, "term").select("_q", "_g", "_terms", "term", idf(F.col("n"), found.docs).alias("idf")))
+    each = found.postings.join(named, "term").select("_q", "_g", "_terms", "idf", "term", F.explode(F.arrays_zip("ids", "tfs", "ns")).alias("p"))
+    # A word that stands for two terms of a question counts once, and fulfils both.
+    each = each.groupBy("_q", "_terms", F.col("p.ids").alias("text_id"), "term").agg(F.first(F.col("idf") * weight(F.col("p.tfs"), F.col("p.ns"), found.mean)).alias("w"), F.collect_set("_g").alias("g"))
+    scored = each.groupBy("_q", "_terms", "text_id").agg(F.sum("w").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("_has"))
+    scored = scored.withColumn("_all", F.col("_has") == F.col("_terms")) if every else scored.withColumn("_all", F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_all"), F.desc(F.round("score", 9)), "text_id"))
+    top = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    how = F.when(F.max("_all").over(Window.partitionBy("_q")), "all").otherwise("any")  # of k rows
+    top = top.withColumn("how", how).filter(F.col("_all") | (F.col("how") == "any"))
+    return top.select(F.col("_q").alias(id_col), "text_id", "score", "rank", "how")

@@ -21,18 +21,33 @@ def degrees(projected: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float = 1.0) -> DataFrame:
-    """node, community by weighted label propagation with a modularity-like penalty: each node takes the label for which
-    the weight of its edges less resolution * strength * label's strength / total is largest (ties: least label). Nodes
-    move in alternate halves, by parity of a hash, so that pairs don't swap for ever.
-
-    A level of hierarchical detection: communities() repeats it on the contracted graph. Sums are partial before they are
-    shuffled; each round is written to the checkpoint folder.
-    """
-    both = cut(projected.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(projected.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")))
-    strength = cut(both.groupBy("node").agg(F.sum("weight").alias("strength")))
-    total = strength.agg(F.sum("strength")).first()[0] or 1
-    labels = strength.select("node", F.col("node").alias("label"))
+def _both_ways(projected: DataFrame) -> DataFrame:
+    apart = projected.filter("a <> b")
+    return apart.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(apart.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+
+
+def _strengths(projected: DataFrame) -> DataFrame:
+    """node, strength: weights of its edges; a loop counts twice."""
+    ends = projected.select(F.col("a").alias("node"), "weight").unionByName(projected.select(F.col("b").alias("node"), "weight"))
+    return ends.groupBy("node").agg(F.sum("weight").alias("strength"))
+
+
+def modularity(projected: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Of a partition (node, label) of a graph (a, b, weight; loops may be there)."""
+    total = projected.agg(F.sum("weight")).first()[0]
+    if not total:
+        return 0.0
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    inside = projected.join(of("a"), "a").join(of("b"), "b").filter("la = lb").agg(F.sum("weight")).first()[0] or 0
+    mass = _strengths(projected).join(labels, "node").groupBy("label").agg(F.sum("strength").cast("double").alias("s"))
+    return inside / total - resolution * (mass.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0) / (4.0 * total * total)
+
+
+def _moved(both: DataFrame, strength: DataFrame, total: float, labels: DataFrame, rounds: int, resolution: float) -> DataFrame:
+    """node, label after nodes moved where the weight of their edges less resolution * strength * label's strength / total
+    is largest (ties: least label). Nodes move in alternate halves, by parity of a hash, so that pairs don't swap for ever;
+    it ends early when neither half moves."""
+    still = 0
     for r in range(rounds):
         mass = labels.join(strength, "node").groupBy("label").agg(F.sum("strength").alias("mass"))
         pull = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("pull"))
@@ -44,26 +59,74 @@ def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float =
         gain = F.round(F.col("pull") - F.lit(resolution) * F.col("strength") * rest / F.lit(float(total)), 9)
         best = scored.groupBy("node", "now").agg(F.min_by("label", F.struct(-gain, F.col("label"))).alias("best"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        labels = cut(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label")))
-    return labels.withColumnRenamed("label", "community")
-
-
-def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution: float = 1.0, src: str = "src", dst: str = "dst") -> DataFrame:
-    """node, level (0 finest), community: each level groups the communities of the one below."""
-    projected = cut(undirected(edges, src, dst))
-    flat = propagate_labels(projected, resolution=resolution)
-    out = flat.select("node", F.lit(0).alias("level"), "community")
-    graph = projected.select("a", "b", "weight")
-    for level in range(1, levels):
-        ends = graph.join(flat.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(flat.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-        graph = cut(ends.filter("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
-        if graph.isEmpty():
+        moved = cut(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label"), "now"))
+        still = still + 1 if moved.filter("label <> now").isEmpty() else 0
+        labels = moved.select("node", "label")
+        if still == 2:
+            break
+    return labels
+
+
+def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float = 1.0) -> DataFrame:
+    """node, community by weighted label propagation with a modularity-like penalty. Sums are partial before they are
+    shuffled; each round is written to the checkpoint folder."""
+    strength = cut(_strengths(projected))
+    total = strength.agg(F.sum("strength")).first()[0] or 1
+    return _moved(cut(_both_ways(projected)), strength, total, strength.select("node", F.col("node").alias("label")), rounds, resolution).withColumnRenamed("label", "community")
+
+
+def _refined(both: DataFrame, strength: DataFrame, total: float, labels: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """node, part: connected parts of the communities. Nodes begin alone; in each round half of the parts, by a hash of
+    part and round, stay, and each other one joins the neighbour that stays, in its community, from which modularity
+    gains most, if it gains. A part grows by whole connected parts along edges, so that it is connected."""
+    inside = both.join(labels, "node").join(labels.select(F.col("node").alias("other"), F.col("label").alias("l2")), "other").filter("label = l2")
+    inside = cut(inside.select("node", "other", "weight"))
+    parts = strength.select("node", F.col("node").alias("part"), "strength")
+    idle = 0
+    for r in range(rounds):
+        name = parts.select("node", "part")
+        ties = inside.join(name, "node").join(name.select(F.col("node").alias("other"), F.col("part").alias("to")), "other").filter("part <> to")
+        stays = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
+        ties = ties.filter(~stays("part") & stays("to")).groupBy("part", "to").agg(F.sum("weight").alias("w"))
+        mass = parts.groupBy("part").agg(F.sum("strength").alias("s"))
+        gain = F.round(F.col("w") - F.lit(resolution) * F.col("s") * F.col("s2") / F.lit(float(total)), 9)
+        scored = ties.join(mass, "part").join(mass.select(F.col("part").alias("to"), F.col("s").alias("s2")), "to").select("part", "to", gain.alias("gain")).filter("gain > 0")
+        joins = cut(scored.groupBy("part").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to")))
+        idle = idle + 1 if joins.isEmpty() else 0
+        if idle == 3:  # by chance nobody may meet anybody once
+            break
+        if not idle:
+            parts = cut(parts.join(joins, "part", "left").select("node", F.coalesce("to", "part").alias("part"), "strength"))
+    return parts.select("node", "part")
+
+
+def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution: float = 1.0, src: str = "src", dst: str = "dst", moves: int = 6, merges: int = 8) -> DataFrame:
+    """node, level (0 finest), community, size: modularity by moves, refinement and aggregation, in rounds over all nodes.
+
+    At each level nodes move between communities; each community is refined into connected parts; and these are the nodes
+    of the next level, which begin in the community that they are parts of. The parts of a level are its communities:
+    they are connected, and nest in those of the level above. It ends early when a level joins nothing. Every round is
+    some aggregations of the edges; what runs through the driver are counts."""
+    graph = cut(undirected(edges, src, dst))
+    member = _strengths(graph).select("node", F.col("node").alias("community"))
+    labels, out, known = None, None, -1
+    for level in range(levels):
+        strength, both = cut(_strengths(graph)), cut(_both_ways(graph))
+        total = strength.agg(F.sum("strength")).first()[0] or 1
+        start = labels if labels is not None else strength.select("node", F.col("node").alias("label"))
+        moved = cut(_moved(both, strength, total, start, moves, resolution))
+        parts = cut(_refined(both, strength, total, moved, resolution, merges))
+        member = cut(member.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
+        n = parts.select("part").distinct().count()
+        if n == known:
             break
-        upper = propagate_labels(graph, resolution=resolution)
-        members = out.filter(F.col("level") == level - 1).select("node", F.col("community").alias("below"))
-        lifted = members.join(upper.select(F.col("node").alias("below"), "community"), "below", "left")
-        out = cut(out.unionByName(lifted.select("node", F.lit(level).alias("level"), F.coalesce("community", "below").alias("community"))))
-        flat = upper
+        known = n
+        one = member.select("node", F.lit(level).alias("level"), "community")
+        out = one if out is None else out.unionByName(one)
+        labels = cut(moved.join(parts, "node").groupBy("part").agg(F.min("label").alias("label")).withColumnRenamed("part", "node"))
+        to = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"p{end}"))
+        ends = graph.join(to("a"), "a").join(to("b"), "b")
+        graph = cut(ends.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("weight").alias("weight")))
     sizes = out.groupBy("level", "community").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
     return out.join(sizes, ["level", "community"]).select("node", "level", "community", "size")
 

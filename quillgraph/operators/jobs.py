@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,54 +74,6 @@ def debounce(events: DataFrame, key: str, time_col: str, seconds: int) -> DataFr
     return fold_groups(timed, [key], ["_at"], passes, f"{key} {kind}, passed int")
 
 
-def schedule(chunks: DataFrame, slots: int, warmup: int, alpha: float = 0.5) -> DataFrame:
-    """scenario, article, chunk, resolve, commit: a replay of a run with some slots. chunks: scenario, source, article,
-    chunk, seconds; articles start in the order of their numbers.
-
-    Until `warmup` articles of its source have committed their first chunk, an article waits for all that run and goes
-    alone; then each takes the slot that is free first. A chunk resolves its names after a part `alpha` of its time. The
-    replay of a scenario is sequential: its chunks stream through a fold.
-    """
-
-    def replay(key, rows):
-        free, running, now = [0.0] * slots, [], 0.0
-        live: dict[int, list[float]] = {}
-        for article, own in groupby(rows, key=lambda r: r["article"]):
-            own = list(own)  # the chunks of one article
-            source = own[0]["source"]
-            cold = sum(x <= now for x in live.get(source, ())) < warmup
-            if cold:
-                now = max([now, *running])
-                running.clear()
-                start = now
-            else:
-                slot = min(range(slots), key=free.__getitem__)
-                start = max(free[slot], now)
-            at = start
-            for r in own:
-                yield (*key, article, r["chunk"], at + alpha * r["seconds"], at + r["seconds"])
-                if r is own[0]:
-                    live.setdefault(source, []).append(at + r["seconds"])
-                at += r["seconds"]
-            if cold:
-                now, free = at, [at] * slots
-            else:
-                free[slot] = at
-                running.append(at)
-
-    rows = chunks.select("scenario", "source", "article", "chunk", F.col("seconds").cast("double").alias("seconds"))
-    return fold_groups(rows, ["scenario"], ["article", "chunk"], replay, "scenario long, article long, chunk long, resolve double, commit double")
-
-
-def excess_copies(spans: DataFrame) -> DataFrame:
-    """scenario, entity, excess of the entities that are made more than once: an article that resolves a name before any
-    earlier one has committed it makes a copy. spans: scenario, entity, article, resolve, commit."""
-    w = Window.partitionBy("scenario", "entity").orderBy("resolve", "article").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.min("commit").over(w)
-    copies = spans.select("scenario", "entity", (F.col("resolve") < first).alias("copy"))
-    return copies.groupBy("scenario", "entity").agg(F.count_if("copy").alias("excess")).filter("excess > 0")
-
-
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,20 +12,29 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vectors as V
 
 
-def vector_search(table: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", above: float | None = None) -> DataFrame:
+def scored(table: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, score (cosine) of every row; null, zero or unequally long vectors score 0. A task multiplies its vectors with
+    the query as matrices."""
+    asked = unit_rows(pa.array([query], pa.list_(pa.float64())), len(query))[0]
+    source = table.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit_rows(b.column(1), len(asked)) @ asked)], names=["_id", "score"])
+
+    return source.mapInArrow(score, f"_id {source.schema['_id'].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
+
+
+def vector_search(table: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, score (cosine) of the k nearest; ties by id. Exact: one scan, and k rows of each task are shuffled."""
-    scored = table.select(F.col(id_col), V.cosine_or_zero(F.col(vector_col), F.array(*map(F.lit, query))).alias("score"))
-    if above is not None:
-        scored = scored.filter(F.col("score") > above)
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+    return scored(table, query, id_col, vector_col).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def vector_join(
-    queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 5_000, cells: np.ndarray | None = None, share: float = 1.0
+    queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 5_000
 ) -> DataFrame:
     """query_id, id, score, rank: the k nearest of each of a stated set of queries, exact; ties by id. Null, zero or
-    unequally long vectors score 0. With `cells` (unit centroids) a query is compared only with rows whose nearest cell is
-    one of its own nearest ones, that share of the cells.
+    unequally long vectors score 0.
 
     Queries go to the tasks in blocks of about `block`, so that what is sent doesn't grow with them; a task multiplies
     its vectors with a block as matrices, and keeps k rows of a query before anything is shuffled.
@@ -43,14 +50,14 @@ def vector_join(
         if not len(ids):
             continue
         vectors = part["q"].combine_chunks()
-        asked = _unit_rows(vectors, pc.max(pc.list_value_length(vectors)).as_py() or 1)
-        best = rows.mapInArrow(_nearest(ids, asked, k, cells, share), "query_id long, id long, score double")
+        asked = unit_rows(vectors, pc.max(pc.list_value_length(vectors)).as_py() or 1)
+        best = rows.mapInArrow(_nearest(ids, asked, k), "query_id long, id long, score double")
         top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out if out is not None else rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
-def _unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
+def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     """Vectors of length 1 as rows; missing ones, and those of another width, are 0."""
     fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
     out = np.zeros((len(vectors), width))
@@ -59,23 +66,9 @@ def _unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, cells: np.ndarray | None, share: float, step: int = 1_000):
+def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, step: int = 1_000):
     """For a task: of each query the k best of its rows, ties by id."""
     n = len(asked)
-    if cells is not None and len(cells):
-        probes = max(1, math.ceil(share * len(cells)))
-        probed = np.zeros((n, len(cells)), bool)
-        np.put_along_axis(probed, np.argsort(-(asked @ cells.T), axis=1, kind="stable")[:, :probes], True, axis=1)
-
-    def scores(v: np.ndarray) -> np.ndarray:
-        if cells is None or not len(cells):
-            return asked @ v.T
-        out = np.full((n, len(v)), -np.inf)
-        own = (v @ cells.T).argmax(axis=1)
-        for c in np.unique(own):
-            at, who = np.flatnonzero(own == c), np.flatnonzero(probed[:, c])
-            out[np.ix_(who, at)] = asked[who] @ v[at].T
-        return out
 
     def find(batches):
         best, who = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
@@ -83,7 +76,7 @@ def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, cells: np.ndarray
             every, vectors = np.asarray(batch.column(0)), batch.column(1)
             for at in range(0, batch.num_rows, step):
                 ids = every[at : at + step]
-                score = scores(_unit_rows(vectors.slice(at, step), asked.shape[1]))
+                score = asked @ unit_rows(vectors.slice(at, step), asked.shape[1]).T
                 score[query_ids[:, None] == ids[None, :]] = -np.inf  # not itself
                 both = np.hstack([best, score])
                 # All that reach a query's k-th score, by score and id; the k first of each.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import rules
 
-#: Words that make a document set's name generic beside its vendor's.
+# Words that make a document set's name generic beside its vendor's.
 GENERIC = "platform docs documentation doc cloud console portal help center centre guide guides user admin administrator manual reference kb knowledge base support release notes the and".split()
 
 
@@ -82,7 +82,7 @@ def mentions(questions: DataFrame, found: DataFrame, id_col: str = "question_id"
 
 def detected(questions: DataFrame, found: DataFrame, id_col: str = "question_id", q_col: str = "q") -> DataFrame:
     """id, kind, name of what a question is restricted to: its mentions, unless it is worded across vendors."""
-    m = mentions(questions.filter(~F.col(q_col).rlike(rules.CROSS_VENDOR)), found, id_col, q_col)
+    m = mentions(questions.filter(~rules.is_cross_vendor(F.col(q_col))), found, id_col, q_col)
     return m.select(id_col, F.explode("targets").alias("t")).select(id_col, "t.kind", "t.name").distinct()
 
 
@@ -113,13 +113,11 @@ def shape(questions: DataFrame, found: DataFrame, vendor_of: DataFrame, id_col:
     vendors_only = lambda s: F.forall(s, lambda t: t["kind"] == "vendor")
     under = lambda s: F.forall(s, lambda t: F.array_contains(F.coalesce("covered", F.array().cast("array<string>")), t["name"]))
     kept = F.filter(F.coalesce("sides", none), lambda s: ~(vendors_only(s) & under(s)))
-    # The subject begins where the opening ends, and no second mention follows it after "and" or "or".
-    head = F.regexp_substr(F.col(q_col), F.lit(rules.NAMED_SUBJECT))
-    ends = F.when(head.isNotNull(), F.instr(F.col(q_col), head) - 1 + F.length(head))
+    # The subject stands behind the opening, and no second mention follows it after "and" or "or".
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
-    rest = lambda s: F.substring(F.col(q_col), s["end"] + 1, F.length(q_col))
-    link = lambda s: F.length(F.regexp_extract(rest(s), r"(?i)^(\s+(?:and|or),?\s+)", 1))
-    subject = F.exists(spans, lambda s: (s["start"] == ends) & ~((link(s) > 0) & F.exists(spans, lambda o: o["start"] == s["end"] + link(s))))
-    cross = F.col(q_col).rlike(rules.CROSS_VENDOR)
+    between = lambda s, o: F.trim(F.lower(F.substring(F.col(q_col), s["end"] + 1, o["start"] - s["end"])), F.lit(" ,"))
+    paired = lambda s: F.exists(spans, lambda o: (o["start"] > s["end"]) & between(s, o).isin("and", "or"))
+    subject = F.exists(spans, lambda s: rules.opens_subject(F.substring(F.col(q_col), F.lit(1), s["start"])) & ~paired(s))
+    cross = rules.is_cross_vendor(F.col(q_col))
     kind = F.when(cross & F.coalesce(subject, F.lit(False)), "single").when(cross, "enumeration").when(F.size(kept) >= 2, "comparison").otherwise("single")
     return q.select(id_col, kind.alias("shape"), F.size(kept).alias("sides"))

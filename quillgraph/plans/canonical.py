@@ -57,8 +57,9 @@ class Tables:
         if name not in CANONICAL:
             return table(self.spark, self.sf_dir, name)
         text = CANONICAL[name]
-        make = lambda: self.spark.sql(text, **{b: getattr(self, b) for b in set(re.findall(r"\{(\w+)\}", text))})
-        return kept(self.spark, f"{name} of {self.sf_dir}", make) if name in MADE_ONCE else make()
+        parts = {b: getattr(self, b) for b in sorted(set(re.findall(r"\{(\w+)\}", text)))}
+        make = lambda: self.spark.sql(text, **parts)
+        return kept(self.spark, f"{name} of {self.sf_dir}", make, list(parts.values())) if name in MADE_ONCE else make()
 
 
 def oracle(sql: str) -> str:

@@ -6,6 +6,7 @@ MADE_UP: dict[str, str] = {
         when 4 then 'InvalidBackupPlan' when 5 then 'aws backup list-vaults' when 6 then 'Canada ' || p_size || ' Region' when 7 then 's3:GetObject' when 8 then 'BackupVaultArn'
         when 9 then 'Product ' || p_size || ' User Guide' when 10 then 'AccountID' when 11 then 'OpenID' when 12 then 'R-Studio' when 13 then 'AWS managed key' when 14 then 'Install-Module'
         when 15 then '  East   US ' when 16 then 'azure west us 2 region' when 17 then 'cross-region copy' when 18 then ' ' else p_name end as name from {part}""",
+    "gazetteer": "select distinct 'canada ' || p_size as key from {part} where p_size % 7 < 3 union all select 'east us' union all select 'west us 2'",
     "page_title": """select article_id, source_id, case article_id % 9 when 0 then 'Blogs, videos, and tutorials' when 1 then 'Archived Release Notes' when 2 then 'What''s new in 4.1' when 3 then 'Guides and other resources'
         when 4 then 'Releasing notes by mail' else 'Restore ' || title end as title from {article}""",
     "question": """select cast(p_partkey as bigint) as question_id, r_name as vendor, n_name as product, p_size as size, case p_partkey % 14

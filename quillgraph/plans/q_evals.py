@@ -16,11 +16,11 @@ from quillgraph.operators.ordered import running
 from quillgraph.plans.canonical import query
 from quillgraph.plans.q_graph import FRESH, KEPT, _fresh, _kept
 from quillgraph.plans.q_jobs import drain, events_stream
-from quillgraph.plans.q_rules import _REGION, _REGIONS, lit, words
+from quillgraph.plans.q_rules import NOISE, REGION_KEYS, lit, sql_has, words
 from quillgraph.sources import feed
 
 CHAIN = "article join source using (source_id) join product using (product_id) join vendor using (vendor_id)"
-_NOISE = "(case " + " ".join(f"when regexp_matches(trim(name), {lit(p)})" + (f" and trim(name) not in ({', '.join(map(lit, RU.NOT_API_ID))})" if n == "api_id" else "") + " then true" for n, p in RU.NOISE) + " else false end)"
+_NOISY = f"select entity_id from {NOISE} where rule <> 'kept'"
 
 
 # Feed --------------------------------------------------------------------------------------------------------------------
@@ -345,7 +345,7 @@ def _(t):
     return g.select("grp", F.round("r", 6).alias("ratio"), "facts_a", "facts_b", F.when((F.col("r") <= 1) & (F.col("facts_b") >= 0.7 * F.col("facts_a")), "adopt").otherwise("keep").alias("decision"))
 
 
-@query("agg_41_crosscheck", f"""with d as (select j.job_id, a.article_id is not null as there, regexp_matches(coalesce(a.title, ''), {lit(RU.NAVIGATION)}) as nav, a.article_id in (select article_id from episode where chunk_index <= 2 and article_id % 8 <> 0) as has from job j left join page_title a on a.article_id = j.article_id where j.status = 'done'),
+@query("agg_41_crosscheck", f"""with d as (select j.job_id, a.article_id is not null as there, {sql_has('a.title', RU.NAVIGATION)} as nav, a.article_id in (select article_id from episode where chunk_index <= 2 and article_id % 8 <> 0) as has from job j left join page_title a on a.article_id = j.article_id where j.status = 'done'),
     s as (select count(*) as shards, count(*) filter (n = 0) as empty from (select source_id, (select count(*) from article where article.source_id = source.source_id) as n from source)), st as (select count(*) as stranded from article where not removed and article_id not in (select article_id from episode) and article_id not in (select article_id from job))
     select shards, empty, count(*) as done, count(*) filter (not there) as missing, count(*) filter (there and not has and not nav) as no_episode, count(*) filter (there and not has and nav) as navigation, any_value(stranded) as stranded,
       empty = 0 and count(*) filter (not there) = 0 and count(*) filter (there and not has and not nav) = 0 and any_value(stranded) = 0 as ok from d, s, st group by shards, empty""")
@@ -497,25 +497,26 @@ def _(t):
     return out.select("survivor", "losers", zero("ends_moved"), zero("loops"), zero("mentions"), zero("mentions_kept"), F.when(F.col("labels") == 1, F.col("one")).alias("label"), (F.col("labels") > 1).alias("labels_differ"))
 
 
-@query("gr_9_retype_guard", f"""with x as (select entity_id, label, starts_with(label, 'Brand#1') as was, list_contains({words(_REGIONS)}, {_REGION}) as is_r from entity_name), c as (select count(*) filter (was) as now, count(*) filter (was and not is_r) as gone from x)
+@query("gr_9_retype_guard", f"""with {REGION_KEYS}, x as (select entity_id, label, starts_with(label, 'Brand#1') as was, key in (select key from gazetteer) as is_r from entity_name join k using (entity_id)), c as (select count(*) filter (was) as now, count(*) filter (was and not is_r) as gone from x)
     select entity_id, case when is_r then 'Region' when was and gone <= greatest(2, ceil(0.5 * now)) then 'Entity' when was then 'Region' else label end as label, case when is_r then 'Region' when was then 'Entity' else label end as forced from x, c""")
 def _(t):
     """Names of the gazetteer become regions, others that are called one lose the label: unless too many would at once
     (a sign of a broken gazetteer), or it is forced."""
-    x = t.entity_name.select("entity_id", "label", F.col("label").startswith("Brand#1").alias("was"), RU.region_key(F.col("name")).isin(_REGIONS).alias("is_r"))
+    known = t.gazetteer.select("key", F.lit(True).alias("known"))
+    x = t.entity_name.withColumn("key", RU.region_key(F.col("name"))).join(known, "key", "left").select("entity_id", "label", F.col("label").startswith("Brand#1").alias("was"), F.col("known").isNotNull().alias("is_r"))
     c = x.agg(F.count_if("was").alias("now"), F.count_if(F.col("was") & ~F.col("is_r")).alias("gone"))
     fits = F.col("gone") <= F.greatest(F.lit(2), F.ceil(0.5 * F.col("now")))
     label = F.when(F.col("is_r"), "Region").when(F.col("was") & fits, "Entity").when(F.col("was"), "Region").otherwise(F.col("label"))
     return x.join(F.broadcast(c)).select("entity_id", label.alias("label"), F.when(F.col("is_r"), "Region").when(F.col("was"), "Entity").otherwise(F.col("label")).alias("forced"))  # one row
 
 
-@query("gr_10_prune_noise", f"with bad as (select entity_id from entity_name where {_NOISE}) select fact_id from fact where src not in (select entity_id from bad) and dst not in (select entity_id from bad)")
+@query("gr_10_prune_noise", f"with bad as ({_NOISY}) select fact_id from fact where src not in (select entity_id from bad) and dst not in (select entity_id from bad)")
 def _(t):
     bad = t.entity_name.filter(RU.noise(F.col("name")).isNotNull()).select("entity_id")
     return t.fact.join(bad.withColumnRenamed("entity_id", "src"), "src", "left_anti").join(bad.withColumnRenamed("entity_id", "dst"), "dst", "left_anti").select("fact_id")
 
 
-@query("gr_10_prune_counts", f"""with bad as (select entity_id from entity_name where {_NOISE}) select 'entity' as what, count(*) as before, count(*) filter (entity_id not in (select entity_id from bad)) as after from entity_name
+@query("gr_10_prune_counts", f"""with bad as ({_NOISY}) select 'entity' as what, count(*) as before, count(*) filter (entity_id not in (select entity_id from bad)) as after from entity_name
     union all select 'mention', count(*), count(*) filter (entity_id not in (select entity_id from bad)) from mention union all select 'fact', count(*), count(*) filter (src not in (select entity_id from bad) and dst not in (select entity_id from bad)) from fact""")
 def _(t):
     """An entity goes with all its mentions and facts."""

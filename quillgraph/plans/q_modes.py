@@ -14,7 +14,7 @@ from quillgraph.operators import retrieval as RT
 from quillgraph.operators.ordered import running
 from quillgraph.plans.canonical import query
 from quillgraph.plans.q_retrieval import _BM25, _VEC, COS, query_vector, search_text, vectors
-from quillgraph.plans.q_rules import _STEM, lit
+from quillgraph.plans.q_rules import _STEM, sql_has
 
 _NOW = "(invalid_day is null or invalid_day > 800)"
 SCOPE = ("ASIA", "EUROPE")
@@ -67,7 +67,7 @@ def _(t):
     select id as claim_id, row_number() over (order by score desc, id) as pos, vendor from own qualify pos <= 20""")
 def _(t):
     """Exact forms and a prefix; current facts, five times as many as asked for, those in scope, and their sources."""
-    hits = FT.bm25(FT.index(t.documents, f"documents of {t.sf_dir}"), ["nicht", "ertion"], ["ertio"])
+    hits = FT.bm25(FT.index(t.documents, t.sf_dir), ["nicht", "ertion"], ["ertio"])
     found = M.sweep(hits, t.claim, _scope(t, *SCOPE), F.expr(_NOW), 20)
     return found.join(t.claim_scope.select(F.col("claim_id").alias("id"), "vendor"), "id").select(F.col("id").alias("claim_id"), F.col("pos").cast("long").alias("pos"), "vendor")
 
@@ -155,7 +155,7 @@ def _(t):
     scope = _scope(t, "ASIA", "EUROPE", "AMERICA")
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     own = M.local(M.fused([_words(t), _near(t, 60)], 60), t.claim, scope, F.expr(_NOW), 40)
-    expansion = FT.bm25(FT.index(t.documents, f"documents of {t.sf_dir}"), ["the", "nicht"])
+    expansion = FT.bm25(FT.index(t.documents, t.sf_dir), ["the", "nicht"])
     other = M.local(M.fused([expansion], 60), t.claim, scope, F.expr(_NOW), 40)
     keywords = M.sweep(_words(t), t.claim, scope, F.expr(_NOW), 30)
     scores = t.claim.filter("claim_id % 13 <> 0").select(F.col("claim_id").alias("id"), ((F.col("claim_id") * 31 % 100) / 100.0).alias("score"))
@@ -163,7 +163,7 @@ def _(t):
 
 
 @query("ret_9_enumerate_vendors", f"""with x as (select vendor, claim_id, text, case when vendor <> 'AFRICA' then (claim_id % 100) / 100.0 end as score from claim join claim_scope using (claim_id) where {_NOW}),
-    own as (select * from (select * from x qualify row_number() over (partition by vendor order by score desc nulls last, claim_id) <= 10) where not coalesce(regexp_matches(text, {lit(R.LIMITATION)}), false)), g as (select vendor, count(*) as facts, max(score) as best from own group by vendor)
+    own as (select * from (select * from x qualify row_number() over (partition by vendor order by score desc nulls last, claim_id) <= 10) where not {sql_has('text', R.LIMITATION)}), g as (select vendor, count(*) as facts, max(score) as best from own group by vendor)
     select vendor, facts, best, case when best is null then 'unchecked' when best >= 0.985 then 'documented' else 'weak' end as state from g""")
 def _(t):
     x = t.claim.filter(F.expr(_NOW)).join(t.claim_scope.select("claim_id", "vendor"), "claim_id")
@@ -173,7 +173,7 @@ def _(t):
 _HAS = "len(list_filter({ws}, lambda w: case when length({s}) < 4 then w = {s} or w = {s} || 's' else starts_with(w, {s}) or (ends_with({s}, 'y') and starts_with(w, left({s}, length({s}) - 1) || 'ie')) end)) > 0"
 
 
-@query("ret_10_item_grades", f"""with f as (select claim_id as id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as ws, coalesce(regexp_matches(text, {lit(R.LIMITATION)}), false) as limitation, case when claim_id % 13 <> 0 then (claim_id * 31 % 100) / 100.0 end as score from claim),
+@query("ret_10_item_grades", f"""with f as (select claim_id as id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as ws, {sql_has('text', R.LIMITATION)} as limitation, case when claim_id % 13 <> 0 then (claim_id * 31 % 100) / 100.0 end as score from claim),
     l as (select doc_id as line, regexp_extract_all(lower(text), '[a-z0-9]+')[2:3] as item, case doc_id % 3 when 0 then ['the'] when 1 then []::varchar[] else ['nicht', 'der'] end as terms, case when doc_id % 9 = 0 then []::bigint[] else [doc_id, doc_id + 1, doc_id * 7 % 100] end as ms from documents where len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 3),
     m as (select line, item, terms, unnest(ms) as id, generate_subscripts(ms, 1) as pos from l), i as (select line, item, pos, id, unnest(item) as w from m), si as (select line, pos, id, {_STEM.format(w='w')} as s from i),
     ni as (select line, pos, count(*) filter ({_HAS.format(ws='ws', s='s')}) * 2 >= count(*) as half from si join f using (id) group by all),

@@ -31,7 +31,7 @@ _VEC = f"q as (select embedding as q from embeddings where vec_id = 0), vs as (s
 
 def search_text(t, terms: list[str] = TERMS):
     """BM25 over the postings of documents: doc_id, score."""
-    return FT.bm25(FT.index(t.documents, f"documents of {t.sf_dir}"), terms).withColumnRenamed("id", "doc_id")
+    return FT.bm25(FT.index(t.documents, t.sf_dir), terms).withColumnRenamed("id", "doc_id")
 
 
 def query_vector(t) -> list[float]:
@@ -45,7 +45,7 @@ def vectors(t, k: int):
 
 @query("fts_bm25_top", f"with {_BM25} select doc_id, round(score, 6) as score from bm order by score desc, doc_id limit 50")
 def _(t):
-    return search_text(t).orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+    return FT.bm25_top(FT.index(t.documents, t.sf_dir), TERMS, 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("top_1_cosine", f"with {_VEC} select vec_id, round(score, 6) as score from vs order by score desc, vec_id limit 20")
@@ -90,7 +90,8 @@ def _(t):
 
 @query("vec_unit_score", f"with {_VEC} select vec_id, round((1 + score) / 2, 6) as score from vs where score > 0")
 def _(t):
-    return R.vector_search(t.embeddings.filter("vec_id <> 0"), query_vector(t), 1 << 30, above=0.0).select("vec_id", F.round(V.unit_score(F.col("score")), 6).alias("score"))
+    scored = R.scored(t.embeddings.filter("vec_id <> 0"), query_vector(t))
+    return scored.filter("score > 0").select("vec_id", F.round(V.unit_score(F.col("score")), 6).alias("score"))
 
 
 @query("agg_49_nearest_neighbours", f"""with s as (select a.vec_id, max({COS.format(a='a.embedding', b='b.embedding')}) as near from embeddings a, embeddings b where a.vec_id <> b.vec_id and a.vec_id % 20 = 0 group by a.vec_id)

@@ -20,44 +20,85 @@ def words(values: list[str]) -> str:
     return "[" + ", ".join(map(lit, values)) + "]"
 
 
-# Names and titles ----------------------------------------------------------------------------------------------------
+def sql_words(text: str) -> str:
+    return f"regexp_extract_all(translate(lower(coalesce({text}, '')), '’', chr(39)), {lit(R.WORD)})"
+
 
+def sql_has(text: str, phrases: list[str]) -> str:
+    """Whether a text has one of the phrases, as a regular expression over its words with single blanks."""
+    step = lambda x: {"_": "[^ ]+", "#": "[0-9][^ ]*"}.get(x) or (x[:-1] + "[^ ]*" if x.endswith("*") else "(" + x.replace("/", "|") + ")")
+    every = "|".join(" ".join(map(step, p.split())) for p in phrases)
+    return f"regexp_matches(' ' || array_to_string({sql_words(text)}, ' ') || ' ', {lit(f' ({every}) ')})"
 
-@query("flt_5_noise_classifier", "select entity_id, case " + " ".join(
-    f"when regexp_matches(trim(name), {lit(p)})" + (f" and trim(name) not in ({', '.join(map(lit, R.NOT_API_ID))})" if n == "api_id" else "") + f" then {lit(n)}" for n, p in R.NOISE
-) + " else 'kept' end as rule from entity_name")
+
+# Names and titles ----------------------------------------------------------------------------------------------------
+
+_ALNUM = "regexp_full_match({}, '[A-Z][A-Za-z0-9]*')"
+_ANY = lambda values: "(" + "|".join(values) + ")"
+_COMMAND = f"""(len(list_filter(range(1, len(ws) + 1), lambda i: list_contains({words(R.COMMANDS)}, ws[i]) and regexp_matches(ws[i + 1], '^[a-z]') or list_contains({words(R.COMMAND_VERBS)}, split_part(ws[i], '-', 1)) and regexp_matches(split_part(ws[i], '-', 2), '^[A-Z]')
+    or starts_with(ws[i], '--') and regexp_matches(ws[i], '^..[a-z]'))) > 0 or contains(n, '`') or regexp_matches(n, '[$][A-Za-z_]'))"""
+_KINDS = {
+    "blank": "n = ''",
+    "arn": "starts_with(lower(n), 'arn:')",
+    "resource_id": f"list_contains({words(R.RESOURCE_PREFIXES)}, lower(split_part(n, '-', 1))) and regexp_full_match(n, '[^-]*-[A-Za-z0-9]{{6,}}')",
+    "org_id": f"list_contains({words(R.ORGANISATION_PREFIXES)}, lower(split_part(n, '-', 1))) and regexp_full_match(n, '[^-]*-[A-Za-z0-9-]+') and regexp_matches(n, '[0-9]')",
+    "number": "length(n) > 5 and regexp_full_match(n, '[0-9]*')",
+    "invalid_code": f"starts_with(n, 'Invalid') and {_ALNUM.format('n')} and regexp_matches(n[8:8], '[A-Z]')",
+    "command": _COMMAND,
+    "region": "lower(split_part(n, ' ', -1)) in ('region', 'regions')",
+    "service_action": "regexp_full_match(n, '[a-z][a-z0-9]{1,20}:[A-Za-z][A-Za-z0-9-]*')",
+    "api_field": f"{_ALNUM.format('n')} and regexp_matches(n, '.{_ANY(R.FIELD_ENDINGS)}$')",
+    "document_title": f"regexp_matches(n, '(^|[^A-Za-z0-9_]){_ANY(R.TITLE_ENDINGS)}$')",
+    "api_id": f"{_ALNUM.format('n')} and regexp_matches(n, '[a-z]{_ANY(R.ID_ENDINGS)}$') and not list_contains({words(R.NOT_IDS)}, n)",
+}
+
+
+#: The kind of noise of each entity, or `kept`.
+_RULES = " ".join(f"when {_KINDS[n]} then {lit(n)}" for n, _ in R.NOISE)
+NOISE = rf"(select entity_id, case {_RULES} else 'kept' end as rule from (select entity_id, trim(name) as n, string_split_regex(trim(name), '\s+') as ws from entity_name))"
+
+
+@query("flt_5_noise_classifier", f"select entity_id, rule from {NOISE}")
 def _(t):
     return t.entity_name.select("entity_id", F.coalesce(R.noise(F.col("name")), F.lit("kept")).alias("rule"))
 
 
-@query("flt_6_navigation_articles", f"select article_id, title from page_title where regexp_matches(title, {lit(R.NAVIGATION)})")
+@query("flt_6_navigation_articles", f"select article_id, title from page_title where {sql_has('title', R.NAVIGATION)}")
 def _(t):
     return t.page_title.filter(R.is_navigation(F.col("title"))).select("article_id", "title")
 
 
-_REGION = r"trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(name, '\s+', ' ', 'g'))), '^(aws|amazon|azure|microsoft|google|gcp|oracle|oci|ibm|alibaba) ', ''), ' regions?$', ''))"
-_REGIONS = ["east us", "west us 2", "canada 7", "canada 21", "canada 33"]
+REGION_KEYS = f"""e as (select entity_id, list_filter(string_split_regex(lower(name), '\\s+'), lambda x: x <> '') as w from entity_name), v as (select entity_id, case when len(w) > 1 and list_contains({words(R.CLOUD_WORDS)}, w[1]) then w[2:] else w end as w from e),
+    k as (select entity_id, array_to_string(case when len(w) > 1 and w[-1] in ('region', 'regions') then w[:-2] else w end, ' ') as key from v)"""
 
 
-@query("flt_8_region_gazetteer", f"select entity_id, {_REGION} as key from entity_name where list_contains({words(_REGIONS)}, {_REGION})")
+@query("flt_8_region_gazetteer", f"with {REGION_KEYS} select entity_id, key from k where key in (select key from gazetteer)")
 def _(t):
-    known = t.spark.createDataFrame([(r,) for r in _REGIONS], "key string")
-    return t.entity_name.select("entity_id", R.region_key(F.col("name")).alias("key")).join(F.broadcast(known), "key", "left_semi").select("entity_id", "key")  # a fixed list
+    """Entities whose names are regions of a gazetteer, a table of the caller."""
+    return t.entity_name.select("entity_id", R.region_key(F.col("name")).alias("key")).join(t.gazetteer, "key", "left_semi").select("entity_id", "key")
 
 
-@query("flt_9_limitations", f"select doc_id, coalesce(regexp_matches(text, {lit(R.LIMITATION)}), false) as limitation from documents")
+@query("flt_9_limitations", f"select doc_id, {sql_has('text', R.LIMITATION)} as limitation from documents")
 def _(t):
     return t.documents.select("doc_id", R.is_limitation(F.col("text")).alias("limitation"))
 
 
-@query("flt_10_list_questions", f"select question_id from question where regexp_matches(q, {lit(R.LIST_QUESTION)}) and not regexp_matches(q, {lit(R.NOT_LIST_QUESTION)})")
+_PLURAL = f"(regexp_matches({{w}}, '[^suia]s$') and length({{w}}) > 3 and not list_contains({words(R.HELPERS)}, {{w}}) or regexp_matches({{w}}, '[a-z][a-z]as$'))"
+_ASKS = f"""len(list_filter(range(2, 6), lambda i: {_PLURAL.format(w='w[i]')} and (list_contains({words(R.HELPERS)}, w[i + 1]) or w[i + 1] = 'is' and w[i + 2] = 'supported'))) > 0"""
+_ITEM = lambda k: f"coalesce({_PLURAL.format(w=f'w[{k}]')} and not list_contains({words(R.NO_ITEMS)}, w[{k}]), false)"
+
+
+@query("flt_10_list_questions", f"""with s as (select question_id, {sql_words('q')} as w from question)
+    select question_id from s where coalesce(w[1] in ('which', 'what') and {_ASKS}, false) and not coalesce(w[1] in ('which', 'what') and list_contains({words(R.SINGLE_ANSWER)}, w[2]), false)
+      or coalesce(array_to_string(w[1:3], ' ') = 'what are the', false) and ({_ITEM(4)} or {_ITEM(5)}) and not list_contains({words(R.NO_ITEMS)}, coalesce(w[4], ''))
+      or coalesce(w[1] = 'list' or w[1] = 'where' and w[2] = 'can' and w[3] in ('i', 'you', 'we') or w[1] = 'supported' and {_PLURAL.format(w='w[2]')}, false)""")
 def _(t):
     return t.question.filter(R.is_list_question(F.col("q"))).select("question_id")
 
 
-@query("flt_11_cross_vendor_wording", f"select question_id, regexp_matches(q, {lit(R.CROSS_VENDOR)}) as across from question")
+@query("flt_11_cross_vendor_wording", f"select question_id, {sql_has('q', R.CROSS_VENDOR)} as across from question")
 def _(t):
-    return t.question.select("question_id", F.col("q").rlike(R.CROSS_VENDOR).alias("across"))
+    return t.question.select("question_id", R.is_cross_vendor(F.col("q")).alias("across"))
 
 
 _SCOPE_WORDS = "regexp_extract_all(lower(vendor || ' ' || product), '[a-z0-9][a-z0-9_-]*')"
@@ -90,7 +131,7 @@ _SAID = "case question_id % 5 when 0 then ' Local.' when 1 then 'drift or global
 _OVER = "case when question_id % 17 = 0 then 'timeline' when question_id % 19 = 0 then 'bogus' end"
 
 
-@query("ret_11_routing", f"""select question_id, case when {_OVER} in ('local', 'global', 'drift', 'timeline') then {_OVER} when regexp_matches(q, {lit(R.TEMPORAL)}) then 'timeline' when regexp_matches(q, {lit(R.COMPARING)}) then 'global'
+@query("ret_11_routing", f"""select question_id, case when {_OVER} in ('local', 'global', 'drift', 'timeline') then {_OVER} when {sql_has('q', R.TEMPORAL)} then 'timeline' when {sql_has('q', R.COMPARING)} then 'global'
     when contains(lower({_SAID}), 'local') then 'local' when contains(lower({_SAID}), 'global') then 'global' when contains(lower({_SAID}), 'drift') then 'drift' when contains(lower({_SAID}), 'timeline') then 'timeline' else 'drift' end as mode from question""")
 def _(t):
     return t.question.select("question_id", R.mode(F.col("q"), F.expr(_OVER), F.expr(_SAID)).alias("mode"))
@@ -119,7 +160,7 @@ _TERMS = rf"""once as (select lower(name) as key, min(name) as name, min(vendor)
       select key, [kind || ':' || name] from (select * from known where seen qualify row_number() over (partition by key order by rank) = 1) where key not in (select key from target)),"""
 _MENTIONS = rf"""{_TERMS}
     place as (select question_id, q, key, targets, unnest(range(1, length(q) + 1)) as p from question join term on contains(lower(q), key)),
-    occ as (select question_id, p as a, p + length(key) as b, targets from place where substr(lower(q), p, length(key)) = key and (p = 1 or not regexp_matches(substr(q, p - 1, 1), '[\w-]')) and not regexp_matches(substr(q, p + length(key), 1), '\w')),
+    occ as (select question_id, q, p as a, p + length(key) as b, targets from place where substr(lower(q), p, length(key)) = key and (p = 1 or not regexp_matches(substr(q, p - 1, 1), '[\w-]')) and not regexp_matches(substr(q, p + length(key), 1), '\w')),
     longest as (select * from occ qualify row_number() over (partition by question_id, a order by b desc) = 1),
     nxt as (select l.question_id, l.a, min(x.a) as na from longest l left join longest x on x.question_id = l.question_id and x.a >= l.b group by 1, 2),
     keep(question_id, a) as (select question_id, min(a) from longest group by 1 union all select n.question_id, n.na from keep k join nxt n on n.question_id = k.question_id and n.a = k.a where n.na is not null),
@@ -137,7 +178,7 @@ def _(t):
     return SC.alias_targets(_terms(t)[0], t.alias)
 
 
-@query("ret_13_scope_resolution", f"""with recursive {_MENTIONS} t as (select distinct question_id, unnest(targets) as t from named join question using (question_id) where not regexp_matches(q, {lit(R.CROSS_VENDOR)}))
+@query("ret_13_scope_resolution", f"""with recursive {_MENTIONS} t as (select distinct question_id, unnest(targets) as t from named where not {sql_has('q', R.CROSS_VENDOR)})
     select question_id, split_part(t, ':', 1) as kind, substr(t, position(':' in t) + 1) as name from t""")
 def _(t):
     return SC.detected(t.question, _terms(t)[1])
@@ -154,11 +195,10 @@ def _(t):
     cov as (select question_id, list(distinct vendor) as c from t join of using (t) group by 1),
     side as (select question_id, count(*) filter (not (len(list_filter(targets, lambda x: not starts_with(x, 'vendor:'))) = 0 and len(list_filter(targets, lambda x: not list_contains(coalesce(c, []), substr(x, 8)))) = 0)) as n
       from (select distinct question_id, targets from named) left join cov using (question_id) group by 1),
-    head as (select question_id, q, regexp_extract(q, {lit(R.NAMED_SUBJECT)}) as h from question),
-    ends as (select question_id, q, instr(q, h) - 1 + length(h) as e from head where h <> ''),
-    link as (select e.question_id, m.b - 1 as stop, length(regexp_extract(substr(q, m.b), '(?i)^(\\s+(?:and|or),?\\s+)')) as l from ends e join named m on m.question_id = e.question_id and m.a - 1 = e.e),
-    subject as (select distinct question_id from link where not (l > 0 and exists (select 1 from named o where o.question_id = link.question_id and o.a - 1 = stop + l)))
-    select question_id, case when regexp_matches(q, {lit(R.CROSS_VENDOR)}) and question_id in (select question_id from subject) then 'single' when regexp_matches(q, {lit(R.CROSS_VENDOR)}) then 'enumeration' when coalesce(n, 0) >= 2 then 'comparison' else 'single' end as shape,
+    opened as (select n.question_id, q, n.b, {sql_words('substr(q, 1, n.a - 1)')} as w from named n),
+    subject as (select distinct question_id from opened s where list_contains({words(['is', 'was', 'has', 'have', *R.HELPERS])}, w[-1]) and w[-2] in ('vendor', 'vendors') and (w[-3] in ('which', 'what') or w[-4] in ('which', 'what') or w[-5] in ('which', 'what'))
+      and not exists (select 1 from named o where o.question_id = s.question_id and o.a > s.b and trim(lower(substr(s.q, s.b, o.a - s.b)), ' ,') in ('and', 'or')))
+    select question_id, case when {sql_has('q', R.CROSS_VENDOR)} and question_id in (select question_id from subject) then 'single' when {sql_has('q', R.CROSS_VENDOR)} then 'enumeration' when coalesce(n, 0) >= 2 then 'comparison' else 'single' end as shape,
       coalesce(n, 0)::bigint as sides from question left join side using (question_id)""")
 def _(t):
     known, found = _terms(t)

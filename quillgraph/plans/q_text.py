@@ -103,7 +103,12 @@ def _(t):
     return C.markdown_chunks(t.documents, "doc_id", "source", "text")
 
 
-@query("chunk_pack_paragraphs")
+@query("chunk_pack_paragraphs", r"""with recursive l as (select doc_id, list_filter(list_transform(string_split_regex(array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)),
+      lambda x: case when regexp_matches(x, '^#{1,6}\s+\S') then chr(10) || x || chr(10) when trim(x) = '' then '' else x end), chr(10)), '\n\n+'), lambda x: trim(x, chr(10))), lambda x: x <> '') as b from documents),
+    r(doc_id, i, ordinal, size, length) as (select doc_id, 1, 0, length(b[1]), length(b[1]) from l where len(b) > 0 union all
+      select r.doc_id, i + 1, ordinal + (size + length(b[i + 1]) > 1200)::int, case when size + length(b[i + 1]) > 1200 then length(b[i + 1]) else size + length(b[i + 1]) end,
+        case when size + length(b[i + 1]) > 1200 then length(b[i + 1]) else r.length + 2 + length(b[i + 1]) end from r join l on l.doc_id = r.doc_id where i < len(b))
+    select doc_id, ordinal, max(length)::int as length from r group by doc_id, ordinal""")
 def _(t):
     return C.pack_blocks(t.documents, "doc_id", "text", 1200)
 
@@ -118,16 +123,40 @@ def _(t):
     return C.flatten_toc(toc, "toc")
 
 
-@query("flt_13_grounding")
+_NAME = """case when len(w) < 10 then 'Nothing here' when doc_id % 6 = 0 then w[3] || ' ' || w[4] when doc_id % 6 = 1 then w[3] || 's ' || w[9] || 'ing' when doc_id % 6 = 2 then 'Vault of ' || w[2]
+    when doc_id % 6 = 3 then w[4] || ' and ' || w[9] || ' nowhere' when doc_id % 6 = 4 then w[2] || ' kept elsewhere' else text[1:12] end"""
+_FLAT = r"(' ' || trim(regexp_replace(regexp_replace(replace(lower({x}), '&', ' and '), '[\r\n|,;]|[.:!?]+(\s|$)', ' ¶ ', 'g'), '[^a-z0-9¶]+', ' ', 'g')) || ' ')"
+_BARE = "list_filter([{w}, " + ", ".join(f"case when ends_with({{w}}, '{e}') and length({{w}}) >= {len(e) + 3} then left({{w}}, length({{w}}) - {len(e)}) end" for e in GR.LOSES) + ", case when regexp_matches({w}, '..(ies|ied)$') then left({w}, length({w}) - 3) || 'y' end], lambda s: s is not null)"
+
+
+@query("flt_13_grounding", rf"""with d as (select doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents), n as (select doc_id, text, {_NAME} as name from d where text is not null),
+    f as (select doc_id, name, {_FLAT.format(x='text')} as flat, {_FLAT.format(x='name')} as nf, lower(text) as low, lower(trim(name)) as ln from n),
+    v as (select *, (trim(nf) <> '' and contains(flat, nf)) or regexp_matches(low, '(^|[^a-z0-9])' || regexp_escape(ln) || '($|[^a-z0-9])') as said, string_split(trim(flat), ' ') as there from f),
+    own as (select doc_id, generate_subscripts(o, 1) as pos, unnest(o) as w from (select doc_id, list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: length(x) >= 2 and not list_contains({GR.WEAK}, x)) as o from v)),
+    form as (select doc_id, pos, w, unnest({_BARE.format(w='w')}) as s from own),
+    hit as (select distinct f.doc_id, pos from form f join (select doc_id, unnest(list_distinct(there)) as t from v) x on x.doc_id = f.doc_id and case when length(w) = 2 then t in (w, w || 's')
+      else regexp_full_match(t, s || '(s|es|d|ed|ing|[a-z]ed|[a-z]ing)?') or ends_with(s, 'y') and t in (left(s, length(s) - 1) || 'ies', left(s, length(s) - 1) || 'ied') end),
+    share as (select doc_id, count(*) as n, count(h.pos) as k from own left join hit h using (doc_id, pos) group by doc_id)
+    select doc_id, name, said or coalesce(3 * k >= 2 * n, false) as grounded from v left join share using (doc_id)""")
 def _(t):
-    d = t.documents.select("doc_id", "text", F.get(S.tokens(F.col("text")), F.lit(3)).alias("name"))
+    """Names made from the words of a text, as they are, inflected, in part or not at all."""
+    w = S.tokens(F.col("text"))
+    at = lambda i: F.get("w", F.lit(i - 1))
+    kind = F.col("doc_id") % 6
+    name = (
+        F.when(F.size("w") < 10, "Nothing here").when(kind == 0, F.concat(at(3), F.lit(" "), at(4))).when(kind == 1, F.concat(at(3), F.lit("s "), at(9), F.lit("ing"))).when(kind == 2, F.concat(F.lit("Vault of "), at(2)))
+        .when(kind == 3, F.concat(at(4), F.lit(" and "), at(9), F.lit(" nowhere"))).when(kind == 4, F.concat(at(2), F.lit(" kept elsewhere"))).otherwise(F.substring("text", 1, 12))
+    )
+    d = t.documents.filter("text is not null").select("doc_id", "text", w.alias("w")).select("doc_id", "text", name.alias("name"))
     return GR.grounded(d, "doc_id", "name", "text")
 
 
-@query("flt_14_grounded_names")
+@query("flt_14_grounded_names", rf"""select id, array_to_string(n, '|') as names from (with d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as w, source, lang, {_FLAT.format(x='text')} as flat from documents where text is not null)
+    select id, list_filter([w[2], w[6], case when contains(flat, ' vault of nowhere ') then 'Vault of Nowhere' end, case when contains(flat, ' src ') and source in ('src0', 'src1', 'src2') then source when contains(flat, ' src ') then 'SRC' end], lambda x: x is not null)
+      || case when contains(flat, ' src ') and source in ('src0', 'src1', 'src2') then [] else [source] end as n from d where len(w) > 5)""")
 def _(t):
     """Entities of a text by what stands in it; an alias of its product becomes the product, which is there in any case."""
     w = S.tokens(F.col("text"))
-    names = F.array(F.get(w, F.lit(1)), F.get(w, F.lit(5)), F.lit("Vault of Nowhere"), F.lit("SRC"), F.lit("Other Product"))
-    rows = t.documents.filter(F.size(w) > 5).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("product"), F.col("lang").alias("vendor"), names.alias("names"), F.array(*map(F.lit, ("Feature", "Feature", "Feature", "Product", "Product"))).alias("types"))
-    return GR.admit_entities(rows, {}, {f"src{i}": ["SRC"] for i in range(3)})
+    names = F.array(F.get(w, F.lit(1)), F.get(w, F.lit(5)), F.lit("Vault of Nowhere"), F.lit("SRC"))
+    rows = t.documents.filter(F.size(w) > 5).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("product"), F.col("lang").alias("vendor"), names.alias("names"), F.array(*map(F.lit, ("Feature", "Feature", "Product", "Product"))).alias("types"))
+    return GR.admit_entities(rows, {}, {f"src{i}": ["SRC"] for i in range(3)}).select("id", F.array_join("names", "|").alias("names"))

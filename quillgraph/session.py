@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_kept: dict[tuple[str, str], str] = {}
+_kept: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,18 +47,44 @@ def _setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
-    """A table that is built once in a session and written to the shared folder, as Parquet; later plans read it, with
-    their filters and columns pushed down. `name` stands for all that it is made from; `partition`: a column of folders,
-    each of which is one file."""
-    key = (spark.sparkContext.applicationId, name)
+_MANY_FILES = 200
+
+
+def fingerprint(*tables: DataFrame) -> str | None:
+    """A hash of the files that tables are read from: names, sizes and times of change. None if a table has no files."""
+    found: list[tuple[str, int, object]] = []
+    for df in tables:
+        files, spark = df.inputFiles(), df.sparkSession
+        if not files:
+            return None
+        if len(files) > _MANY_FILES:  # asked for by tasks
+            seen = spark.read.format("binaryFile").load(files).select("path", "length", F.unix_micros("modificationTime"))
+            found += [tuple(r) for r in seen.collect()]
+            continue
+        for name in files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            found.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+def kept_folder(spark: SparkSession, name: str, made_of: list[DataFrame], write: Callable[[str], object]) -> str:
+    """A folder of the shared one, which `write` fills once in a session for a state of the tables `made_of`."""
+    version = fingerprint(*made_of)
+    key = (spark.sparkContext.applicationId, name, version or uuid.uuid4().hex)
     if key not in _kept:
-        path = f"{checkpoint_dir(spark)}/kept/{hashlib.sha256(name.encode()).hexdigest()[:24]}"
-        df = build()
-        writer = df.repartition(partition).sortWithinPartitions(partition, *[c for c in df.columns if c != partition][:1]).write.partitionBy(partition) if partition else df.write
-        writer.mode("overwrite").parquet(path)
+        path = f"{checkpoint_dir(spark)}/kept/{hashlib.sha256('\n'.join(key).encode()).hexdigest()[:24]}"
+        write(path)
         _kept[key] = path
-    return spark.read.parquet(_kept[key])
+    return _kept[key]
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], made_of: list[DataFrame], write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    """A table that is built once in a session and written to the shared folder, as Parquet; later plans read it, with
+    their filters and columns pushed down. It is built anew when the files of the tables that it is `made_of` change (or
+    each time, if they have none). `write`: how, if not as it comes."""
+    put = write or (lambda df, path: df.write.mode("overwrite").parquet(path))
+    return spark.read.parquet(kept_folder(spark, name, made_of, lambda path: put(build(), path)))
 
 
 @contextmanager

@@ -173,13 +173,6 @@ def test_statistics(spark):
     assert 0.43 < r.low < 0.5 < r.high < 0.57 and abs(r.mean - 0.5) < 0.02
 
 
-def test_sections_and_blocks():
-    text = "intro\n# A\none\n## B\n```\n# not\n```\ntwo\nTitle\n=====\nthree"
-    blocks = [(s.path, [b for b, _ in s.blocks]) for s in C.sections_of(text)]
-    assert blocks == [((), ["intro"]), (("A",), ["one"]), (("A", "B"), ["```\n# not\n```\ntwo"]), (("Title",), ["three"])]
-    assert C.packed_blocks("aa\n\nbb\n\n" + "c" * 20 + "\n\n\nd", 8) == ["aa\n\nbb", "c" * 20, "d"]
-
-
 def test_vector_join_in_blocks(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((40, 5))
@@ -190,18 +183,6 @@ def test_vector_join_in_blocks(spark):
         assert {(r.query_id, r.id) for r in R.vector_join(t.filter("vec_id % 4 = 0"), t, 3, block=block).collect()} == want
 
 
-def test_cell_search_recall(spark, sf):
-    from quillgraph.operators import ann
-    from quillgraph.session import table
-
-    e = table(spark, "/root/testdata/sf0.01", "embeddings")
-    q = e.filter("vec_id % 20 = 0")
-    exact = {(r.query_id, r.id) for r in R.vector_join(q, e, 10).collect()}
-    found = {(r.query_id, r.id) for r in ann.search(q, e, ann.fit_cells(e), 10).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-    assert ann.search(q.limit(0), e, ann.fit_cells(e), 10).count() == 0
-
-
 def test_ndjson_stream_gate(spark, tmp_path):
     """A feed as a stream: each batch against the state so far, malformed lines aside."""
     from quillgraph.streaming import feeds

@@ -177,19 +177,6 @@ def test_queue_transitions(spark):
     assert later[1] == ("pending", 2, True, "2024-03-01 00:01:00") and 2 not in later and later[4][0] == "done"
 
 
-def test_replay_of_a_run(spark):
-    """One slot alone makes no copies; with two and no warm-up, articles that start together do."""
-    rows = [(0, 1, a, c, 10.0) for a in (1, 2, 3) for c in (1, 2)]
-    chunks = spark.createDataFrame(rows, "scenario long, source long, article long, chunk long, seconds double")
-    times = lambda slots, warmup: {(r.article, r.chunk): (r.resolve, r.commit) for r in J.schedule(chunks, slots, warmup).collect()}
-    assert times(1, 0) == {(1, 1): (5, 10), (1, 2): (15, 20), (2, 1): (25, 30), (2, 2): (35, 40), (3, 1): (45, 50), (3, 2): (55, 60)}
-    assert times(2, 0) == {(1, 1): (5, 10), (1, 2): (15, 20), (2, 1): (5, 10), (2, 2): (15, 20), (3, 1): (25, 30), (3, 2): (35, 40)}
-    assert times(2, 1)[2, 1] == (25, 30) and times(2, 1)[3, 1] == (25, 30)
-    for slots, warmup, want in ((1, 0, 0), (2, 0, 1), (3, 0, 2), (2, 1, 0)):
-        spans = J.schedule(chunks, slots, warmup).filter("chunk = 1").select("scenario", F.lit(7).alias("entity"), "article", "resolve", "commit")
-        assert sum(r.excess for r in J.excess_copies(spans).collect()) == want
-
-
 def test_contents_of_any_depth(spark):
     tree = '{"id":"r","title":"R","children":[{"id":"a","title":"A","children":[{"id":"b","title":"B"}]},{"id":"c","title":"C","children":null}]}'
     got = {tuple(r) for r in C.flatten_toc(spark.createDataFrame([(tree,), ("{bad",), (None,)], "j string"), "j").collect()}
