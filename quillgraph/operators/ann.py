@@ -1,10 +1,11 @@
-"""A stored index for nearest neighbours: cells as folders, codes of half a byte a dimension, vectors for re-ranking.
-
-Rows lie in the folder of their nearest centroid, sorted by id in small pages. A row has a code: what its vector has
-beyond the centroid, in sixteen steps a dimension. A search reads the codes of the cells that a query looks into, a task
-keeping some times k rows for each query, and then the vectors of those rows alone: where they are few, folders and
-pages without any are skipped; where they are many, they are joined. How many cells to look into is measured when the
-index is built, on the bounded sample that the centroids are fitted on; every row is in the index.
+"""A stored index for nearest neighbours: cells in order, codes of half a byte a dimension, vectors for re-ranking.
+
+Every row has a code: what its vector has beyond the centroid of its cell, in sixteen steps a dimension. Codes are sorted
+by cell, and vectors by cell and id in small pages, in ranges over the whole table, so that a large cell lies in several
+files. A search reads the codes of the cells that a query looks into (others are skipped by the scan's statistics), a
+task keeping some times k rows for each query, and then the vectors of those rows alone: where they are few, pages
+without any are skipped; where they are many, they are joined. How many cells to look into is measured when the index is
+built, on the bounded sample that the centroids are fitted on; every row is in the index.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.retrieval import unit_rows, vector_join
@@ -28,6 +29,19 @@ _FEW = 2_000  # rows that are named in a filter, rather than joined
 _NOWHERE = -1  # the cell of vectors without a direction, or of another width
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _floats(vectors: pa.Array) -> pa.Array:
+    """Each vector's bytes as little-endian floats of 32 bits: a flat column, whose pages can be skipped one by one."""
+    return pa.array([None if x is None else np.array(x, "<f4").tobytes() for x in vectors.to_pylist()], pa.binary())
+
+
+def _lists(raw: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else np.frombuffer(x, "<f4") for x in raw.to_pylist()], pa.list_(pa.float32()))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
@@ -68,6 +82,20 @@ def needed_share(centroids: np.ndarray, sample: np.ndarray, recall: float = 0.98
     return float(found[min(len(found) - 1, math.ceil(recall * len(found)) - 1)] + 1) / len(centroids)
 
 
+def needed_candidates(centroids: np.ndarray, sample: np.ndarray, recall: float = 0.99, k: int = 10, asked: int = 256) -> int:
+    """How many times k rows must be ranked by their vectors, for that share of the k nearest of the sample to be among
+    the best by code; by half again, since neighbours lie closer in the whole table."""
+    if len(sample) <= k + 1 or not len(centroids):
+        return 3
+    q = sample[: min(asked, len(sample))]
+    own = np.arange(len(q))
+    near, coded = q @ sample.T, q @ decode(*encode(sample, centroids), centroids).T
+    near[own, own] = coded[own, own] = -np.inf
+    top = np.argpartition(-near, k, axis=1)[:, :k]
+    place = np.sort(np.take_along_axis(np.argsort(np.argsort(-coded, axis=1), axis=1), top, axis=1).ravel())
+    return max(2, math.ceil(1.5 * (place[math.ceil(recall * len(place)) - 1] + 1) / k))
+
+
 def encode(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cell, scale and packed code of each unit vector."""
     cell = (v @ centroids.T).argmax(axis=1)
@@ -83,7 +111,7 @@ def decode(cell: np.ndarray, scale: np.ndarray, code: np.ndarray, centroids: np.
     step = np.empty((len(code), 2 * code.shape[1]), np.uint8)
     step[:, 0::2], step[:, 1::2] = code & 15, code >> 4
     rest = (step[:, : centroids.shape[1]] + 0.5) * (2 / _STEPS) - 1
-    return centroids[cell] + rest * scale[:, None]
+    return _unit(centroids[cell] + rest * scale[:, None])  # of length 1 as the vectors are: less error along them
 
 
 @dataclass(frozen=True)
@@ -91,12 +119,14 @@ class Index:
     folder: str
     centroids: np.ndarray
     share: float
-    rows: DataFrame  # cell, id, scale, code, v, grp
+    oversample: int
+    codes: DataFrame  # cell, id, scale, code
+    rows: DataFrame  # cell, id, v, grp
 
 
-def build(table: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None, cells: int | None = None, sample: int = 4096, page: int = 4) -> Index:
+def build(table: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None, cells: int | None = None, sample: int = 4096, page: int = 8) -> Index:
     """Writes the index of a table to a new folder that all executors reach. `group_col`: kept for filters; `page`: rows of
-    a page. A large cell lies in several files, written by several tasks. Vectors that are null, zero or of another width
+    a page of vectors. Vectors that are null, zero or of another width
     than the widest of the sample lie in a cell of their own, which only exact searches read."""
     centroids, fitted = fit_cells(table, cells, sample, id_col, vector_col)
     width = centroids.shape[1]
@@ -107,13 +137,14 @@ def build(table: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str
             real = np.abs(v).sum(axis=1) > 0
             cell, scale, code = (x.copy() for x in encode(v, centroids)) if len(centroids) else (np.zeros(len(v), np.int64), np.zeros(len(v), np.float32), np.zeros((len(v), 1), np.uint8))
             cell[~real] = _NOWHERE
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(scale), pa.array([c.tobytes() for c in code], pa.binary()), batch.column(1), batch.column(2)], names=["id", "cell", "scale", "code", "v", "grp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(scale), _binary(code), _floats(batch.column(1)), batch.column(2)], names=["id", "cell", "scale", "code", "v", "grp"])
 
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     source = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), group.alias("grp"))
-    placed = source.mapInArrow(place, "id long, cell int, scale float, code binary, v array<float>, grp string").repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
-    placed.write.partitionBy("cell").option("parquet.page.row.count.limit", page).option("parquet.enable.dictionary", "false").parquet(f"{folder}/cells")
-    meta = json.dumps({"share": needed_share(centroids, fitted), "centroids": centroids.tolist()})
+    placed = cut(source.mapInArrow(place, "id long, cell int, scale float, code binary, v binary, grp string").repartitionByRange("cell", "id").sortWithinPartitions("cell", "id"))
+    for name, columns, rows in (("codes", ["cell", "id", "scale", "code"], 256), ("rows", ["cell", "id", "v", "grp"], page)):
+        placed.select(*columns).write.option("parquet.page.row.count.limit", rows).option("parquet.enable.dictionary", "false").parquet(f"{folder}/{name}")
+    meta = json.dumps({"share": needed_share(centroids, fitted), "oversample": needed_candidates(centroids, fitted), "centroids": centroids.tolist()})
     table.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1).write.parquet(f"{folder}/meta")
     return load(table.sparkSession, folder)
 
@@ -124,13 +155,27 @@ def kept_index(table: DataFrame, name: str, **how: object) -> Index:
     return load(table.sparkSession, folder)
 
 
-_ROWS = "id long, scale float, code binary, v array<float>, grp string, cell int"
+_TABLES = {"codes": "cell int, id long, scale float, code binary", "rows": "cell int, id long, v binary, grp string"}
 
 
 def load(spark: SparkSession, folder: str) -> Index:
     meta = json.loads(spark.read.parquet(f"{folder}/meta").first()[0])
     c = np.array(meta["centroids"], np.float64)
-    return Index(folder, c.reshape(len(c), -1) if len(c) else np.zeros((0, 1)), meta["share"], spark.read.schema(_ROWS).parquet(f"{folder}/cells"))
+    return Index(folder, c.reshape(len(c), -1) if len(c) else np.zeros((0, 1)), meta["share"], meta["oversample"], *(spark.read.schema(kind).parquet(f"{folder}/{name}") for name, kind in _TABLES.items()))
+
+
+def _any(tests: list[Column]) -> Column:
+    """One of the tests holds; a tree of low depth, however many there are."""
+    while len(tests) > 1:
+        tests = [functools.reduce(operator.or_, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
+def _runs(cells: list[int]) -> Column:
+    """The cell is one of these, as ranges, which the scan's statistics are compared with."""
+    starts = [c for c in cells if c - 1 not in cells]
+    ends = [c for c in cells if c + 1 not in cells]
+    return _any([F.col("cell").between(a, b) for a, b in zip(starts, ends, strict=True)])
 
 
 def _candidates(index: Index, ids: np.ndarray, asked: np.ndarray, many: int, share: float) -> DataFrame:
@@ -160,7 +205,7 @@ def _candidates(index: Index, ids: np.ndarray, asked: np.ndarray, many: int, sha
         row, col = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, col]), pa.array(where[row, col]), pa.array(best[row, col])], names=["query_id", "id", "cell", "approx"])
 
-    codes = index.rows.filter(F.col("cell").isin(wanted.tolist())).select("id", "cell", "scale", "code")
+    codes = index.codes.filter(_runs(wanted.tolist())).select("id", "cell", "scale", "code")
     found = codes.mapInArrow(find, "query_id long, id long, cell int, approx double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "id"))
     return found.withColumn("_n", best).filter(F.col("_n") <= many).drop("_n")
@@ -172,8 +217,8 @@ def _exactly(index: Index, found: DataFrame, queries: pa.Table, few: bool) -> Da
         rows = found.collect()
         if not rows:
             return found.select("query_id", "id", F.lit(0.0).alias("score"), F.lit("").alias("grp"))
-        named = functools.reduce(operator.or_, [F.col("id") == i for i in sorted({r["id"] for r in rows})])
-        vectors = index.rows.filter(F.col("cell").isin(sorted({r["cell"] for r in rows})) & named).select("id", "v", "grp")
+        named = _any([(F.col("cell") == c) & (F.col("id") == i) for c, i in sorted({(r["cell"], r["id"]) for r in rows})])
+        vectors = index.rows.filter(named).select("id", "v", "grp")
         found = found.sparkSession.createDataFrame([(r["query_id"], r["id"]) for r in rows], "query_id long, id long")
         both = vectors.join(F.broadcast(found), "id")
     else:
@@ -185,19 +230,19 @@ def _exactly(index: Index, found: DataFrame, queries: pa.Table, few: bool) -> Da
     def score(batches):
         for b in batches:
             mine = at[np.searchsorted(ids, b.column(0).to_numpy(), sorter=at)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((unit_rows(b.column(2), asked.shape[1]) * asked[mine]).sum(axis=1)), b.column(3)], names=["query_id", "id", "score", "grp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((unit_rows(_lists(b.column(2)), asked.shape[1]) * asked[mine]).sum(axis=1)), b.column(3)], names=["query_id", "id", "score", "grp"])
 
     return both.select("query_id", "id", "v", "grp").mapInArrow(score, "query_id long, id long, score double, grp string")
 
 
-def search(index: Index, queries: DataFrame, k: int, share: float | None = None, oversample: int = 3, group: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2_000) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, share: float | None = None, oversample: int | None = None, group: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2_000) -> DataFrame:
     """query_id, id, score, rank: the k nearest of each query, itself aside; ties by id. `share` of the cells is looked
-    into (the index's own by default), and `oversample` times k rows are ranked by their vectors.
+    into, and `oversample` times k rows are ranked by their vectors (by default as measured for the index).
 
     With `group`, rows of other groups go after that; queries that are left with fewer than k are searched exactly within
     the group. Queries go out in blocks by hash, so that what is sent doesn't grow with them; a query without a direction
     finds nothing by the index, and is searched exactly."""
-    share = index.share if share is None else share
+    share, oversample = index.share if share is None else share, oversample or index.oversample
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("q"))
     blocks = max(1, -(-q.count() // block))
@@ -227,7 +272,12 @@ def search(index: Index, queries: DataFrame, k: int, share: float | None = None,
 def exact(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank over all the rows (id, v)."""
     asked = queries.select(F.col("query_id").alias("id"), F.col("q").alias("v"))
-    return vector_join(asked, rows.select("id", "v"), k, "id", "v")
+
+    def lists(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(b.column(1))], names=["id", "v"])
+
+    return vector_join(asked, rows.select("id", "v").mapInArrow(lists, "id long, v array<float>"), k, "id", "v")
 
 
 def recall(found: DataFrame, true: DataFrame, k: int) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.ordered import fold_groups
-from quillgraph.session import cut
+from quillgraph.session import Rounds, cut
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -43,90 +43,99 @@ def modularity(projected: DataFrame, labels: DataFrame, resolution: float = 1.0)
     return inside / total - resolution * (mass.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0) / (4.0 * total * total)
 
 
-def _moved(both: DataFrame, strength: DataFrame, total: float, labels: DataFrame, rounds: int, resolution: float) -> DataFrame:
-    """node, label after nodes moved where the weight of their edges less resolution * strength * label's strength / total
-    is largest (ties: least label). Nodes move in alternate halves, by parity of a hash, so that pairs don't swap for ever;
-    it ends early when neither half moves."""
+def _moved(both: DataFrame, nodes: DataFrame, total: float, rounds: int, resolution: float, table: Rounds) -> DataFrame:
+    """node, label, strength after nodes (node, label, strength) moved to where the weight of their edges less resolution *
+    strength * label's strength / total is largest (ties: least label). Nodes move in alternate halves, by parity of a
+    hash, so that pairs don't swap for ever; it ends early when neither half moves."""
     still = 0
     for r in range(rounds):
-        mass = labels.join(strength, "node").groupBy("label").agg(F.sum("strength").alias("mass"))
-        pull = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("pull"))
-        own = labels.select("node", "label", F.lit(0).cast("long").alias("pull"))
-        pull = pull.unionByName(own).groupBy("node", "label").agg(F.sum("pull").alias("pull"))
-        scored = pull.join(mass, "label").join(strength, "node").join(labels.select("node", F.col("label").alias("now")), "node")
+        mass = nodes.groupBy("label").agg(F.sum("strength").alias("mass"))
+        near = both.join(nodes.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "weight")
+        pull = near.unionByName(nodes.select("node", "label", F.lit(0).cast("long").alias("weight"))).groupBy("node", "label").agg(F.sum("weight").alias("pull"))
+        scored = pull.join(mass, "label").join(nodes.select("node", F.col("label").alias("now"), "strength"), "node")
         # A node's own strength doesn't weigh on its own community.
         rest = F.col("mass") - F.when(F.col("label") == F.col("now"), F.col("strength")).otherwise(0)
         gain = F.round(F.col("pull") - F.lit(resolution) * F.col("strength") * rest / F.lit(float(total)), 9)
-        best = scored.groupBy("node", "now").agg(F.min_by("label", F.struct(-gain, F.col("label"))).alias("best"))
+        best = scored.groupBy("node", "now", "strength").agg(F.min_by("label", F.struct(-gain, F.col("label"))).alias("best"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        moved = cut(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label"), "now"))
+        moved = table(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label"), "strength", "now"))
         still = still + 1 if moved.filter("label <> now").isEmpty() else 0
-        labels = moved.select("node", "label")
+        nodes = moved.select("node", "label", "strength")
         if still == 2:
             break
-    return labels
+    return nodes
 
 
 def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float = 1.0) -> DataFrame:
     """node, community by weighted label propagation with a modularity-like penalty. Sums are partial before they are
     shuffled; each round is written to the checkpoint folder."""
-    strength = cut(_strengths(projected))
-    total = strength.agg(F.sum("strength")).first()[0] or 1
-    return _moved(cut(_both_ways(projected)), strength, total, strength.select("node", F.col("node").alias("label")), rounds, resolution).withColumnRenamed("label", "community")
-
-
-def _refined(both: DataFrame, strength: DataFrame, total: float, labels: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """node, part: connected parts of the communities. Nodes begin alone; in each round half of the parts, by a hash of
-    part and round, stay, and each other one joins the neighbour that stays, in its community, from which modularity
-    gains most, if it gains. A part grows by whole connected parts along edges, so that it is connected."""
-    inside = both.join(labels, "node").join(labels.select(F.col("node").alias("other"), F.col("label").alias("l2")), "other").filter("label = l2")
-    inside = cut(inside.select("node", "other", "weight"))
-    parts = strength.select("node", F.col("node").alias("part"), "strength")
+    table = Rounds(projected.sparkSession)
+    nodes = table(_strengths(projected).withColumn("label", F.col("node")))
+    total = nodes.agg(F.sum("strength")).first()[0] or 1
+    out = cut(_moved(table(_both_ways(projected)), nodes, total, rounds, resolution, table).select("node", F.col("label").alias("community")))
+    table.clear()
+    return out
+
+
+def _refined(both: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int, table: Rounds) -> DataFrame:
+    """node, part: connected parts of the communities of nodes (node, label, strength). Nodes begin alone; in each round
+    half of the parts, by a hash of part and round, stay, and each other one joins the neighbour that stays, in its
+    community, from which modularity gains most, if it gains. A part grows by whole connected parts along edges, so that
+    it is connected. The parts and the ties between them are the graph that shrinks from round to round."""
+    own = nodes.select("node", "label")
+    ties = both.join(own, "node").join(own.withColumnsRenamed({"node": "other", "label": "l2"}), "other").filter("label = l2")
+    ties = table(ties.select(F.col("node").alias("part"), F.col("other").alias("to"), "weight"))
+    parts, mass = nodes.select("node", F.col("node").alias("part")), nodes.select(F.col("node").alias("part"), F.col("strength").alias("s"))
     idle = 0
+    stays = lambda c, r: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
     for r in range(rounds):
-        name = parts.select("node", "part")
-        ties = inside.join(name, "node").join(name.select(F.col("node").alias("other"), F.col("part").alias("to")), "other").filter("part <> to")
-        stays = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
-        ties = ties.filter(~stays("part") & stays("to")).groupBy("part", "to").agg(F.sum("weight").alias("w"))
-        mass = parts.groupBy("part").agg(F.sum("strength").alias("s"))
-        gain = F.round(F.col("w") - F.lit(resolution) * F.col("s") * F.col("s2") / F.lit(float(total)), 9)
-        scored = ties.join(mass, "part").join(mass.select(F.col("part").alias("to"), F.col("s").alias("s2")), "to").select("part", "to", gain.alias("gain")).filter("gain > 0")
-        joins = cut(scored.groupBy("part").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to")))
+        gain = F.round(F.col("weight") - F.lit(resolution) * F.col("s") * F.col("s2") / F.lit(float(total)), 9)
+        open_ = ties.filter(~stays("part", r) & stays("to", r)).join(mass, "part").join(mass.select(F.col("part").alias("to"), F.col("s").alias("s2")), "to")
+        joins = table(open_.select("part", "to", gain.alias("gain")).filter("gain > 0").groupBy("part").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("into")))
         idle = idle + 1 if joins.isEmpty() else 0
-        if idle == 3:  # by chance nobody may meet anybody once
+        if idle == 3:
+            break
+        if idle:
+            continue  # by chance nobody may meet anybody once
+        goes = lambda df, c: df.join(joins.select(F.col("part").alias(c), F.col("into").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731, B023
+        parts = table(goes(parts, "part"))
+        mass = table(goes(mass, "part").groupBy("part").agg(F.sum("s").alias("s")))
+        ties = table(goes(goes(ties, "part"), "to").filter("part <> to").groupBy("part", "to").agg(F.sum("weight").alias("weight")))
+        if ties.isEmpty():
             break
-        if not idle:
-            parts = cut(parts.join(joins, "part", "left").select("node", F.coalesce("to", "part").alias("part"), "strength"))
     return parts.select("node", "part")
 
 
-def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution: float = 1.0, src: str = "src", dst: str = "dst", moves: int = 6, merges: int = 8) -> DataFrame:
+def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution: float = 1.0, src: str = "src", dst: str = "dst", moves: int = 4, merges: int = 10) -> DataFrame:
     """node, level (0 finest), community, size: modularity by moves, refinement and aggregation, in rounds over all nodes.
 
     At each level nodes move between communities; each community is refined into connected parts; and these are the nodes
     of the next level, which begin in the community that they are parts of. The parts of a level are its communities:
     they are connected, and nest in those of the level above. It ends early when a level joins nothing. Every round is
     some aggregations of the edges; what runs through the driver are counts."""
-    graph = cut(undirected(edges, src, dst))
+    table = Rounds(edges.sparkSession)
+    graph = table(undirected(edges, src, dst))
     member = _strengths(graph).select("node", F.col("node").alias("community"))
     labels, out, known = None, None, -1
     for level in range(levels):
-        strength, both = cut(_strengths(graph)), cut(_both_ways(graph))
-        total = strength.agg(F.sum("strength")).first()[0] or 1
-        start = labels if labels is not None else strength.select("node", F.col("node").alias("label"))
-        moved = cut(_moved(both, strength, total, start, moves, resolution))
-        parts = cut(_refined(both, strength, total, moved, resolution, merges))
-        member = cut(member.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
+        nodes, both = _strengths(graph), table(_both_ways(graph))
+        nodes = table(nodes.join(labels, "node") if labels is not None else nodes.withColumn("label", F.col("node")))
+        total = nodes.agg(F.sum("strength")).first()[0] or 1
+        moved = _moved(both, nodes, total, moves, resolution, table)
+        parts = table(_refined(both, moved, total, resolution, merges, table))
+        member = table(member.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
         n = parts.select("part").distinct().count()
         if n == known:
             break
         known = n
         one = member.select("node", F.lit(level).alias("level"), "community")
         out = one if out is None else out.unionByName(one)
-        labels = cut(moved.join(parts, "node").groupBy("part").agg(F.min("label").alias("label")).withColumnRenamed("part", "node"))
+        labels = table(moved.join(parts, "node").groupBy("part").agg(F.min("label").alias("label")).withColumnRenamed("part", "node"))
         to = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"p{end}"))
         ends = graph.join(to("a"), "a").join(to("b"), "b")
-        graph = cut(ends.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("weight").alias("weight")))
+        graph = table(ends.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("weight").alias("weight")))
+    out = cut(out)
+    table.clear()
     sizes = out.groupBy("level", "community").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
     return out.join(sizes, ["level", "community"]).select("node", "level", "community", "size")
 

@@ -37,6 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a new plan, made under the setting
 
 
+class Rounds:
+    """Tables of the rounds of a loop, written to the shared folder as Parquet. What a checkpoint knows of its size is an
+    estimate, which joins multiply from round to round; a written table's size is what it is. Gone after clear()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{checkpoint_dir(spark)}/rounds/{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.select("*").write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
     before = spark.conf.get(key)

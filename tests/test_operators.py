@@ -126,12 +126,6 @@ def test_matching_is_greedy(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_communities_part_cliques(spark):
-    edges = [(a, b) for base in (0, 10, 20) for a in range(base, base + 6) for b in range(base, base + 6) if a < b] + [(5, 10), (15, 20)]
-    got = {r.node: r.community for r in G.communities(spark.createDataFrame(edges, "src long, dst long"), levels=1).collect()}
-    assert all(len({got[n] for n in range(base, base + 6)}) == 1 for base in (0, 10, 20)) and len(set(got.values())) == 3
-
-
 def test_packing_starts_anew(spark):
     sizes = [3, 4, 4, 9, 1, 1, 12, 2]
     rows = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "g long, o long, n int")
