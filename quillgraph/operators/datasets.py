@@ -55,6 +55,32 @@ def apportion(groups: DataFrame, group: str, n: str, seats: int) -> DataFrame:
     return q.withColumn("rn", rn).join(F.broadcast(left)).select(group, (F.col("base") + (F.col("rn") <= F.col("left")).cast("int")).cast("long").alias("seats"))
 
 
+def clamped_seats(groups: DataFrame, group: str, n: str, seats: int, floor: str, cap: str) -> DataFrame:
+    """group, seats: in proportion to n, but none below its floor or above its cap (columns of whole numbers; a null cap
+    is none), by largest remainders (ties by name). Floors that ask for more than the seats are given all the same, and
+    caps that allow less leave seats over.
+
+    Shares are rate * n within floor and cap, for the rate at which they sum to the seats. The sum bends where a group
+    leaves its floor or reaches its cap: with these rates in order, running sums of slopes and constants give the piece
+    in which the seats lie, and so the rate.
+    """
+    g = groups.select(F.col(group).alias("g"), F.col(n).cast("double").alias("n"), F.col(floor).cast("double").alias("lo"), F.coalesce(F.col(cap).cast("double"), F.lit(float("inf"))).alias("hi")).withColumn("hi", F.greatest("lo", "hi"))
+    leaves = g.filter("n > 0").select((F.col("lo") / F.col("n")).alias("at"), F.col("n").alias("slope"), (-F.col("lo")).alias("const"))
+    reaches = g.filter("n > 0 and hi < double('infinity')").select((F.col("hi") / F.col("n")).alias("at"), (-F.col("n")).alias("slope"), F.col("hi").alias("const"))
+    bends = leaves.unionByName(reaches).groupBy("at").agg(F.sum("slope").alias("slope"), F.sum("const").alias("const"))
+    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # over groups, of which there are few
+    floors = g.agg(F.sum("lo").alias("lo"))
+    pieces = bends.withColumns({"slope": F.sum("slope").over(upto), "const": F.sum("const").over(upto), "next": F.lead("at").over(Window.orderBy("at"))}).join(F.broadcast(floors))  # one row
+    rate = (F.lit(float(seats)) - F.col("lo") - F.col("const")) / F.col("slope")
+    hit = pieces.filter(F.col("lo") + F.col("const") + F.col("slope") * F.col("at") <= seats + 1e-9).agg(F.max_by(F.when(F.col("slope") > 1e-12, rate).otherwise(F.col("at")), "at").alias("rate"))
+    q = g.join(F.broadcast(hit)).withColumn("share", F.least("hi", F.greatest("lo", F.coalesce("rate", F.lit(0.0)) * F.col("n"))))  # one row
+    q = q.withColumn("base", F.floor(F.col("share") + 1e-9)).withColumn("rest", F.round(F.col("share") - F.col("base"), 9))
+    left = q.agg((F.lit(seats) - F.sum("base")).alias("left"))
+    rn = F.row_number().over(Window.orderBy(F.desc("rest"), "g"))
+    more = ((F.col("rn") <= F.col("left")) & (F.col("rest") > 0)).cast("long")
+    return q.withColumn("rn", rn).join(F.broadcast(left)).select(F.col("g").alias(group), (F.col("base") + more).cast("long").alias("seats"))
+
+
 def fair_share(items: DataFrame, group: str, budget: float) -> DataFrame:
     """group, id, given: max-min fair parts of the budget of a group, none above its size.
 
@@ -89,9 +115,15 @@ def pack_consecutive(rows: DataFrame, group: str, order: str, size: Column, limi
     return fold_groups(sized, [group], ["_o"], pack, f"{group} {kind}, {order} long, pack int")
 
 
-def stratified_sample(rows: DataFrame, strata: str, id_col: str, seats: int, weight: Column | None = None) -> DataFrame:
-    """Seats by stratum size (largest remainders), filled by weighted hash order."""
-    by = apportion(rows.groupBy(strata).agg(F.count("*").alias("n")), strata, "n", seats)
+def stratified_sample(rows: DataFrame, strata: str, id_col: str, seats: int, weight: Column | None = None, floor: int = 0, cap: int | None = None) -> DataFrame:
+    """Seats by stratum size (largest remainders; none below the floor, as far as it has rows, or above the cap), filled
+    by weighted hash order."""
+    sizes = rows.groupBy(strata).agg(F.count("*").alias("n"))
+    if floor or cap is not None:
+        top = F.least(F.col("n"), F.lit(cap)) if cap is not None else F.col("n")
+        by = clamped_seats(sizes.withColumns({"lo": F.least(F.lit(floor), top), "hi": top}), strata, "n", seats, "lo", "hi")
+    else:
+        by = apportion(sizes, strata, "n", seats)
     u = F.log((F.conv(F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0)
     key = u / weight if weight is not None else u
     w = Window.partitionBy(strata).orderBy(F.desc("_key"), id_col)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import rules as RU
@@ -17,7 +20,9 @@ from quillgraph.plans.canonical import query
 from quillgraph.plans.q_graph import FRESH, KEPT, _fresh, _kept
 from quillgraph.plans.q_jobs import drain, events_stream
 from quillgraph.plans.q_rules import NOISE, REGION_KEYS, lit, sql_has, words
+from quillgraph.session import checkpoint_dir
 from quillgraph.sources import feed
+from quillgraph.sources import versions as VS
 
 CHAIN = "article join source using (source_id) join product using (product_id) join vendor using (vendor_id)"
 _NOISY = f"select entity_id from {NOISE} where rule <> 'kept'"
@@ -92,8 +97,9 @@ def _(t):
         context = F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), ",")
         return first.groupBy("community").agg(F.concat(F.col("community"), F.lit(":"), F.substring(F.sha1(context), 1, 16)).alias("key"))
 
-    saved = keys(_kept(t)).select("key", F.lit(True).alias("saved"))
-    return keys(_fresh(t)).join(saved, "key", "left").select("community", "key", F.coalesce("saved", F.lit(False)).alias("saved"))
+    drafts = VS.Drafts(VS.Store(t.spark, f"{checkpoint_dir(t.spark)}/stores/{uuid.uuid4().hex}"))
+    drafts.save(keys(_kept(t)).select("key", F.concat(F.lit("report on "), "key").alias("draft")))
+    return drafts.load(keys(_fresh(t))).select("community", "key", F.col("draft").isNotNull().alias("saved"))
 
 
 @query("str_1_feed_gate", f"""with {_FED} select case when bool_or(event_type = 'signup') and count(*) filter (event_type = 'error') = 0 then 'advance' else 'stay' end as gate, user_id, count(*) filter (event_type not in ('error', 'signup')) as applied from l group by user_id""")
@@ -564,14 +570,14 @@ def _(t):
 
 @query("gr_16_semantic_reset", "select * from (select 'article' as what, count(*) as before, count(*) as after from article union all select 'source', count(*), count(*) from source union all select 'episode', count(*), 0 from episode union all select 'fact', count(*), 0 from fact union all select 'mention', count(*), 0 from mention)")
 def _(t):
-    """The semantic tables are written empty, with their schema; the structure stays."""
-    out = None
-    for name, keep in (("article", True), ("source", True), ("episode", False), ("fact", False), ("mention", False)):
-        df = getattr(t, name)
-        after = df if keep else df.limit(0)
-        one = df.agg(F.count("*").alias("before")).join(F.broadcast(after.agg(F.count("*").alias("after")))).select(F.lit(name).alias("what"), "before", "after")  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The semantic tables are empty after a swap, with their schemas; the structure stays."""
+    store = VS.Store(t.spark, f"{checkpoint_dir(t.spark)}/stores/{uuid.uuid4().hex}")
+    key = {"article": "article_id", "source": "source_id", "episode": "episode_id", "fact": "fact_id", "mention": "episode_id"}
+    before = store.commit(store.snapshot(), {name: getattr(t, name).select(c) for name, c in key.items()})
+    after = VS.reset(store, ["episode", "fact", "mention"])
+    count = lambda name, at, c: store.read(name, at).agg(F.count("*").alias(c))
+    out = [count(n, before, "before").join(F.broadcast(count(n, after, "after"))).select(F.lit(n).alias("what"), "before", "after") for n in key]  # one row each
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 # Datasets ------------------------------------------------------------------------------------------------------------------

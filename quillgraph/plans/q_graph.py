@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions import rules as R
 from quillgraph.operators import dedup as D
 from quillgraph.operators import graphs as G
 from quillgraph.operators import provenance as P
 from quillgraph.plans.canonical import AS_OF, now, query
+from quillgraph.plans.q_rules import sql_has
 
 #: Two layers of communities: entities by label, and as they would be after a change.
 FRESH = "select 0 as level, p_brand as community, p_partkey as node from part where p_size <> 7"
@@ -98,9 +100,10 @@ def _(t):
     return g.select("size", "survivor", F.when(F.col("bare") & (F.col("n") == 1), F.col("l")).alias("promoted"))
 
 
-@query("gr_11_navigation_tombstone", "select episode_id, superseded or article_id in (select article_id from article where title = '5-LOW') as removed from episode")
+@query("gr_11_navigation_tombstone", f"select episode_id, superseded or article_id in (select article_id from page_title where {sql_has('title', R.NAVIGATION)}) as removed from episode")
 def _(t):
-    nav = t.article.filter("title = '5-LOW'").select("article_id", F.lit(True).alias("nav"))
+    """Episodes of navigation pages go."""
+    nav = t.page_title.filter(R.is_navigation(F.col("title"))).select("article_id", F.lit(True).alias("nav"))
     return t.episode.join(nav, "article_id", "left").select("episode_id", (F.col("superseded") | F.coalesce("nav", F.lit(False))).alias("removed"))
 
 

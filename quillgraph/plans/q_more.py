@@ -10,6 +10,7 @@ from quillgraph.operators import ann
 from quillgraph.operators import datasets as DS
 from quillgraph.operators import evidence as EV
 from quillgraph.operators import provenance as P
+from quillgraph.operators import scope as SC
 from quillgraph.plans.canonical import query
 from quillgraph.plans.q_retrieval import COS, query_vector, vectors
 from quillgraph.sources import feed
@@ -46,10 +47,10 @@ def _(t):
     return a.join(b, "key", "full_outer").filter(~F.col("expected").eqNullSafe(F.col("actual")) | (F.col("key") < "z")).select("key", "expected", "actual")
 
 
-@query("flt_25_distinctive_names", "select source_id, contains(lower(source), 'customer') and length(regexp_replace(lower(source), '(customer|[#0])', '', 'g')) >= 3 as distinctive from source")
+@query("flt_25_distinctive_names", rf"""select source_id, contains(lower(name), lower(vendor)) and len(list_filter(regexp_extract_all(replace(lower(name), lower(vendor), ' '), '[\w&+.-]+'), lambda w: not list_contains({SC.GENERIC}, w))) > 0 as distinctive from docset""")
 def _(t):
-    rest = F.regexp_replace(F.lower("source"), "(customer|[#0])", "")
-    return t.source.select("source_id", (F.contains(F.lower("source"), F.lit("customer")) & (F.length(rest) >= 3)).alias("distinctive"))
+    """Document sets whose name holds the vendor's and something beyond it that isn't generic."""
+    return t.docset.select("source_id", SC.distinctive(F.col("name"), F.col("vendor")).alias("distinctive"))
 
 
 @query("prj_2_lean_projection", "select fact_id, src, dst from fact")

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import strings as S
+from quillgraph.functions import rules as R
 from quillgraph.operators import evals as E
 from quillgraph.operators import provenance as P
 from quillgraph.operators.retrieval import is_current, neighbours, temporal_status
 from quillgraph.plans.canonical import AS_OF, now, query
+from quillgraph.plans.q_rules import NOISE
 from quillgraph.sources import feed
 
 CHAIN = "article join source using (source_id) join product using (product_id) join vendor using (vendor_id)"
@@ -125,9 +127,6 @@ def _(t):
     return _chain(t).filter((F.col("vendor_id") == 1) | F.col("product_id").isin(2, 5)).groupBy("vendor", "product").agg(F.count("*").alias("n"))
 
 
-_NOISE = [("numeric", r"^[0-9]{6,}$"), ("resource", r"^[a-z]+-[0-9a-f]{8,}$"), ("invalid", r"^Invalid[A-Z]"), ("coded", r"[0-9]{3,}"), ("region", r"-(east|west|north|south)-[0-9]$"), ("action", r"^[a-z]+:[A-Za-z]+$")]
-
-
 @query("flt_7_dense_tables", r"""with l as (select doc_id, string_split(rtrim(text, chr(10)), chr(10)) as lines, text from documents)
     select doc_id, (len(list_filter(lines, lambda x: x like '%|%')) >= 0.25 * len(lines) or length(text) - length(replace(text, '|', '')) >= 200) as dense from l""")
 def _(t):
@@ -446,10 +445,10 @@ def _(t):
     return t.entity.select(F.explode(F.array("label", "kind", F.lit("Entity"))).alias("label")).filter("label <> 'Entity'").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("agg_23_noise_rate", """with e as (select entity_id, size <= 3 as noisy from entity), f as (select coalesce(a.noisy, false) or coalesce(b.noisy, false) as noisy from fact left join e a on a.entity_id = src left join e b on b.entity_id = dst)
+@query("agg_23_noise_rate", f"""with e as (select entity_id, rule <> 'kept' as noisy from {NOISE}), f as (select coalesce(a.noisy, false) or coalesce(b.noisy, false) as noisy from fact left join e a on a.entity_id = src left join e b on b.entity_id = dst)
     select (select count(*) from e where noisy) as entities, (select count(*) from f where noisy) as facts, round((select avg(noisy::int) from f), 6) as rate""")
 def _(t):
-    e = t.entity.select("entity_id", (F.col("size") <= 3).alias("noisy"))
+    e = t.entity_name.select("entity_id", R.noise(F.col("name")).isNotNull().alias("noisy"))
     f = t.fact.join(e.select(F.col("entity_id").alias("src"), F.col("noisy").alias("a")), "src", "left").join(e.select(F.col("entity_id").alias("dst"), F.col("noisy").alias("b")), "dst", "left")
     bad = F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))
     counts = f.agg(F.count_if(bad).alias("facts"), F.round(F.avg(bad.cast("int")), 6).alias("rate"))
