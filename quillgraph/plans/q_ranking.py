@@ -80,9 +80,9 @@ def _(t):
     return first.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sample"))
 
 
-@query("top_12_floors_and_caps", """with g as (select source, count(*)::double as n, 5.0 as lo, 40.0 as hi from documents group by source), bend as (select lo / n as at from g union select hi / n from g),
-    s as (select at, sum(least(hi, greatest(lo, at * n))) as s, sum(n) filter (at * n >= lo - 1e-9 and at * n < hi - 1e-9) as slope from bend, g group by at), piece as (select * from s where s <= 137 + 1e-9 order by at desc limit 1),
-    q as (select source, least(hi, greatest(lo, n * (select case when slope > 0 then at + (137 - s) / slope else at end from piece))) as share from g), b as (select source, floor(share + 1e-9) as base, round(share - floor(share + 1e-9), 9) as rest from q),
+@query("top_12_floors_and_caps", """with g as (select source, count(*)::double as n, 5.0 as lo, 40.0 as hi from documents group by source), bend as (select lo / n as bend_at from g union select hi / n from g),
+    s as (select bend_at, sum(least(hi, greatest(lo, bend_at * n))) as s, sum(n) filter (bend_at * n >= lo - 1e-9 and bend_at * n < hi - 1e-9) as slope from bend, g group by bend_at), piece as (select * from s where s <= 137 + 1e-9 order by bend_at desc limit 1),
+    q as (select source, least(hi, greatest(lo, n * (select case when slope > 0 then bend_at + (137 - s) / slope else bend_at end from piece))) as share from g), b as (select source, floor(share + 1e-9) as base, round(share - floor(share + 1e-9), 9) as rest from q),
     r as (select *, row_number() over (order by rest desc, source) as rn from b) select source, (base + (rest > 0 and rn <= 137 - (select sum(base) from b))::int)::bigint as seats from r""")
 def _(t):
     """137 seats for sources in proportion to their documents, five at least and forty at most."""

@@ -196,3 +196,22 @@ def test_ndjson_stream_gate(spark, tmp_path):
         (tmp_path / "in" / f"{n}.ndjson").write_text("\n".join(lines))
         feeds.run_once(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "checkpoint"), each)
     assert sorted(acted) == [("a", "enqueue"), ("a", "skip"), ("b", "enqueue")]
+
+
+def test_seats_within_floors_and_caps(spark):
+    """Against a rate that is bisected; floors and caps that can't be met are told by what is given."""
+    rng = random.Random(8)
+    for case in range(6):
+        groups = [(f"g{i}", rng.randint(0, 50) if rng.random() < 0.9 else 0, rng.randint(0, 6), rng.choice([None, rng.randint(6, 20)])) for i in range(rng.randint(1, 9))]
+        seats = rng.randint(5, 60)
+        df = spark.createDataFrame(groups, "g string, n long, lo int, hi int")
+        got = {r.g: r.seats for r in DS.clamped_seats(df, "g", "n", seats, "lo", "hi").collect()}
+        share = lambda rate: {g: min(hi if hi is not None else 1e9, max(lo, rate * n)) for g, n, lo, hi in groups}  # noqa: E731, B023
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(share(mid).values()) < seats else (low, mid)
+        want = share(high if sum(share(0.0).values()) < seats else 0.0)
+        assert all(abs(got[g] - want[g]) < 1 and got[g] >= lo and (hi is None or got[g] <= max(lo, hi)) for g, _, lo, hi in groups), (case, groups, seats, got, want)
+        reachable = sum(share(1e6).values())
+        assert sum(got.values()) == (sum(lo for _, _, lo, _ in groups) if sum(share(0.0).values()) >= seats else min(seats, round(reachable)))
