@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,19 +163,48 @@ def balance(pairs: DataFrame, seed: str, band: float = 0.25, target: float = 0.0
     return out.withColumn("ok", F.lit(ok))
 
 
-def lexical_overlap(items: DataFrame, docs: DataFrame, least: float, item_col: str = "item_id", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """item, doc, overlap: the share of an item's different words that a document has, from `least` on.
+def lexical_overlap(items: DataFrame, docs: DataFrame, least: float, item_col: str = "item_id", doc_col: str = "doc_id", text_col: str = "text", block: int = 2_000) -> DataFrame:
+    """item, doc, overlap: the share of an item's different words that a document has, from `least` on; items without
+    words have none.
 
-    A pair that reaches it shares one of the item's rarest words, all but the ceil(least * n) - 1 most common of them:
-    only these are joined, so that common words bring no pairs; what comes out is counted exactly.
+    One pass over the documents for each `block` of items, with no shuffle: an item's words go to the tasks as a sparse
+    matrix of words by items, and a task counts what each document shares with each item as the product of the two.
     """
-    words = lambda t, c: t.select(F.col(c).alias(c), F.array_distinct(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    q, d = words(items, item_col).filter(F.size("w") > 0), words(docs, doc_col)
-    asked = q.select(item_col, F.size("w").alias("n"), F.explode("w").alias("word"))
-    df = d.select(F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy(item_col).orderBy(F.coalesce("df", F.lit(0)), "word"))  # of one item's words
-    rare = asked.join(df, "word", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(item_col, "word")
-    pairs = rare.join(d.select(doc_col, F.explode("w").alias("word")), "word").select(item_col, doc_col).distinct()
-    both = pairs.join(q, item_col).join(d.withColumnRenamed("w", "v"), doc_col)
-    overlap = F.size(F.array_intersect("w", "v")) / F.size("w")
-    return both.select(item_col, doc_col, overlap.alias("overlap")).filter(F.col("overlap") >= least - 1e-9)
+    distinct = F.array_distinct(tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    q = items.select(F.col(item_col).alias("i"), distinct.alias("w")).filter(F.size("w") > 0)
+    d = docs.select(F.col(doc_col).alias("d"), distinct.alias("w"))
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((items, item_col), (docs, doc_col))]
+    blocks = max(1, -(-q.count() // block))
+    out = d.limit(0).select(F.lit(None).cast(kinds[0]).alias(item_col), F.col("d").alias(doc_col), F.lit(0.0).alias("overlap"))
+    for b in range(blocks):
+        part = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)).toArrow()
+        if len(part):
+            found = d.mapInArrow(_shared(part["i"].combine_chunks(), part["w"].combine_chunks(), least, [item_col, doc_col, "overlap"]), f"{item_col} {kinds[0]}, {doc_col} {kinds[1]}, overlap double")
+            out = found if blocks == 1 else out.unionByName(found)
+    return out
+
+
+def _shared(ids: pa.Array, words: pa.Array, least: float, names: list[str], step: int = 500):
+    """For a task: pairs of items and documents by the words that they share."""
+    n = pc.list_value_length(words).to_numpy()
+    coded = pc.dictionary_encode(words.flatten())
+    at = np.asarray(coded.indices)
+    order = np.argsort(at, kind="stable")
+    start = np.searchsorted(at[order], np.arange(len(coded.dictionary) + 1))
+    of = np.repeat(np.arange(len(n)), n)[order]  # items of each word, one word after another
+    need = np.maximum(1, np.ceil(n * least - 1e-9))
+
+    def count(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                mine = batch.slice(first, step)
+                found = pc.index_in(mine.column(1).flatten(), value_set=coded.dictionary)
+                row = np.repeat(np.arange(mine.num_rows), pc.list_value_length(mine.column(1)).to_numpy())[np.asarray(pc.is_valid(found))]
+                word = found.drop_null().to_numpy()
+                many = start[word + 1] - start[word]
+                place = np.repeat(start[word] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else many, many) + np.arange(many.sum())
+                both = np.bincount(np.repeat(row, many) * len(n) + of[place], minlength=mine.num_rows * len(n)).reshape(-1, len(n))
+                doc, item = np.nonzero(both >= need)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(item)), mine.column(0).take(pa.array(doc)), pa.array(both[doc, item] / n[item])], names=names)
+
+    return count
