@@ -78,25 +78,22 @@ def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float =
 
 
 def _refined(both: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int, table: Rounds) -> DataFrame:
-    """node, part: connected parts of the communities of nodes (node, label, strength). Nodes begin alone; in each round
-    half of the parts, by a hash of part and round, stay, and each other one joins the neighbour that stays, in its
-    community, from which modularity gains most, if it gains. A part grows by whole connected parts along edges, so that
-    it is connected. The parts and the ties between them are the graph that shrinks from round to round."""
+    """node, part: connected parts of the communities of nodes (node, label, strength). Nodes begin alone; in each round a
+    part picks the neighbour in its community from which modularity gains most, if it gains, and joins it if that one's
+    number is less and it joins no other itself. Two that gain most from each other always join, so that it ends when
+    nothing gains. A part grows by whole connected parts along edges, so that it is connected. The parts and the ties
+    between them are the graph that shrinks from round to round."""
     own = nodes.select("node", "label")
     ties = both.join(own, "node").join(own.withColumnsRenamed({"node": "other", "label": "l2"}), "other").filter("label = l2")
     ties = table(ties.select(F.col("node").alias("part"), F.col("other").alias("to"), "weight"))
     parts, mass = nodes.select("node", F.col("node").alias("part")), nodes.select(F.col("node").alias("part"), F.col("strength").alias("s"))
-    idle = 0
-    stays = lambda c, r: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
-    for r in range(rounds):
+    for _ in range(rounds):
         gain = F.round(F.col("weight") - F.lit(resolution) * F.col("s") * F.col("s2") / F.lit(float(total)), 9)
-        open_ = ties.filter(~stays("part", r) & stays("to", r)).join(mass, "part").join(mass.select(F.col("part").alias("to"), F.col("s").alias("s2")), "to")
-        joins = table(open_.select("part", "to", gain.alias("gain")).filter("gain > 0").groupBy("part").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("into")))
-        idle = idle + 1 if joins.isEmpty() else 0
-        if idle == 3:
+        open_ = ties.join(mass, "part").join(mass.select(F.col("part").alias("to"), F.col("s").alias("s2")), "to").select("part", "to", gain.alias("gain")).filter("gain > 0")
+        down = table(open_.groupBy("part").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("into")).filter("into < part"))
+        joins = table(down.join(down.select(F.col("part").alias("into")), "into", "left_anti").select("part", "into"))
+        if joins.isEmpty():
             break
-        if idle:
-            continue  # by chance nobody may meet anybody once
         goes = lambda df, c: df.join(joins.select(F.col("part").alias(c), F.col("into").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731, B023
         parts = table(goes(parts, "part"))
         mass = table(goes(mass, "part").groupBy("part").agg(F.sum("s").alias("s")))
