@@ -147,7 +147,7 @@ from ruled left join per using (host)"""
 
 
 ORACLES["op9_license_bigrams"] = licenses()
-ORACLES["op5_link_graph_propagation"] = urls([("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")])
+ORACLES["op5_link_graph_propagation"] = urls([("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")])
 
 
 def components(docs: str = "documents", shingle: int = 5, percent: int = 75) -> str:
