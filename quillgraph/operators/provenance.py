@@ -52,6 +52,7 @@ def support(fact: DataFrame, fact_episode: DataFrame, episode: DataFrame, articl
 
 
 def staleness_sweep(fact: DataFrame, fact_episode: DataFrame, episode: DataFrame, article: DataFrame, now: Column) -> DataFrame:
-    """Facts that are current but have lost every episode, with the date on which they end."""
-    gone = support(fact, fact_episode, episode, article).filter("alive = 0")
-    return fact.filter(F.col("invalid_at").isNull()).select("fact_id").join(gone, "fact_id").select("fact_id", "episodes", F.coalesce("died_at", now).alias("invalid_at"))
+    """Facts that are current but have lost every episode, with the date on which they end; of facts that share an id the
+    current ones count, in one row."""
+    gone = support(fact.filter(F.col("invalid_at").isNull()), fact_episode, episode, article).filter("alive = 0")
+    return gone.select("fact_id", "episodes", F.coalesce("died_at", now).alias("invalid_at"))
