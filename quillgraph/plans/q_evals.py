@@ -493,8 +493,8 @@ def _(t):
     the label that all copies agree on."""
     plan = D.merge_plan(t.entity_name, "name", [])
     g = plan.join(t.entity_name.select("entity_id", "label"), "entity_id").groupBy("survivor").agg((F.count("*") - 1).alias("losers"), F.count_distinct("label").alias("labels"), F.min("label").alias("one"))
-    before = t.fact.select("fact_id", F.col("src").alias("s0"), F.col("dst").alias("d0"))
-    r = D.remap(t.fact.select("fact_id", "src", "dst"), plan, ["src", "dst"]).join(before, "fact_id")
+    # Each fact keeps its ends beside the new ones: two facts may share an id.
+    r = D.remap(t.fact.select("src", "dst", F.col("src").alias("s0"), F.col("dst").alias("d0")), plan, ["src", "dst"])
     ends = r.filter("src <> s0").select(F.col("src").alias("survivor")).unionByName(r.filter("dst <> d0").select(F.col("dst").alias("survivor"))).groupBy("survivor").agg(F.count("*").alias("ends_moved"))
     loops = r.filter("src = dst and s0 <> d0").groupBy(F.col("src").alias("survivor")).agg(F.count("*").alias("loops"))
     m = t.mention.join(plan, "entity_id").groupBy("survivor", "episode_id").agg(F.count("*").alias("c")).groupBy("survivor").agg(F.sum("c").alias("mentions"), F.count("*").alias("mentions_kept"))
