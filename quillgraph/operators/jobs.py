@@ -59,8 +59,8 @@ def reap(jobs: DataFrame, now: Column, lease_seconds: int) -> DataFrame:
 
 
 def debounce(events: DataFrame, key: str, time_col: str, seconds: int) -> DataFrame:
-    """key, passed: how many events come more than `seconds` after the last one let through: a key's times stream
-    through a fold."""
+    """key, passed: how many events come more than `seconds` after the last one let through, of times rounded to whole
+    seconds (halves to the even one): a key's times stream through a fold."""
 
     def passes(k, rows):
         last, n = None, 0
@@ -70,7 +70,7 @@ def debounce(events: DataFrame, key: str, time_col: str, seconds: int) -> DataFr
         yield (*k, n)
 
     kind = events.schema[key].dataType.simpleString()
-    timed = events.select(key, F.unix_timestamp(F.col(time_col).cast("timestamp")).alias("_at")).filter("_at is not null")
+    timed = events.select(key, F.rint(F.unix_micros(F.col(time_col).cast("timestamp")) / 1_000_000).cast("long").alias("_at")).filter("_at is not null")
     return fold_groups(timed, [key], ["_at"], passes, f"{key} {kind}, passed int")
 
 

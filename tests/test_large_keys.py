@@ -28,6 +28,6 @@ def large_keys(sf, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["gr_12_staleness_sweep", "join_19_support", "gr_6_merge_audit", "gr_6_merge_rewire"])
+@pytest.mark.parametrize("name", ["gr_12_staleness_sweep", "gr_6_merge_audit", "str_6_debounce", "join_19_support", "gr_6_merge_rewire"])
 def test_same_as_sql(spark, large_keys, name):
     assert duck.same(spark, duck.connect(large_keys), large_keys, QUERIES[name], SQL[name]) > 0
