@@ -8,9 +8,12 @@
    tokens these are changes no result. A class with fewer shared tokens than any link needs is alone. Others drop
    their weakest hubs as long as these hold less than half of what a link needs: linked classes keep a hub in common,
    while a passage that many documents share ties none of them together.
-3. Groups. Connected components over kept hubs hold every linked pair. Their sets are read again, by a bitmap of ids.
+3. Groups. Connected components over kept hubs hold every linked pair. A group that is too large for a task is mostly
+   tied by chance: its classes become candidates once more, among each other, with l(n) about n / 2 (twice the tokens, of
+   these classes only). A link then needs four times as many tokens in common, and that many more weak hubs drop. Sets of
+   groups are read again, by a bitmap of ids.
 4. Trees. A group is searched by a signature tree (signature_tree.py), which compares the remaining pairs exactly. A
-   group that is too large for a task is dealt out in blocks by a hash, with some sets that are in all blocks. Whatever
+   group that is still too large for a task is dealt out in blocks by a hash, with some sets that are in all blocks. Whatever
    isn't in its group's largest component after that is compared with all blocks, by trees too and in bounded tasks.
 
 No pair list is built, exact copies never meet as pairs, and no link is lost.
@@ -35,6 +38,7 @@ _BUCKET_BYTES = 8 << 20  # of tokens that meet
 _SAMPLED = 64  # of so many classes one is looked at for common tokens
 _MANY = 32  # classes of the sample that make a token common
 _MOST_COMMON = 1 << 20
+_PART, _LARGE_PART = 8, 2  # l(n) is n by this: at first, and within large groups
 _SET_ROWS = 256  # sets that a task sends to Python at once: some kilobytes each
 
 
@@ -69,21 +73,27 @@ class Shingles:
         return out[0].view(np.int64), (out[1] & ~np.uint64(1)).view(np.int64)
 
 
-def _least_shared(n):
-    """l(n): how many of the first tokens two linked sets of this size share at least."""
-    return np.maximum(n // 8, 1)
+def _least_shared(n, part: int):
+    """l(n): how many of the first tokens two linked sets of this size share at least. It may be any number up to
+    ceil(s n)."""
+    return np.maximum(n // part, 1)
+
+
+def _first_percent(percent: int, part: int) -> int:
+    """p(n) of n, about."""
+    return 100 - percent - (-100 // part)
 
 
 def _ceil_part(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _first_tokens(s: Shingles, percent: int) -> np.ndarray:
+def _first_tokens(s: Shingles, percent: int, part: int) -> np.ndarray:
     """Which hashes are among the p(n) first of their set."""
-    return np.arange(len(s.hash)) - s.bounds[s.row] < (s.n - _ceil_part(s.n, percent) + _least_shared(s.n))[s.row]
+    return np.arange(len(s.hash)) - s.bounds[s.row] < (s.n - _ceil_part(s.n, percent) + _least_shared(s.n, part))[s.row]
 
 
-def _documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _documents(docs: DataFrame, k: int, percent: int, part: int) -> DataFrame:
     """id, text_hash, size and digests of each text; of each 64th class, by its key, also the first tokens."""
 
     def digest(batches):
@@ -92,7 +102,7 @@ def _documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 s = Shingles(c, k)
                 hi, key = s.digests()
                 tokens = s.hash >> np.uint64(64 - _TOKEN_BITS)
-                first = _first_tokens(s, percent)
+                first = _first_tokens(s, percent, part)
                 asked = ((key >> 1) % _SAMPLED == 0) & (s.n > 0)
                 sample = [tokens[s.bounds[r] : s.bounds[r + 1]][first[s.bounds[r] : s.bounds[r + 1]]].tobytes() if asked[r] else None for r in range(c.rows)]
                 same = [batch.column(i).slice(c.first, c.rows) for i in (0, 2)]
@@ -101,7 +111,7 @@ def _documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text")).mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long, sample binary")
 
 
-def _common_tokens(rows: DataFrame, shingles: int, percent: int) -> np.ndarray:
+def _common_tokens(rows: DataFrame, shingles: int, first_percent: int) -> np.ndarray:
     """Tokens that very many classes have among their first, sorted: those of `_MANY` classes or more of the sample (of
     more where these could be over `_MOST_COMMON`: what comes to the driver is never more)."""
 
@@ -111,13 +121,13 @@ def _common_tokens(rows: DataFrame, shingles: int, percent: int) -> np.ndarray:
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
-    least = max(_MANY, -(-shingles * (100 - percent + 13) // (100 * _SAMPLED * _MOST_COMMON)))
+    least = max(_MANY, -(-shingles * first_percent // (100 * _SAMPLED * _MOST_COMMON)))
     sampled = rows.filter("sample is not null").groupBy("hi", "key").agg(F.first("sample").alias("sample")).select("sample")
     common = sampled.mapInArrow(unpack, "token long").groupBy("token").count().filter(F.col("count") >= least)
     return np.sort(common.select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
-def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, common: np.ndarray, flush: int = 500_000) -> DataFrame:
+def _token_blocks(docs: DataFrame, k: int, percent: int, part: int, buckets: int, common: np.ndarray, flush: int = 500_000) -> DataFrame:
     """bucket, tokens (32 bits beyond those of the bucket) and keys, as bytes. Tokens that very many classes have lie in
     buckets below 0 by key, and are numbers in `common`."""
     shift = np.uint64(64 - _TOKEN_BITS)
@@ -146,7 +156,7 @@ def _token_blocks(docs: DataFrame, k: int, percent: int, buckets: int, common: n
                 s = Shingles(c, k)
                 once = np.zeros(c.rows, bool)  # copies within a chunk go once
                 once[np.unique(s.digests()[1], return_index=True)[1]] = True
-                first = _first_tokens(s, percent) & once[s.row]
+                first = _first_tokens(s, percent, part) & once[s.row]
                 if first.any():
                     held.append((s.hash[first] >> shift, s.digests()[1][s.row[first]]))
                 if sum(len(t) for t, _ in held) > flush:
@@ -210,8 +220,8 @@ def _hubs(blocks: DataFrame, tasks: int, common: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(meet, "key long, hub long, n long").groupBy("key", "hub").agg(F.sum("n").alias("shared"))
 
 
-def _sets(docs: DataFrame, k: int, ids: DataFrame, count: int) -> DataFrame:
-    """hi, key and set of the documents whose id is in `ids`, of which there are `count` (or by chance seems so). Beyond
+def _chosen(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """id and text of the documents whose id is in `ids`, of which there are `count` (or by chance seems so). Beyond
     some ten million ids the bitmap is fuller and more texts are read than needed; it is 8 MB at most."""
     bits = min(26, max(20, (8 * count).bit_length()))
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
@@ -220,18 +230,28 @@ def _sets(docs: DataFrame, k: int, ids: DataFrame, count: int) -> DataFrame:
     got = words.toArrow()  # a row for each 64 bits at most, whatever the number of ids
     bitmap[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
 
-    def read(batches):
+    def choose(batches):
         for batch in batches:
             p = np.asarray(batch.column(0)).astype(np.int64)
             some = np.flatnonzero(bitmap[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1))
-            for c in T.chunks(batch.column(1).take(pa.array(some))):
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(some)) for i in (1, 2)], names=["id", "text"])
+
+    return docs.select(place.alias("p"), "id", "text").mapInArrow(choose, docs.select("id", "text").schema)
+
+
+def _sets(docs: DataFrame, k: int, ids: DataFrame, count: int) -> DataFrame:
+    """hi, key and set of the documents that are chosen by `ids`."""
+
+    def read(batches):
+        for batch in batches:
+            for c in T.chunks(batch.column(0)):
                 s = Shingles(c, k)
                 hi, key = s.digests()
                 rows = np.flatnonzero(s.n > 0)
                 blobs = [s.hash[s.bounds[r] : s.bounds[r + 1]].tobytes() for r in rows.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(hi[rows]), pa.array(key[rows]), pa.array(blobs, pa.binary())], names=["hi", "key", "tokens"])
 
-    return docs.select(place.alias("p"), "text").mapInArrow(read, "hi long, key long, tokens binary")
+    return _chosen(docs, ids, count).select("text").mapInArrow(read, "hi long, key long, tokens binary")
 
 
 def _classes_of(g: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -272,6 +292,19 @@ def _search_rest(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group", "block", "turn").sortWithinPartitions("group", "block", "turn").mapInArrow(search, "u long, v long")
 
 
+def _grouped(docs: DataFrame, k: int, percent: int, part: int, classes: DataFrame, shingles: int, common: np.ndarray) -> DataFrame:
+    """key, group of the classes that may link with others: what a class shares with them, its weakest hubs left out."""
+    buckets = max(1, -(-shingles * 12 * _first_percent(percent, part) // (100 * _BUCKET_BYTES)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * buckets)
+    hubs = _hubs(_token_blocks(docs, k, percent, part, buckets, common), tasks, common).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
+    # Of the sizes of its partners, the least decides: l(ceil(s n)).
+    needed = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / part), F.lit(1))
+    weakest = Window.partitionBy("key").orderBy("shared", "hub")
+    hubs = hubs.select("key", "hub", needed.alias("needed"), F.sum("shared").over(Window.partitionBy("key")).alias("all"), F.sum("shared").over(weakest.rowsBetween(Window.unboundedPreceding, 0)).alias("sofar"))
+    kept = hubs.filter("all >= needed and sofar > floor((needed - 1) / 2)")
+    return components_of_members(kept.select(F.col("key").alias("member"), "hub")).select(F.col("member").alias("key"), F.col("label").alias("group"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_tokens: int = 600_000, block_sets: int = 4096
 ) -> DataFrame:
@@ -286,26 +319,29 @@ def near_duplicates(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    rows = cut(_documents(docs, shingle, percent))
+    rows = cut(_documents(docs, shingle, percent, _PART))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    common = _common_tokens(rows, total, percent)
+    common = _common_tokens(rows, total, _first_percent(percent, _PART))
     rows = rows.select("n", "hi", "key", F.struct(F.col("id").isNull().alias("none"), "id", "text_hash").alias("me"))
     classes = cut(rows.filter("n > 0").groupBy("hi", "key").agg(F.min("n").alias("n"), F.min("me").alias("first")))
 
-    # Candidates: what a class shares with others, its weakest hubs left out.
-    buckets = max(1, -(-total * 12 * (100 - percent + 13) // (100 * _BUCKET_BYTES)))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * buckets)
-    hubs = _hubs(_token_blocks(docs, shingle, percent, buckets, common), tasks, common).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
-    # Of the sizes of its partners, the least decides: l(ceil(s n)).
-    needed = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / 8), F.lit(1))
-    weakest = Window.partitionBy("key").orderBy("shared", "hub")
-    hubs = hubs.select("key", "hub", needed.alias("needed"), F.sum("shared").over(Window.partitionBy("key")).alias("all"), F.sum("shared").over(weakest.rowsBetween(Window.unboundedPreceding, 0)).alias("sofar"))
-    kept = hubs.filter("all >= needed and sofar > floor((needed - 1) / 2)")
-    grouped = components_of_members(kept.select(F.col("key").alias("member"), "hub")).select(F.col("member").alias("key"), F.col("label").alias("group"))
-    members = cut(classes.join(grouped, "key"))
-    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), *[F.min(F.when(_part("key") == i, F.xxhash64("key", F.lit(3)))).alias(f"p{i}") for i in range(4)])
-    blocks = F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("sets") / block_sets)).cast("int")
-    sizes = cut(sizes.filter("sets > 1").select("group", blocks.alias("blocks"), *[f"p{i}" for i in range(4)]))
+    def measured(members: DataFrame) -> DataFrame:
+        blocks = F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("sets") / block_sets)).cast("int")
+        pivots = [F.min(F.when(_part("key") == i, F.xxhash64("key", F.lit(3)))).alias(f"p{i}") for i in range(4)]
+        sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), *pivots)
+        return cut(sizes.filter("sets > 1").select("group", blocks.alias("blocks"), *[f"p{i}" for i in range(4)]))
+
+    members = cut(classes.join(_grouped(docs, shingle, percent, _PART, classes, total, common), "key"))
+    sizes = measured(members)
+    wide = sizes.filter("blocks > 1").select("group")
+    if percent >= 50 and not wide.isEmpty():  # l(n) is ceil(s n) at most
+        large = cut(members.join(wide, "group", "left_semi").drop("group"))
+        seen = large.agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).first()
+        some = _chosen(docs, large.select("first.id"), seen.sets)
+        common = _common_tokens(_documents(some, shingle, percent, _LARGE_PART), seen.tokens, _first_percent(percent, _LARGE_PART))
+        again = large.join(_grouped(some, shingle, percent, _LARGE_PART, large, seen.tokens, common), "key")
+        members = cut(members.join(wide, "group", "left_anti").unionByName(again))
+        sizes = measured(members)
     pivot = F.xxhash64("key", F.lit(3)).isin(*[F.col(f"p{i}") for i in range(4)])
     members = cut(members.join(sizes, "group").select("group", "blocks", "hi", "key", "n", "first", pivot.alias("pivot")))
     count = members.count()

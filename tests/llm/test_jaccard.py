@@ -189,3 +189,25 @@ def test_hot_group_of_near_copies(documents):
         rows.append((i + 10, " ".join(t)))
     out = near_duplicates(documents(rows), block_sets=50)
     assert out.agg(F.count_distinct("component_id"), F.min("component_id")).first() == (1, 10)
+
+
+def test_sets_tied_by_chance_do_not_meet_all_blocks(documents, monkeypatch):
+    """Each text shares short passages with six others that it doesn't link with, and has a near copy: one candidate
+    group of all texts at first. Compared by blocks, each set would go to each block."""
+    across = []
+    monkeypatch.setattr(jaccard, "_across_blocks", lambda docs, k, large, labels, *rest: across.append(large.count()) or labels)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    bases = 40
+    passages = [[word() for _ in range(13)] for _ in range(bases)]
+    rows = []
+    for g in range(bases):
+        parts = [passages[p % bases] for p in (g, g + 1, g + 7)]
+        base = [w for p in parts for w in [*p, *[word() for _ in range(27)]]]
+        for _ in range(2):
+            t = list(base)
+            t[rng.randrange(len(t))] = word()
+            rows.append((len(rows) * 7 % 1009, " ".join(t)))
+    found = near_duplicates(documents(rows), block_sets=12, block_tokens=100_000).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    assert not across
