@@ -9,8 +9,13 @@ a score that the k-th best surely has, and blocks that can't reach it are not re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from quillgraph.session import cut, kept
 
 K1, B = 1.2, 0.75
 BLOCK = 256  # texts of a block, about
+_WORDS = 1_000_000  # words that a task gathers at a time, about
+_POSTINGS = "term string, block long, df int, top double, ids array<long>, tfs array<int>, ns array<int>"
 _NAMED = 500  # blocks that are named in a filter, rather than joined
 
 
@@ -35,29 +42,72 @@ def weight(tf: Column, n: Column, mean: float, k1: float = K1, b: float = B) ->
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.greatest(F.lit(mean), F.lit(1e-9))))
 
 
-def make_postings(words: DataFrame, mean: float, width: int) -> DataFrame:
-    """words: id, w (array). Counts are made text by text, and gathered by term and block of ids."""
-    counted = words.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("id", "n", "term").agg(F.count("*").cast("int").alias("tf"))
-    rows = counted.select("term", F.floor(F.col("id") / width).alias("block"), F.struct("id", "tf", "n").alias("p"))
-    of = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("p"), F.max(weight(F.col("p.tf"), F.col("p.n"), mean)).alias("top"))  # a block has a bounded number of ids
-    part = lambda name: F.transform("p", lambda x: x[name]).alias(f"{name}s")
-    return of.select("term", "block", F.size("p").alias("df"), "top", *map(part, ("id", "tf", "n")))
+def _weight(tf: np.ndarray, n: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / max(mean, 1e-9)))
+
+
+def make_postings(texts: DataFrame, mean: float, width: int) -> DataFrame:
+    """texts: id, text. They are dealt out by blocks of ids, and a task counts and gathers the words of its blocks by
+    itself, so that neither words nor single postings are shuffled. A block of very many words comes in parts, each with
+    rows of its own."""
+    block = F.floor(F.col("id") / width)
+    dealt = texts.filter("id is not null").select("id", block.alias("block"), "text").repartition("block").sortWithinPartitions("block")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            at = np.asarray(b.column(1))
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]  # blocks follow each other
+            for lo, hi in pairwise(cuts):
+                n = sum(len(x.column(2).flatten()) for x in held)
+                if n >= _WORDS and (held[-1].column(1)[-1].as_py() != at[lo] or n >= 2 * _WORDS):
+                    yield _gathered(held, mean)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield _gathered(held, mean)
+
+    return dealt.select("id", "block", tokens(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(gather, _POSTINGS)
+
+
+def _gathered(held: list[pa.RecordBatch], mean: float) -> pa.RecordBatch:
+    """Texts (id, block, w) as rows of postings: one for each block and term, with its texts by id."""
+    all_ = pa.Table.from_batches(held).combine_chunks()
+    ids, blocks = all_["id"].to_numpy(), all_["block"].to_numpy()
+    sizes, words = pc.list_value_length(all_["w"]).to_numpy(), pc.list_flatten(all_["w"]).combine_chunks()
+    order = np.lexsort((ids, blocks))
+    ids, blocks, ns = ids[order], blocks[order], sizes[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    coded = words.dictionary_encode()
+    kinds, text = max(1, len(coded.dictionary)), np.repeat(place, sizes)
+    _, number = np.unique(blocks, return_inverse=True)
+    # Words by block, term and text; equal ones are counted.
+    key, tfs = np.unique((number[text] * kinds + np.asarray(coded.indices, np.int64)) * len(order) + text, return_counts=True)
+    row, text = key // max(1, len(order)), key % max(1, len(order))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    ends = np.append(first[1:], len(row)) if len(row) else first
+    tops = np.maximum.reduceat(_weight(tfs, ns[text], mean), first) if len(row) else np.zeros(0)
+    lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(v, kind))
+    columns = [coded.dictionary.take(pa.array(row[first] % kinds)), blocks[text[first]], pa.array(ends - first, pa.int32()), tops, lists(ids[text], pa.int64()), lists(tfs, pa.int32()), lists(ns[text], pa.int32())]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["term", "block", "df", "top", "ids", "tfs", "ns"])
 
 
 def _write(df: DataFrame, path: str) -> None:
     sorted_ = df.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
-    sorted_.write.mode("overwrite").option("parquet.page.row.count.limit", 64).parquet(path)
+    sorted_.write.mode("overwrite").option("parquet.page.row.count.limit", 512).parquet(path)
 
 
 def index(docs: DataFrame, name: str = "", id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of a corpus with distinct whole numbers as ids: written at the first call of a session, read at later
     ones, and written anew when the files of the corpus have changed. Null texts have no terms."""
     spark = docs.sparkSession
-    words = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    words = texts.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
     sums = [F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean"), F.min("id").alias("low"), F.max("id").alias("high")]
     s = kept(spark, f"lengths {name} {id_col} {text_col}", lambda: words.agg(*sums), [docs]).first()
     width = max(1, ((s.high or 0) - (s.low or 0) + 1) * BLOCK // max(1, s.docs))
-    postings = kept(spark, f"postings {name} {id_col} {text_col}", lambda: make_postings(words, s["mean"] or 0.0, width), [docs], _write)
+    postings = kept(spark, f"postings {name} {id_col} {text_col}", lambda: make_postings(texts, s["mean"] or 0.0, width), [docs], _write)
     return Index(postings, s.docs, s["mean"] or 0.0)
 
 

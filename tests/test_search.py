@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,29 @@ def test_kept_tables(spark, tmp_path):
 def test_stems_serve_both(spark):
     df = spark.createDataFrame([("restoring",)], "w string")
     assert df.select(rules.stem_of(F.col("w"))).first()[0] == "restor"
+
+
+def test_postings_are_gathered_where_their_texts_are(spark):
+    """Texts are dealt out once, by blocks; neither words nor postings are shuffled, and rows are those of plain counts."""
+    texts = [(i * 7, t) for i, t in corpus(400, 3)] + [(10**12, "vault Vault x"), (10**12 + 1, None)]
+    mean, width = 30.0, 500
+    made = FT.make_postings(spark.createDataFrame(texts, "id long, text string"), mean, width)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {}
+    for i, t in texts:
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        for term in set(w):
+            want.setdefault((term, i // width), []).append((i, w.count(term), len(w)))
+    got = {(r.term, r.block): (r.df, r.top, list(zip(r.ids, r.tfs, r.ns, strict=True))) for r in made.collect()}
+    assert {k: x[2] for k, x in got.items()} == {k: sorted(v) for k, v in want.items()}
+    for df, top, p in got.values():
+        assert df == len(p) and top == pytest.approx(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for _, tf, n in p))
+
+
+def test_parts_of_a_block_are_found_whole():
+    """A block that comes in parts has rows in each; blocks that come together don't mix."""
+    batch = lambda rows: pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("block", pa.int64()), ("w", pa.list_(pa.string()))]))
+    held = [batch([{"id": 9, "block": 1, "w": ["b", "a", "b"]}, {"id": 8, "block": 1, "w": []}]).slice(0), batch([{"id": 3, "block": 0, "w": ["a"]}, {"id": 7, "block": 1, "w": ["b"]}]).slice(1)]
+    got = {(r["term"], r["block"]): (r["df"], r["ids"], r["tfs"], r["ns"]) for r in FT._gathered(held, 2.0).to_pylist()}
+    assert got == {("a", 1): (1, [9], [1], [3]), ("b", 1): (2, [7, 9], [1, 2], [1, 3])}
+    assert FT._gathered([batch([{"id": 1, "block": 0, "w": []}])], 2.0).num_rows == 0
