@@ -234,3 +234,22 @@ def test_evidence(spark):
         assert got == {(i, s, p): v for i, c in mine for (s, p), v in shown(c, budget).items()}
     states = {(r.source, r.pos): r.state for r in EV.capped(spark.createDataFrame([(1, 1, 1, "abc"), (1, 1, 2, "de"), (1, 1, 3, "f"), (1, 2, 1, "abc")], "answer long, source long, pos long, text string"), 4).collect()}
     assert states == {(1, 1): "whole", (1, 2): "cut", (1, 3): "omitted", (2, 1): "same"}
+
+
+def _nested(column, inner):
+    """How often an expression contains another, as the plan of a row of it says."""
+    return str(column._jc.toString()).count(inner)
+
+
+def test_parts_of_a_text_are_computed_once(spark):
+    """Nothing that reads a whole text stands within a function that runs for each of its parts or names."""
+    text = F.col("text")
+    assert _nested(S.strip_markers(text, F.array(F.lit(1))), "regexp_extract_all") == 1
+    n = R.bag_share(text)
+    assert _nested(n, "regexp_extract(") == 1 and _nested(n, "split(") == 1
+    e = F.array(*[F.struct(F.lit(x).alias("name"), F.lit("Feature").alias("type")) for x in ("Vault", "Copy job", "None")])
+    plan = str(G.admitted(e, text, F.lit("p"), F.lit("v"))._jc.toString())
+    assert plan.count("coalesce(text") == 1 and plan.index("coalesce(text") < plan.index("filter(")
+    df = spark.createDataFrame([("a [1] b [7], c [2]. [3] Next [9] [1]! [2] End", "The vault and its copy, job.")], "m string, text string")
+    row = df.select(S.strip_markers(F.col("m"), F.array(F.lit(1), F.lit(2))), R.markers_per_sentence(F.col("m")), G.admitted(e, text, F.lit("p"), F.lit("v"))["name"]).first()
+    assert row[0] == "a [1] b, c [2]. Next [1]! [2] End" and row[1] == [4, 3] and row[2] == ["Vault", "Copy job", "p"]
