@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions import rules as RU
 from quillgraph.functions import strings as S
 from quillgraph.operators import chunking as C
 from quillgraph.operators import grounding as GR
@@ -157,6 +158,6 @@ def _(t):
 def _(t):
     """Entities of a text by what stands in it; an alias of its product becomes the product, which is there in any case."""
     w = S.tokens(F.col("text"))
-    names = F.array(F.get(w, F.lit(1)), F.get(w, F.lit(5)), F.lit("Vault of Nowhere"), F.lit("SRC"))
+    names = RU.let(w, lambda x: F.array(F.get(x, F.lit(1)), F.get(x, F.lit(5)), F.lit("Vault of Nowhere"), F.lit("SRC")))
     rows = t.documents.filter(F.size(w) > 5).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("product"), F.col("lang").alias("vendor"), names.alias("names"), F.array(*map(F.lit, ("Feature", "Feature", "Product", "Product"))).alias("types"))
     return GR.admit_entities(rows, {}, {f"src{i}": ["SRC"] for i in range(3)}).select("id", F.array_join("names", "|").alias("names"))
