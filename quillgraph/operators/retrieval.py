@@ -31,17 +31,20 @@ def vector_search(table: DataFrame, query: list[float], k: int, id_col: str = "v
 
 
 def vector_join(
-    queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 5_000
+    queries: DataFrame, table: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 5_000, group_col: str | None = None
 ) -> DataFrame:
     """query_id, id, score, rank: the k nearest of each of a stated set of queries, exact; ties by id. Null, zero or
-    unequally long vectors score 0.
+    unequally long vectors score 0. With `group_col` (whole numbers) only rows of the query's group are searched.
 
     Queries go to the tasks in blocks of about `block`, so that what is sent doesn't grow with them; a task multiplies
     its vectors with a block as matrices, and keeps k rows of a query before anything is shuffled.
     """
     blocks = max(1, -(-queries.count() // block))
-    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("q"))
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    own = [F.col(group_col).cast("long").alias("g")] if group_col else []
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("q"), *own)
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *own)
+    if group_col:  # null is no group
+        q, rows = q.filter("g is not null"), rows.filter("g is not null")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     out = None
     for i in range(blocks):
@@ -51,7 +54,8 @@ def vector_join(
             continue
         vectors = part["q"].combine_chunks()
         asked = unit_rows(vectors, pc.max(pc.list_value_length(vectors)).as_py() or 1)
-        best = rows.mapInArrow(_nearest(ids, asked, k), "query_id long, id long, score double")
+        groups = part["g"].to_numpy() if group_col else None
+        best = rows.mapInArrow(_nearest(ids, asked, k, groups), "query_id long, id long, score double")
         top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out if out is not None else rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
@@ -66,9 +70,13 @@ def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, step: int = 1_000):
-    """For a task: of each query the k best of its rows, ties by id."""
+_CELLS = 1_000_000  # scores that a task holds at a time
+
+
+def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, groups: np.ndarray | None = None):
+    """For a task: of each query the k best of its rows (of its group, if there are groups), ties by id."""
     n = len(asked)
+    step = max(k, min(1_000, _CELLS // n))
 
     def find(batches):
         best, who = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
@@ -78,17 +86,19 @@ def _nearest(query_ids: np.ndarray, asked: np.ndarray, k: int, step: int = 1_000
                 ids = every[at : at + step]
                 score = asked @ unit_rows(vectors.slice(at, step), asked.shape[1]).T
                 score[query_ids[:, None] == ids[None, :]] = -np.inf  # not itself
-                both = np.hstack([best, score])
+                if groups is not None:
+                    score[groups[:, None] != np.asarray(batch.column(2))[at : at + step][None, :]] = -np.inf
+                some = np.flatnonzero((score >= best[:, -1:]).any(axis=1))  # queries that these rows may matter to
+                both, was = np.hstack([best[some], score[some]]), who[some]
                 # All that reach a query's k-th score, by score and id; the k first of each.
                 row, col = np.nonzero((both >= np.partition(both, -k, axis=1)[:, -k][:, None]) & (both > -np.inf))
-                of = np.where(col < k, who[row, np.minimum(col, k - 1)], ids[np.maximum(col - k, 0)])
+                of = np.where(col < k, was[row, np.minimum(col, k - 1)], ids[np.maximum(col - k, 0)])
                 order = np.lexsort((of, -both[row, col], row))
                 row, col, of = row[order], col[order], of[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 kept = place < k
-                found = both[row[kept], col[kept]]
-                best.fill(-np.inf)
-                best[row[kept], place[kept]], who[row[kept], place[kept]] = found, of[kept]
+                best[some] = -np.inf
+                best[some[row[kept]], place[kept]], who[some[row[kept]], place[kept]] = both[row[kept], col[kept]], of[kept]
         row, col = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(who[row, col]), pa.array(best[row, col])], names=["query_id", "id", "score"])
 

@@ -110,9 +110,7 @@ def _(t):
     """Recall of a search within the query's own cell (its label) against the exact one."""
     q, e = t.embeddings.filter("vec_id % 20 = 0"), t.embeddings
     exact = R.vector_join(q, e, 10).select("query_id", "id")
-    own = e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")).join(q.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")), "label").filter("id <> query_id")
-    own = own.select("query_id", "id", V.cosine_or_zero(F.col("v"), F.col("q")).alias("score"))
-    cell = own.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rn <= 10")
+    cell = R.vector_join(q, e, 10, group_col="label").select("query_id", "id")
     both = cell.join(exact, ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("n"))
     return q.select(F.col("vec_id").alias("query_id")).join(both, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / 10.0).alias("recall"))
 

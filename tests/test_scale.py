@@ -2,11 +2,13 @@
 
 import random
 import time
+import tracemalloc
 from fractions import Fraction
 from itertools import pairwise
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from quillgraph.operators import graphs as G
 from quillgraph.operators import jobs as J
 from quillgraph.operators import retrieval as RT
 from quillgraph.operators.ordered import fold_groups, running
+from quillgraph.plans import registry
 from quillgraph.streaming import feeds
 
 
@@ -125,6 +128,36 @@ def test_nearest_with_ties_nulls_and_blocks(spark):
     assert RT.vector_join(table.limit(0), table, 3).count() == 0
 
 
+def test_nearest_within_groups(spark):
+    """Of a query's own group alone, by the matrices of the exact search; no pair of rows is a row of a join."""
+    rng = np.random.default_rng(4)
+    v, g = rng.normal(size=(600, 5)), [None if i % 50 == 3 else i % 7 for i in range(600)]
+    table = spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(v, g, strict=True))], "vec_id long, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in RT.vector_join(table.filter("vec_id % 20 = 3 or vec_id < 2"), table, 4, group_col="label").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    asked = [i for i in range(600) if (i % 20 == 3 or i < 2) and g[i] is not None]
+    assert got == {i: sorted((j for j in range(600) if j != i and g[j] == g[i]), key=lambda j: -unit[i] @ unit[j])[:4] for i in asked}
+
+
+def test_recall_joins_no_pairs(spark, sf):
+    plan = registry.queries()["agg_32_recall_at_10"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_scores_of_many_queries_are_held_in_steps():
+    """What a task holds beside its batch doesn't grow with queries times rows."""
+    rng = np.random.default_rng(5)
+    asked, v = rng.normal(size=(5000, 4)), rng.normal(size=(2000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    tracemalloc.start()
+    out = next(iter(RT._nearest(np.arange(5000), asked, 10)(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 50_000 and peak < 80e6
+
+
 def test_worst_cosine_in_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [("ab"[int(rng.integers(2))], i, rng.standard_normal(3).tolist()) for i in range(90)] + [("one", 900, [1.0, 0.0, 0.0])]
