@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,56 @@ def degrees(projected: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
+_PAIRS = 4_000_000  # pairs of nodes that a task holds at a time
+
+
+def reached_in_two(edges: DataFrame, block: int = 500_000) -> DataFrame:
+    """src, reached: to how many nodes one edge or two lead from each node. edges: src, dst, whole numbers.
+
+    Nodes are dealt out in ranges of about `block` edges. What the ends of a range's edges lead to comes to the range once,
+    however many of its nodes share an end, and a task counts there: pairs of nodes are not shuffled.
+    """
+    both = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src is not null and dst is not null")
+    parts = max(1, -(-both.count() // block))
+    e = cut(both.distinct().repartitionByRange(parts, "src").select("*", F.spark_partition_id().alias("block")))
+    ends = e.select(F.col("block").alias("at"), F.col("dst").alias("mid")).distinct()
+    beyond = ends.join(e.select(F.col("src").alias("mid"), F.col("dst").alias("end")), "mid").select("at", "mid", "end")
+    return e.groupBy("block").cogroup(beyond.groupBy("at")).applyInArrow(_count_reached, "src long, reached long")
+
+
+def _count_reached(edges: pa.Table, beyond: pa.Table) -> pa.Table:
+    src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    mid, end = beyond["mid"].to_numpy(), beyond["end"].to_numpy()
+    order = np.argsort(mid, kind="stable")
+    mid, end = mid[order], end[order]
+    kinds, code = np.unique(np.concatenate([dst, end]), return_inverse=True)
+    direct, end = code[: len(dst)], code[len(dst) :]
+    low = np.searchsorted(mid, dst)
+    n = np.searchsorted(mid, dst, "right") - low
+    firsts = np.flatnonzero(np.diff(src, prepend=src[0] - 1))
+    bounds, reached, at = np.append(firsts, len(src)), np.zeros(len(firsts), np.int64), 0
+    work = np.concatenate([[0], np.cumsum(n + 1)])[bounds]  # before each node
+    while at < len(firsts):
+        to = max(at + 1, int(np.searchsorted(work, work[at] + _PAIRS, "right")) - 1)
+        lo, hi = bounds[at], bounds[to]
+        if to == at + 1:  # a node by itself, with any number of ends
+            seen = np.zeros(len(kinds), bool)
+            seen[direct[lo:hi]] = True
+            for i in range(lo, hi):
+                seen[end[low[i] : low[i] + n[i]]] = True
+            reached[at] = seen.sum()
+        else:
+            node = np.searchsorted(firsts, np.arange(lo, hi), "right") - 1 - at
+            many, start = n[lo:hi], low[lo:hi]
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - start, many)
+            key = np.unique(np.concatenate([node * len(kinds) + direct[lo:hi], np.repeat(node, many) * len(kinds) + end[place]]))
+            reached[at:to] = np.bincount(key // len(kinds), minlength=to - at)
+        at = to
+    return pa.table({"src": src[firsts], "reached": reached})
+
+
 def _both_ways(projected: DataFrame) -> DataFrame:
     apart = projected.filter("a <> b")
     return apart.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(apart.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import strings as S
 from quillgraph.functions import rules as R
 from quillgraph.operators import evals as E
+from quillgraph.operators import graphs as G
 from quillgraph.operators import provenance as P
 from quillgraph.operators.retrieval import is_current, neighbours, temporal_status
 from quillgraph.plans.canonical import AS_OF, now, query
@@ -290,9 +291,7 @@ def _(t):
 
 @query("join_21_one_or_two_hops", """select src, count(distinct dst) as reached from (select src, dst from fact union select a.src, b.dst from fact a join fact b on a.dst = b.src) group by src""")
 def _(t):
-    f = t.fact.select("src", "dst").distinct()
-    two = f.select("src", F.col("dst").alias("mid")).join(f.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-    return f.unionByName(two).distinct().groupBy("src").agg(F.count("*").alias("reached"))
+    return G.reached_in_two(t.fact)
 
 
 @query("join_22_facet_assignment", f"""select article_id, case when vendor_id = 1 then 'v1' when product_id in (2, 8, 14) then 'listed' when kind = 'BUILDING' then 'building' end as facet from {CHAIN} where vendor_id = 1 or product_id in (2, 8, 14) or kind = 'BUILDING'""")

@@ -158,6 +158,27 @@ def test_scores_of_many_queries_are_held_in_steps():
     assert out.num_rows == 50_000 and peak < 80e6
 
 
+def test_reached_in_one_edge_or_two(spark, monkeypatch):
+    """Over ranges, a node with very many ends, ends that several nodes share, loops, doubles and nodes without a way on."""
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 60), rng.randint(30, 130)) for _ in range(900)] + [(7, i) for i in range(40, 400)] + [(50, 50), (10**12, 7), (10**12, 7)]
+    to: dict = {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+    want = {a: len(x | {c for b in x for c in to.get(b, ())}) for a, x in to.items()}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    out = G.reached_in_two(df, block=200)
+    assert {r.src: r.reached for r in out.collect()} == want
+    assert {r.src: r.reached for r in G.reached_in_two(df).collect()} == want
+    monkeypatch.setattr(G, "_PAIRS", 50)  # in this process
+    pairs = sorted(set(edges))
+    edges_, beyond = pa.table({"src": [a for a, _ in pairs], "dst": [b for _, b in pairs]}), pa.table({"mid": [a for a, _ in pairs], "end": [b for _, b in pairs]})
+    got = G._count_reached(edges_, beyond)
+    assert dict(zip(got["src"].to_pylist(), got["reached"].to_pylist(), strict=True)) == want
+    none = G._count_reached(edges_, pa.table({"mid": pa.array([], pa.int64()), "end": pa.array([], pa.int64())}))
+    assert none["reached"].to_pylist() == [len(to[a]) for a in sorted(to)]
+
+
 def test_worst_cosine_in_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [("ab"[int(rng.integers(2))], i, rng.standard_normal(3).tolist()) for i in range(90)] + [("one", 900, [1.0, 0.0, 0.0])]
