@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import rules
 from quillgraph.operators import ann
 from quillgraph.operators import fulltext as FT
+from quillgraph.operators import modes as M
 from quillgraph.operators import retrieval as R
 from quillgraph.session import kept, table
 
@@ -237,3 +238,40 @@ def test_parts_of_a_block_are_found_whole():
     got = {(r["term"], r["block"]): (r["df"], r["ids"], r["tfs"], r["ns"]) for r in FT._gathered(held, 2.0).to_pylist()}
     assert got == {("a", 1): (1, [9], [1], [3]), ("b", 1): (2, [7, 9], [1, 2], [1, 3])}
     assert FT._gathered([batch([{"id": 1, "block": 0, "w": []}])], 2.0).num_rows == 0
+
+
+def _claims(spark):
+    rng = np.random.default_rng(11)
+    claims = [(i, f"text {i}" + (" is not supported" if i % 6 == 0 else ""), i % 4, i % 3, 500 if i % 5 == 0 else None) for i in range(200)]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 4)))], "id long, v array<double>")
+    scores = spark.createDataFrame([(i, (i * 31 % 100) / 100.0) for i in range(200) if i % 13], "id long, score double")
+    return spark.createDataFrame(claims, "claim_id long, text string, subject long, relation long, invalid_day int"), v, scores
+
+
+@pytest.mark.parametrize("kind", ["local", "list"])
+def test_short_lists_go_to_large_tables(spark, monkeypatch, kind):
+    """Lists of some rows are sent to claims, texts and vectors, which are not shuffled for them."""
+    claims, v, scores = _claims(spark)
+    scope, current = claims.filter("claim_id % 7 < 5").select("claim_id"), F.expr("invalid_day is null")
+    hits = spark.createDataFrame([(i * 3, 1.0 - i / 100, i + 1) for i in range(40)], "id long, score double, pos int")
+    run = {
+        "local": lambda: M.local(hits, claims, scope, current, 15),
+        "list": lambda: M.list_search([hits.select("id", "pos")], claims, v, scores, None, current),
+    }[kind]
+    want = sorted(map(tuple, run().collect()))
+    plans, real = [], M.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(M, "cut", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        out = run()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        assert sorted(map(tuple, out.collect())) == want and want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [p for p in plans if "SortMergeJoin" in p]
