@@ -2,6 +2,8 @@
 
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from quillgraph.functions import strings as S
 from quillgraph.operators import chunking as C
 from quillgraph.operators import evidence as EV
 from quillgraph.operators import grounding as G
+from quillgraph.operators import modes as M
 from quillgraph.operators import scope as SC
 
 
@@ -253,3 +256,55 @@ def test_parts_of_a_text_are_computed_once(spark):
     df = spark.createDataFrame([("a [1] b [7], c [2]. [3] Next [9] [1]! [2] End", "The vault and its copy, job.")], "m string, text string")
     row = df.select(S.strip_markers(F.col("m"), F.array(F.lit(1), F.lit(2))), R.markers_per_sentence(F.col("m")), G.admitted(e, text, F.lit("p"), F.lit("v"))["name"]).first()
     assert row[0] == "a [1] b, c [2]. Next [1]! [2] End" and row[1] == [4, 3] and row[2] == ["Vault", "Copy job", "p"]
+
+
+def test_phrases_are_one_expression(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["across", "Vendor", "vendors", "only", "is", "not", "don't", "can", "9x", "a-b", "isn", "notes", "which", "(", "--", "-b", "'", "is-", "vendor's", "\n", "ünot"]) for _ in range(rng.randint(0, 7))) for _ in range(400)]
+    phrases = ["is/can not", "only _ vendors", "across #", "not* vendor", "don't", "a-b"]
+
+    def plain(text):
+        w = re.findall(r"[a-z0-9][a-z0-9'-]*", text.lower())
+        fits = lambda x, s: s == "_" or (x[0].isdigit() if s == "#" else x.startswith(s[:-1]) if s.endswith("*") else x in s.split("/"))
+        return any(i + len(p) <= len(w) and all(fits(w[i + k], s) for k, s in enumerate(p)) for p in map(str.split, phrases) for i in range(len(w)))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "id int, text string").select("id", R.has_phrase(F.col("text"), phrases).alias("has"))
+    want = {i: plain(t) for i, t in enumerate([*texts, "", ""])}
+    assert {r.id: r.has for r in df.collect()} == want and len(set(want.values())) == 2
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()  # words are not walked through one by one
+
+
+def test_grades_look_for_words_in_one_string(spark):
+    rng = random.Random(7)
+    some = ["policy", "policies", "policie", "copy", "copies", "co", "cos", "vm", "vms", "vmsx", "backing", "backed", "backup", "s", "restore", "y"]
+    facts = [(i, [rng.choice(some) for _ in range(rng.randint(0, 5))], rng.random() < 0.2, rng.choice([None, 0.05, 0.2, 0.9])) for i in range(60)]
+    lines = [(i, rng.sample(some, 2), rng.sample(some, rng.randint(0, 2)), [rng.randint(0, 70) for _ in range(rng.randint(0, 3))]) for i in range(300)]
+    stem = {r.w: r.s for r in spark.createDataFrame([(w,) for w in some], "w string").select("w", R.stem_of(F.col("w")).alias("s")).collect()}
+
+    def has(words, term):
+        s = stem[term]
+        if len(s) < 4:
+            return any(w in (s, s + "s") for w in words)
+        return any(w.startswith(s) or (s.endswith("y") and w.startswith(s[:-1] + "ie")) for w in words)
+
+    known, want = {f[0]: f for f in facts}, {}
+    for line, item, terms, ids in lines:
+        there = confirmed = near = False
+        first = None
+        for i in ids:
+            _, words, limit, score = known.get(i, (0, [], True, None))
+            ok = i in known and not limit
+            there |= ok
+            near |= ok and score is not None and score >= 0.1
+            if ok and (score is None or score >= 0.3) and 2 * sum(has(words, w) for w in item) >= len(item):
+                gone = [t for t in terms if not has(words, t)]
+                confirmed |= not gone
+                first = gone if first is None else first
+        grade = ("confirmed", "named", "") if confirmed else ("needs_validation", "missing_terms", " ".join(first)) if first is not None else None
+        want[line] = grade or (("needs_validation", "unnamed", "") if near else ("dropped", "below_floor" if there else "no_marker", ""))
+    df = M.grade_items(spark.createDataFrame(lines, "line int, words array<string>, terms array<string>, markers array<int>"), spark.createDataFrame(facts, "id int, words array<string>, limitation boolean, score double"), 0.3, 0.1)
+    got = {r.line: (r.grade, r.reason, r.missing) for r in df.collect()}
+    assert len({g[1] for g in want.values()}) == 5
+    odd = {k for k in want if got[k] != want[k]}
+    assert not odd, {k: (got[k], want[k]) for k in sorted(odd)[:3]}
+    assert "exists(words" not in df._jdf.queryExecution().optimizedPlan().toString()
