@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import cut
+
 
 def alive(link_superseded: Column, article_removed: Column, episode_removed: Column) -> Column:
     """A missing flag is false."""
@@ -56,3 +58,29 @@ def staleness_sweep(fact: DataFrame, fact_episode: DataFrame, episode: DataFrame
     current ones count, in one row."""
     gone = support(fact.filter(F.col("invalid_at").isNull()), fact_episode, episode, article).filter("alive = 0")
     return gone.select("fact_id", "episodes", F.coalesce("died_at", now).alias("invalid_at"))
+
+
+_SENT = 200_000  # claims that are sent to every task, rather than joined by a shuffle
+_ANSWERS = 25_000  # answers of a task, about
+
+
+def cited(answers: DataFrame, claims: DataFrame, known: int) -> DataFrame:
+    """answer_id, marker, place, and the claim that it cites: markers from 1 to `known`, in order of appearance, each once.
+
+    answers: answer_id, size, numbers (its markers); marker m cites the claim of number size + m. claims: claim_id and more.
+    Claims that many answers cite would gather all of these in one task of a join by claim: as long as they are few, the
+    claims that are cited at all are sent to the answers, which are shuffled once, before their markers are rows.
+    """
+    named = lambda n: (n >= 1) & (n <= known)
+    some = answers.select("answer_id", "size", "numbers", F.array_distinct(F.filter("numbers", named)).alias("markers")).filter(F.size("markers") > 0)
+    wanted = cut(some.select(F.explode("markers").alias("m"), "size").select((F.col("size") + F.col("m")).alias("claim_id")).distinct())
+    if wanted.count() <= _SENT:
+        claims = cut(claims.join(F.broadcast(wanted), "claim_id", "left_semi"))
+        claims = F.broadcast(claims) if claims.count() <= _SENT else claims
+    parts = max(1, -(-answers.count() // _ANSWERS))
+    each = some.repartition(parts, "answer_id").select("answer_id", "size", "numbers", F.explode("markers").alias("marker"))
+    first = each.select("answer_id", "size", "marker", F.array_position("numbers", F.col("marker")).alias("pos"))
+    first = first.groupBy("answer_id", "size", "marker").agg(F.min("pos").alias("pos"))  # of answers that share an id
+    found = first.withColumn("_claim", F.col("size") + F.col("marker")).join(claims, F.col("_claim") == F.col("claim_id"))
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("pos"))  # of one answer
+    return found.select(*[c for c in first.columns if c != "pos"], place.alias("place"), *claims.columns)

@@ -15,6 +15,7 @@ from quillgraph.operators import dedup as D
 from quillgraph.operators import evals as E
 from quillgraph.operators import graphs as G
 from quillgraph.operators import jobs as J
+from quillgraph.operators import provenance as P
 from quillgraph.operators import retrieval as R
 from quillgraph.sources import feed
 
@@ -215,3 +216,32 @@ def test_seats_within_floors_and_caps(spark):
         assert all(abs(got[g] - want[g]) < 1 and got[g] >= lo and (hi is None or got[g] <= max(lo, hi)) for g, _, lo, hi in groups), (case, groups, seats, got, want)
         reachable = sum(share(1e6).values())
         assert sum(got.values()) == (sum(lo for _, _, lo, _ in groups) if sum(share(0.0).values()) >= seats else min(seats, round(reachable)))
+
+
+def test_answers_are_not_gathered_by_what_they_cite(spark, monkeypatch):
+    """Few claims that all answers cite: no task has the answers of one of them; with many claims the rows are the same."""
+    answers = [(i, i % 3, [[], [2, 9, 2, 1], [0, 8, 1, 8, 3], [5]][i % 4]) for i in range(80)] + [(7, 2, [1, 4])]
+    claims = [(i, f"v{i}") for i in range(9)] + [(4, "again")]
+    want = []
+    for a in {a for a, *_ in answers}:
+        firsts = {}
+        for _, size, numbers in [x for x in answers if x[0] == a]:
+            for m in {n for n in numbers if 1 <= n <= 8}:
+                firsts[size, m] = min(firsts.get((size, m), 99), numbers.index(m))
+        want += [(a, m, size + m, v) for size, m in firsts for c, v in claims if c == size + m]
+    one, two = spark.createDataFrame(answers, "answer_id long, size int, numbers array<int>"), spark.createDataFrame(claims, "claim_id long, vendor string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = P.cited(one, two, 8)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = df.collect()
+        monkeypatch.setattr(P, "_SENT", 0)
+        many = P.cited(one, two, 8).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") == 1
+    for got in (rows, many):
+        assert sorted((r.answer_id, r.marker, r.claim_id, r.vendor) for r in got) == sorted(want)
+    of = sorted((r.place, r.marker) for r in rows if r.answer_id == 5 and r.vendor != "again")
+    assert [m for _, m in of] == [2, 1]
