@@ -102,9 +102,12 @@ def _moved(both: DataFrame, nodes: DataFrame, total: float, rounds: int, resolut
     still = 0
     for r in range(rounds):
         mass = nodes.groupBy("label").agg(F.sum("strength").alias("mass"))
-        near = both.join(nodes.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "weight")
-        pull = near.unionByName(nodes.select("node", "label", F.lit(0).cast("long").alias("weight"))).groupBy("node", "label").agg(F.sum("weight").alias("pull"))
-        scored = pull.join(mass, "label").join(nodes.select("node", F.col("label").alias("now"), "strength"), "node")
+        # A label's mass goes with it to the neighbours; these come to their node once, for all that is asked of them there.
+        known = table(nodes.join(mass, "label").select("node", "label", "mass"))
+        near = both.join(known.withColumnRenamed("node", "other"), "other").select("node", "label", "mass", "weight")
+        near = near.unionByName(known.select("node", "label", "mass", F.lit(0).cast("long").alias("weight"))).repartition("node")
+        pull = near.groupBy("node", "label").agg(F.sum("weight").alias("pull"), F.first("mass").alias("mass"))
+        scored = pull.join(nodes.select("node", F.col("label").alias("now"), "strength"), "node")
         # A node's own strength doesn't weigh on its own community.
         rest = F.col("mass") - F.when(F.col("label") == F.col("now"), F.col("strength")).otherwise(0)
         gain = F.round(F.col("pull") - F.lit(resolution) * F.col("strength") * rest / F.lit(float(total)), 9)
@@ -124,24 +127,26 @@ def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float =
     table = Rounds(projected.sparkSession)
     nodes = table(_strengths(projected).withColumn("label", F.col("node")))
     total = nodes.agg(F.sum("strength")).first()[0] or 1
-    out = cut(_moved(table(_both_ways(projected)), nodes, total, rounds, resolution, table).select("node", F.col("label").alias("community")))
+    out = cut(_moved(_both_ways(table(projected)), nodes, total, rounds, resolution, table).select("node", F.col("label").alias("community")))
     table.clear()
     return out
 
 
-def _refined(both: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int, table: Rounds) -> DataFrame:
+def _refined(projected: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int, table: Rounds) -> DataFrame:
     """node, part: connected parts of the communities of nodes (node, label, strength). Nodes begin alone; in each round a
     part picks the neighbour in its community from which modularity gains most, if it gains, and joins it if that one's
     number is less and it joins no other itself. Two that gain most from each other always join, so that it ends when
     nothing gains. A part grows by whole connected parts along edges, so that it is connected. The parts and the ties
     between them are the graph that shrinks from round to round."""
-    own = nodes.select("node", "label")
-    ties = both.join(own, "node").join(own.withColumnsRenamed({"node": "other", "label": "l2"}), "other").filter("label = l2")
-    ties = table(ties.select(F.col("node").alias("part"), F.col("other").alias("to"), "weight"))
+    own = lambda end: nodes.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    # A tie is a row, part < to: what joining gains is the same for both.
+    ties = projected.filter("a <> b").join(own("a"), "a").join(own("b"), "b").filter("la = lb")
+    ties = table(ties.select(F.col("a").alias("part"), F.col("b").alias("to"), "weight"))
     parts, mass = nodes.select("node", F.col("node").alias("part")), nodes.select(F.col("node").alias("part"), F.col("strength").alias("s"))
     for _ in range(rounds):
         gain = F.round(F.col("weight") - F.lit(resolution) * F.col("s") * F.col("s2") / F.lit(float(total)), 9)
         open_ = ties.join(mass, "part").join(mass.select(F.col("part").alias("to"), F.col("s").alias("s2")), "to").select("part", "to", gain.alias("gain")).filter("gain > 0")
+        open_ = open_.select(F.explode(F.array(F.struct("part", "to", "gain"), F.struct(F.col("to").alias("part"), F.col("part").alias("to"), "gain"))).alias("o")).select("o.*")
         down = table(open_.groupBy("part").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("into")).filter("into < part"))
         joins = table(down.join(down.select(F.col("part").alias("into")), "into", "left_anti").select("part", "into"))
         if joins.isEmpty():
@@ -149,7 +154,7 @@ def _refined(both: DataFrame, nodes: DataFrame, total: float, resolution: float,
         goes = lambda df, c: df.join(joins.select(F.col("part").alias(c), F.col("into").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731, B023
         parts = table(goes(parts, "part"))
         mass = table(goes(mass, "part").groupBy("part").agg(F.sum("s").alias("s")))
-        ties = table(goes(goes(ties, "part"), "to").filter("part <> to").groupBy("part", "to").agg(F.sum("weight").alias("weight")))
+        ties = table(goes(goes(ties, "part"), "to").filter("part <> to").groupBy(F.least("part", "to").alias("part"), F.greatest("part", "to").alias("to")).agg(F.sum("weight").alias("weight")))
         if ties.isEmpty():
             break
     return parts.select("node", "part")
@@ -167,11 +172,11 @@ def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution
     member = _strengths(graph).select("node", F.col("node").alias("community"))
     labels, out, known = None, None, -1
     for level in range(levels):
-        nodes, both = _strengths(graph), table(_both_ways(graph))
+        nodes = _strengths(graph)
         nodes = table(nodes.join(labels, "node") if labels is not None else nodes.withColumn("label", F.col("node")))
         total = nodes.agg(F.sum("strength")).first()[0] or 1
-        moved = _moved(both, nodes, total, moves, resolution, table)
-        parts = table(_refined(both, moved, total, resolution, merges, table))
+        moved = _moved(_both_ways(graph), nodes, total, moves, resolution, table)
+        parts = table(_refined(graph, moved, total, resolution, merges, table))
         member = table(member.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
         n = parts.select("part").distinct().count()
         if n == known:

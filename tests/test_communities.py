@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graphs as G
+from quillgraph.session import Rounds
 
 
 def planted(rng, groups, size, inside, across):
@@ -87,3 +88,22 @@ def test_cliques_and_odd_graphs(spark):
     assert G.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
     two = G.communities(spark.createDataFrame([(1, 2)], "src long, dst long"), min_size=2).filter(F.col("level") == 0).collect()
     assert len({r.community for r in two}) == 1 and {r.node for r in two} == {1, 2}
+
+
+def test_a_round_of_moves_shuffles_edges_twice(spark, monkeypatch):
+    """By the neighbour, for its label and that label's mass, and by the node, for all else."""
+    plans, real = [], Rounds.__call__
+
+    def seen(self, df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, df)
+
+    monkeypatch.setattr(Rounds, "__call__", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for graphs of any size
+    try:
+        G.communities(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4)], "src long, dst long"), levels=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rounds = [p for columns, p in plans if "now" in columns]
+    assert rounds and all(p.count("Exchange hashpartitioning") + p.count("Exchange SinglePartition") <= 4 for p in rounds)  # two of them of nodes
