@@ -29,20 +29,25 @@ def _kept(t):
     return _layer(t, True, 9)
 
 
+def _edges(t):
+    """Ends of facts, which are read once."""
+    return t.made("fact").select("src", "dst")
+
+
 @query("gr_1_projection", "select least(src, dst) as a, greatest(src, dst) as b, count(*) as weight from fact where src <> dst group by 1, 2")
 def _(t):
-    return G.undirected(t.fact)
+    return G.undirected(_edges(t))
 
 
 @query("gr_1_degrees", """with p as (select least(src, dst) as a, greatest(src, dst) as b, count(*) as w from fact where src <> dst group by 1, 2)
     select node, count(*) as degree, cast(sum(w) as bigint) as strength from (select a as node, w from p union all select b, w from p) group by node""")
 def _(t):
-    return G.degrees(G.undirected(t.fact))
+    return G.degrees(G.undirected(_edges(t)))
 
 
 @query("gr_2_communities")
 def _(t):
-    return G.communities(t.fact, levels=2)
+    return G.communities(_edges(t), levels=2)
 
 
 @query("gr_3_hierarchy", """with l as (select 0 as level, p_brand as community, p_partkey as node from part union all select 1, substr(p_brand, 1, 7), p_partkey from part)

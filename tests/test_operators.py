@@ -2,6 +2,7 @@
 
 import math
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from quillgraph.operators import graphs as G
 from quillgraph.operators import jobs as J
 from quillgraph.operators import provenance as P
 from quillgraph.operators import retrieval as R
+from quillgraph.plans import registry
 from quillgraph.sources import feed
 
 
@@ -245,3 +247,13 @@ def test_answers_are_not_gathered_by_what_they_cite(spark, monkeypatch):
         assert sorted((r.answer_id, r.marker, r.claim_id, r.vendor) for r in got) == sorted(want)
     of = sorted((r.place, r.marker) for r in rows if r.answer_id == 5 and r.vendor != "again")
     assert [m for _, m in of] == [2, 1]
+
+
+@pytest.mark.parametrize("name", ["gr_1_degrees", "gr_1_projection"])
+def test_ends_of_facts_are_not_made_with_whole_facts(spark, sf, tmp_path, name):
+    """In a session that has kept no facts, a graph's query shuffles their ends alone, and writes nothing."""
+    folder = shutil.copytree(sf, tmp_path / "tables")
+    df = registry.queries()[name](spark, str(folder))
+    assert {f.split("/")[-1] for f in df.inputFiles()} == {"lineitem.parquet", "orders.parquet"}
+    scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert scans and not any("l_extendedprice" in x for x in scans)
