@@ -201,8 +201,8 @@ def _(t):
 @query("join_1_provenance", f"""with p as (select distinct fact_id, article_id, source, vendor from fact_episode join episode using (episode_id) join {CHAIN} using (article_id))
     select f.fact_id, count(p.article_id) as sources, coalesce(min(p.vendor), '') as vendor from fact f left join p on p.fact_id = f.fact_id group by f.fact_id""")
 def _(t):
-    p = P.fact_sources(t.fact_episode, t.episode, _chain(t)).select("fact_id", "article_id", "vendor")
-    return t.fact.select("fact_id").join(p, "fact_id", "left").groupBy("fact_id").agg(F.count("article_id").alias("sources"), F.coalesce(F.min("vendor"), F.lit("")).alias("vendor"))
+    p = P.fact_sources(t.made("fact_episode"), t.made("episode"), _chain(t)).select("fact_id", "article_id", "vendor")
+    return t.made("fact").select("fact_id").join(p, "fact_id", "left").groupBy("fact_id").agg(F.count("article_id").alias("sources"), F.coalesce(F.min("vendor"), F.lit("")).alias("vendor"))
 
 
 @query("join_2_provenance_inner", f"select distinct fact_id, article_id, title, source from fact_episode join episode using (episode_id) join {CHAIN} using (article_id)")

@@ -257,3 +257,8 @@ def test_ends_of_facts_are_not_made_with_whole_facts(spark, sf, tmp_path, name):
     assert {f.split("/")[-1] for f in df.inputFiles()} == {"lineitem.parquet", "orders.parquet"}
     scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
     assert scans and not any("l_extendedprice" in x for x in scans)
+
+
+def test_provenance_makes_no_whole_facts(spark, sf, tmp_path):
+    df = registry.queries()["join_1_provenance"](spark, str(shutil.copytree(sf, tmp_path / "tables")))
+    assert not [f for f in df.inputFiles() if "/kept/" in f] and not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x and "l_extendedprice" in x]
