@@ -21,7 +21,8 @@ No pair list is built, exact copies never meet as pairs, and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ _MANY = 32  # classes of the sample that make a token common
 _MOST_COMMON = 1 << 20
 _PART, _LARGE_PART = 8, 2  # l(n) is n by this: at first, and within large groups
 _SET_ROWS = 256  # sets that a task sends to Python at once: some kilobytes each
+_TEXT_ROWS = 1024  # texts
 
 
 class Shingles:
@@ -93,7 +95,49 @@ def _first_tokens(s: Shingles, percent: int, part: int) -> np.ndarray:
     return np.arange(len(s.hash)) - s.bounds[s.row] < (s.n - _ceil_part(s.n, percent) + _least_shared(s.n, part))[s.row]
 
 
-def _documents(docs: DataFrame, k: int, percent: int, part: int) -> DataFrame:
+@dataclass
+class _Ids:
+    """A set of ids as a bitmap of their hashes, which by chance has some more."""
+
+    bits: int
+    words: np.ndarray
+
+    def place(self) -> Column:
+        return _place(self.bits)
+
+    def chosen(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of batches whose last column, place(), is in the bitmap."""
+        for batch in batches:
+            p = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64)
+            some = np.flatnonzero(self.words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1))
+            if len(some):
+                yield batch.take(pa.array(some))
+
+
+def _place(bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
+
+
+def _ids(ids: DataFrame, count: int) -> _Ids:
+    """The ids in `ids`, of which there are `count`. Beyond some ten million ids the bitmap is fuller and more texts are
+    read than needed; it is 8 MB at most."""
+    bits = min(26, max(20, (8 * count).bit_length()))
+    found = ids.select(_place(bits).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    got = found.toArrow()  # a row for each 64 bits at most, whatever the number of ids
+    words[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return _Ids(bits, words)
+
+
+def _read(docs: DataFrame, columns: list, only: _Ids | None, read: Callable, schema: str) -> DataFrame:
+    """`read` of the columns of docs, of those in `only` if it is given. They are chosen by the worker that reads them:
+    operators in Python, one behind the other, would take a worker each in every task."""
+    if only is None:
+        return docs.select(*columns).mapInArrow(read, schema)
+    return docs.select(*columns, only.place().alias("place")).mapInArrow(lambda batches: read(only.chosen(batches)), schema)
+
+
+def _documents(docs: DataFrame, k: int, percent: int, part: int, only: _Ids | None = None) -> DataFrame:
     """id, text_hash, size and digests of each text; of each 64th class, by its key, also the first tokens."""
 
     def digest(batches):
@@ -108,7 +152,8 @@ def _documents(docs: DataFrame, k: int, percent: int, part: int) -> DataFrame:
                 same = [batch.column(i).slice(c.first, c.rows) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(s.n, pa.int64()), pa.array(hi), pa.array(key), pa.array(sample, pa.binary())], names=["id", "text_hash", "n", "hi", "key", "sample"])
 
-    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(digest, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long, sample binary")
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, hi long, key long, sample binary"
+    return _read(docs, ["id", "text", F.xxhash64("text")], only, digest, schema)
 
 
 def _common_tokens(rows: DataFrame, shingles: int, first_percent: int) -> np.ndarray:
@@ -127,7 +172,7 @@ def _common_tokens(rows: DataFrame, shingles: int, first_percent: int) -> np.nda
     return np.sort(common.select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
-def _token_blocks(docs: DataFrame, k: int, percent: int, part: int, buckets: int, common: np.ndarray, flush: int = 500_000) -> DataFrame:
+def _token_blocks(docs: DataFrame, k: int, percent: int, part: int, buckets: int, common: np.ndarray, only: _Ids | None, flush: int = 500_000) -> DataFrame:
     """bucket, tokens (32 bits beyond those of the bucket) and keys, as bytes. Tokens that very many classes have lie in
     buckets below 0 by key, and are numbers in `common`."""
     shift = np.uint64(64 - _TOKEN_BITS)
@@ -164,7 +209,7 @@ def _token_blocks(docs: DataFrame, k: int, percent: int, part: int, buckets: int
         if held:
             yield blocks()
 
-    return docs.select("text").mapInArrow(deal, "bucket int, tokens binary, keys binary")
+    return _read(docs, ["text"], only, deal, "bucket int, tokens binary, keys binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -220,25 +265,6 @@ def _hubs(blocks: DataFrame, tasks: int, common: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(meet, "key long, hub long, n long").groupBy("key", "hub").agg(F.sum("n").alias("shared"))
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """id and text of the documents whose id is in `ids`, of which there are `count` (or by chance seems so). Beyond
-    some ten million ids the bitmap is fuller and more texts are read than needed; it is 8 MB at most."""
-    bits = min(26, max(20, (8 * count).bit_length()))
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    got = words.toArrow()  # a row for each 64 bits at most, whatever the number of ids
-    bitmap[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-
-    def choose(batches):
-        for batch in batches:
-            p = np.asarray(batch.column(0)).astype(np.int64)
-            some = np.flatnonzero(bitmap[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1))
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(some)) for i in (1, 2)], names=["id", "text"])
-
-    return docs.select(place.alias("p"), "id", "text").mapInArrow(choose, docs.select("id", "text").schema)
-
-
 def _sets(docs: DataFrame, k: int, ids: DataFrame, count: int) -> DataFrame:
     """hi, key and set of the documents that are chosen by `ids`."""
 
@@ -251,7 +277,7 @@ def _sets(docs: DataFrame, k: int, ids: DataFrame, count: int) -> DataFrame:
                 blobs = [s.hash[s.bounds[r] : s.bounds[r + 1]].tobytes() for r in rows.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(hi[rows]), pa.array(key[rows]), pa.array(blobs, pa.binary())], names=["hi", "key", "tokens"])
 
-    return _chosen(docs, ids, count).select("text").mapInArrow(read, "hi long, key long, tokens binary")
+    return _read(docs, ["text"], _ids(ids, count), read, "hi long, key long, tokens binary")
 
 
 def _classes_of(g: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -292,11 +318,11 @@ def _search_rest(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group", "block", "turn").sortWithinPartitions("group", "block", "turn").mapInArrow(search, "u long, v long")
 
 
-def _grouped(docs: DataFrame, k: int, percent: int, part: int, classes: DataFrame, shingles: int, common: np.ndarray) -> DataFrame:
+def _grouped(docs: DataFrame, k: int, percent: int, part: int, classes: DataFrame, shingles: int, common: np.ndarray, only: _Ids | None = None) -> DataFrame:
     """key, group of the classes that may link with others: what a class shares with them, its weakest hubs left out."""
     buckets = max(1, -(-shingles * 12 * _first_percent(percent, part) // (100 * _BUCKET_BYTES)))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * buckets)
-    hubs = _hubs(_token_blocks(docs, k, percent, part, buckets, common), tasks, common).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
+    hubs = _hubs(_token_blocks(docs, k, percent, part, buckets, common, only), tasks, common).join(classes.groupBy("key").agg(F.max("n").alias("size")), "key")
     # Of the sizes of its partners, the least decides: l(ceil(s n)).
     needed = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / part), F.lit(1))
     weakest = Window.partitionBy("key").orderBy("shared", "hub")
@@ -316,6 +342,11 @@ def near_duplicates(
     are first. Repeated rows and ids each keep a row; rows with the same id and text are first together. Rows without an id take part; their component is the smallest id reached, or null. Other
     columns are ignored and may have any names.
     """
+    with arrow_rows(docs.sparkSession, _TEXT_ROWS):  # what is returned runs no Python
+        return _near_duplicates(docs, id_col, text_col, shingle, percent, block_tokens, block_sets)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block_tokens: int, block_sets: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
@@ -337,9 +368,9 @@ def near_duplicates(
     if percent >= 50 and not wide.isEmpty():  # l(n) is ceil(s n) at most
         large = cut(members.join(wide, "group", "left_semi").drop("group"))
         seen = large.agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).first()
-        some = _chosen(docs, large.select("first.id"), seen.sets)
-        common = _common_tokens(_documents(some, shingle, percent, _LARGE_PART), seen.tokens, _first_percent(percent, _LARGE_PART))
-        again = large.join(_grouped(some, shingle, percent, _LARGE_PART, large, seen.tokens, common), "key")
+        some = _ids(large.select("first.id"), seen.sets)
+        common = _common_tokens(_documents(docs, shingle, percent, _LARGE_PART, some), seen.tokens, _first_percent(percent, _LARGE_PART))
+        again = large.join(_grouped(docs, shingle, percent, _LARGE_PART, large, seen.tokens, common, some), "key")
         members = cut(members.join(wide, "group", "left_anti").unionByName(again))
         sizes = measured(members)
     pivot = F.xxhash64("key", F.lit(3)).isin(*[F.col(f"p{i}") for i in range(4)])

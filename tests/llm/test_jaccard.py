@@ -211,3 +211,15 @@ def test_sets_tied_by_chance_do_not_meet_all_blocks(documents, monkeypatch):
     found = near_duplicates(documents(rows), block_sets=12, block_tokens=100_000).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=str) == brute(rows)
     assert not across
+
+
+def test_no_task_has_two_python_workers(documents, monkeypatch):
+    """Each operator in Python takes a worker of its own in every task, and these keep their memory."""
+    plans, cut = [], components.cut
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    rows = corpus(7, groups=5)
+    found = near_duplicates(documents(rows), block_sets=4, block_tokens=400).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    assert sum("MapInArrow" in p for p in plans) >= 4
+    assert not [p for p in plans if re.search(r"MapInArrow[^\n]*\n(?:[ :|+-]*(?:Project|Filter)[^\n]*\n)*[ :|+-]*MapInArrow", p)]
