@@ -31,10 +31,18 @@ def upsample(rows: DataFrame, group: str, most: int) -> DataFrame:
     return rows.join(k, group).withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
 
 
-def weighted_sample(rows: DataFrame, id_col: str, weight: Column, n: int) -> DataFrame:
-    """n rows without replacement, by weight: the largest u ** (1 / weight), u a hash of the id."""
+def weighted_key(id_col: str, weight: Column) -> Column:
+    """ln(u) / weight, u a hash of the id: rows are drawn from the largest on. It is divided as floating point has it: a
+    weight of 0 gives less than any other (or NaN, more than any, should u be 1), and none gives null, which comes last."""
     u = F.log((F.conv(F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0)
-    return rows.withColumn("_key", u / weight).orderBy(F.desc("_key"), id_col).limit(n).drop("_key")
+    by_zero = F.when(u < 0, float("-inf")).when(u == 0, float("nan"))
+    return F.when(weight == 0, by_zero).otherwise(u / weight)
+
+
+def weighted_sample(rows: DataFrame, id_col: str, weight: Column, n: int) -> DataFrame:
+    """n rows without replacement, by weight: the largest u ** (1 / weight), u a hash of the id. Rows of weight 0 come
+    after all others, those without a weight last."""
+    return rows.withColumn("_key", weighted_key(id_col, weight)).orderBy(F.desc_nulls_last("_key"), F.asc_nulls_last(id_col)).limit(n).drop("_key")
 
 
 def split(rows: DataFrame, key: Column, parts: dict[str, float]) -> DataFrame:
@@ -127,8 +135,7 @@ def stratified_sample(rows: DataFrame, strata: str, id_col: str, seats: int, wei
         by = clamped_seats(sizes.withColumns({"lo": F.least(F.lit(floor), top), "hi": top}), strata, "n", seats, "lo", "hi")
     else:
         by = apportion(sizes, strata, "n", seats)
-    u = F.log((F.conv(F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0)
-    key = u / weight if weight is not None else u
+    key = weighted_key(id_col, weight if weight is not None else F.lit(1))
     w = Window.partitionBy(strata).orderBy(F.desc("_key"), id_col)
     return rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(w)).join(by, strata).filter("_rn <= seats").drop("_key", "_rn", "seats")
 
