@@ -139,9 +139,8 @@ def _(t):
 
 @query("ds_7_weighted_pick", """select source, doc_id from documents qualify row_number() over (partition by source order by ln((('0x' || substr(sha256(cast(doc_id as varchar)), 1, 8))::ubigint + 1) / 4294967296.0) / n_chars desc, doc_id) <= 5""")
 def _(t):
-    u = F.log((F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0) / F.col("n_chars")
-    w = Window.partitionBy("source").orderBy(F.desc("u"), "doc_id")
-    return t.documents.withColumn("u", u).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("source", "doc_id")
+    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("u"), F.asc_nulls_last("doc_id"))
+    return t.documents.withColumn("u", DS.weighted_key("doc_id", F.col("n_chars"))).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("source", "doc_id")
 
 
 @query("ds_6_stratified_sample", """with g as (select lang, count(*) as n from documents group by lang), q as (select lang, n * 100.0 / (select sum(n) from g) as share from g), r as (select lang, floor(share) as base, row_number() over (order by share - floor(share) desc, lang) as rn from q),

@@ -22,6 +22,6 @@ def lengths(request, sf, tmp_path_factory):
     return c, str(folder)
 
 
-@pytest.mark.parametrize("name", ["ds_6_weighted_sample"])
+@pytest.mark.parametrize("name", ["ds_6_weighted_sample", "ds_7_weighted_pick"])
 def test_same_as_sql(spark, lengths, name):
     assert duck.same(spark, *lengths, QUERIES[name], SQL[name]) > 0
