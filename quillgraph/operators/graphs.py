@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.ordered import fold_groups
@@ -73,9 +74,23 @@ def _count_reached(edges: pa.Table, beyond: pa.Table) -> pa.Table:
     return pa.table({"src": src[firsts], "reached": reached})
 
 
-def _both_ways(projected: DataFrame) -> DataFrame:
-    apart = projected.filter("a <> b")
-    return apart.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(apart.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+_EDGES = 1_000_000  # ends of edges that a task reads
+
+
+def _ends(projected: DataFrame, table: Rounds) -> DataFrame:
+    """node, other, weight, turn (0 or 1, a half of the nodes): each edge from both of its ends, a loop once. Written by a
+    hash of `other`, so that what is known of that node comes to the edges, which aren't shuffled for it."""
+    back = projected.filter("a <> b").select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")
+    ends = projected.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(back)
+    return table.dealt(ends.withColumn("turn", _turn()), "other", "turn", _parts(2 * projected.count(), projected))
+
+
+def _turn() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(2)).cast("int")
+
+
+def _parts(edges: int, df: DataFrame) -> int:
+    return min(100_000, max(df.sparkSession.sparkContext.defaultParallelism, -(-edges // _EDGES)))  # Spark allows no more buckets
 
 
 def _strengths(projected: DataFrame) -> DataFrame:
@@ -95,25 +110,24 @@ def modularity(projected: DataFrame, labels: DataFrame, resolution: float = 1.0)
     return inside / total - resolution * (mass.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0) / (4.0 * total * total)
 
 
-def _moved(both: DataFrame, nodes: DataFrame, total: float, rounds: int, resolution: float, table: Rounds) -> DataFrame:
+def _moved(ends: DataFrame, nodes: DataFrame, total: float, rounds: int, resolution: float, table: Rounds) -> DataFrame:
     """node, label, strength after nodes (node, label, strength) moved to where the weight of their edges less resolution *
     strength * label's strength / total is largest (ties: least label). Nodes move in alternate halves, by parity of a
-    hash, so that pairs don't swap for ever; it ends early when neither half moves."""
-    still = 0
+    hash, so that pairs don't swap for ever, and only edges of the half whose turn it is are looked at; it ends early when
+    neither half moves."""
+    still, parts = 0, _parts(ends.count() // 2, ends)
     for r in range(rounds):
         mass = nodes.groupBy("label").agg(F.sum("strength").alias("mass"))
         # A label's mass goes with it to the neighbours; these come to their node once, for all that is asked of them there.
-        known = table(nodes.join(mass, "label").select("node", "label", "mass"))
-        near = both.join(known.withColumnRenamed("node", "other"), "other").select("node", "label", "mass", "weight")
-        near = near.unionByName(known.select("node", "label", "mass", F.lit(0).cast("long").alias("weight"))).repartition("node")
-        pull = near.groupBy("node", "label").agg(F.sum("weight").alias("pull"), F.first("mass").alias("mass"))
-        scored = pull.join(nodes.select("node", F.col("label").alias("now"), "strength"), "node")
-        # A node's own strength doesn't weigh on its own community.
-        rest = F.col("mass") - F.when(F.col("label") == F.col("now"), F.col("strength")).otherwise(0)
-        gain = F.round(F.col("pull") - F.lit(resolution) * F.col("strength") * rest / F.lit(float(total)), 9)
-        best = scored.groupBy("node", "now", "strength").agg(F.min_by("label", F.struct(-gain, F.col("label"))).alias("best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        moved = table(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label"), "strength", "now"))
+        known = table(nodes.join(mass, "label").select("node", "label", "mass", "strength"))
+        to = known.select(F.col("node").alias("other"), "label", "mass").hint("shuffle_hash")
+        near = ends.filter((F.col("turn") == r % 2) & (F.col("node") != F.col("other"))).join(to, "other").select("node", "label", "mass", "weight", F.lit(-1).alias("strength"))
+        own = known.filter(_turn() == r % 2).select("node", "label", "mass", F.lit(0).alias("weight"), "strength")
+        near = own.unionByName(near).repartition(parts, "node")
+        kind = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+        best = near.mapInArrow(_best(float(resolution), float(total)), f"node {kind['node']}, label {kind['label']}, strength {kind['strength']}, now {kind['label']}")
+        stay = known.filter(_turn() != r % 2).select("node", "label", "strength", F.col("label").alias("now"))
+        moved = table(best.unionByName(stay))
         still = still + 1 if moved.filter("label <> now").isEmpty() else 0
         nodes = moved.select("node", "label", "strength")
         if still == 2:
@@ -121,27 +135,61 @@ def _moved(both: DataFrame, nodes: DataFrame, total: float, rounds: int, resolut
     return nodes
 
 
+def _best(resolution: float, total: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, label (the best), strength, now of a task's nodes, from rows of their neighbours (node, label, mass, weight;
+    strength -1) and one of each itself (weight 0, and its strength)."""
+
+    def codes(values: pa.ChunkedArray) -> np.ndarray:
+        array = values.to_numpy()
+        return array if array.dtype.kind == "i" else np.unique(array, return_inverse=True)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not any(b.num_rows for b in held):
+            return
+        rows = pa.Table.from_batches(held)
+        node, label = codes(rows["node"]), codes(rows["label"])
+        order = np.lexsort((label, node))
+        node, label, mass, weight, strength = node[order], label[order], *(rows[c].to_numpy()[order] for c in ("mass", "weight", "strength"))
+        of_node = np.diff(node, prepend=node[0] - 1) != 0
+        pairs = np.flatnonzero(of_node | (np.diff(label, prepend=label[0] - 1) != 0))  # of a node and a label
+        firsts = np.flatnonzero(of_node[pairs])  # of each node, among them
+        many = np.diff(np.append(firsts, len(pairs)))
+        its = np.maximum.reduceat(strength, pairs)
+        s = np.maximum.reduceat(its, firsts)
+        # A node's own strength doesn't weigh on its own community.
+        rest = mass[pairs] - np.where(its < 0, 0, its)
+        gain = np.round(np.add.reduceat(weight, pairs) - resolution * np.repeat(s, many) * rest / total, 9)
+        top = gain == np.repeat(np.maximum.reduceat(gain, firsts), many)
+        place = np.minimum.reduceat(np.where(top, np.arange(len(pairs)), len(pairs)), firsts)
+        best, now = order[pairs[place]], order[pairs[np.flatnonzero(its >= 0)]]
+        out = {"node": rows["node"].take(pa.array(best)), "label": rows["label"].take(pa.array(best)), "strength": s, "now": rows["label"].take(pa.array(now))}
+        yield from pa.table(out).to_batches(max_chunksize=100_000)
+
+    return run
+
+
 def propagate_labels(projected: DataFrame, rounds: int = 5, resolution: float = 1.0) -> DataFrame:
     """node, community by weighted label propagation with a modularity-like penalty. Sums are partial before they are
     shuffled; each round is written to the checkpoint folder."""
     table = Rounds(projected.sparkSession)
     nodes = table(_strengths(projected).withColumn("label", F.col("node")))
     total = nodes.agg(F.sum("strength")).first()[0] or 1
-    out = cut(_moved(_both_ways(table(projected)), nodes, total, rounds, resolution, table).select("node", F.col("label").alias("community")))
+    out = cut(_moved(_ends(table(projected), table), nodes, total, rounds, resolution, table).select("node", F.col("label").alias("community")))
     table.clear()
     return out
 
 
-def _refined(projected: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int, table: Rounds) -> DataFrame:
+def _refined(ends: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int, table: Rounds) -> DataFrame:
     """node, part: connected parts of the communities of nodes (node, label, strength). Nodes begin alone; in each round a
     part picks the neighbour in its community from which modularity gains most, if it gains, and joins it if that one's
     number is less and it joins no other itself. Two that gain most from each other always join, so that it ends when
     nothing gains. A part grows by whole connected parts along edges, so that it is connected. The parts and the ties
     between them are the graph that shrinks from round to round."""
-    own = lambda end: nodes.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    own = lambda end: nodes.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")).hint("shuffle_hash")
     # A tie is a row, part < to: what joining gains is the same for both.
-    ties = projected.filter("a <> b").join(own("a"), "a").join(own("b"), "b").filter("la = lb")
-    ties = table(ties.select(F.col("a").alias("part"), F.col("b").alias("to"), "weight"))
+    ties = ends.filter("node < other").join(own("other"), "other").join(own("node"), "node").filter("lnode = lother")
+    ties = table(ties.select(F.col("node").alias("part"), F.col("other").alias("to"), "weight"))
     parts, mass = nodes.select("node", F.col("node").alias("part")), nodes.select(F.col("node").alias("part"), F.col("strength").alias("s"))
     for _ in range(rounds):
         gain = F.round(F.col("weight") - F.lit(resolution) * F.col("s") * F.col("s2") / F.lit(float(total)), 9)
@@ -169,14 +217,15 @@ def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution
     some aggregations of the edges; what runs through the driver are counts."""
     table = Rounds(edges.sparkSession)
     graph = table(undirected(edges, src, dst))
-    member = _strengths(graph).select("node", F.col("node").alias("community"))
-    labels, out, known = None, None, -1
+    labels, member, out, known = None, None, None, -1
     for level in range(levels):
         nodes = _strengths(graph)
         nodes = table(nodes.join(labels, "node") if labels is not None else nodes.withColumn("label", F.col("node")))
+        member = member if member is not None else nodes.select("node", F.col("node").alias("community"))
         total = nodes.agg(F.sum("strength")).first()[0] or 1
-        moved = _moved(_both_ways(graph), nodes, total, moves, resolution, table)
-        parts = table(_refined(graph, moved, total, resolution, merges, table))
+        ends = _ends(graph, table)
+        moved = _moved(ends, nodes, total, moves, resolution, table)
+        parts = table(_refined(ends, moved, total, resolution, merges, table))
         member = table(member.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
         n = parts.select("part").distinct().count()
         if n == known:
@@ -184,10 +233,12 @@ def communities(edges: DataFrame, levels: int = 3, min_size: int = 3, resolution
         known = n
         one = member.select("node", F.lit(level).alias("level"), "community")
         out = one if out is None else out.unionByName(one)
+        if level + 1 == levels:
+            break
         labels = table(moved.join(parts, "node").groupBy("part").agg(F.min("label").alias("label")).withColumnRenamed("part", "node"))
-        to = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"p{end}"))
-        ends = graph.join(to("a"), "a").join(to("b"), "b")
-        graph = table(ends.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("weight").alias("weight")))
+        to = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"p{end}")).hint("shuffle_hash")
+        joined = ends.filter("node <= other").join(to("other"), "other").join(to("node"), "node")
+        graph = table(joined.groupBy(F.least("pnode", "pother").alias("a"), F.greatest("pnode", "pother").alias("b")).agg(F.sum("weight").alias("weight")))
     out = cut(out)
     table.clear()
     sizes = out.groupBy("level", "community").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)

@@ -107,3 +107,55 @@ def test_a_round_of_moves_shuffles_edges_twice(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     rounds = [p for columns, p in plans if "now" in columns]
     assert rounds and all(p.count("Exchange hashpartitioning") + p.count("Exchange SinglePartition") <= 4 for p in rounds)  # two of them of nodes
+
+
+def test_a_round_of_moves_shuffles_edges_once_and_reads_a_half(spark, monkeypatch):
+    """Edges lie by the neighbour, whose label comes to them; those of nodes whose turn it is go to their node."""
+    plans, real = [], Rounds.__call__
+
+    def seen(self, df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, df)
+
+    monkeypatch.setattr(Rounds, "__call__", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tables = spark.catalog.listTables()
+    try:
+        G.communities(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4)], "src long, dst long"), levels=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rounds = [p for columns, p in plans if "now" in columns]
+    assert rounds and all(p.count("Exchange hashpartitioning") == 2 and "Sort" not in p and "PartitionFilters: [isnotnull(turn" in p for p in rounds)  # one of them of nodes
+    assert spark.catalog.listTables() == tables
+
+
+@pytest.mark.parametrize("names", [int, lambda n: -(n**3), "node {}".format], ids=["numbers", "negative", "strings"])
+def test_moves_are_those_of_plain_python(spark, names):
+    edges = [(names(a), names(b)) for a, b in planted(random.Random(5), 4, 8, 0.6, 0.08)]
+    df = spark.createDataFrame(edges + edges[:9] + [(names(3), names(3))], ["src", "dst"])
+    weights = {}
+    for a, b in edges + edges[:9]:
+        for pair in ((a, b), (b, a)):
+            weights[pair] = weights.get(pair, 0) + 1
+    strength = {}
+    for (a, _), w in weights.items():
+        strength[a] = strength.get(a, 0) + w
+    nodes = spark.createDataFrame([(n,) for n in strength], ["node"])
+    turn = {r.node: r.turn for r in nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(2)).alias("turn")).collect()}
+    label, total = {n: n for n in strength}, sum(strength.values())
+    for r in range(4):
+        mass = {}
+        for n, c in label.items():
+            mass[c] = mass.get(c, 0) + strength[n]
+        moved = dict(label)
+        for n in strength:
+            pull = {label[n]: 0}
+            for (a, b), w in weights.items():
+                if a == n:
+                    pull[label[b]] = pull.get(label[b], 0) + w
+            gain = {c: round(w - strength[n] * (mass[c] - (strength[n] if c == label[n] else 0)) / total, 9) for c, w in pull.items()}
+            if turn[n] == r % 2:
+                moved[n] = min(gain, key=lambda c: (-gain[c], c))
+        label = moved
+    assert {r.node: r.community for r in G.propagate_labels(G.undirected(df), rounds=4).collect()} == label
